@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import byte_bpe, chat_format, exact_dedup, packing, sstable, token_counts
+from noticeflow.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality, simhash, sstable, suffix_dedup, token_counts
 from noticeflow.llm.common import Scratch, let_workers_import
 
 
@@ -21,10 +21,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_boilerplate(spark, _table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+t AS (SELECT *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM l),
+b AS (SELECT k, min(row(doc_id, pos)) AS place FROM t WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce(source, '')) >= 8),
+m AS (SELECT t.*, b.k IS NOT NULL AND row(t.doc_id, t.pos) <> b.place AS gone FROM t LEFT JOIN b ON t.k = b.k),
+r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN r USING (doc_id)
+"""
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.rate(spark, docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(spark, pieces)
@@ -66,6 +89,16 @@ FROM r GROUP BY conv_id
 """
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(spark, _table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
@@ -73,6 +106,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_token_shards, op5_best_fit_packing, op6_exact_dedup, op7_chat_formatting, op10_byte_bpe)
+    f.__name__: f
+    for f in (op1_token_counts, op2_line_dedup, op3_token_shards, op4_quality_rules, op5_best_fit_packing, op6_exact_dedup, op7_chat_formatting, op8_simhash, op9_suffix_dedup, op10_byte_bpe)
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL}
