@@ -1,6 +1,6 @@
 """Removal of long repeated byte strings, by suffix arrays over shards.
 
-A string of LENGTH bytes that starts at two places has the same anchor at both: the least hash of a 16-gram in
+A string of LENGTH bytes that starts at two places has the same anchor at both: the least hash of a 64-gram in
 it, leftmost of equals. So each document's possible starts are parted among anchors, and only anchors that
 occur at two places or more of distinct texts matter; exact copies of a whole text count as one there and
 are told by their counts. Anchors go to shards by hash, each occurrence with the bytes that strings from
@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from noticeflow.llm.common import Scratch, byte_views, join_by_hot_key
 
 #: Bytes of a repeated string; bytes of an anchor's gram; bytes that a shard is to hold.
-LENGTH, GRAM, SHARD_BYTES = 400, 16, 4_000_000
+LENGTH, GRAM, SHARD_BYTES = 400, 64, 4_000_000
 
 #: Bytes of texts that are scanned at a time.
 SCAN_BYTES = 4_000_000
@@ -51,9 +51,12 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     window = length - GRAM + 1
     n = len(text)
     eights = _eights(np.concatenate([text, np.zeros(GRAM + 7, np.uint8)]))
-    gram = (eights[:n] * _MIX[0]) ^ ((eights[8 : n + 8] + _MIX[2]) * _MIX[1])
-    gram ^= gram >> np.uint64(31)
-    gram *= _MIX[2]
+    gram, size = eights, 8
+    while size < GRAM:
+        gram = (gram[:-size] * _MIX[0]) ^ ((gram[size:] + _MIX[2]) * _MIX[1])
+        gram ^= gram >> np.uint64(31)
+        size *= 2
+    gram = gram[:n] * _MIX[2]
     gram ^= gram >> np.uint64(29)
     ordered = (gram & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)  # 40 bits of hash, then the place: leftmost of equals
     rows = -(-(n + window) // window)
@@ -170,6 +173,8 @@ def repeated_starts(segments: list[bytes], owned: list[int], length: int = LENGT
     Returns, for all counted starts in order: the place in the whole, whether it repeats, and
     whether it is the first of its string in suffix order.
     """
+    if not segments:
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
     text = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     begin = np.cumsum(sizes) - sizes
@@ -242,28 +247,47 @@ def repeated_intervals(scratch: Scratch, texts: DataFrame, length: int = LENGTH)
     lists = wanted.groupBy(F.col("_id").alias("_i"), F.col("_k1").alias("_m")).agg(F.collect_list("_x").alias("_xs"))
     cut_from = texts.join(lists, texts["_id"].eqNullSafe(lists["_i"]) & (texts["_k1"] == lists["_m"])).select("_id", "_k1", "_text", "_xs")
 
+    names = ["shard", "split", "copied", "_id", "_k1", "lo", "hi", "bytes"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The segments of each text. Of those that a text has twice (periodic texts have many), one is sent, and starts that are known to repeat as runs without bytes."""
         for batch in batches:
             for i, raw in enumerate(byte_views(batch.column("_text"))):
                 x = batch.column("_xs")[i].values
-                shard, split, lo, hi = (x.field(c) for c in ("shard", "split", "lo", "hi"))
-                pieces = [raw[a : b + length] for a, b in zip(lo.to_pylist(), hi.to_pylist(), strict=True)]
-                same = pa.array([i] * len(pieces), pa.int32())
-                yield pa.RecordBatch.from_arrays([shard, split, batch.column("_id").take(same), batch.column("_k1").take(same), lo, hi, pa.array(pieces, pa.binary())], names=["shard", "split", "_id", "_k1", "lo", "hi", "bytes"])
-
-    segments = cut_from.mapInArrow(cut, f"shard int, split boolean, _id {id_type}, _k1 long, lo int, hi int, bytes binary")
+                shard, split, lo, hi = (x.field(c).to_pylist() for c in ("shard", "split", "lo", "hi"))
+                own: dict[tuple[bytes, int], list[int]] = {}
+                for j, (a, b) in enumerate(zip(lo, hi, strict=True)):
+                    own.setdefault((raw[a : b + length], b - a), []).append(j)
+                rows = [(shard[js[0]], split[js[0]], len(js) > 1, lo[js[0]], hi[js[0]], piece) for (piece, _), js in own.items()]
+                twice = [j for js in own.values() if len(js) > 1 for j in js]
+                known = union_of(np.array([lo[j] for j in twice], np.int64), np.array([hi[j] + 1 for j in twice], np.int64))
+                rows += [(shard[0], False, False, a, b - 1, None) for a, b in known]
+                same = pa.array([i] * len(rows), pa.int32())
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*made[:3], batch.column("_id").take(same), batch.column("_k1").take(same), *made[3:]], names=names)
+
+    segments = cut_from.mapInArrow(cut, f"shard int, split boolean, copied boolean, _id {id_type}, _k1 long, lo int, hi int, bytes binary")
 
     def sort(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
+        known = table.filter(table.column("bytes").is_null()).select(["_id", "_k1", "lo", "hi"])
+        table = table.filter(table.column("bytes").is_valid())
         lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
         owned = (hi - lo + 1).astype(np.int64)
-        pieces = table.column("bytes").to_pylist()
-        places, repeats, first = repeated_starts(pieces, owned.tolist(), length)
-        row = np.repeat(np.arange(len(lo)), owned)
-        start = np.arange(len(places)) - np.repeat(np.cumsum(owned) - owned, owned) + lo[row]
-        wide = row * (1 << 32) + start  # runs don't cross rows
-        a, b = _runs(wide[repeats])
-        out = [a >> 32, a & 0xFFFFFFFF, b & 0xFFFFFFFF, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(a), bool)]
+        seen: dict[tuple[bytes, int], int] = {}  # equal segments are sorted once: all starts of such a one repeat
+        which = np.fromiter((seen.setdefault(x, len(seen)) for x in zip(table.column("bytes").to_pylist(), owned.tolist(), strict=True)), np.int64, len(lo))
+        copies = np.bincount(which)
+        np.add.at(copies, which, np.array(table.column("copied").to_pylist(), np.int64))
+        row_of = np.unique(which, return_index=True)[1]
+        pieces, own = [x[0] for x in seen], owned[row_of]
+        places, repeats, first = repeated_starts(pieces, own.tolist(), length)
+        segment = np.repeat(np.arange(len(own)), own)
+        row = row_of[segment]
+        start = np.arange(len(places)) - np.repeat(np.cumsum(own) - own, own) + lo[row]
+        a, b = _runs(((row << 32) + start)[repeats & (copies[segment] == 1)])  # runs don't cross rows
+        many = np.flatnonzero(copies[which] > 1)
+        out = [np.concatenate(x) for x in ((a >> 32, many), (a & 0xFFFFFFFF, lo[many]), (b & 0xFFFFFFFF, hi[many]))]
+        out += [np.zeros(len(out[0]), np.int64), np.zeros(len(out[0]), np.int64), np.zeros(len(out[0]), bool)]
         given = np.array(table.column("split").to_pylist(), bool)[row] & first
         if given.any():
             x, y = _digests(np.frombuffer(b"".join(pieces), np.uint8), places[given], length)
@@ -271,14 +295,16 @@ def repeated_intervals(scratch: Scratch, texts: DataFrame, length: int = LENGTH)
             out = [np.concatenate(z) for z in zip(out, more, strict=True)]
         take = pa.array(out[0])
         columns = [table.column("_id").take(take), table.column("_k1").take(take), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int32)), pa.array(out[3]), pa.array(out[4]), pa.array(out[5])]
-        return pa.table(columns, names=["_id", "_k1", "_from", "_to", "x", "y", "given"])
+        nothing = [pa.array(np.zeros(known.num_rows, np.int64)), pa.array(np.zeros(known.num_rows, np.int64)), pa.array(np.zeros(known.num_rows, bool))]
+        result = ["_id", "_k1", "_from", "_to", "x", "y", "given"]
+        return pa.concat_tables([pa.table(columns, names=result), pa.table([*(c.combine_chunks() for c in known.columns), *nothing], names=result)])
 
     sorted_ = scratch.cut(segments.groupBy("shard").applyInArrow(sort, f"_id {id_type}, _k1 long, _from int, _to int, x long, y long, given boolean"), "sorted")
     scratch.drop("anchors")
     # Each digest occurs once a shard at most, so these windows are no larger than an anchor's number of shards.
     merged = sorted_.where("given").withColumn("_n", F.count("*").over(W.partitionBy("x", "y"))).where("_n > 1")
-    names = ["_id", "_k1", "_from", "_to"]
-    return sorted_.where("NOT given").select(*names).unionByName(merged.select(*names))
+    runs = ["_id", "_k1", "_from", "_to"]
+    return sorted_.where("NOT given").select(*runs).unionByName(merged.select(*runs))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
