@@ -8,18 +8,29 @@ the library gives for the whole text.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import regex
 
-#: Chunks whose ids a worker keeps; beyond that it starts anew.
-KEEP = 300_000
+#: Chunks whose ids a worker keeps; beyond that they become the old ones, and only those that recur are taken over.
+KEEP = 600_000
 
 #: The kinds of vocabulary: chunks that carry their blank before them, or words without blanks.
 SPACED, WORDS = "spaced", "words"
 
 _BLANK_AHEAD = regex.compile(r" (?=\s|$)")
 _BLANK = regex.compile(r"\s")
+
+
+def _byte_forms() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it shows, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_byte_form = _byte_forms()
 _codecs: dict[tuple[str, str], "Codec"] = {}
 
 
@@ -55,32 +66,71 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.kind, self.known = kind, {}
+        self.kind, self.known, self.old = kind, {}, {}
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.library.model
         self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
 
     def chunks(self, text: str) -> list:
-        """Chunks of text whose encodings, one after another, are that of text."""
-        return text.encode().split() if self.kind == WORDS else spaced_chunks(text)
+        """Chunks of text whose encodings, one after another, are that of text. Words in ASCII lower case: the vocabulary has no other."""
+        return text.encode().lower().split() if self.kind == WORDS else spaced_chunks(text)
+
+    def parts(self, chunk) -> tuple:
+        """chunk in smaller ones that recur more, where the pattern surely cuts: at a lone line end, before a stop or comma after a letter."""
+        if self.kind == WORDS:
+            return (chunk[:-1], chunk[-1:]) if len(chunk) > 1 and chunk[-1] in b",." and 97 <= chunk[-2] <= 122 else (chunk,)
+        head, line, tail = chunk.partition("\n")
+        if line and head and tail and not _BLANK.match(head[-1]) and not _BLANK.match(tail[0]) and "\n" not in tail:
+            return (*self.parts(head), line, *self.parts(tail))
+        return (chunk[:-1], chunk[-1]) if len(chunk) > 1 and chunk[-1] in ",." and chunk[-2].isalpha() else (chunk,)
+
+    def _learn(self, missing: set) -> None:
+        known, old, made, new = self.known, self.old, {}, set()
+        for c in missing:
+            if (ids := old.get(c)) is not None:
+                known[c] = ids
+            elif len(own := self.parts(c)) == 1:
+                new.add(c)
+            else:
+                made[c] = own
+                for x in own:
+                    if x not in known:
+                        if (ids := old.get(x)) is not None:
+                            known[x] = ids
+                        else:
+                            new.add(x)
+        # A run of letters is one match of the pattern, so the library's model takes it at once.
+        tokenize, form, code = self.model.tokenize, _byte_form, self.code
+        if self.kind == SPACED:
+            plain = [c for c in new if (c[1:] if c[:1] == " " else c).isalpha()]
+            for c in plain:
+                shown = c.replace(" ", form[32]) if c.isascii() else c.encode().decode("latin-1").translate(form)
+                known[c] = array(code, [t.id for t in tokenize(shown)]).tobytes()
+        else:
+            plain = [c for c in new if c.isalpha()]  # of bytes: ASCII letters
+            for c in plain:
+                known[c] = array(code, [t.id for t in tokenize(c.decode())]).tobytes()
+        new = list(new.difference(plain))
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            asked = some if self.kind == SPACED else [x.decode() for x in some]
+            for c, e in zip(some, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+                known[c] = np.array(e.ids, self.type).tobytes()
+        for c, own in made.items():
+            known[c] = b"".join(map(known.__getitem__, own))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of self.type."""
         cut = [self.chunks(x) for x in texts]
-        known = self.known
-        new = {c for chunks in cut for c in chunks if c not in known}
-        if len(known) + len(new) > KEEP:
-            known.clear()
-            new = {c for chunks in cut for c in chunks}
-        if new:
-            new = list(new)
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                asked = some if self.kind == SPACED else [x.decode() for x in some]
-                for c, e in zip(some, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, self.type).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        if missing := set().union(*cut) - self.known.keys():
+            self._learn(missing)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in cut]
+        if len(self.known) > KEEP:
+            self.old, self.known = self.known, {}
+        return out
 
     def encode_bounded(self, texts: list[str], most: int = 4_000_000):
         """encode, over groups of texts of about most characters."""
