@@ -611,3 +611,114 @@ def grounding_report(spark, sf_dir):
     return grounding.report(answers(spark, sf_dir))
 
 
+
+
+# --- further operators -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, source, n_chars FROM documents JOIN labels USING (doc_id) WHERE source IN ('src0', 'src1', 'src2') AND n_chars >= 500 AND quality = 1 ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20""")
+def faceted_search(spark, sf_dir):
+    """RET-12, SRT-01: a filtered, sorted page."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = d.select(F.col("doc_id").alias("tender_id"), F.col("source").alias("source_site"), F.col("n_chars").alias("priority_score"), (F.col("quality") == 0).alias("is_expired"), F.lit(False).alias("is_duplicate"))
+    out = search.faceted(d, search.Facets(sources=("src0", "src1", "src2"), least_score=500, page=1))
+    return out.select(F.col("tender_id").alias("doc_id"), F.col("source_site").alias("source"), F.col("priority_score").alias("n_chars"))
+
+
+@query(f"""WITH {ANSWERS_SQL} SELECT CASE WHEN regexp_matches(lower(query), '(^|[^\\p{{L}}\\p{{N}}_])(the|is)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'english' WHEN regexp_matches(lower(query), '(^|[^\\p{{L}}\\p{{N}}_])(der|und)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'german' ELSE 'general' END AS query_type, count(*) AS n FROM answers GROUP BY 1""")
+def query_types(spark, sf_dir):
+    """CLS-25, CLS-26: the first family of words in a question."""
+    kinds = of("query", {"english": ["the", "is"], "german": ["der", "und"]})
+    return answers(spark, sf_dir).groupBy(classify.query_type(F.col("query"), kinds).alias("query_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ANSWERS_SQL}, f AS (SELECT conv_id, min(turn % 5 + 1) AS rating FROM answers WHERE conv_id % 3 <> 0 GROUP BY 1) SELECT rating::INT AS rating, count(*) AS n FROM answers LEFT JOIN f USING (conv_id) GROUP BY 1""")
+def answer_ratings(spark, sf_dir):
+    """AGG-23, AGG-24, JOI-21: answers by rating, none included."""
+    a = answers(spark, sf_dir).withColumn("event_id", F.col("conv_id"))
+    f = a.where("conv_id % 3 <> 0").groupBy("event_id").agg(F.min(F.col("turn") % 5 + 1).cast("int").alias("rating"))
+    return grounding.ratings(a, f)
+
+
+@query("""WITH c AS (SELECT c_custkey, c_name, upper(c_mktsegment) AS seg FROM customer WHERE c_custkey % 3 = 0)
+SELECT o.c_custkey, CASE WHEN c.c_custkey IS NULL THEN o.c_name ELSE coalesce(nullif(trim(c.c_name), ''), o.c_name) END AS c_name, coalesce(c.seg, o.c_mktsegment) AS c_mktsegment FROM customer o LEFT JOIN c USING (c_custkey)""")
+def partial_update(spark, sf_dir):
+    """LIF-05, SUB-13, UPS-04: given values over stored ones, absent ones leave the old."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    given = c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.upper("c_mktsegment"))
+    return lifecycle.partial_update(c, given, "c_custkey", ["c_name", "c_mktsegment"])
+
+
+@query("""SELECT p_partkey, p_brand FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size > 25 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size <= 25)""")
+def carried_over(spark, sf_dir):
+    """JOI-18, SET-07: an export with old rows of sources that did not run."""
+    p = table(spark, sf_dir, "part")
+    now, before = p.where("p_size <= 25").select("p_partkey", "p_brand"), p.where("p_size > 25").select("p_partkey", "p_brand")
+    return upsert.carry_over(now, before, "p_brand", "p_partkey")
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 200000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def pending_alerts(spark, sf_dir):
+    """CDC-04, STM-03: what is due and was not sent."""
+    sent = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return upsert.pending_alerts(table(spark, sf_dir, "orders"), sent, "o_orderkey", "o_totalprice", 200000).select("o_orderkey", "o_totalprice")
+
+
+@query("""WITH a AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS asked FROM pages), e AS (SELECT url, min(page_id) AS e FROM pages GROUP BY 1), l AS (SELECT regexp_replace(url, '/+$', '') AS b, min(page_id) AS l FROM pages GROUP BY 1)
+SELECT asked AS url, coalesce(e, l) AS tender_id FROM a LEFT JOIN e ON e.url = asked LEFT JOIN l ON l.b = regexp_replace(asked, '/+$', '')""")
+def url_lookup(spark, sf_dir):
+    """JOI-14, JOI-19: ids by URL, slashes at the end forgiven."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("tender_id"), "url")
+    return upsert.by_url(p, p.select(F.regexp_replace("url", "[?#].*$", "").alias("url")).distinct())
+
+
+@query("""SELECT avg((try_cast(p_size AS INT) IS NULL AND p_size IS NOT NULL)::INT)::DOUBLE AS p_size, avg((try_cast(p_brand AS INT) IS NULL AND p_brand IS NOT NULL)::INT)::DOUBLE AS p_brand, avg((p_name IS NULL OR trim(p_name) = '')::INT)::DOUBLE AS p_name_missing FROM part""")
+def schema_violations(spark, sf_dir):
+    """DQ-01, DQ-02: shares of rows whose fields don't fit."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("p_size"), "p_brand", "p_name")
+    return classify.schema_violations(p, {"p_size": "int", "p_brand": "int"}, ["p_name"])
+
+
+@query("""WITH h AS (SELECT user_id AS source, CAST(ts AS DATE) AS date, arg_max(value, event_id) AS pass_rate FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY date DESC) AS n FROM h)
+SELECT source, date, round(pass_rate, 4) AS pass_rate FROM r WHERE n <= 5""")
+def bounded_history(spark, sf_dir):
+    """HLT-12, HLT-13: the last five days of each source, the last entry of each."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.to_date("ts").alias("date"), F.col("event_id").alias("seq"), F.col("value").alias("pass_rate"))
+    return health.bounded_history(e, 5).select("source", "date", F.round("pass_rate", 4).alias("pass_rate"))
+
+
+@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents WHERE NOT regexp_matches(split_part(coalesce(text, ''), chr(10), 1), '[0-9]{3}|[^\\x20-\\x7E]'))
+SELECT doc_id, t AS norm_title, CASE WHEN length(t) >= 15 THEN array_to_string(list_slice(string_split(t, ' '), 1, 3), ' ') END AS block FROM d""")
+def blocking_keys(spark, sf_dir):
+    """DED-06, DED-08: normalised titles and their blocks, of titles in plain ASCII without codes."""
+    d = table(spark, sf_dir, "documents").select("doc_id", title().alias("title")).where(~F.col("title").rlike(r"[0-9]{3}|[^\x20-\x7E]"))
+    n = d.withColumn("norm_title", T.normalise_title("title"))
+    return n.select("doc_id", "norm_title", T.blocking_key("norm_title").alias("block"))
+
+
+@query("""SELECT o_orderkey, 'discovered' AS status FROM (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem) l WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+def register_batch(spark, sf_dir):
+    """LIF-01, UPS-02, JOI-09: new ids, once each."""
+    ids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("tender_id"), F.col("l_returnflag").alias("model_decision_tag"))
+    stored = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("tender_id"))
+    return lifecycle.register(stored, ids, F.current_timestamp()).select(F.col("tender_id").cast("long").alias("o_orderkey"), "status")
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN lang = 'en' THEN 'gb' END, CASE WHEN lang LIKE '%r%' THEN 'fr' END, lang) AS name FROM documents""")
+def canonical_names(spark, sf_dir):
+    """NRM-05, NRM-15 to NRM-17, NRM-28: exact aliases, then parts, else the name itself."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.canonical("lang", {"en": "gb"}, [("r", "fr")]).alias("name"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey FROM supplier) SELECT s_suppkey, n_name AS country FROM s LEFT JOIN nation ON n_nationkey = s_nationkey""")
+def imputed_country(spark, sf_dir):
+    """NRM-25, NRM-29, JOI-15: blanks filled from a table with a row per source."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.lit("n/a").alias("country"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country"))
+    return normalize.impute(s, n, "s_nationkey", ["country"]).select("s_suppkey", "country")
+
+
+@query()
+def signal_tiers(spark, sf_dir):
+    """CLS-27, CLS-28, DOC-14: tiers of documents by positive and negative words."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(classify.signal_tier(F.col("text"), SECTORS, SERVICES)).alias("signal"))
