@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,6 +22,20 @@ HOT_KEYS = 4096
 
 _own_dir: str | None = None
 
+#: What a Python worker keeps between tasks, by the operator that keeps it, and how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    """Says that this worker keeps something for name's tasks."""
+    _kept[name] = forget
+
+
+def begin(name: str) -> None:
+    """A task of name begins in this worker, which is shared by all stages: what others have kept goes."""
+    for other in [x for x in _kept if x != name]:
+        _kept.pop(other)()
+
 
 def let_workers_import(spark: SparkSession) -> None:
     """Puts the library's parent folder on the Python path of the workers that start from now on."""

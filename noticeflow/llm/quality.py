@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import texts_of
+from noticeflow.llm.common import begin, texts_of
 
 #: Rows the classifier is fitted on at most, every fourth of them for calibration; the place of a row among them is a hash of its id.
 SAMPLE = 2400
@@ -169,6 +169,7 @@ def rate(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         for batch in batches:
             judged = [judge(t, given.value) for t in texts_of(batch, "text")]
             columns = zip(*judged, strict=True) if judged else [[]] * 8
@@ -182,6 +183,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, model: Model | None, text_co
     given = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         for batch in batches:
             yield batch.filter(pa.array([judge(t, given.value)[6] for t in texts_of(batch, text_col)], pa.bool_()))
 

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from noticeflow.llm.common import Scratch, byte_views, join_by_hot_key
+from noticeflow.llm.common import Scratch, begin, byte_views, join_by_hot_key
 
 #: Bytes of a repeated string; bytes of an anchor's gram; bytes that a shard is to hold.
-LENGTH, GRAM, SHARD_BYTES = 400, 64, 4_000_000
+LENGTH, GRAM, SHARD_BYTES = 400, 64, 3_000_000
 
 #: Bytes of texts that are scanned at a time.
-SCAN_BYTES = 4_000_000
+SCAN_BYTES = 1_000_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _STRETCH = 256
@@ -177,10 +177,10 @@ def repeated_starts(segments: list[bytes], owned: list[int], length: int = LENGT
         return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
     text = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-    begin = np.cumsum(sizes) - sizes
+    ahead = np.cumsum(sizes) - sizes
     counted = np.zeros(len(text), bool)
     n_owned = np.array(owned, np.int64)
-    places = np.repeat(begin - np.concatenate([[0], np.cumsum(n_owned)[:-1]]), n_owned) + np.arange(n_owned.sum())
+    places = np.repeat(ahead - np.concatenate([[0], np.cumsum(n_owned)[:-1]]), n_owned) + np.arange(n_owned.sum())
     counted[places] = True
     eights = _eights(np.concatenate([text, np.zeros(7, np.uint8)]))
     order, tied = suffix_order(eights, length)
@@ -209,9 +209,10 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     """_h, _k1, _id, _at, _lo, _hi of each anchor of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffix dedup")
         for batch in batches:
             ids, marks = batch.column("_id"), batch.column("_k1")
-            held, size, begin = [], 0, 0
+            held, size, done = [], 0, 0
             rows = list(byte_views(batch.column("_text")))
             for i, raw in enumerate(rows):
                 held.append(raw)
@@ -220,10 +221,10 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                     ends = np.cumsum([len(x) for x in held])
                     doc, h, at, lo, hi = anchors(np.frombuffer(b"".join(held), np.uint8), ends, length)
                     base = np.concatenate([[0], ends])[doc]
-                    take = pa.array(doc + begin)
+                    take = pa.array(doc + done)
                     columns = [pa.array(h), marks.take(take), ids.take(take), *(pa.array((x - base).astype(np.int32)) for x in (at, lo, hi))]
                     yield pa.RecordBatch.from_arrays(columns, names=["_h", "_k1", "_id", "_at", "_lo", "_hi"])
-                    held, size, begin = [], 0, i + 1
+                    held, size, done = [], 0, i + 1
 
     return texts.select("_id", "_k1", "_text").mapInArrow(run, f"_h long, _k1 long, _id {texts.schema['_id'].dataType.simpleString()}, _at int, _lo int, _hi int")
 
@@ -269,6 +270,7 @@ def repeated_intervals(scratch: Scratch, texts: DataFrame, length: int = LENGTH)
     segments = cut_from.mapInArrow(cut, f"shard int, split boolean, copied boolean, _id {id_type}, _k1 long, lo int, hi int, bytes binary")
 
     def sort(table: pa.Table) -> pa.Table:
+        begin("suffix dedup")
         table = table.combine_chunks()
         known = table.filter(table.column("bytes").is_null()).select(["_id", "_k1", "lo", "hi"])
         table = table.filter(table.column("bytes").is_valid())

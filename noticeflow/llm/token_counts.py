@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import texts_of
+from noticeflow.llm.common import begin, keeps, texts_of
 
 #: Nodes after which a worker starts a new trie.
 MOST_NODES = 500_000
@@ -82,6 +82,8 @@ def token_counts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
     fields = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_distinct", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("token counts")
+        keeps("token counts", _tries.clear)
         if (rank_file, pattern) not in _tries:
             _tries[rank_file, pattern] = ScoreTrie(zipf_scores(rank_file))
         trie, cut, known = _tries[rank_file, pattern], regex.compile(pattern).findall, {}

@@ -13,6 +13,8 @@ from array import array
 import numpy as np
 import regex
 
+from noticeflow.llm.common import begin, keeps
+
 #: Chunks whose ids a worker keeps; beyond that they become the old ones, and only those that recur are taken over.
 KEEP = 600_000
 
@@ -36,6 +38,8 @@ _codecs: dict[tuple[str, str], "Codec"] = {}
 
 def codec(path: str, kind: str) -> "Codec":
     """The worker's codec of a vocabulary; it outlives the task."""
+    begin("tokens")
+    keeps("tokens", _codecs.clear)
     if (path, kind) not in _codecs:
         _codecs[path, kind] = Codec(path, kind)
     return _codecs[path, kind]
