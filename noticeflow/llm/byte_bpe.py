@@ -8,7 +8,7 @@ the words sent before; after MOST_WORDS the task starts a new list.
 
 The rank map is a literal of buckets: pair of ids to the rank of the two pieces' bytes. A fold's state is the ids of
 a word's pieces and the ranks of neighbours; a step merges the leftmost pair of least rank and looks up
-its two new neighbours, so a word of n bytes takes about 3n lookups.
+its two new neighbours, so a word of n bytes takes at most 2n lookups.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from noticeflow.llm.common import texts_of
 from noticeflow.llm.tokens import spaced_chunks
 
-BUCKETS, NONE, BLOCK_CHARS, MOST_WORDS = 1 << 15, 2147483647, 4_000_000, 400_000
+BUCKETS, NONE, BLOCK_CHARS, MOST_WORDS = 32_749, (1 << 19) - 1, 4_000_000, 500_000
 
 
 @cache
@@ -47,100 +47,135 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def _bucket(a, b):
-    return (a * 40503 + b * 12347) % BUCKETS
-
-
 @cache
 def _tables(path: str) -> str:
-    """The rank map as JSON: k and v, pair numbers and ranks by bucket; b, the rank of each single byte."""
+    """The rank map as JSON: for each bucket its pairs (first id, second id, shifted together) and their ranks."""
     ranks = read_ranks(path)
-    keys, values = [[] for _ in range(BUCKETS)], [[] for _ in range(BUCKETS)]
-    for (a, b), rank in pair_ranks(ranks).items():
-        keys[_bucket(a, b)].append(a << 20 | b)
-        values[_bucket(a, b)].append(rank)
-    return json.dumps({"k": keys, "v": values, "b": [ranks[bytes([i])] for i in range(256)]}, separators=(",", ":"))
+    if max(ranks.values()) >= NONE:
+        raise ValueError(f"ranks have to be below {NONE}")
+    table: list[list] = [[] for _ in range(BUCKETS)]
+    for (a, b), rank in _pairs(path).items():
+        table[(a << 20 | b) % BUCKETS].append({"k": a << 20 | b, "v": rank})
+    return json.dumps(table, separators=(",", ":"))
+
+
+@cache
+def _first_states(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The id of each single byte; the rank of each two bytes."""
+    ranks, pairs = read_ranks(path), _pairs(path)
+    single = [ranks[bytes([i])] for i in range(256)]
+    return np.array(single, np.int64), np.array([pairs.get((a, b), NONE) for a in single for b in single], np.int64)
+
+
+def first_states(words: list[bytes], path: str) -> pa.Array:
+    """For each word the state that its fold starts from: its bytes as pieces, with places and ranks of neighbours; a word that is a piece is that one piece."""
+    (single, double), ranks = _first_states(path), read_ranks(path)
+    whole = [(i, ranks[w]) for i, w in enumerate(words) if len(w) > 1 and w in ranks]
+    for i, _ in whole:
+        words[i] = words[i][:1]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    near = np.append(double[text[:-1] * 256 + text[1:]], NONE)[: len(text)]
+    near[ends - 1] = NONE  # no word is empty
+    place = np.arange(len(text)) - np.repeat(ends - sizes, sizes)
+    pieces = single[text]
+    for i, rank in whole:
+        pieces[ends[i] - 1] = rank
+    return pa.ListArray.from_arrays(np.append([0], ends).astype(np.int32), pa.array((near << 44) | (place << 20) | pieces))
+
+
+def _bind(value: Column, body) -> Column:
+    """body of a value that is computed once: expressions within lambdas are not shared otherwise."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def fold_merges(words: Column, path: str) -> Column:
-    """Ids of each word in an array of words, a word being an array of byte values."""
-    table = F.from_json(F.lit(_tables(path)), "k array<array<bigint>>, v array<array<int>>, b array<int>")  # folded into a literal
+    """The pieces of each word in an array of words, a word being its first state; a piece's id is its lowest 20 bits.
 
-    def of(t: Column) -> Column:
-        def rank(a: Column, b: Column) -> Column:
-            bucket = _bucket(a.cast("long"), b).cast("int")
-            at = F.array_position(F.get(t["k"], bucket), F.shiftleft(a.cast("long"), 20).bitwiseOR(b.cast("long")))
-            return F.when(at > 0, F.get(F.get(t["v"], bucket), (at - 1).cast("int"))).otherwise(NONE)
+    A fold's state is one array of numbers, for each piece: the rank of merging it with the next one (NONE: they don't
+    merge), then its place in the word (24 bits), then its id. So the least number is the leftmost pair
+    of least rank, and that rank is the merged piece's id.
+    """
+    literal = F.from_json(F.lit(_tables(path)), "array<array<struct<k:bigint,v:bigint>>>")
+    low, id_bits, none = F.lit((1 << 44) - 1), F.lit((1 << 20) - 1).cast("long"), NONE << 44
+
+    def of(table: Column) -> Column:
+        def rank(pair: Column) -> Column:
+            return _bind(pair, lambda k: F.shiftleft(F.coalesce(F.try_element_at(F.get(table, (k % BUCKETS).cast("int")), k), F.lit(NONE).cast("long")), 44))
+
+        def merge_at(s: Column, m: Column, p: Column, own: Column) -> Column:
+            merged = rank(F.shiftleft(own, 20) + F.get(s, p + 1).bitwiseAND(id_bits)) + m.bitwiseAND(F.lit((1 << 44) - (1 << 20))) + own
+            left = lambda x: rank(F.shiftleft(x.bitwiseAND(id_bits), 20) + own) + x.bitwiseAND(low)
+            new = F.when(p > 1, F.array(left(F.get(s, p - 2)), merged)).otherwise(F.array(merged))
+            return F.concat(F.slice(s, 1, F.greatest(p - 2, F.lit(0))), new, F.slice(s, p + 2, F.size(s)))
 
         def merge(s: Column, _: Column) -> Column:
-            ids, near, least = s["ids"], s["near"], F.array_min(s["near"])
-            p = F.array_position(near, least).cast("int")
-            size = F.size(ids)
-            left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), least))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p + 2 <= size, rank(least, F.get(ids, p + 1))).otherwise(NONE)
-            merged = F.struct(
-                F.concat(F.slice(ids, 1, p - 1), F.array(least), F.slice(ids, p + 2, size)).alias("ids"),
-                F.concat(F.slice(near, 1, F.greatest(p - 2, F.lit(0))), left, F.array(right), F.slice(near, p + 2, size)).alias("near"),
-            )
-            return F.when(least == NONE, s).otherwise(merged)
+            place = lambda m: _bind(F.struct(F.array_position(s, m).cast("int").alias("p"), F.shiftright(m, 44).alias("own")), lambda x: merge_at(s, m, x["p"], x["own"]))
+            return _bind(F.array_min(s), lambda m: F.when(m >= none, s).otherwise(place(m)))
+
+        return F.transform(words, lambda w: F.aggregate(F.slice(w, 2, F.size(w)), w, merge))
+
+    # The maps are made once for each row, which is a block of documents.
+    return _bind(literal, lambda x: _bind(F.transform(x, lambda e: F.map_from_entries(e)), of))
 
-        def word(w: Column) -> Column:
-            ids = F.transform(w, lambda b: F.get(t["b"], b))
-            near = F.transform(w, lambda b, i: F.when(i + 1 < F.size(w), rank(F.get(t["b"], b), F.get(t["b"], F.get(w, i + 1)))).otherwise(NONE))
-            return F.aggregate(F.slice(w, 2, F.size(w)), F.struct(ids.alias("ids"), near.alias("near")), merge, lambda s: s["ids"])
 
-        return F.transform(words, word)
+_BLOCK = "reset boolean, doc_ids array<bigint>, sizes array<int>, numbers binary, words array<array<bigint>>"
 
-    return F.element_at(F.transform(F.array(table), of), 1)
 
+class _Numbers(dict):
+    """The words of each chunk as 32-bit numbers; asking for a new chunk numbers its new words, which stand in new."""
 
-_BLOCK = "reset boolean, doc_ids array<bigint>, sizes array<int>, numbers binary, words array<array<int>>"
+    def __init__(self, pattern: str):
+        self.cut, self.words, self.new = regex.compile(pattern).findall, {}, []
+
+    def __missing__(self, chunk: str) -> bytes:
+        words, out = self.words, []
+        for w in (chunk,) if chunk[chunk[:1] == " " :].isalpha() else self.cut(chunk):
+            if (n := words.get(w)) is None:
+                n = words[w] = len(words)
+                self.new.append(w.encode())
+            out.append(n.to_bytes(4, "little"))
+        found = self[chunk] = b"".join(out)
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.words.clear()
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit integers), one row per row of docs; null text as empty, which has no ids.
 
-    pattern cuts texts into words, each encoded by itself; there are no special tokens. A word that is a piece has
-    that piece's id. Other columns are ignored.
+    pattern (of the kind that tokens.spaced_chunks takes) cuts texts into words, each encoded by itself; there are no special
+    tokens. A word that is a piece has that piece's id. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ranks = read_ranks(rank_file)
-    whole = {p: r for p, r in ranks.items() if len(p) > 1 and not _reachable(p, rank_file)}  # merges alone don't lead there
     types = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
     names = ["reset", "doc_ids", "sizes", "numbers", "words"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, numbers, chunks = regex.compile(pattern).findall, {}, {}
-        ids, parts, new, size, reset = [], [], [], 0, True
-
-        def number(chunk: str) -> bytes:
-            out = []
-            for w in cut(chunk):
-                if w not in numbers:
-                    numbers[w] = len(numbers)
-                    new.append(w.encode())
-                out.append(numbers[w])
-            found = chunks[chunk] = np.array(out, np.int32).tobytes()
-            return found
+        numbers = _Numbers(pattern)
+        ids, parts, size, reset = [], [], 0, True
 
         def block() -> pa.RecordBatch:
-            values = np.frombuffer(b"".join(new), np.uint8).astype(np.int32)
-            words = pa.ListArray.from_arrays(np.cumsum([0, *map(len, new)]).astype(np.int32), pa.array(values))
+            words = first_states(numbers.new, rank_file)
             row = [reset, ids, [len(x) // 4 for x in parts], b"".join(parts)]
             columns = [pa.array([x], t) for x, t in zip(row, types, strict=True)]
-            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(np.array([0, len(new)], np.int32), words)], names=names)
+            made = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(np.array([0, len(words)], np.int32), words)], names=names)
+            numbers.new.clear()
+            return made
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
                 ids.append(doc_id)
-                parts.append(b"".join([chunks.get(c) or number(c) for c in spaced_chunks(text)]) if text else b"")
+                parts.append(b"".join(map(numbers.__getitem__, spaced_chunks(text))) if text else b"")
                 size += len(text)
                 if size >= BLOCK_CHARS:
                     yield block()
-                    ids, parts, new, size, reset = [], [], [], 0, False
-                    if len(numbers) > MOST_WORDS:
-                        numbers.clear()
-                        chunks.clear()
+                    ids, parts, size, reset = [], [], 0, False
+                    if len(numbers.words) > MOST_WORDS:
+                        numbers.forget()
                         reset = True
         if ids:
             yield block()
@@ -153,7 +188,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                     known.clear()
                 words = batch.column("merged")[i].values
                 ends = (4 * words.offsets.to_numpy()).tolist()
-                raw = words.values.to_numpy().astype("<u4").tobytes()
+                raw = (words.values.to_numpy() & 0xFFFFF).astype("<u4").tobytes()
                 known += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
                 numbers, at, out = np.frombuffer(batch.column("numbers")[i].as_py(), np.int32).tolist(), 0, []
                 for n in batch.column("sizes")[i].as_py():
@@ -162,12 +197,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     sent = rows.mapInArrow(blocks, _BLOCK)
-    merged = fold_merges(F.col("words"), rank_file)
-    if whole:
-        pieces, ids = list(whole), [whole[p] for p in whole]
-        at = lambda w: F.array_position(F.array(*[F.array(*map(F.lit, p)) for p in pieces]), w).cast("int")
-        merged = F.zip_with(F.col("words"), merged, lambda w, m: F.when(at(w) > 0, F.array(F.get(F.array(*map(F.lit, ids)), at(w) - 1))).otherwise(m))
-    folded = sent.select("reset", "doc_ids", "sizes", "numbers", merged.alias("merged"))
+    folded = sent.select("reset", "doc_ids", "sizes", "numbers", fold_merges(F.col("words"), rank_file).alias("merged"))
     return folded.mapInArrow(documents, "doc_id long, ids binary")
 
 
@@ -176,18 +206,6 @@ def _pairs(path: str) -> dict[tuple[int, int], int]:
     return pair_ranks(read_ranks(path))
 
 
-def _reachable(piece: bytes, path: str) -> bool:
-    """Whether merges by rank turn a piece's bytes into the piece."""
-    ranks, pairs = read_ranks(path), _pairs(path)
-    ids = [ranks[bytes([b])] for b in piece]
-    while len(ids) > 1:
-        rank, i = min((pairs.get((a, b), NONE), i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)))
-        if rank == NONE:
-            return False
-        ids[i : i + 2] = [rank]
-    return ids == [ranks[piece]]
-
-
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     """encoded (with a binary column ids) with a column decoded: the pieces' bytes, one after another. Null ids give null."""
     names = [c for c in encoded.columns if c != "decoded"]
