@@ -25,8 +25,8 @@ from noticeflow.llm.common import Scratch, begin, byte_views, join_by_hot_key
 #: Bytes of a repeated string; bytes of an anchor's gram; bytes that a shard is to hold.
 LENGTH, GRAM, SHARD_BYTES = 400, 64, 3_000_000
 
-#: Bytes of texts that are scanned at a time.
-SCAN_BYTES = 1_000_000
+#: Bytes of texts that are scanned at a time, and of a piece in which longer texts are scanned (2^24 at most, as places in it take 24 bits).
+SCAN_BYTES, PIECE_BYTES = 1_000_000, 1 << 22
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _STRETCH = 256
@@ -46,10 +46,13 @@ def _eights(text: np.ndarray) -> np.ndarray:
 def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Anchors of texts laid one after another, ends being where each ends: document, hash, place, first and last start.
 
-    Places are in the whole; strings don't cross documents.
+    Places are in the whole; strings don't cross documents. What is longer than a piece is scanned in pieces that overlap by
+    length - 1 bytes, so that each string lies in one of them.
     """
     window = length - GRAM + 1
     n = len(text)
+    if n > PIECE_BYTES:
+        return _anchors_by_pieces(text, ends, length)
     eights = _eights(np.concatenate([text, np.zeros(GRAM + 7, np.uint8)]))
     gram, size = eights, 8
     while size < GRAM:
@@ -77,6 +80,20 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     return doc[first], gram[at[first]].view(np.int64), at[first], valid[first], valid[last]
 
 
+def _anchors_by_pieces(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    step = PIECE_BYTES - length + 1
+    pieces = []
+    for base in range(0, len(text), step):
+        piece = text[base : base + PIECE_BYTES]
+        doc, h, at, lo, hi = anchors(piece, np.clip(ends - base, 0, len(piece)), length)
+        pieces.append((doc, h, at + base, lo + base, hi + base))
+    doc, h, at, lo, hi = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    # Starts of one anchor on both sides of a border are one run.
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])[: len(doc)])
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return doc[first], h[first], at[first], lo[first], hi[last]
+
+
 def suffix_order(eights: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Places in the order of the depth bytes from them on, and which tie with the one before: Larsson-Sadakane refinement.
 

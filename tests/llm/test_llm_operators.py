@@ -361,6 +361,26 @@ def test_suffix_dedup_over_split_anchors(spark, monkeypatch):
     assert got == dict(enumerate(brute_repeats(texts, 200)))
 
 
+def test_anchors_by_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = np.concatenate([rng.integers(97, 101, 30_000).astype(np.uint8), np.full(3000, 97, np.uint8), rng.integers(97, 101, 9000).astype(np.uint8)])
+    ends = np.array([0, 50, 17_000, 17_000, 40_000, 42_000])
+    want = suffix_dedup.anchors(text, ends, 200)
+    for size in (1000, 4096, 41_999):
+        monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", size)
+        for x, y in zip(suffix_dedup.anchors(text, ends, 200), want, strict=True):
+            assert x.tolist() == y.tolist()
+
+
+def test_suffix_dedup_beyond_24_bits(spark):
+    long = np.random.default_rng(7).integers(97, 123, (1 << 24) + 30_000).astype(np.uint8).tobytes().decode()
+    passage = long[(1 << 24) + 10_000 :][:1500]
+    texts = [long, "x" + passage + "y"]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], [(s["start"], s["length"]) for s in r["spans"]]) for r in suffix_dedup.remove_repeats(spark, given).drop("text", "kept").collect()}
+    assert got == {0: (1500, [((1 << 24) + 10_000, 1500)]), 1: (1500, [(1, 1500)])}
+
+
 def test_suffix_dedup_as_text(spark, docs):
     for r in suffix_dedup.remove_repeats(spark, docs, 101, as_text=True).collect():
         raw = (r["text"] or "").encode()
