@@ -41,3 +41,22 @@ def test_near_duplicates_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(300))
     docs = spark.createDataFrame([(5, text, "en", "a", 1), (2, text + " x", "en", "b", 1), (2, text + " x", "en", "b", 1), (9, "quite another text", "en", "c", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r[0] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [2, 9]
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(300))
+
+    a, b, c, d, e = map(text, "abcde")
+    rows = [
+        (1, a), (1, b), (2, b + " x"),  # one id on two texts, one of which has a near copy
+        (None, c), (None, c), (None, d),  # no ids, in two groups
+        (None, e), (7, e + " x"),  # an id goes before none
+        (4, c[::-1]), (4, a + " x"),  # the second text of 4 is a near copy of 1, the first is clean
+        (None, None), (None, ""), (9, None),  # no words: one group
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(1, a), (1, b), (None, c), (None, d), (7, e + " x"), (4, c[::-1]), (9, None)]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, want))
