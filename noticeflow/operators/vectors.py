@@ -1,15 +1,18 @@
 """VEC: similarity of vectors and texts.
 
-Queries are a bounded set (a page of searches), so nearest neighbours are exact: numpy scores Arrow batches
-of the corpus against them and keeps the best k a batch, and a window over these few rows keeps the best k. The corpus isn't shuffled.
+Nearest neighbours are exact: numpy scores Arrow batches of the corpus against blocks of queries and
+keeps the best k a batch, and a window over these few rows keeps the best k. The corpus isn't shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import text as T
 
-#: Queries that are scored in one call, so that they fit a worker; more are a loop of calls.
-MOST_QUERIES = 10_000
+#: Queries that are scored in one pass, so that they fit a worker, and similarities that a worker holds at once.
+MOST_QUERIES, CELLS_AT_ONCE = 10_000, 2_000_000
 
 
 def cosine(a: Column, b: Column, epsilon: float = 1e-12) -> Column:
@@ -28,14 +31,26 @@ def cosine(a: Column, b: Column, epsilon: float = 1e-12) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + epsilon)
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """VEC-02, WIN-03: the k most similar vectors of each query: query_id, id, similarity, rank. Ties go to the smaller id.
-
-    A vector is not its own neighbour. Vectors of length 0 have similarity 0; null vectors have no part.
-    """
-    asked = queries.where(F.col(vector).isNotNull()).select(id_col, vector).limit(MOST_QUERIES + 1).toArrow()
-    if asked.num_rows > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search in several calls")
+def _blocks(queries: DataFrame, id_col: str) -> Iterator[pa.Table]:
+    """All rows of queries by ranges of ids, MOST_QUERIES at a time; rows of one id stay together."""
+    rest = queries
+    while True:
+        some = rest.orderBy(id_col).limit(MOST_QUERIES + 1).toArrow()
+        if some.num_rows <= MOST_QUERIES:
+            yield some
+            return
+        ids = some.column(id_col)
+        until = ids[MOST_QUERIES].as_py()
+        if ids[0].as_py() == until:  # more rows of one id than a block holds
+            yield queries.where(F.col(id_col) == until).toArrow()
+            rest = queries.where(F.col(id_col) > until)
+        else:
+            yield some.filter(pc.or_kleene(pc.is_null(ids), pc.less(ids, until)))
+            rest = queries.where(F.col(id_col) >= until)
+
+
+def _scored(corpus: DataFrame, asked: pa.Table, k: int, id_col: str, vector: str, digits: int) -> DataFrame:
+    """query_id, id, similarity: the best k of each batch of corpus for each query of a block."""
     ids = asked.column(id_col).to_numpy()
     matrix = np.array(asked.column(vector).to_pylist(), np.float64).reshape(len(ids), -1)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
@@ -47,16 +62,29 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
             own = batch.column(id_col).to_numpy()
             v = np.array(batch.column(vector).to_pylist(), np.float64)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            s = np.round(matrix @ v.T, digits)
-            s[ids[:, None] == own[None, :]] = -np.inf
             n = min(k, len(own))
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :n]
-            q = np.repeat(np.arange(len(ids)), n)
-            at = order.ravel()
-            ok = np.isfinite(s[q, at])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q][ok]), pa.array(own[at][ok]), pa.array(s[q, at][ok])], names=["query_id", "id", "similarity"])
+            each = max(1, CELLS_AT_ONCE // len(own))
+            for at in range(0, len(ids), each):
+                mine = ids[at : at + each]
+                s = np.round(matrix[at : at + each] @ v.T, digits)
+                s[mine[:, None] == own[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :n]
+                q = np.repeat(np.arange(len(mine)), n)
+                best = order.ravel()
+                ok = np.isfinite(s[q, best])
+                yield pa.RecordBatch.from_arrays([pa.array(mine[q][ok]), pa.array(own[best][ok]), pa.array(s[q, best][ok])], names=["query_id", "id", "similarity"])
 
-    rows = corpus.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(run, "query_id long, id long, similarity double")
+    return corpus.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(run, "query_id long, id long, similarity double")
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """VEC-02, WIN-03: the k most similar vectors of each query: query_id, id, similarity, rank. Ties go to the smaller id.
+
+    A vector is not its own neighbour. Vectors of length 0 have similarity 0; null vectors have no part. Queries are
+    scored a block at a time, each in a pass over corpus.
+    """
+    asked = queries.where(F.col(vector).isNotNull()).select(id_col, vector)
+    rows = reduce(DataFrame.unionByName, [_scored(corpus, x, k, id_col, vector, digits) for x in _blocks(asked, id_col)])
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
     return ranked.where(F.col("rank") <= k)
 
@@ -90,19 +118,27 @@ def tfidf(df: DataFrame, text: str, features: int = 20_000, model=None):
 
 
 def portfolio_similarity(df: DataFrame, portfolio: DataFrame, id_col: str, text: str, best: int = 5) -> DataFrame:
-    """VEC-07: mean of the best cosines with a portfolio of past work (bounded by MOST_QUERIES texts): id, score."""
+    """VEC-07: mean of the best cosines with all of a portfolio of past work, which is scored MOST_QUERIES texts at a time: id, score."""
     past, model = tfidf(portfolio, text)
-    known = np.array([r[0] for r in past.select("tfidf").limit(MOST_QUERIES).collect()], np.float64)
     rows, _ = tfidf(df.select(id_col, text), text, model=model)
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = np.array(batch.column("tfidf").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            s = np.sort(v @ known.T, axis=1)[:, -best:] if batch.num_rows and len(known) else np.zeros((batch.num_rows, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(s.mean(axis=1) if len(s) else np.zeros(0))], names=[id_col, "score"])
-
-    return rows.select(id_col, "tfidf").mapInArrow(run, f"{id_col} {kind}, score double")
+    def scored(rows: DataFrame, known: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = np.array(batch.column("tfidf").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                s = np.sort(v @ known.T, axis=1)[:, -best:] if batch.num_rows else np.zeros((0, 0))
+                held = [sorted([*x, *y])[-best:] for x, y in zip(batch.column("_best").to_pylist(), s.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("tfidf"), pa.array(held, pa.list_(pa.float64()))], names=[id_col, "tfidf", "_best"])
+
+        return rows.mapInArrow(run, f"{id_col} {kind}, tfidf array<double>, _best array<double>")
+
+    rows = rows.select(id_col, "tfidf", F.array().cast("array<double>").alias("_best"))
+    texts = past.select("tfidf").toLocalIterator()
+    while some := [r[0] for r in islice(texts, MOST_QUERIES)]:
+        rows = scored(rows, np.array(some, np.float64))
+    total = F.aggregate("_best", F.lit(0.0), lambda x, y: x + y)
+    return rows.select(id_col, T.safe_ratio(total, F.size("_best"), 0.0).alias("score"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -199,6 +199,31 @@ def test_nearest_matches_brute_force(spark):
         assert [x[1] for x in best] == [r["id"] for r in got.where(F.col("query_id") == query).orderBy("rank").collect()]
 
 
+@pytest.mark.parametrize("most", [1, 3, 10, 50])
+def test_nearest_in_blocks(spark, monkeypatch, most):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = [(i, rng.normal(size=4).tolist()) for i in range(30)]
+    e = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
+    asked = e.where("vec_id % 3 = 0").unionByName(e.where("vec_id IN (6, 9)"))  # two ids twice
+    columns = ["query_id", "id", "similarity", "rank"]
+    want = sorted(map(tuple, vectors.nearest(e, asked, 4).select(columns).collect()))
+    assert len(want) == 40
+    monkeypatch.setattr(vectors, "MOST_QUERIES", most)
+    monkeypatch.setattr(vectors, "CELLS_AT_ONCE", 40)
+    assert sorted(map(tuple, vectors.nearest(e, asked, 4).select(columns).collect())) == want
+
+
+def test_portfolio_in_blocks(spark, monkeypatch):
+    past = spark.createDataFrame([(f"bridge road {w} work",) for w in ("north", "south", "east", "west", "old")] + [("school health",)], "t string")
+    new = spark.createDataFrame([(1, "bridge north work"), (2, "school health"), (3, "nothing"), (3, "old road")], "id long, t string")
+    score = lambda: sorted((r["id"], round(r["score"], 9)) for r in vectors.portfolio_similarity(new, past, "id", "t", 2).collect())
+    want = score()
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 2)
+    assert score() == want and len({s for _, s in want}) > 2
+
+
 def test_portfolio_similarity(spark):
     past = spark.createDataFrame([("water supply review",), ("school health evaluation",)], "t string")
     new = spark.createDataFrame([(1, "review of water supply"), (2, "nuclear submarine"), (3, "")], "id long, t string")
