@@ -696,6 +696,13 @@ def blocking_keys(spark, sf_dir):
     return n.select("doc_id", "norm_title", T.blocking_key("norm_title").alias("block"))
 
 
+@query()
+def blocking_keys_all(spark, sf_dir):
+    """DED-06, DED-08: normalised titles and their blocks, of all documents, codes and letters of any script included."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.normalise_title(title()).alias("norm_title"))
+    return d.select("doc_id", "norm_title", T.blocking_key("norm_title").alias("block"))
+
+
 @query("""SELECT o_orderkey, 'discovered' AS status FROM (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem) l WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def register_batch(spark, sf_dir):
     """LIF-01, UPS-02, JOI-09: new ids, once each."""

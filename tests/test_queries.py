@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import math
+import re
 
 import duckdb
 import pytest
@@ -41,3 +42,14 @@ def test_query(spark, con, name):
         assert got == sorted(tuple(shown(dict(zip(names, r, strict=True))[c]) for c in columns) for r in rel.fetchall())
     else:
         assert len(set(columns)) == len(columns)
+
+
+def test_blocking_keys_of_all_documents(spark, con):
+    want = {}
+    for i, text in con.execute("SELECT doc_id, text FROM documents").fetchall():
+        t = re.sub(r"\b[\w/\-]*\d{3,}[\w/\-]*\b", " ", (text or "").split("\n")[0].lower())
+        t = re.sub(r"[ \t-\r]+", " ", re.sub(r"[^\w\s]|_", " ", t)).strip(" ")
+        want[i] = (t, " ".join(t.split(" ")[:3]) if len(t) >= 15 else None)
+    got = {r["doc_id"]: (r["norm_title"], r["block"]) for r in queries.QUERIES["blocking_keys_all"](spark, SF).collect()}
+    assert got == want
+    assert len(got) > queries.QUERIES["blocking_keys"](spark, SF).count()
