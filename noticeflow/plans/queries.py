@@ -257,6 +257,14 @@ def first_per_title(spark, sf_dir):
     return dedup.first_per_key(d, ["key"], [F.col("doc_id")])
 
 
+@query("""WITH d AS (SELECT doc_id, source, lower(split_part(coalesce(text, ''), chr(10), 1)) AS key FROM documents)
+SELECT doc_id, source, key FROM d QUALIFY source IS NULL OR row_number() OVER (PARTITION BY source, key ORDER BY doc_id) = 1""")
+def first_per_whole_title(spark, sf_dir):
+    """DED-01, DED-18, DED-22, WIN-01: the first row per portal and whole title."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.lower(title()).alias("key"))
+    return dedup.first_per_key(d, ["source", "key"], [F.col("doc_id")])
+
+
 @query("""WITH p AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS block FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INT AS distance FROM p a JOIN p b ON a.block = b.block AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 1""")
 def fuzzy_levenshtein(spark, sf_dir):

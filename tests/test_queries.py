@@ -53,3 +53,10 @@ def test_blocking_keys_of_all_documents(spark, con):
     got = {r["doc_id"]: (r["norm_title"], r["block"]) for r in queries.QUERIES["blocking_keys_all"](spark, SF).collect()}
     assert got == want
     assert len(got) > queries.QUERIES["blocking_keys"](spark, SF).count()
+
+
+def test_titles_that_differ_late_all_stay(spark, tmp_path):
+    long = "x" * 60
+    made = [(1, f"{long}a\nbody", "p"), (2, f"{long}b", "p"), (3, f"{long}A", "p"), (4, f"{long}a", "q"), (5, None, "p"), (6, "", "p"), (7, "t", None), (8, "t", None)]
+    spark.createDataFrame(made, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in queries.QUERIES["first_per_whole_title"](spark, str(tmp_path)).collect()) == [1, 2, 4, 5, 7, 8]
