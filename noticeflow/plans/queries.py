@@ -406,6 +406,19 @@ def hybrid_rank(spark, sf_dir):
     return kept.select(F.col("id").alias("vec_id"), search.composite(F.col("similarity"), F.col("priority"), F.col("fit"), lexical, digits=2).alias("score"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(qe, embedding::DOUBLE[]), 6) AS sim FROM embeddings JOIN q ON vec_id <> query_id),
+d AS (SELECT doc_id, n_chars % 101 AS priority, doc_id % 101 AS fit, len(list_filter(['the', 'and', 'der'], lambda w: regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) / 3.0 AS lexical FROM documents)
+SELECT query_id, vec_id, round_even(least(1.0, 0.40 * sim + 0.25 * priority / 100 + 0.20 * fit / 100 + 0.15 * lexical), 2) + 0.0 AS score FROM s JOIN d ON doc_id = vec_id WHERE sim >= -0.2 AND NOT priority < 10""")
+def hybrid_rank_all(spark, sf_dir):
+    """RET-04, RET-06, RET-07: vector, rule and lexical evidence in one score, for each vector whose id 20 divides."""
+    e = table(spark, sf_dir, "embeddings")
+    lexical = search.lexical_score(F.array(*map(F.lit, ("the", "and", "der"))), T.tokens("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 101).alias("priority"), (F.col("doc_id") % 101).alias("fit"), lexical.alias("lexical"))
+    j = vectors.nearest(e, e.where("vec_id % 20 = 0"), 1_000_000_000).join(d, F.col("id") == F.col("doc_id"))
+    kept = j.where(~((F.col("similarity") < -0.2) | (F.col("priority") < 10)))
+    return kept.select("query_id", F.col("id").alias("vec_id"), search.composite(F.col("similarity"), F.col("priority"), F.col("fit"), F.col("lexical"), digits=2).alias("score"))
+
+
 @query("""WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part) SELECT p_partkey FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'gr'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'bl'))) > 0""")
 def token_search(spark, sf_dir):
     """RET-11: every token of the query as a prefix."""
@@ -567,6 +580,20 @@ def change_classification(spark, sf_dir):
     return upsert.changes(snap(e.where((F.col("ts") < split) & (F.col("user_id") % 7 != 0))), snap(e.where((F.col("ts") >= split) & (F.col("user_id") % 5 != 0))), "user_id", "score", "stage", "content")
 
 
+SNAP_SQL = "SELECT user_id, max(value) AS score, arg_max(event_type, row(ts, event_id)) AS stage, md5(arg_max(props, row(ts, event_id))) AS content FROM events"
+
+
+@query(f"""WITH b AS ({SNAP_SQL} WHERE ts < TIMESTAMP '{SPLIT}' GROUP BY 1), a AS ({SNAP_SQL} WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY 1),
+j AS (SELECT coalesce(b.user_id, a.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'new' WHEN a.user_id IS NULL THEN 'gone' WHEN a.score - b.score >= 12 THEN 'upgraded' WHEN a.stage IS DISTINCT FROM b.stage THEN 'stage' WHEN a.content IS DISTINCT FROM b.content THEN 'content' ELSE 'same' END AS change, b.score AS old_score, a.score AS new_score FROM b FULL JOIN a ON a.user_id = b.user_id)
+SELECT user_id, change, CASE change WHEN 'new' THEN 3 WHEN 'upgraded' THEN 2 WHEN 'stage' THEN 1 WHEN 'content' THEN 1 ELSE 0 END AS alert, old_score, new_score FROM j""")
+def change_classification_all(spark, sf_dir):
+    """CDC-01, CDC-02, CDC-05: two snapshots compared, of all users before and after the split."""
+    e = table(spark, sf_dir, "events")
+    split, last = F.lit(SPLIT).cast("timestamp"), F.struct("ts", "event_id")
+    snap = lambda d: d.groupBy("user_id").agg(F.max("value").alias("score"), F.max_by("event_type", last).alias("stage"), F.md5(F.max_by("props", last)).alias("content"))
+    return upsert.changes(snap(e.where(F.col("ts") < split)), snap(e.where(F.col("ts") >= split)), "user_id", "score", "stage", "content")
+
+
 @query("""WITH v AS (SELECT user_id, md5(event_type) AS h, lag(md5(event_type)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
 SELECT user_id, count(*) AS n_versions, count(*) FILTER (WHERE p <> h AND p <> '') AS n_amendments FROM v GROUP BY user_id""")
 def amendment_counts(spark, sf_dir):
@@ -648,6 +675,14 @@ def answer_ratings(spark, sf_dir):
     return grounding.ratings(a, f)
 
 
+@query(f"""WITH {ANSWERS_SQL}, f AS (SELECT conv_id, min(turn % 5 + 1) AS rating FROM answers WHERE NOT abstained GROUP BY 1) SELECT rating::INT AS rating, count(*) AS n FROM answers LEFT JOIN f USING (conv_id) GROUP BY 1""")
+def answer_ratings_all(spark, sf_dir):
+    """AGG-23, AGG-24, JOI-21: answers by rating, none included; all conversations with an answer are rated."""
+    a = answers(spark, sf_dir).withColumn("event_id", F.col("conv_id"))
+    f = a.where("NOT abstained").groupBy("event_id").agg(F.min(F.col("turn") % 5 + 1).cast("int").alias("rating"))
+    return grounding.ratings(a, f)
+
+
 @query("""WITH c AS (SELECT c_custkey, c_name, upper(c_mktsegment) AS seg FROM customer WHERE c_custkey % 3 = 0)
 SELECT o.c_custkey, CASE WHEN c.c_custkey IS NULL THEN o.c_name ELSE coalesce(nullif(trim(c.c_name), ''), o.c_name) END AS c_name, coalesce(c.seg, o.c_mktsegment) AS c_mktsegment FROM customer o LEFT JOIN c USING (c_custkey)""")
 def partial_update(spark, sf_dir):
@@ -657,6 +692,15 @@ def partial_update(spark, sf_dir):
     return lifecycle.partial_update(c, given, "c_custkey", ["c_name", "c_mktsegment"])
 
 
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN upper(c_name) END AS name, CASE WHEN c_acctbal < 5000 THEN lower(c_mktsegment) END AS seg FROM customer)
+SELECT o.c_custkey, CASE WHEN name IS NULL THEN o.c_name ELSE nullif(trim(name), '') END AS c_name, CASE WHEN seg IS NULL THEN o.c_mktsegment ELSE nullif(trim(seg), '') END AS c_mktsegment FROM customer o LEFT JOIN c USING (c_custkey)""")
+def partial_update_all(spark, sf_dir):
+    """LIF-05, SUB-13, UPS-04: an update of every row, in which the balance says which values are given."""
+    c = table(spark, sf_dir, "customer")
+    given = c.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.upper("c_name")).alias("c_name"), F.when(F.col("c_acctbal") < 5000, F.lower("c_mktsegment")).alias("c_mktsegment"))
+    return lifecycle.partial_update(c.select("c_custkey", "c_name", "c_mktsegment"), given, "c_custkey", ["c_name", "c_mktsegment"])
+
+
 @query("""SELECT p_partkey, p_brand FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size > 25 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size <= 25)""")
 def carried_over(spark, sf_dir):
     """JOI-18, SET-07: an export with old rows of sources that did not run."""

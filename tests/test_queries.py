@@ -60,3 +60,12 @@ def test_titles_that_differ_late_all_stay(spark, tmp_path):
     made = [(1, f"{long}a\nbody", "p"), (2, f"{long}b", "p"), (3, f"{long}A", "p"), (4, f"{long}a", "q"), (5, None, "p"), (6, "", "p"), (7, "t", None), (8, "t", None)]
     spark.createDataFrame(made, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["doc_id"] for r in queries.QUERIES["first_per_whole_title"](spark, str(tmp_path)).collect()) == [1, 2, 4, 5, 7, 8]
+
+
+def test_wide_queries_leave_no_row_out(spark, con):
+    n = lambda sql: con.execute(sql).fetchone()[0]
+    got = {name: queries.QUERIES[name](spark, SF) for name in ("change_classification_all", "partial_update_all", "answer_ratings_all", "hybrid_rank_all")}
+    assert got["change_classification_all"].count() == n("SELECT count(DISTINCT user_id) FROM events")
+    assert got["partial_update_all"].count() == n("SELECT count(*) FROM customer")
+    assert sum(r["n"] for r in got["answer_ratings_all"].collect()) == n("SELECT count(*) FROM conversations WHERE role = 'user'")
+    assert got["hybrid_rank_all"].select("query_id").distinct().count() == n("SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0")
