@@ -59,9 +59,32 @@ def test_token_counts(spark, docs, none):
 
 def test_trie_shares_prefixes():
     trie = token_counts.ScoreTrie({b"a": -5, b"b": -5, b"ab": -6, b"abc": -7})
-    assert trie.count(b"abc") == 1 and trie.nodes == 4
-    assert trie.count(b"abb") == 2 and trie.nodes == 5
-    assert trie.count(b"") == 0
+    assert trie.count([b"abc"]) == {b"abc": 1} and trie.nodes == 4
+    assert trie.count([b"abb", b"abc", b"ab"]) == {b"ab": 1, b"abb": 2, b"abc": 1} and trie.nodes == 5
+    assert trie.count([b"c", b""]) == {b"": 0, b"c": 1}  # a byte that is no piece
+    assert trie.count([]) == {}
+
+
+@pytest.mark.parametrize("few", [0, 3, 10**9])
+def test_trie_counts(few, monkeypatch):
+    import random
+
+    monkeypatch.setattr(token_counts, "FEW", few)
+    rng = random.Random(few)
+    scores = {bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 6))): -rng.randint(1, 9) for _ in range(60)} | {b"a": -6, b"b": -7}
+    scores.pop(b"d", None)
+    trie = token_counts.ScoreTrie(scores)
+    words = {bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 25))) for _ in range(300)} | {b"abcd" * 400}
+
+    def best(word):
+        at = [(0, 0)]
+        for end in range(1, len(word) + 1):
+            own = [(at[s][0] + scores[word[s:end]], at[s][1] - 1) for s in range(max(0, end - 6), end) if word[s:end] in scores]
+            own += [] if word[end - 1 : end] in scores else [(at[-1][0] + trie.pieces.unknown, at[-1][1] - 1)]
+            at.append(max(own))
+        return -at[-1][1]
+
+    assert trie.count(list(words)) == {w: best(w) for w in words}
 
 
 def brute_lines(given, least):
