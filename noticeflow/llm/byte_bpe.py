@@ -3,8 +3,9 @@
 One stage without a shuffle, in three steps a row at a time. Python cuts texts into words and sends a block of
 documents as word numbers, with the bytes of those words that are new in its task; Spark
 folds the merges over these words, against a literal map of ranks; Python puts the documents' ids together from
-the numbers. Both Python steps of a task see the same blocks in the same order, so both know
-the words sent before; after MOST_WORDS the task starts a new list.
+the numbers, and their pieces' bytes from the ids. Both Python steps of a task see the same blocks in the same order, so
+both know the words sent before; after MOST_WORDS the task starts a new list. Blocks are small, for
+memory: a block's words are a row, eight bytes for each of their bytes.
 
 The rank map is a literal of buckets: pair of ids to the rank of the two pieces' bytes. A fold's state is the ids of
 a word's pieces and the ranks of neighbours; a step merges the leftmost pair of least rank and looks up
@@ -17,6 +18,7 @@ import base64
 import json
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import texts_of
 from noticeflow.llm.tokens import spaced_chunks
 
-BUCKETS, NONE, BLOCK_CHARS, MOST_WORDS = 32_749, (1 << 19) - 1, 4_000_000, 500_000
+BUCKETS, NONE = 32_749, (1 << 19) - 1
+
+#: A block ends at so many characters or new words, whichever comes first, and a task's list of words starts anew after so many.
+BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 400_000
+
+#: Bytes of a word that is folded; places in a word take 24 bits.
+LONG_WORD = 1_024
 
 
 @cache
@@ -120,68 +127,93 @@ def fold_merges(words: Column, path: str) -> Column:
     return _bind(literal, lambda x: _bind(F.transform(x, lambda e: F.map_from_entries(e)), of))
 
 
-_BLOCK = "reset boolean, doc_ids array<bigint>, sizes array<int>, numbers binary, words array<array<bigint>>"
+_BLOCK = "reset boolean, doc_ids array<{id}>, sizes array<int>, numbers binary, words array<array<bigint>>, long_at array<int>, long_words array<binary>"
 
 
 class _Numbers(dict):
     """The words of each chunk as 32-bit numbers; asking for a new chunk numbers its new words, which stand in new."""
 
     def __init__(self, pattern: str):
-        self.cut, self.words, self.new = regex.compile(pattern).findall, {}, []
+        self.cut, self.count, self.new = regex.compile(pattern).findall, 0, []
 
     def __missing__(self, chunk: str) -> bytes:
-        words, out = self.words, []
-        for w in (chunk,) if chunk[chunk[:1] == " " :].isalpha() else self.cut(chunk):
-            if (n := words.get(w)) is None:
-                n = words[w] = len(words)
-                self.new.append(w.encode())
-            out.append(n.to_bytes(4, "little"))
-        found = self[chunk] = b"".join(out)
+        words = (chunk,) if chunk[chunk[:1] == " " :].isalpha() else self.cut(chunk)  # a run of letters is one word
+        if len(words) == 1:
+            found = self[words[0]] = self.count.to_bytes(4, "little")
+            self.count += 1
+            self.new.append(words[0].encode())
+        else:
+            found = self[chunk] = b"".join([self[w] for w in words])
         return found
 
     def forget(self) -> None:
         self.clear()
-        self.words.clear()
-
-
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        self.count = 0
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The ids of a long word: a heap holds the ranks of neighbours that merge, so n bytes take n log n steps."""
+    if word in ranks:
+        return [ranks[word]]
+    ids = [ranks[word[i : i + 1]] for i in range(len(word))]
+    left, right = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
+    heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (rank := pairs.get((a, b))) is not None]
+    heapify(heap)
+    while heap:
+        rank, i, a, b = heappop(heap)
+        j = right[i]
+        if ids[i] != a or j >= len(ids) or ids[j] != b:
+            continue  # one of the two has merged with another since
+        ids[i], ids[j], right[i] = rank, -1, right[j]
+        if right[i] < len(ids):
+            left[right[i]] = i
+            if (more := pairs.get((rank, ids[right[i]]))) is not None:
+                heappush(heap, (more, i, rank, ids[right[i]]))
+        if left[i] >= 0 and (more := pairs.get((ids[left[i]], rank))) is not None:
+            heappush(heap, (more, left[i], ids[left[i]], rank))
+    return [x for x in ids if x >= 0]
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit integers), one row per row of docs; null text as empty, which has no ids.
 
     pattern (of the kind that tokens.spaced_chunks takes) cuts texts into words, each encoded by itself; there are no special
-    tokens. A word that is a piece has that piece's id. Other columns are ignored.
+    tokens. A word that is a piece has that piece's id. A word of over LONG_WORD bytes, for which a fold takes quadratic time,
+    is merged with a heap. The id may be of any type. Other columns are ignored; no rows give no rows. with_decoded adds a
+    column decoded, made from the ids as decode makes it.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    types = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-    names = ["reset", "doc_ids", "sizes", "numbers", "words"]
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    names = ["reset", "doc_ids", "sizes", "numbers", "words", "long_at", "long_words"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers(pattern)
-        ids, parts, size, reset = [], [], 0, True
-
-        def block() -> pa.RecordBatch:
-            words = first_states(numbers.new, rank_file)
-            row = [reset, ids, [len(x) // 4 for x in parts], b"".join(parts)]
-            columns = [pa.array([x], t) for x, t in zip(row, types, strict=True)]
-            made = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(np.array([0, len(words)], np.int32), words)], names=names)
-            numbers.new.clear()
-            return made
-
+        numbers, reset = _Numbers(pattern), True
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
-                ids.append(doc_id)
+            parts, size, first = [], 0, 0
+            texts = batch.column("text")
+            for at in range(batch.num_rows):
+                text = texts[at].as_py()
                 parts.append(b"".join(map(numbers.__getitem__, spaced_chunks(text))) if text else b"")
-                size += len(text)
-                if size >= BLOCK_CHARS:
-                    yield block()
-                    ids, parts, size, reset = [], [], 0, False
-                    if len(numbers.words) > MOST_WORDS:
+                size += len(text or "")
+                if size >= BLOCK_CHARS or len(numbers.new) >= BLOCK_WORDS or at == batch.num_rows - 1:
+                    new = numbers.new
+                    long_at = [i for i, w in enumerate(new) if len(w) > LONG_WORD]
+                    long_words = [new[i] for i in long_at]
+                    for i in long_at:
+                        new[i] = new[i][:1]
+                    words = first_states(new, rank_file)
+                    new.clear()
+                    lists = [batch.column("doc_id").slice(first, len(parts)), pa.array([len(x) // 4 for x in parts], pa.int32())]
+                    columns = [pa.array([reset]), *(_one(x) for x in lists), pa.array([b"".join(parts)], pa.binary()), _one(words), _one(pa.array(long_at, pa.int32())), _one(pa.array(long_words, pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    parts, size, first, reset = [], 0, at + 1, False
+                    if numbers.count > MOST_WORDS:
                         numbers.forget()
                         reset = True
-        if ids:
-            yield block()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[bytes] = []
+        pieces = _piece_list(rank_file) if with_decoded else []
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("reset")[i].as_py():
@@ -189,16 +221,38 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                 words = batch.column("merged")[i].values
                 ends = (4 * words.offsets.to_numpy()).tolist()
                 raw = (words.values.to_numpy() & 0xFFFFF).astype("<u4").tobytes()
+                before = len(known)
                 known += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+                for at, word in zip(batch.column("long_at")[i].as_py(), batch.column("long_words")[i].as_py(), strict=True):
+                    known[before + at] = np.array(merge_long(word, read_ranks(rank_file), _pairs(rank_file)), "<u4").tobytes()
                 numbers, at, out = np.frombuffer(batch.column("numbers")[i].as_py(), np.int32).tolist(), 0, []
                 for n in batch.column("sizes")[i].as_py():
                     out.append(b"".join([known[k] for k in numbers[at : at + n]]))
                     at += n
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                more = [pa.array([_joined(x, pieces) for x in out], pa.binary())] if with_decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(out, pa.binary()), *more], names=["doc_id", "ids", *(["decoded"] if more else [])])
+
+    sent = rows.mapInArrow(blocks, _BLOCK.format(id=id_type))
+    folded = sent.select("reset", "doc_ids", "sizes", "numbers", "long_at", "long_words", fold_merges(F.col("words"), rank_file).alias("merged"))
+    return folded.mapInArrow(documents, f"doc_id {id_type}, ids binary" + ", decoded binary" * with_decoded)
+
+
+def _one(values: pa.Array) -> pa.Array:
+    """An array with one row, the list of values."""
+    return pa.ListArray.from_arrays(np.array([0, len(values)], np.int32), values)
+
+
+def _piece_list(rank_file: str) -> list[bytes]:
+    ranks = read_ranks(rank_file)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for p, r in ranks.items():
+        pieces[r] = p
+    return pieces
+
 
-    sent = rows.mapInArrow(blocks, _BLOCK)
-    folded = sent.select("reset", "doc_ids", "sizes", "numbers", fold_merges(F.col("words"), rank_file).alias("merged"))
-    return folded.mapInArrow(documents, "doc_id long, ids binary")
+def _joined(ids: bytes, pieces: list[bytes]) -> bytes:
+    """The bytes of ids' pieces, one after another."""
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @cache
@@ -212,13 +266,9 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name in names) + ", decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(rank_file)
-        pieces = [b""] * (max(ranks.values()) + 1)
-        for p, r in ranks.items():
-            pieces[r] = p
-        get = pieces.__getitem__
+        pieces = _piece_list(rank_file)
         for batch in batches:
-            out = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
+            out = [None if x is None else _joined(x, pieces) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     return encoded.select(*names).mapInArrow(run, schema)

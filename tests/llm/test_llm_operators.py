@@ -57,7 +57,8 @@ def test_token_counts(spark, docs, none):
     assert token_counts.token_counts(none, RANKS, P.PATTERN).count() == 0
 
 
-def test_trie_shares_prefixes():
+def test_trie_shares_prefixes(monkeypatch):
+    monkeypatch.setattr(token_counts, "FEW", 0)
     trie = token_counts.ScoreTrie({b"a": -5, b"b": -5, b"ab": -6, b"abc": -7})
     assert trie.count([b"abc"]) == {b"abc": 1} and trie.nodes == 4
     assert trie.count([b"abb", b"abc", b"ab"]) == {b"ab": 1, b"abb": 2, b"abc": 1} and trie.nodes == 5
@@ -431,10 +432,31 @@ def test_suffix_order_and_prefixes(depth):
             assert a <= b and shared[r] == n
 
 
-def test_byte_bpe(spark, docs, none):
+def bpe_library():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
-    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = byte_bpe.decode(byte_bpe.encode(docs, RANKS, P.PATTERN), RANKS).collect()
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(spark, docs, none):
+    t = bpe_library()
     want = [(r[0], np.array(t.encode_ordinary(r[1] or ""), "<u4").tobytes(), (r[1] or "").encode()) for r in rows()]
-    assert count((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == count(want)
+    coded = byte_bpe.encode(docs, RANKS, P.PATTERN)
+    assert coded.columns == ["doc_id", "ids"]
+    for out in (byte_bpe.decode(coded, RANKS), byte_bpe.encode(docs, RANKS, P.PATTERN, with_decoded=True)):
+        assert count((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in out.collect()) == count(want)
     assert byte_bpe.encode(none, RANKS, P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("words", [3, 100])
+def test_byte_bpe_blocks_and_long_words(spark, monkeypatch, words):
+    import random
+
+    rng = random.Random(words)
+    monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", words)
+    monkeypatch.setattr(byte_bpe, "MOST_WORDS", 5 * words)
+    texts = [" ".join("".join(rng.choice("aeinortsé") for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ",", ".\n"]) for _ in range(40)) for _ in range(60)]
+    texts += ["".join(rng.choice("aeinorst") for _ in range(n)) for n in (1023, 1024, 1025, 5000, 100_000)] + ["a" * 50_000, "x " + "ab" * 3000 + " y"]
+    t = bpe_library()
+    given = spark.createDataFrame([(f"id{i}", x) for i, x in enumerate(texts)], "doc_id string, text string").repartition(2)
+    got = {r["doc_id"]: (np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"]).decode()) for r in byte_bpe.encode(given, RANKS, P.PATTERN, with_decoded=True).collect()}
+    assert got == {f"id{i}": (t.encode_ordinary(x), x) for i, x in enumerate(texts)}
