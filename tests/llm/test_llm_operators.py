@@ -249,11 +249,23 @@ def test_exact_groups(spark, docs, none):
         ids = [i for i, t in norm if t == text]
         keep = min((i for i in ids if i is not None), default=None)
         want.append((doc_id, keep, len(ids), doc_id == keep, hashlib.sha256(text.encode()).hexdigest()))
-    for capacity in (2, 10**6):
+    for capacity in (1, 2, 10**6):  # 1: a text with three copies is dealt to several owners
         assert count(tuple(r)[:5] for r in exact_dedup.exact_groups(spark, docs, capacity=capacity).collect()) == count(want)
     assert exact_dedup.exact_groups(spark, none).count() == 0
 
 
+def test_exact_groups_by_bytes(spark, monkeypatch):
+    """Texts of one key are told apart by their bytes, in one owner's chain or over several."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(77).cast("long"))
+    texts = ["a", "b", "a  b", "a b", "b"] * 20
+    given = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for capacity in (1, 1000):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["chain"]) for r in exact_dedup.exact_groups(spark, given, capacity=capacity).collect()}
+        keep, size, place = {"a": 0, "b": 1, "a b": 2}, {"a": 20, "b": 40, "a b": 40}, {"a": 0, "a b": 1, "b": 2}
+        norm = [x.replace("  ", " ") for x in texts]
+        assert got == {i: (keep[x], size[x], i == keep[x], place[x]) for i, x in enumerate(norm)}
+
+
 def test_directory_doubles():
     depth, slots = exact_dedup.directory({0: 5, 1: 1, 2: 1, 7: 1}, 3, 3)
     assert depth == 3 and len(slots) == 8 and len(set(slots)) == 4
