@@ -7,24 +7,28 @@ are told by their counts. Anchors go to shards by hash, each occurrence with the
 its starts span. A shard sorts its suffixes by Larsson-Sadakane refinement to LENGTH bytes (numpy)
 and has common prefixes by Kasai's rule, in many stretches of text at once; starts whose neighbour in
 suffix order shares LENGTH bytes repeat. An anchor with too many occurrences is dealt to several
-shards; what is distinct in these is merged across shards: their sorted digests are searched in each other.
+shards by its bytes. What is distinct in these is merged across shards: each gives the digests (128 bits of BLAKE2b) of its
+strings in sorted blocks, one for each range of digests, and blocks of a range are searched in each other by binary search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from noticeflow.llm.common import Scratch, begin, byte_views, join_by_hot_key
 
 #: Bytes of a repeated string; bytes of an anchor's gram; bytes that a shard is to hold.
 LENGTH, GRAM, SHARD_BYTES = 400, 64, 3_000_000
 
+#: Digests that are merged in one task, of an anchor that is dealt to several shards.
+MERGED_AT_ONCE = 200_000
+
 #: Bytes of texts that are scanned at a time, and of a piece in which longer texts are scanned (2^24 at most, as places in it take 24 bits).
 SCAN_BYTES, PIECE_BYTES = 1_000_000, 1 << 22
 
@@ -162,26 +166,21 @@ def common_prefixes(eights: np.ndarray, order: np.ndarray, tied: np.ndarray, dep
     return prefix[order]
 
 
-def _digests(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the length bytes from each start, by doubling."""
-    out = []
-    for seed in (1, 2):
-        table = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, 256, np.uint64)
-        size, level = 1, table[text]
-        whole, done = np.zeros(len(starts), np.uint64), 0
-        while True:
-            if length & size:
-                whole = whole * _MIX[1] + level[starts + done]
-                whole ^= whole >> np.uint64(32)
-                whole *= _MIX[0]
-                done += size
-            if 2 * size > length:
-                break
-            level = level[:-size] * _MIX[0] + (level[size:] ^ (level[size:] >> np.uint64(29))) * _MIX[2]
-            level ^= level >> np.uint64(32)
-            size *= 2
-        out.append(whole.view(np.int64))
-    return out[0], out[1]
+def _digests(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A digest of the length bytes from each start."""
+    view = memoryview(text.tobytes())
+    return np.array([blake2b(view[a : a + length], digest_size=16).digest() for a in starts.tolist()], "S16")
+
+
+def common_digests(blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """Which digests of each block (sorted, each once) are in another block too: blocks are searched in what those before them hold."""
+    every, again = blocks[0], np.zeros(len(blocks[0]), bool)
+    for block in blocks[1:]:
+        at = np.searchsorted(every, block)
+        found = every[np.minimum(at, len(every) - 1)] == block if len(every) else np.zeros(len(block), bool)
+        again[at[found]] = True
+        every, again = np.insert(every, at[~found], block[~found]), np.insert(again, at[~found], False)
+    return [again[np.searchsorted(every, block)] for block in blocks]
 
 
 def repeated_starts(segments: list[bytes], owned: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,32 +258,61 @@ def repeated_intervals(scratch: Scratch, texts: DataFrame, length: int = LENGTH)
     each = 2 * length  # bytes an occurrence spans at most
     most = max(64, SHARD_BYTES // each)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_seen * each // SHARD_BYTES))
-    parts = F.ceil(F.col("_n") / most)
-    dealt = F.when(parts > 1, F.pmod(F.xxhash64("_id", "_k1", "_at"), parts)).otherwise(0)
-    wanted = join_by_hot_key(found, again, ["_h"], "_n", total).select("_id", "_k1", F.struct(F.pmod(F.xxhash64("_h", dealt), F.lit(shards)).cast("int").alias("shard"), (parts > 1).alias("split"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")).alias("_x"))
+    parts = F.ceil(F.col("_n") / most).cast("int")
+    n_dealt = again.where(F.col("_n") > most).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    ranges = max(1, n_dealt * (length - GRAM + 1) // MERGED_AT_ONCE)
+    wanted = join_by_hot_key(found, again, ["_h"], "_n", total).select("_id", "_k1", F.struct(F.col("_h").alias("h"), parts.alias("parts"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")).alias("_x"))
     lists = wanted.groupBy(F.col("_id").alias("_i"), F.col("_k1").alias("_m")).agg(F.collect_list("_x").alias("_xs"))
     cut_from = texts.join(lists, texts["_id"].eqNullSafe(lists["_i"]) & (texts["_k1"] == lists["_m"])).select("_id", "_k1", "_text", "_xs")
 
     names = ["shard", "split", "copied", "_id", "_k1", "lo", "hi", "bytes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The segments of each text. Of those that a text has twice (periodic texts have many), one is sent, and starts that are known to repeat as runs without bytes."""
+        """The segments of each text. One that a text or this task has several times goes to its shard twice at most, or once and marked as copied; the others' starts, which then repeat for sure, are runs without bytes."""
+        settled: dict[tuple[bytes, int], bool] = {}
         for batch in batches:
             for i, raw in enumerate(byte_views(batch.column("_text"))):
                 x = batch.column("_xs")[i].values
-                shard, split, lo, hi = (x.field(c).to_pylist() for c in ("shard", "split", "lo", "hi"))
+                h, parts, lo, hi = (x.field(c).to_pylist() for c in ("h", "parts", "lo", "hi"))
                 own: dict[tuple[bytes, int], list[int]] = {}
                 for j, (a, b) in enumerate(zip(lo, hi, strict=True)):
                     own.setdefault((raw[a : b + length], b - a), []).append(j)
-                rows = [(shard[js[0]], split[js[0]], len(js) > 1, lo[js[0]], hi[js[0]], piece) for (piece, _), js in own.items()]
-                twice = [j for js in own.values() if len(js) > 1 for j in js]
-                known = union_of(np.array([lo[j] for j in twice], np.int64), np.array([hi[j] + 1 for j in twice], np.int64))
-                rows += [(shard[0], False, False, a, b - 1, None) for a, b in known]
+                rows, known = [], []
+                for (piece, width), js in own.items():
+                    digest, j = blake2b(piece, digest_size=16).digest(), js[0]
+                    before = settled.get((digest, width))
+                    if before or len(js) > 1:
+                        known += js
+                    if not before:
+                        settled[digest, width] = before is not None or len(js) > 1
+                        part = int.from_bytes(digest[:8]) % parts[j] if parts[j] > 1 else 0
+                        shard = ((h[j] + part * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 >> 32 & 0xFFFFFFFF) % shards
+                        rows.append((shard, parts[j] > 1, len(js) > 1, lo[j], hi[j], piece))
+                runs = union_of(np.array([lo[j] for j in known], np.int64), np.array([hi[j] + 1 for j in known], np.int64))
+                rows += [(i % shards, False, False, a, b - 1, None) for a, b in runs]
                 same = pa.array([i] * len(rows), pa.int32())
                 made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*made[:3], batch.column("_id").take(same), batch.column("_k1").take(same), *made[3:]], names=names)
 
     segments = cut_from.mapInArrow(cut, f"shard int, split boolean, copied boolean, _id {id_type}, _k1 long, lo int, hi int, bytes binary")
+    block_fields = [("range", pa.int32()), ("digests", pa.binary()), ("segments", pa.binary()), ("starts", pa.binary())]
+
+    def blocks(ids: pa.Array, marks: pa.Array, row: np.ndarray, start: np.ndarray, digest: np.ndarray) -> pa.Table:
+        """A row for each range that has digests: those, sorted, and for each the number of its row, in lists of their own, and its start."""
+        number = (digest.astype("S4").view(">u4").astype(np.int64) * ranges) >> 32
+        order = np.argsort(digest)
+        number, row, start, digest = number[order], row[order], start[order], digest[order]
+        first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
+        made, takes = [], []
+        for a, b in zip(first.tolist(), np.append(first[1:], len(number)).tolist(), strict=False):
+            rows, at = np.unique(row[a:b], return_inverse=True)
+            takes.append(rows)
+            made.append((int(number[a]), digest[a:b].tobytes(), at.astype(np.int32).tobytes(), start[a:b].astype(np.int32).tobytes()))
+        take = np.concatenate([*takes, np.zeros(0, np.int64)]).astype(np.int64)
+        ends = pa.array(np.cumsum([0, *map(len, takes)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x.take(pa.array(take))) for x in (ids, marks)]
+        columns = [pa.array(c, t) for c, (_, t) in zip(zip(*made, strict=True) if made else [[]] * 4, block_fields, strict=True)]
+        return pa.table([*columns, *lists], names=[*(n for n, _ in block_fields), "ids", "marks"])
 
     def sort(table: pa.Table) -> pa.Table:
         begin("suffix dedup")
@@ -306,24 +334,29 @@ def repeated_intervals(scratch: Scratch, texts: DataFrame, length: int = LENGTH)
         a, b = _runs(((row << 32) + start)[repeats & (copies[segment] == 1)])  # runs don't cross rows
         many = np.flatnonzero(copies[which] > 1)
         out = [np.concatenate(x) for x in ((a >> 32, many), (a & 0xFFFFFFFF, lo[many]), (b & 0xFFFFFFFF, hi[many]))]
-        out += [np.zeros(len(out[0]), np.int64), np.zeros(len(out[0]), np.int64), np.zeros(len(out[0]), bool)]
-        given = np.array(table.column("split").to_pylist(), bool)[row] & first
-        if given.any():
-            x, y = _digests(np.frombuffer(b"".join(pieces), np.uint8), places[given], length)
-            more = [row[given], start[given], start[given], x, y, np.ones(int(given.sum()), bool)]
-            out = [np.concatenate(z) for z in zip(out, more, strict=True)]
         take = pa.array(out[0])
-        columns = [table.column("_id").take(take), table.column("_k1").take(take), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int32)), pa.array(out[3]), pa.array(out[4]), pa.array(out[5])]
-        nothing = [pa.array(np.zeros(known.num_rows, np.int64)), pa.array(np.zeros(known.num_rows, np.int64)), pa.array(np.zeros(known.num_rows, bool))]
-        result = ["_id", "_k1", "_from", "_to", "x", "y", "given"]
-        return pa.concat_tables([pa.table(columns, names=result), pa.table([*(c.combine_chunks() for c in known.columns), *nothing], names=result)])
+        ids, marks = table.column("_id").combine_chunks(), table.column("_k1").combine_chunks()
+        runs = pa.table([ids.take(take), marks.take(take), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int32))], names=["_id", "_k1", "_from", "_to"])
+        given = np.array(table.column("split").to_pylist(), bool)[row] & first
+        digest = _digests(np.frombuffer(b"".join(pieces), np.uint8), places[given], length) if given.any() else np.zeros(0, "S16")
+        return pa.concat_tables([runs, known.rename_columns(["_id", "_k1", "_from", "_to"]), blocks(ids, marks, row[given], start[given], digest)], promote_options="default")
 
-    sorted_ = scratch.cut(segments.groupBy("shard").applyInArrow(sort, f"_id {id_type}, _k1 long, _from int, _to int, x long, y long, given boolean"), "sorted")
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        digests = [np.frombuffer(x, "S16") for x in table.column("digests").to_pylist()]
+        made = []
+        for i, again in enumerate(common_digests(digests)):
+            row, start = (np.frombuffer(table.column(c)[i].as_py(), np.int32).astype(np.int64)[again] for c in ("segments", "starts"))
+            a, b = _runs(np.sort((row << 32) + start))
+            take = pa.array(a >> 32)
+            made.append(pa.table([table.column("ids")[i].values.take(take), table.column("marks")[i].values.take(take), pa.array((a & 0xFFFFFFFF).astype(np.int32)), pa.array((b & 0xFFFFFFFF).astype(np.int32))], names=["_id", "_k1", "_from", "_to"]))
+        return pa.concat_tables(made)
+
+    runs = f"_id {id_type}, _k1 long, _from int, _to int"
+    sorted_ = scratch.cut(segments.groupBy("shard").applyInArrow(sort, f"{runs}, range int, digests binary, segments binary, starts binary, ids array<{id_type}>, marks array<long>"), "sorted")
     scratch.drop("anchors")
-    # Each digest occurs once a shard at most, so these windows are no larger than an anchor's number of shards.
-    merged = sorted_.where("given").withColumn("_n", F.count("*").over(W.partitionBy("x", "y"))).where("_n > 1")
-    runs = ["_id", "_k1", "_from", "_to"]
-    return sorted_.where("NOT given").select(*runs).unionByName(merged.select(*runs))
+    merged = sorted_.where("range IS NOT NULL").select("range", "digests", "segments", "starts", "ids", "marks").groupBy("range").applyInArrow(merge, runs)
+    return sorted_.where("range IS NULL").select("_id", "_k1", "_from", "_to").unionByName(merged)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:

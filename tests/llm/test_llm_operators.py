@@ -391,12 +391,22 @@ def test_suffix_dedup_over_split_anchors(spark, monkeypatch):
     passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
     tails = [word() for _ in range(40)]
     texts = [word() + passage + tails[i % 40] for i in range(160)]
-    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20_000)  # so that an anchor's occurrences are dealt to several shards
+    monkeypatch.setattr(suffix_dedup, "MERGED_AT_ONCE", 5_000)
+    texts += [texts[i] + "tail" for i in range(20)] + [texts[3][20:]] * 30
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(spark, given, 200).collect()}
     assert got == dict(enumerate(brute_repeats(texts, 200)))
 
 
+def test_common_digests():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, n)) for n in (80, 0, 120, 1, 200)]
+    form = lambda x: np.array([int(y).to_bytes(2, "big") + b"\0" * (14 if y % 2 else 13) + (b"" if y % 2 else b"x") for y in x], "S16")  # noqa: E731  some end in nulls
+    for i, found in enumerate(suffix_dedup.common_digests([form(x) for x in sets])):
+        assert found.tolist() == [any(v in other for j, other in enumerate(sets) if j != i) for v in sets[i]]
+
+
 def test_anchors_by_pieces(monkeypatch):
     rng = np.random.default_rng(6)
     text = np.concatenate([rng.integers(97, 101, 30_000).astype(np.uint8), np.full(3000, 97, np.uint8), rng.integers(97, 101, 9000).astype(np.uint8)])
