@@ -7,7 +7,8 @@ the numbers, and their pieces' bytes from the ids. Both Python steps of a task s
 both know the words sent before; after MOST_WORDS the task starts a new list. Blocks are small, for
 memory: a block's words are a row, eight bytes for each of their bytes.
 
-The rank map is a literal of buckets: pair of ids to the rank of the two pieces' bytes. A fold's state is the ids of
+The rank map is a literal table of pairs of ids and the ranks of their pieces' joined bytes, in which a pair has two places
+to be looked for. A fold's state is the ids of
 a word's pieces and the ranks of neighbours; a step merges the leftmost pair of least rank and looks up
 its two new neighbours, so a word of n bytes takes at most 2n lookups.
 """
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.tokens import spaced_chunks
 
-BUCKETS, NONE = 32_749, (1 << 19) - 1
+#: Bits of a rank, and the rank of pairs that don't merge.
+RANK_BITS, NONE = 19, (1 << 19) - 1
 
 #: A block ends at so many characters or new words, whichever comes first, and a task's list of words starts anew after so many.
 BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 400_000
@@ -54,16 +56,44 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
+def rank_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], int, int]:
+    """A table of pairs and their ranks, and its two sizes: key k lies at k % first, or at first + k % second.
+
+    An entry is the key (ids a and b as a << 20 | b), shifted by RANK_BITS, and the rank; -1 is none. An entry whose place is
+    taken drives out what is there to its other place.
+    """
+    first = _prime(max(2, 6 * len(pairs) // 5))
+    while True:
+        second = _prime(first)
+        table = [-1] * (first + second)
+        for (a, b), rank in pairs.items():
+            entry, at, left = (a << 20 | b) << RANK_BITS | rank, (a << 20 | b) % first, 500
+            while entry >= 0 and left:
+                entry, table[at] = table[at], entry
+                k = entry >> RANK_BITS
+                at, left = (first + k % second if at < first else k % first), left - 1
+            if entry >= 0:
+                break
+        else:
+            return table, first, second
+        first = _prime(first + first // 8)
+
+
+def _prime(above: int) -> int:
+    n = above + 1
+    while any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 @cache
-def _tables(path: str) -> str:
-    """The rank map as JSON: for each bucket its pairs (first id, second id, shifted together) and their ranks."""
+def _tables(path: str) -> tuple[str, int, int]:
+    """The rank map as JSON, and its sizes."""
     ranks = read_ranks(path)
     if max(ranks.values()) >= NONE:
         raise ValueError(f"ranks have to be below {NONE}")
-    table: list[list] = [[] for _ in range(BUCKETS)]
-    for (a, b), rank in _pairs(path).items():
-        table[(a << 20 | b) % BUCKETS].append({"k": a << 20 | b, "v": rank})
-    return json.dumps(table, separators=(",", ":"))
+    table, first, second = rank_table(_pairs(path))
+    return json.dumps(table, separators=(",", ":")), first, second
 
 
 @cache
@@ -104,12 +134,19 @@ def fold_merges(words: Column, path: str) -> Column:
     merge), then its place in the word (24 bits), then its id. So the least number is the leftmost pair
     of least rank, and that rank is the merged piece's id.
     """
-    literal = F.from_json(F.lit(_tables(path)), "array<array<struct<k:bigint,v:bigint>>>")
+    made, first, second = _tables(path)
+    literal = F.from_json(F.lit(made), "array<bigint>")  # folded into a literal array when the query is planned
     low, id_bits, none = F.lit((1 << 44) - 1), F.lit((1 << 20) - 1).cast("long"), NONE << 44
+    rank_bits = F.lit(NONE).cast("long")
 
     def of(table: Column) -> Column:
         def rank(pair: Column) -> Column:
-            return _bind(pair, lambda k: F.shiftleft(F.coalesce(F.try_element_at(F.get(table, (k % BUCKETS).cast("int")), k), F.lit(NONE).cast("long")), 44))
+            def found(k: Column) -> Column:
+                here, there = F.get(table, (k % first).cast("int")), F.get(table, (k % second).cast("int") + first)
+                own = F.when(F.shiftright(here, RANK_BITS) == k, here.bitwiseAND(rank_bits)).when(F.shiftright(there, RANK_BITS) == k, there.bitwiseAND(rank_bits)).otherwise(rank_bits)
+                return F.shiftleft(own, 44)
+
+            return _bind(pair, found)
 
         def merge_at(s: Column, m: Column, p: Column, own: Column) -> Column:
             merged = rank(F.shiftleft(own, 20) + F.get(s, p + 1).bitwiseAND(id_bits)) + m.bitwiseAND(F.lit((1 << 44) - (1 << 20))) + own
@@ -123,8 +160,7 @@ def fold_merges(words: Column, path: str) -> Column:
 
         return F.transform(words, lambda w: F.aggregate(F.slice(w, 2, F.size(w)), w, merge))
 
-    # The maps are made once for each row, which is a block of documents.
-    return _bind(literal, lambda x: _bind(F.transform(x, lambda e: F.map_from_entries(e)), of))
+    return _bind(literal, of)
 
 
 _BLOCK = "reset boolean, doc_ids array<{id}>, sizes array<int>, numbers binary, words array<array<bigint>>, long_at array<int>, long_words array<binary>"

@@ -469,6 +469,19 @@ def test_byte_bpe(spark, docs, none):
     assert byte_bpe.encode(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_rank_table():
+    import random
+
+    rng = random.Random(9)
+    for n in (0, 1, 2, 3000):
+        pairs = {(rng.randrange(50_000), rng.randrange(50_000)): rng.randrange(1 << 18) for _ in range(n)}
+        table, first, second = byte_bpe.rank_table(pairs)
+        assert len(table) == first + second and sum(x >= 0 for x in table) == len(pairs)
+        for (a, b), rank in pairs.items():
+            k = a << 20 | b
+            assert k << byte_bpe.RANK_BITS | rank in (table[k % first], table[first + k % second])
+
+
 @pytest.mark.parametrize("words", [3, 100])
 def test_byte_bpe_blocks_and_long_words(spark, monkeypatch, words):
     import random
