@@ -99,9 +99,9 @@ def _tables(path: str) -> tuple[str, int, int]:
 @cache
 def _first_states(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The id of each single byte; the rank of each two bytes."""
-    ranks, pairs = read_ranks(path), _pairs(path)
+    ranks = read_ranks(path)
     single = [ranks[bytes([i])] for i in range(256)]
-    return np.array(single, np.int64), np.array([pairs.get((a, b), NONE) for a in single for b in single], np.int64)
+    return np.array(single, np.int64), np.array([ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)], np.int64)
 
 
 def first_states(words: list[bytes], path: str) -> pa.Array:
@@ -173,7 +173,12 @@ class _Numbers(dict):
         self.cut, self.count, self.new = regex.compile(pattern).findall, 0, []
 
     def __missing__(self, chunk: str) -> bytes:
-        words = (chunk,) if chunk[chunk[:1] == " " :].isalpha() else self.cut(chunk)  # a run of letters is one word
+        if chunk[chunk[:1] == " " :].isalpha():  # a run of letters is one word
+            words = (chunk,)
+        elif chunk[-1:] in (",", ".") and (word := chunk[:-1])[word[:1] == " " :].isalpha():
+            return self[word] + self[chunk[-1]]  # too many to keep
+        else:
+            words = self.cut(chunk)
         if len(words) == 1:
             found = self[words[0]] = self.count.to_bytes(4, "little")
             self.count += 1
@@ -216,7 +221,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     pattern (of the kind that tokens.spaced_chunks takes) cuts texts into words, each encoded by itself; there are no special
     tokens. A word that is a piece has that piece's id. A word of over LONG_WORD bytes, for which a fold takes quadratic time,
     is merged with a heap. The id may be of any type. Other columns are ignored; no rows give no rows. with_decoded adds a
-    column decoded, made from the ids as decode makes it.
+    column decoded, the pieces' bytes of these ids, which are joined once for each word.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -246,27 +251,37 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                     if numbers.count > MOST_WORDS:
                         numbers.forget()
                         reset = True
+        numbers.forget()
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[bytes] = []
+        known: list[bytes] = []  # ids of each word
+        spelt: list[bytes] = []  # the bytes of these ids' pieces
         pieces = _piece_list(rank_file) if with_decoded else []
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("reset")[i].as_py():
                     known.clear()
+                    spelt.clear()
                 words = batch.column("merged")[i].values
                 ends = (4 * words.offsets.to_numpy()).tolist()
                 raw = (words.values.to_numpy() & 0xFFFFF).astype("<u4").tobytes()
-                before = len(known)
-                known += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+                new = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
                 for at, word in zip(batch.column("long_at")[i].as_py(), batch.column("long_words")[i].as_py(), strict=True):
-                    known[before + at] = np.array(merge_long(word, read_ranks(rank_file), _pairs(rank_file)), "<u4").tobytes()
-                numbers, at, out = np.frombuffer(batch.column("numbers")[i].as_py(), np.int32).tolist(), 0, []
+                    new[at] = np.array(merge_long(word, read_ranks(rank_file), _pairs(rank_file)), "<u4").tobytes()
+                known += new
+                if with_decoded:
+                    spelt += [_joined(x, pieces) for x in new]
+                numbers, at, out, texts = np.frombuffer(batch.column("numbers")[i].as_py(), np.int32).tolist(), 0, [], []
                 for n in batch.column("sizes")[i].as_py():
-                    out.append(b"".join([known[k] for k in numbers[at : at + n]]))
+                    own = numbers[at : at + n]
+                    out.append(b"".join(map(known.__getitem__, own)))
+                    if with_decoded:
+                        texts.append(b"".join(map(spelt.__getitem__, own)))
                     at += n
-                more = [pa.array([_joined(x, pieces) for x in out], pa.binary())] if with_decoded else []
+                more = [pa.array(texts, pa.binary())] if with_decoded else []
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(out, pa.binary()), *more], names=["doc_id", "ids", *(["decoded"] if more else [])])
+        pa.default_memory_pool().release_unused()
 
     sent = rows.mapInArrow(blocks, _BLOCK.format(id=id_type))
     folded = sent.select("reset", "doc_ids", "sizes", "numbers", "long_at", "long_words", fold_merges(F.col("words"), rank_file).alias("merged"))
