@@ -26,29 +26,32 @@ from noticeflow.llm.common import Scratch, texts_of
 from noticeflow.llm.tokens import WORDS, codec
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, kind: str = WORDS, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, kind: str = WORDS, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Each document's ids, then end_id, cut into pieces of capacity: doc_id, piece, start, length, ids_crc32 (and ids if asked for).
 
-    Null counts as empty: a piece with end_id alone. Other columns are dropped. Each row of docs has
+    Null counts as empty: a piece with end_id alone. Strings of special tokens are encoded as the library does, or as ordinary text. Other columns are dropped. Each row of docs has
     its own pieces, repeated ids or not.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    fields = [pa.field("doc_id", pa.int64()), pa.field("piece", pa.int32()), pa.field("start", pa.int64()), pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    fields = [pa.field("piece", pa.int32()), pa.field("start", pa.int64()), pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())]
     fields += [pa.field("ids", pa.list_(pa.int32()))] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = codec(vocabulary, kind)
+        code = codec(vocabulary, kind, special_as_text)
         for batch in batches:
-            rows = []
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), code.encode_bounded(texts_of(batch, "text")), strict=True):
+            rows, own_row = [], []
+            for row, raw in enumerate(code.encode_bounded(texts_of(batch, "text"))):
                 ids = np.append(np.frombuffer(raw, code.type), end_id).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
-                    rows.append((doc_id, piece, start, len(own), zlib.crc32(own.tobytes()), *([own.tolist()] if with_ids else [])))
+                    own_row.append(row)
+                    rows.append((piece, start, len(own), zlib.crc32(own.tobytes()), *([own.tolist()] if with_ids else [])))
             columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+            ids = batch.column("doc_id").take(pa.array(own_row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=True))], names=["doc_id", *(f.name for f in fields)])
 
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_fit_runs(counts: dict[int, int], capacity: int) -> np.ndarray:

@@ -166,13 +166,13 @@ class Reader:
         return out
 
 
-def write_token_shards(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, kind: str = SPACED, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_shards(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, kind: str = SPACED, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Encodes docs and writes their ids in shards below folder; returns shard, path, n_docs, n_ids, n_bytes, one row per shard.
 
     Shards and the documents in them ascend by id, null ids first; rows with one id lie next to each other,
     by text. Null texts are empty. end_id ends each document. A shard is written under a name
     of its attempt and then renamed, so a task that runs twice leaves one file. No rows
-    leave no shards. Other columns are ignored.
+    leave no shards. Strings of special tokens are encoded as the library does, or as ordinary text. Other columns are ignored.
     """
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -182,7 +182,7 @@ def write_token_shards(spark: SparkSession, docs: DataFrame, folder: str, vocabu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        code, shard, writer = codec(vocabulary, kind), TaskContext.get().partitionId(), None
+        code, shard, writer = codec(vocabulary, kind, special_as_text), TaskContext.get().partitionId(), None
         store, root = pafs.FileSystem.from_uri(folder)
         end = np.array([end_id], code.type).tobytes()
         for batch in batches:

@@ -33,16 +33,16 @@ def _byte_forms() -> dict[int, str]:
 
 
 _byte_form = _byte_forms()
-_codecs: dict[tuple[str, str], "Codec"] = {}
+_codecs: dict[tuple[str, str, bool], "Codec"] = {}
 
 
-def codec(path: str, kind: str) -> "Codec":
+def codec(path: str, kind: str, special_as_text: bool = False) -> "Codec":
     """The worker's codec of a vocabulary; it outlives the task."""
     begin("tokens")
     keeps("tokens", _codecs.clear)
-    if (path, kind) not in _codecs:
-        _codecs[path, kind] = Codec(path, kind)
-    return _codecs[path, kind]
+    if (path, kind, special_as_text) not in _codecs:
+        _codecs[path, kind, special_as_text] = Codec(path, kind, special_as_text)
+    return _codecs[path, kind, special_as_text]
 
 
 def spaced_chunks(text: str) -> list[str]:
@@ -64,15 +64,19 @@ def spaced_chunks(text: str) -> list[str]:
 
 
 class Codec:
-    """WORDS drops blanks, so its chunks are what ASCII blanks part: no match and no composed character spans one."""
+    """WORDS drops blanks, so its chunks are what ASCII blanks part: no match and no composed character spans one.
 
-    def __init__(self, path: str, kind: str):
+    A string of a special token in a text has that token's id, as the library gives it; with special_as_text it is encoded as ordinary text.
+    """
+
+    def __init__(self, path: str, kind: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.kind, self.known, self.old = kind, {}, {}
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = True  # chunks have no such string, but in lower case one may look like it
+        self.special = [] if special_as_text else [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
@@ -125,13 +129,22 @@ class Codec:
         for c, own in made.items():
             known[c] = b"".join(map(known.__getitem__, own))
 
+    def _whole(self, text: str) -> bytes:
+        self.library.encode_special_tokens = False
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        self.library.encode_special_tokens = True
+        return np.array(ids, self.type).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of self.type."""
-        cut = [self.chunks(x) for x in texts]
+        whole = {i: self._whole(x) for i, x in enumerate(texts) if any(s in x for s in self.special)}
+        cut = [() if i in whole else self.chunks(x) for i, x in enumerate(texts)]
         if missing := set().union(*cut) - self.known.keys():
             self._learn(missing)
         get = self.known.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in cut]
+        for i, ids in whole.items():
+            out[i] = ids
         if len(self.known) > KEEP:
             self.old, self.known = self.known, {}
         return out

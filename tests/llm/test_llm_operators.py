@@ -21,7 +21,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 from llm_fixtures import frame, rows  # noqa: E402
 
-from noticeflow.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality, simhash, sstable, suffix_dedup, token_counts  # noqa: E402
+from noticeflow.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality, simhash, sstable, suffix_dedup, token_counts, tokens  # noqa: E402
 from noticeflow.llm.common import Scratch, components, join_by_hot_key  # noqa: E402
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -115,12 +115,22 @@ def test_line_dedup(spark, none, least):
     assert line_dedup.remove_boilerplate(spark, none).count() == 0
 
 
-def library(name):
+def library(name, special_as_text=False):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return t
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", tokens.SPACED), ("word_bpe_49k.json", tokens.WORDS)])
+def test_codec_is_the_library(name, kind, special_as_text):
+    t, code = library(name, special_as_text), tokens.Codec(P.path(name), kind, special_as_text)
+    texts = [r[1] or "" for r in rows()] + ["<|endoftext|>", "a <|endoftext|> b<|startoftext|>c  <|endoftext|>\n", "x<|ENDOFTEXT|>", "<|endoftext|" + " plain"]
+    for text, raw in zip(texts, code.encode(texts), strict=True):
+        assert np.frombuffer(raw, code.type).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_token_shards(spark, docs, none):
     t = library("byte_bpe_50k.json")
     scratch = Scratch(spark, "test")
