@@ -31,11 +31,11 @@ RANGES = (11, 11, 11, 11, 10, 10)
 WORDS_AT_ONCE, ROWS_AT_ONCE = 1 << 16, 200_000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text in UTF-8, as a signed 64-bit integer."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, n: int = 1) -> list[int]:
+    """n fingerprints of a text in UTF-8, as signed 64-bit integers; those after the first are of the shingles' hashes mixed anew."""
     words = text.lower().split()  # of bytes: A-Z and ASCII blanks
     if not words:
-        return 0
+        return [0] * n
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -43,22 +43,33 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     k = min(shingle, len(words))
     digest = xxhash.xxh64_digest
     raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())])  # noqa: B905  as many as there are ends
-    n = len(raw) // 8
-    counts = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return struct.unpack(">q", np.packbits(counts * 2 > n).tobytes())[0]
+    hashes, out = np.frombuffer(raw, ">u8"), []
+    for i in range(n):
+        h = hashes if i == 0 else _mixed(hashes.astype(np.uint64), i).astype(">u8")
+        counts = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1).sum(axis=0, dtype=np.uint32)
+        out.append(struct.unpack(">q", np.packbits(counts * 2 > len(h)).tobytes())[0])
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp of each row; null as empty, whose fingerprint is 0. Other columns are ignored."""
+def _mixed(h: np.ndarray, i: int) -> np.ndarray:
+    """The hashes as if of another seed."""
+    h = h + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n: int = 1) -> DataFrame:
+    """doc_id, fp and fps (all n of them) of each row; null as empty, whose fingerprints are 0. Other columns are ignored."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("simhash")
         for batch in batches:
-            found = [fingerprint(x, shingle) for x in byte_views(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = [fingerprint(x, shingle, n) for x in byte_views(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fp", "fps"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, fps array<long>")
 
 
 def _exceeds(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
@@ -114,7 +125,7 @@ def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Itera
 
 
 def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by bucket: a and b, links between fingerprints that connect all that are close within a bucket."""
+    """For rows sorted by bucket: pairs of rows, links that connect all that are close within a bucket."""
     n = len(fps)
     edge = np.flatnonzero(np.diff(bucket)) + 1
     end = np.repeat(np.append(edge, n), np.diff(np.concatenate([[0], edge, [n]])))
@@ -127,8 +138,8 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> t
             label = label[label]
     while (label[label] != label).any():
         label = label[label]
-    tied = label != np.arange(n)
-    return fps[tied], fps[label[tied]]
+    tied = np.flatnonzero(label != np.arange(n))
+    return tied, label[tied]
 
 
 def _masks() -> list[int]:
@@ -144,9 +155,10 @@ def _signed(x: int) -> int:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: links between close fingerprints of distinct (column fp, each once) that connect what is close."""
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(_masks())])
-    rows = distinct.select("fp", F.explode(keys).alias("x")).select("x.t", "x.k", "fp").repartition("t", "k").sortWithinPartitions("t", "k", "fp")
+    """i, a, b: links between close fingerprints of one i of distinct (columns i and fp, each once) that connect what is close."""
+    masks = _masks()
+    keys = F.array(*[F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for j, m in enumerate(masks)])
+    rows = distinct.select("i", "fp", F.explode(keys).alias("x")).select((F.col("i") * len(masks) + F.col("x.j")).cast("int").alias("t"), "x.k", "fp").repartition("t", "k").sortWithinPartitions("t", "k", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -158,7 +170,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             held[:] = [(t[cut:], k[cut:], fp[cut:])]
             if cut:
                 a, b = bucket_links(np.cumsum(changes[:cut]), fp[:cut].view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array((t[a] // len(masks)).astype(np.int32)), pa.array(fp[a]), pa.array(fp[b])], names=["i", "a", "b"])
 
         for batch in batches:
             held.append(tuple(batch.column(c).to_numpy() for c in ("t", "k", "fp")))
@@ -167,23 +179,37 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if sum(len(x[0]) for x in held):
             yield from compared(True)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "i int, a long, b long").distinct()
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, n: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id (the smallest id reachable over fingerprints within radius bits).
 
-    Texts without words have fingerprint 0 and link like any other. A null id takes part but is a component's id
-    only where it has no other. Rows with one id each have their own fingerprint.
+    With n above 1 each text has n independent fingerprints and two texts are linked if any of them are close, so that fewer near
+    copies are missed. Texts without words have fingerprint 0 and link like any other. A null id takes part but is a component's id
+    only where it has no other. Rows with one id each have their own fingerprint. No rows give no rows.
     """
     if radius > 4:
         raise ValueError("the ranges find all fingerprints within 4 bits only")
     scratch = Scratch(spark, "simhash")
-    own = scratch.cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = scratch.cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = components(scratch, links(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    made = fingerprints(docs, id_col, text_col, shingle, n)
+    own = scratch.cut(made.drop("fps") if n == 1 else made, "fingerprints")
+    key = "fp" if n == 1 else "fps"
+    distinct = scratch.cut(own.groupBy(key).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    roots = components(scratch, links(distinct.select(F.lit(0).alias("i"), "fp"), radius).drop("i") if n == 1 else _links_of_any(scratch, distinct.select("fps"), radius))
+    named = distinct.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = scratch.cut(named.join(ids, "root").select("fp", "component_id", "n"), "components")
+    by_fp = scratch.cut(named.join(ids, "root").select(key, "component_id", "n"), "components")
     total = own.count()
-    return join_by_hot_key(own, by_fp, ["fp"], "n", total).select("doc_id", "fp", "component_id")
+    return join_by_hot_key(own, by_fp, [key], "n", total).select("doc_id", "fp", "component_id")
+
+
+def _links_of_any(scratch: Scratch, distinct: DataFrame, radius: int) -> DataFrame:
+    """Links between lists of fingerprints (column fps, each once) of which any are close: those that share one, then close ones by their least lists."""
+    of = distinct.select("fps", F.posexplode("fps").alias("i", "fp"))
+    least = scratch.cut(of.groupBy("i", "fp").agg(F.min("fps").alias("least"), F.count("*").alias("n")), "least")
+    shared = of.join(least.where("n > 1"), ["i", "fp"]).select(F.col("fps").alias("a"), F.col("least").alias("b"))
+    close = links(least.select("i", "fp"), radius)
+    for c in ("a", "b"):
+        close = close.join(least.select("i", F.col("fp").alias(c), F.col("least").alias(f"l{c}")), ["i", c])
+    return shared.unionByName(close.select(F.col("la").alias("a"), F.col("lb").alias("b")))

@@ -335,6 +335,42 @@ def test_simhash(spark, docs, none):
     assert simhash.near_groups(spark, none).count() == 0
 
 
+def test_simhash_of_several_fingerprints(spark, docs, none):
+    n, by = 3, [(r[0], simhash.fingerprint((r[1] or "").encode(), 5, 3)) for r in rows()]
+    assert all(simhash.fingerprint((r[1] or "").encode(), 5)[0] == x[0] for r, (_, x) in zip(rows(), by, strict=True))
+    root = list(range(len(by)))
+    for _ in root:
+        for i in root:
+            for j in range(len(by)):
+                if any(bin((a ^ b) & (1 << 64) - 1).count("1") <= 4 for a, b in zip(by[i][1], by[j][1], strict=True)):
+                    root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for k, (i, _) in enumerate(by):
+        if i is not None:
+            least[root[k]] = min(least.get(root[k], i), i)
+    want = [(i, x[0], least.get(root[k])) for k, (i, x) in enumerate(by)]
+    assert count(map(tuple, simhash.near_groups(spark, docs, shingle=5, n=n).collect())) == count(want)
+    assert simhash.near_groups(spark, none, n=n).count() == 0
+
+
+def test_several_fingerprints_find_more():
+    import random
+
+    rng, most, found = random.Random(11), 8, {}
+    for changed in (1, 2, 4, 60):  # of 300 words: similarities of 0.97, 0.94, 0.87 and 0.05 or so
+        found[changed] = [0, 0]
+        for _ in range(60):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+            other = list(words)
+            for i in range(changed):
+                other[300 // changed * i] = "changed"
+            x, y = (simhash.fingerprint(" ".join(w).encode(), 5, most) for w in (words, other))
+            close = [bin((a ^ b) & (1 << 64) - 1).count("1") <= 4 for a, b in zip(x, y, strict=True)]
+            found[changed] = [found[changed][0] + close[0], found[changed][1] + any(close)]
+    print(found)
+    assert found[1][1] == 60 and found[2][1] >= 55 and found[4][1] > 2 * found[4][0] and found[60][1] == 0
+
+
 def test_close_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, np.uint64)
@@ -351,8 +387,8 @@ def test_ranges_find_all_links(spark):
     rng = np.random.default_rng(4)
     base = int(rng.integers(0, 1 << 62))
     fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(60)} | {base})
-    made = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    roots = components(Scratch(spark, "test"), simhash.links(made)).collect()
+    made = spark.createDataFrame([(0, f - (1 << 64) if f >> 63 else f) for f in fps], "i int, fp long")
+    roots = components(Scratch(spark, "test"), simhash.links(made).drop("i")).collect()
     assert len(roots) == len(fps) - 1 and len({r["root"] for r in roots}) == 1
 
 
