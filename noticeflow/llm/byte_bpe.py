@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.tokens import spaced_chunks
 
+_BLANK = regex.compile(r"\s")
+
 #: Bits of a rank, and the rank of pairs that don't merge.
 RANK_BITS, NONE = 19, (1 << 19) - 1
 
@@ -166,32 +168,90 @@ def fold_merges(words: Column, path: str) -> Column:
 _BLOCK = "reset boolean, doc_ids array<{id}>, sizes array<int>, numbers binary, words array<array<bigint>>, long_at array<int>, long_words array<binary>"
 
 
-class _Numbers(dict):
-    """The words of each chunk as 32-bit numbers; asking for a new chunk numbers its new words, which stand in new."""
+class _Numbers:
+    """The words of a text as 32-bit numbers, which new words get one after another; new has those since it was cleared.
+
+    after has what stands between two blanks, with the blank before it, so that most of a text takes one look for each part; None is what
+    the cut at blanks may not part. plain has all else.
+    """
 
     def __init__(self, pattern: str):
         self.cut, self.count, self.new = regex.compile(pattern).findall, 0, []
+        self.after, self.plain = _Known(self._after), _Known(self._plain)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if chunk[chunk[:1] == " " :].isalpha():  # a run of letters is one word
-            words = (chunk,)
-        elif chunk[-1:] in (",", ".") and (word := chunk[:-1])[word[:1] == " " :].isalpha():
-            return self[word] + self[chunk[-1]]  # too many to keep
-        else:
-            words = self.cut(chunk)
-        if len(words) == 1:
-            found = self[words[0]] = self.count.to_bytes(4, "little")
+    def _number(self, word: str) -> bytes:
+        spaced = word[0] == " " and len(word) > 1 and not _BLANK.match(word[1])
+        table, key = (self.after, word[1:]) if spaced else (self.plain, word)
+        if (found := table.get(key)) is None or len(found) != 4:
+            found = table[key] = self.count.to_bytes(4, "little")
             self.count += 1
-            self.new.append(words[0].encode())
-        else:
-            found = self[chunk] = b"".join([self[w] for w in words])
+            self.new.append(word.encode())
         return found
 
+    def _after(self, part: str) -> bytes | None:
+        if part.isalpha():  # a run of letters is one word
+            return self._number(" " + part)
+        if not part or _BLANK.match(part):
+            return None
+        if part[-1] in ",." and part[:-1].isalpha():
+            return self.after[part[:-1]] + self.plain[part[-1]]  # too many to keep
+        words = self.cut(" " + part)
+        if len(words) == 1:
+            return self._number(words[0])
+        found = self.after[part] = b"".join(map(self._number, words))
+        return found
+
+    def _plain(self, chunk: str) -> bytes:
+        words = self.cut(chunk)
+        if len(words) == 1:
+            return self._number(words[0])
+        found = self.plain[chunk] = b"".join(map(self._number, words))
+        return found
+
+    def of(self, text: str) -> bytes:
+        parts = text.split(" ")
+        try:
+            return (self.plain[parts[0]] if parts[0] else b"") + b"".join(map(self.after.__getitem__, parts[1:]))
+        except TypeError:  # a part is None
+            return b"".join([self.after[x[1:]] if x[0] == " " and len(x) > 1 and not _BLANK.match(x[1]) else self.plain[x] for x in spaced_chunks(text) if x])
+
     def forget(self) -> None:
-        self.clear()
+        self.after.clear()
+        self.plain.clear()
         self.count = 0
 
 
+class _Known(dict):
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str):
+        return self.make(key)
+
+
+class _Joined:
+    """Values of words, of any length, in one array; it joins those of a list of words, cut into rows."""
+
+    def __init__(self, kind: str):
+        self.flat, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def rows(self, words: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """For each row, which has sizes words, their values one after another."""
+        first = self.ends[words]
+        own = self.ends[words + 1] - first
+        ends = np.concatenate([[0], np.cumsum(own)])
+        at = np.repeat(first - ends[:-1], own)
+        at += np.arange(len(at))
+        offsets = self.flat.itemsize * ends[np.concatenate([[0], np.cumsum(sizes)])]
+        if offsets[-1] >= 1 << 31:
+            raise ValueError("a block of documents has over 2^31 bytes of ids or text")
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.flat[at])])
+
+
 def merge_long(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
     """The ids of a long word: a heap holds the ranks of neighbours that merge, so n bytes take n log n steps."""
     if word in ranks:
@@ -234,7 +294,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             texts = batch.column("text")
             for at in range(batch.num_rows):
                 text = texts[at].as_py()
-                parts.append(b"".join(map(numbers.__getitem__, spaced_chunks(text))) if text else b"")
+                parts.append(numbers.of(text) if text else b"")
                 size += len(text or "")
                 if size >= BLOCK_CHARS or len(numbers.new) >= BLOCK_WORDS or at == batch.num_rows - 1:
                     new = numbers.new
@@ -255,32 +315,29 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[bytes] = []  # ids of each word
-        spelt: list[bytes] = []  # the bytes of these ids' pieces
+        ids, spelt = _Joined("<u4"), _Joined("u1")
         pieces = _piece_list(rank_file) if with_decoded else []
+        piece_bytes, piece_ends = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("reset")[i].as_py():
-                    known.clear()
-                    spelt.clear()
+                    ids, spelt = _Joined("<u4"), _Joined("u1")
                 words = batch.column("merged")[i].values
-                ends = (4 * words.offsets.to_numpy()).tolist()
-                raw = (words.values.to_numpy() & 0xFFFFF).astype("<u4").tobytes()
-                new = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-                for at, word in zip(batch.column("long_at")[i].as_py(), batch.column("long_words")[i].as_py(), strict=True):
-                    new[at] = np.array(merge_long(word, read_ranks(rank_file), _pairs(rank_file)), "<u4").tobytes()
-                known += new
+                sizes = np.diff(words.offsets.to_numpy())
+                new = (words.flatten().to_numpy() & 0xFFFFF).astype("<u4")
+                if len(batch.column("long_at")[i].values):
+                    each = np.split(new, np.cumsum(sizes)[:-1])
+                    for at, word in zip(batch.column("long_at")[i].as_py(), batch.column("long_words")[i].as_py(), strict=True):
+                        each[at] = np.array(merge_long(word, read_ranks(rank_file), _pairs(rank_file)), "<u4")
+                    new, sizes = np.concatenate(each), np.array([len(x) for x in each])
+                ids.add(new, sizes)
                 if with_decoded:
-                    spelt += [_joined(x, pieces) for x in new]
-                numbers, at, out, texts = np.frombuffer(batch.column("numbers")[i].as_py(), np.int32).tolist(), 0, [], []
-                for n in batch.column("sizes")[i].as_py():
-                    own = numbers[at : at + n]
-                    out.append(b"".join(map(known.__getitem__, own)))
-                    if with_decoded:
-                        texts.append(b"".join(map(spelt.__getitem__, own)))
-                    at += n
-                more = [pa.array(texts, pa.binary())] if with_decoded else []
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(out, pa.binary()), *more], names=["doc_id", "ids", *(["decoded"] if more else [])])
+                    first, own = piece_ends[new], piece_ends[new + 1] - piece_ends[new]
+                    ends = np.concatenate([[0], np.cumsum(own)])
+                    spelt.add(piece_bytes[np.repeat(first - ends[:-1], own) + np.arange(ends[-1])], np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])]))
+                numbers, n = np.frombuffer(batch.column("numbers")[i].as_py(), np.int32), batch.column("sizes")[i].values.to_numpy()
+                more = [spelt.rows(numbers, n)] if with_decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, ids.rows(numbers, n), *more], names=["doc_id", "ids", *(["decoded"] if more else [])])
         pa.default_memory_pool().release_unused()
 
     sent = rows.mapInArrow(blocks, _BLOCK.format(id=id_type))

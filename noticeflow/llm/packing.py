@@ -35,21 +35,24 @@ def token_pieces(docs: DataFrame, vocabulary: str, kind: str = WORDS, capacity:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     fields = [pa.field("piece", pa.int32()), pa.field("start", pa.int64()), pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())]
-    fields += [pa.field("ids", pa.list_(pa.int32()))] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, kind, special_as_text)
         for batch in batches:
-            rows, own_row = [], []
+            rows, own_row, all_ids = [], [], [np.zeros(0, "<u4")]
             for row, raw in enumerate(code.encode_bounded(texts_of(batch, "text"))):
                 ids = np.append(np.frombuffer(raw, code.type), end_id).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     own_row.append(row)
-                    rows.append((piece, start, len(own), zlib.crc32(own.tobytes()), *([own.tolist()] if with_ids else [])))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
-            ids = batch.column("doc_id").take(pa.array(own_row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=True))], names=["doc_id", *(f.name for f in fields)])
+                    rows.append((piece, start, len(own), zlib.crc32(own.tobytes())))
+                if with_ids:
+                    all_ids.append(ids)
+            made = [pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * len(fields), fields, strict=True)]
+            if with_ids:
+                made.append(pa.ListArray.from_arrays(np.cumsum([0, *(r[2] for r in rows)]).astype(np.int32), pa.array(np.concatenate(all_ids).astype(np.int32))))
+            names = ["doc_id", *(f.name for f in fields), *(["ids"] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own_row, pa.int64())), *made], names=names)
 
     return docs.mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

@@ -209,6 +209,8 @@ def test_packing(spark, docs, none):
     t = library("word_bpe_49k.json")
     pieces = packing.token_pieces(docs, P.path("word_bpe_49k.json"))
     out = packing.pack(spark, pieces).collect()
+    given = packing.token_pieces(docs, P.path("word_bpe_49k.json"), with_ids=True).collect()
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in given) and len(given) == len(out)
     want = []
     for r in rows():
         ids = t.encode(r[1] or "", add_special_tokens=False).ids + [0]
@@ -515,6 +517,20 @@ def test_byte_bpe(spark, docs, none):
     assert byte_bpe.encode(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_words_of_odd_blanks():
+    import random
+
+    rng, cut = random.Random(12), regex.compile(P.PATTERN).findall
+    numbers, words = byte_bpe._Numbers(P.PATTERN), []
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "ab", "é", "x", ",", ".", "'s", "12", "\u0301", "-"]) for _ in range(rng.randint(0, 12)))
+        raw = numbers.of(text)
+        words += [w.decode() for w in numbers.new]
+        numbers.new.clear()
+        assert [words[i] for i in np.frombuffer(raw, "<u4")] == cut(text), repr(text)
+    assert len(set(words)) == len(words)
+
+
 def test_rank_table():
     import random
 

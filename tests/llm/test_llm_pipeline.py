@@ -1,8 +1,23 @@
 """The corpus pipeline: each stage on what the one before it kept."""
 
+import collections
+import re
+import sys
+import zlib
+from pathlib import Path
+
 import corpus_pipeline
+import numpy as np
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+sys.path.insert(0, str(Path(__file__).parent))
+
+from test_llm_operators import brute_lines, brute_repeats  # noqa: E402
+
+from noticeflow.llm import quality, simhash  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +75,37 @@ def test_near_duplicates_keep_one_row_of_each_group(spark):
     assert out.columns == docs.columns
     want = [(1, a), (1, b), (None, c), (None, d), (7, e + " x"), (4, c[::-1]), (9, None)]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, want))
+
+
+def test_each_stage_is_the_brute_force_one(spark, stages):
+    """Each stage's rows against a plain version of it on the rows that it got; of a repeat's text, whole characters only."""
+    before = [[tuple(r) for r in df.collect()] for df in stages]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def same(got, want):
+        assert collections.Counter(map(repr, got)) == collections.Counter(map(repr, want))
+
+    same(before[1], [r for r in before[0] if quality.judge(r[1] or "", model)[6]])
+    same(before[2], [(r[0], x[1], *r[2:4], len(x[1])) for r, x in zip(before[1], brute_lines(before[1], 8), strict=True)])
+    fps = [simhash.fingerprint((r[1] or "").encode(), 5, corpus_pipeline.FINGERPRINTS) for r in before[2]]
+    bits = np.array(fps, np.int64).view(np.uint64)
+    root = list(range(len(fps)))
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (np.bitwise_count(bits[i] ^ bits[j]) <= 4).any()]
+    while any(root[i] != root[j] for i, j in near):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for r, k in zip(before[2], root, strict=True):
+        least[k] = min(least.get(k, r[0]), r[0])
+    same(before[3], [r for r, k in zip(before[2], root, strict=True) if least[k] == r[0]])
+    cut = brute_repeats([r[1] for r in before[3]], corpus_pipeline.PASSAGE_BYTES)
+    clean = lambda raw: re.sub("\ufffd+", "", raw.decode(errors="replace"))
+    for r, x in zip(sorted(before[4]), [y for _, y in sorted(zip(before[3], cut, strict=True))], strict=True):
+        assert len(r[1]) == r[4] and (r[1].encode() == x[3] if x[3] == clean(x[3]).encode() else clean(x[3]) in r[1] or len(r[1]) >= len(clean(x[3])))
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    pieces = []
+    for r in before[4]:
+        ids = t.encode(r[1] or "", add_special_tokens=False).ids + [0]
+        pieces += [(r[0], i, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for i, s in enumerate(range(0, len(ids), 2048))]
+    same([r[:5] for r in before[5]], pieces)
