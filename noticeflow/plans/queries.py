@@ -312,12 +312,12 @@ def title_body_classes(spark, sf_dir):
     return d.select("doc_id", F.to_json(title_and_body("title", "text", SECTORS)).alias("ranked"), F.array_join(matching_groups("text", SERVICES), ",").alias("groups"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) < 10 THEN 'too short' WHEN n_chars < 200 THEN 'low score' END AS reason FROM documents""")
+@query(f"""SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) < 10 THEN 'too short'
+WHEN len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 4 AND NOT list_contains({list(T.STOP_WORDS)}, w))) = 0 THEN 'generic' WHEN n_chars < 200 THEN 'low score' END AS reason FROM documents""")
 def quality_gate(spark, sf_dir):
     """FLT-06, FLT-07: why a row is rejected, null where it is not."""
     d = table(spark, sf_dir, "documents")
-    reason = classify.first_match([(F.length(F.trim(F.coalesce("text", F.lit("")))) < 10, "too short"), (F.col("n_chars") < 200, "low score")])
-    return d.select("doc_id", reason.alias("reason"))
+    return d.select("doc_id", classify.quality_gate(F.col("text"), F.col("n_chars"), 200, low=0).alias("reason"))
 
 
 @query("""SELECT p_partkey, (p_name LIKE '%green%' OR p_name LIKE '%blue%') AND NOT (p_name LIKE '%red%') AS passes FROM part""")
@@ -419,10 +419,10 @@ def hybrid_rank_all(spark, sf_dir):
     return kept.select("query_id", F.col("id").alias("vec_id"), search.composite(F.col("similarity"), F.col("priority"), F.col("fit"), F.col("lexical"), digits=2).alias("score"))
 
 
-@query("""WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part) SELECT p_partkey FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'gr'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'bl'))) > 0""")
+@query("""WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part) SELECT p_partkey FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'co'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0""")
 def token_search(spark, sf_dir):
     """RET-11: every token of the query as a prefix."""
-    return table(spark, sf_dir, "part").where(search.prefix_match("gr bl", F.col("p_name"))).select("p_partkey")
+    return table(spark, sf_dir, "part").where(search.prefix_match("co wi", F.col("p_name"))).select("p_partkey")
 
 
 @query("""WITH s AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderpriority = 'none' AND o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'P' AND o_totalprice > 1e9 THEN 1 WHEN o_orderstatus = 'P' THEN 2 WHEN TRUE THEN 3 END AS step FROM orders)
