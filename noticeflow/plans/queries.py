@@ -605,8 +605,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("conv_id", "turn", F.col("text").alias("query"), F.coalesce("said", F.lit("")).alias("answer"), F.col("said").isNull().alias("abstained"), (F.col("turn") % 3).alias("n_citations"))
 
 
-FACTS_SQL = "regexp_matches(lower(query), '(^|[^\\p{L}\\p{N}_])(" + "|".join(w.replace(" ", "\\s+") for w in grounding.FACT_WORDS) + ")([^\\p{L}\\p{N}_]|$)')"
-CLAIMS_SQL = "(" + " OR ".join(f"regexp_matches(answer, '{p}')" for p in grounding.NUMERIC) + ")"
+FACTS_SQL = """len(list_filter(['which', 'what', 'who', 'when', 'where', 'deadline', 'budget', 'amount', 'cost', 'eligibility', 'requirement', 'documents', 'give me', 'list', 'show', 'top', 'best'], lambda w: contains(lower(query), w))) > 0"""
+CLAIMS_SQL = r"""(regexp_matches(answer, '\b\d{1,3}(,\d{3})+(\.\d+)?\b') OR regexp_matches(answer, '\b\d+(\.\d+)?\s*%\b') OR regexp_matches(lower(answer), '\b(usd|inr|eur|rs\.?)\s*\d') OR regexp_matches(lower(answer), '\b\d+\s+(days|weeks|months|years)\b'))"""
 
 
 @query(f"""WITH {ANSWERS_SQL}, m AS (SELECT *, {FACTS_SQL} AS fact, {CLAIMS_SQL} AS claim, n_citations > 0 AS cited FROM answers)

@@ -11,7 +11,7 @@ from noticeflow.functions import dates
 from noticeflow.functions import text as T
 from noticeflow.functions.vocab import best_group, first_group, keyword_share, longest_term, matching_groups, of
 from noticeflow.operators import classify as C
-from noticeflow.operators import listings
+from noticeflow.operators import grounding, listings
 from noticeflow.plans.queries import AS_OF, as_of, query, table
 
 #: Of parts' names.
@@ -193,3 +193,26 @@ def flat_events(spark, sf_dir):
     """NRM-34, LRN-05: fields of nested JSON as columns."""
     e = table(spark, sf_dir, "events")
     return e.select("event_id", *listings.flat_record("props", {"k": "$.k", "first": "$.missing|$.k"}), listings.due(F.to_date("ts"), F.to_date(F.lit("2024-01-20"))).alias("due"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS n, o_custkey % 4 AS k, (o_orderkey % 1000) / 1000e0 AS sim, o_orderstatus AS st FROM orders),
+t AS (SELECT *, CASE k WHEN 0 THEN 'Which tenders close?' WHEN 1 THEN 'Tell me more' WHEN 2 THEN 'the WHOLE list' ELSE 'thanks' END AS q,
+ CASE WHEN n = 0 THEN 'about 12,000 units' WHEN n = 1 THEN 'INR 500 or so' WHEN n = 2 THEN 'within 30 days' WHEN n = 3 THEN '12 of them' ELSE '' END AS answer FROM o)
+SELECT o_orderkey, k IN (0, 2) AS fact, n IN (0, 1, 2) AS claim, sim >= 0.28::DOUBLE OR sim / 2 >= 0.34::DOUBLE AS strong,
+ k IN (0, 2) AND (n = 0 OR k = 2 OR answer = '') AS abstains, CASE WHEN n = 4 THEN '' ELSE array_to_string(list_filter([1, 2, 3], lambda c: c <= n), ',') END AS cited,
+ CASE WHEN n = 4 THEN 'Insufficient grounded evidence to answer this.' ELSE 'ok' END AS said, st = 'F' AS satisfied, n < 4 AS evidence,
+ '1. order | deadline ' || k || ' | src' || chr(10) || '2. other | src' AS lines FROM t""")
+def grounding_rules(spark, sf_dir):
+    """GRD-01 to GRD-08, SUB-19, SUB-25"""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("n"), (F.col("o_custkey") % 4).alias("k"), ((F.col("o_orderkey") % 1000) / F.lit(1000.0)).alias("sim"), "o_orderstatus")
+    q = C.by_table(F.col("k"), {0: "Which tenders close?", 1: "Tell me more", 2: "the WHOLE list"}, "thanks")
+    answer = C.by_table(F.col("n"), {0: "about 12,000 units", 1: "INR 500 or so", 2: "within 30 days", 3: "12 of them"}, "")
+    fact, cite = grounding.fact_query(q), grounding.citations(F.when(F.col("n") == 4, "not-json").otherwise('{"answer":"ok","citations":[1,2,9,-1,2,3]}'), F.col("n"))
+    hits = F.array(F.struct(F.lit(0.0).alias("similarity"), F.lit(None).cast("double").alias("composite")), F.struct(F.col("sim").alias("similarity"), (F.col("sim") / 2).alias("composite")))
+    lines = F.array(F.struct(F.lit("order").alias("title"), F.col("k").cast("string").alias("deadline"), F.lit("src").alias("source")), F.struct(F.lit("other").alias("title"), F.lit(None).cast("string").alias("deadline"), F.lit("src").alias("source")))
+    said = C.by_table(F.col("o_orderstatus"), {"F": "Portal F"}, "other")
+    return o.select(
+        "o_orderkey", fact.alias("fact"), grounding.numeric_claim(answer).alias("claim"), grounding.strong_retrieval(hits).alias("strong"),
+        grounding.abstain(fact, F.col("n"), F.lit(1), F.lit(True), F.col("k") != 2, answer).alias("abstains"), F.array_join(cite["citations"], ",").alias("cited"), cite["answer"].alias("said"),
+        grounding.cited_satisfy(F.array(said), F.array(F.lit("portal f of the list")), F.lit(True)).alias("satisfied"), grounding.has_evidence(F.lit(" "), F.nullif(answer, F.lit(""))).alias("evidence"), grounding.deterministic_answer(lines).alias("lines"),
+    )
