@@ -47,10 +47,12 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, on a single machine only, one of our own."""
     global _own_dir
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         _own_dir = tempfile.mkdtemp(prefix="noticeflow-", dir="/tmp/checkpoints")
