@@ -7,7 +7,7 @@ one projection; a group's terms of one weight are one alternation.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,7 +87,7 @@ def group_hits(text: Cols, v: Vocabulary) -> Column:
 
 def best_group(text: Cols, v: Vocabulary, default: str | None = None, least: int = 1) -> Column:
     """CLS-02, CLS-03: the group with most hits; the earlier one of equals; default under least hits."""
-    best = F.array_max(F.transform(group_hits(text, v), lambda g: F.struct(g["hits"].alias("hits"), (-g["priority"]).alias("order"), g["name"].alias("name"))))
+    best = F.array_max(F.array(*[F.struct(count_terms(text, g.terms, g.mode).alias("hits"), F.lit(-g.priority).alias("order"), F.lit(g.name).alias("name")) for g in v.groups]))
     return F.when(best["hits"] >= least, best["name"]).otherwise(F.lit(default))
 
 
@@ -142,6 +142,30 @@ def layered_score(text: Cols, layers: Sequence[Layer], divisor: float, blocked:
     return score if blocked is None else F.when(blocked, 0).otherwise(score)
 
 
+def strongest_term(text: Cols, v: Vocabulary) -> Column:
+    """The heaviest term that occurs, for good or bad; of equals the earlier one."""
+    ranked = sorted(((g, t) for g in v.groups for t in g.terms), key=lambda x: -abs(x[0].weight))
+    return F.coalesce(*[F.when(has(text, [t], g.mode), t) for g, t in ranked], F.lit(None).cast("string"))
+
+
+def relevance(df: DataFrame, text: str, layers: Sequence[Layer], says: Mapping[str, str], divisor: float = 160, blocked: Sequence[str] = (), most: int = 5) -> DataFrame:
+    """SCO-02, SUB-11: df with score and reason: layered_score, and one sentence on the strongest term of each layer, most layers at most.
+
+    says: what to write before a layer's term, in the order of writing; a layer that needs another is silent where that one is. A blocked word
+    makes the score 0 and is the reason.
+    """
+    of_layer = {layer.name: layer for layer in layers}
+    found = {name: strongest_term(text, of_layer[name].vocabulary) for name in says}
+    out = df.withColumns({"score": layered_score(text, layers, divisor, has(text, blocked)), **{f"_t_{name}": c for name, c in found.items()}, "_block": strongest_term(text, of("", {"": list(blocked)}))})
+    silent = lambda name: F.lit(False) if of_layer[name].needs is None else F.col(f"_t_{of_layer[name].needs}").isNull()
+    said = [F.when(F.col(f"_t_{name}").isNotNull() & ~silent(name), F.concat(F.lit(words), F.col(f"_t_{name}"))) for name, words in says.items()]
+    some = F.slice(F.filter(F.array(*said), lambda x: x.isNotNull()), 1, most)
+    label = F.when(F.col("score") >= 75, "High relevance").when(F.col("score") >= 50, "Medium relevance").when(F.col("score") >= 25, "Low relevance").otherwise("Not relevant")
+    why = F.when(F.size(some) > 0, F.array_join(some, "; ")).otherwise("no keyword matched")
+    reason = F.when(F.col("_block").isNotNull(), F.concat(F.lit("Not relevant: blocked by "), F.col("_block"))).otherwise(F.concat(label, F.lit(": "), why))
+    return out.withColumn("reason", reason).drop("_block", *[f"_t_{name}" for name in says])
+
+
 def keyword_share(text: Cols, v: Vocabulary, high_value: Sequence[str] = (), bonus: int = 10) -> Column:
     """SCO-03: matched groups in percent of all, and a bonus for each of high value."""
     found = matching_groups(text, v)

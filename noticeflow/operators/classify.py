@@ -297,8 +297,8 @@ def red_flags(text: Column, value: Column, deadline: Column, as_of: Column, good
 
 
 def confidence_score(base: Column, shallow: Column, deep: Column, negative: Column) -> Column:
-    """OPP-01: a type's base and capped hits."""
-    return T.clamp(T.half_even(base + F.least(F.lit(20), shallow * 4) + F.least(F.lit(25), deep * 5) - F.least(F.lit(30), negative * 6))).cast("int")
+    """OPP-01: a type's base; 4 a shallow hit up to 18, 3 a deep one up to 12, less 6 a negative one up to 30."""
+    return T.clamp(T.half_even(base + F.least(F.lit(18), shallow * 4) + F.least(F.lit(12), deep * 3) - F.least(F.lit(30), negative * 6))).cast("int")
 
 
 def service_fit(base: Column, confidence: Column) -> Column:
@@ -307,8 +307,8 @@ def service_fit(base: Column, confidence: Column) -> Column:
 
 
 def procurement_penalty(n: Column, confidence: Column) -> Column:
-    """OPP-04: 6 a hit up to 28, 4 more where confidence is low."""
-    return F.least(F.lit(28), n * 6) + F.when(confidence < 40, 4).otherwise(0)
+    """OPP-04: 6 a hit up to 28, 4 more where confidence is below 45."""
+    return F.least(F.lit(28), n * 6) + F.when(confidence < 45, 4).otherwise(0)
 
 
 def capability(service: Column, sector: Column, client: Column) -> Column:
@@ -318,7 +318,7 @@ def capability(service: Column, sector: Column, client: Column) -> Column:
 
 
 def priority(model: Column, portfolio: Column, keyword: Column, adjustments: Column, expired: Column, divisor: float = 1.2) -> Column:
-    """OPP-06, OPP-10: 0.5 model, 0.3 portfolio, 0.2 keyword and adjustments, over divisor; 0 where expired."""
+    """The weighted sum of OPP-06 with adjustments made elsewhere, over divisor; 0 where expired. opportunity.score has the whole of it."""
     return F.when(F.coalesce(expired, F.lit(False)), 0).otherwise(T.clamp(T.half_even((0.5 * model + 0.3 * portfolio + 0.2 * keyword + adjustments) / divisor))).cast("int")
 
 
@@ -359,7 +359,7 @@ def early_score(recency: Column, sector: Column, geography: Column, strength: Co
 
 
 def firm_fit(text: Column, boosts: Vocabulary, penalties: Vocabulary, worst: float = -30) -> Column:
-    """EPS-04, OPP-03: boosts, and penalties down to a floor, with the first two reasons."""
+    """EPS-04: boosts, and penalties down to a floor, with the first two reasons."""
     from noticeflow.functions.vocab import weighted_sum
 
     minus = F.greatest(F.lit(float(worst)), weighted_sum(text, penalties, per_group=True))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import dates
 from noticeflow.functions import text as T
-from noticeflow.functions.vocab import best_group, first_group, keyword_share, longest_term, matching_groups, of
+from noticeflow.functions.vocab import Layer, best_group, first_group, keyword_share, longest_term, matching_groups, of, relevance
 from noticeflow.operators import classify as C
-from noticeflow.operators import grounding, listings
+from noticeflow.operators import grounding, listings, opportunity
 from noticeflow.plans.queries import AS_OF, as_of, query, table
 
 #: Of parts' names.
@@ -27,8 +27,8 @@ def orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumns({"base": cust % 101, "a": key % 9, "b": key % 7, "c": cust % 6, "sim": (key % 1000) / F.lit(1000.0)})
 
 
-@query(f"""WITH o AS (SELECT {_ORDER} FROM orders), s AS (SELECT *, greatest(0, least(100, base + least(20, a * 4) + least(25, b * 5) - least(30, c * 6)))::INT AS confidence FROM o)
-SELECT o_orderkey, confidence, round_even(0.8::DOUBLE * base + 0.2::DOUBLE * confidence, 0)::INT AS service, (least(28, c * 6) + CASE WHEN confidence < 40 THEN 4 ELSE 0 END)::INT AS penalty,
+@query(f"""WITH o AS (SELECT {_ORDER} FROM orders), s AS (SELECT *, greatest(0, least(100, base + least(18, a * 4) + least(12, b * 3) - least(30, c * 6)))::INT AS confidence FROM o)
+SELECT o_orderkey, confidence, round_even(0.8::DOUBLE * base + 0.2::DOUBLE * confidence, 0)::INT AS service, (least(28, c * 6) + CASE WHEN confidence < 45 THEN 4 ELSE 0 END)::INT AS penalty,
  greatest(0, least(100, round_even(0.7::DOUBLE * greatest(0, least(100, sim * 115)) + (1 - 0.7::DOUBLE) * base, 0)))::INT AS fit,
  least(100, a + b + c + base)::INT AS early, greatest(0, least(100, base + CASE WHEN a > 4 THEN 15 ELSE 0 END - CASE WHEN b = 0 THEN 30 ELSE 0 END))::INT AS boosted,
  CASE WHEN (base + confidence) / 2e0 >= 70 THEN 'bid' WHEN (base + confidence) / 2e0 >= 45 THEN 'consider' ELSE 'skip' END AS decision,
@@ -216,3 +216,91 @@ def grounding_rules(spark, sf_dir):
         grounding.abstain(fact, F.col("n"), F.lit(1), F.lit(True), F.col("k") != 2, answer).alias("abstains"), F.array_join(cite["citations"], ",").alias("cited"), cite["answer"].alias("said"),
         grounding.cited_satisfy(F.array(said), F.array(F.lit("portal f of the list")), F.lit(True)).alias("satisfied"), grounding.has_evidence(F.lit(" "), F.nullif(answer, F.lit(""))).alias("evidence"), grounding.deterministic_answer(lines).alias("lines"),
     )
+
+
+#: A firm that likes what the invented words of documents stand for.
+FIRM = opportunity.Profile(
+    type_fit={"evaluation": 90, "advisory": 70, "policy": 60},
+    importance={"src1": 80, "src2": 60, "src3": 40},
+    client_boost={"src1": 18, "src4": 10},
+    preferred_clients=("SRC2", "src4"),
+    preferred_regions=("fr",),
+    preferred_organisations=("src1", "src2"),
+    avoided_sectors=("es",),
+    avoided_words=("qu",),
+    consulting=("the ", "and", "der "),
+    procurement=("xx", "zu", "ck"),
+    single_person=("secret", "vor"),
+    strong_service=("which", "und "),
+    moderate_service=("with",),
+    strong_sector=("have",),
+    moderate_sector=("from", "fr$"),
+    top_clients=("src1",),
+    partner_clients=("src3", "que "),
+)
+
+
+def _any(text: str, *patterns: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, '{x}', 'i')" for x in patterns) + ")"
+
+
+def _number(text: str, *patterns: str) -> str:
+    return "(" + " + ".join(f"regexp_matches({text}, '{x}', 'i')::INT" for x in patterns) + ")"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS title, left(coalesce(text, ''), 200) AS rich, n_chars % 101 AS model, doc_id % 101 AS portfolio, doc_id * 7 % 101 AS keyword, CASE WHEN doc_id % 11 > 0 THEN n_chars * 3 % 101 END AS shadow,
+ CASE lang WHEN 'en' THEN 'evaluation' WHEN 'de' THEN 'advisory' WHEN 'fr' THEN 'policy' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'closing_soon' WHEN 1 THEN 'needs_action' WHEN 2 THEN 'plan_ahead' WHEN 3 THEN 'unknown' ELSE CASE WHEN doc_id % 3 = 0 THEN 'expired' END END AS due, doc_id % 13 > 0 AS consulting FROM documents),
+w AS (SELECT *, title || ' ' || text AS short, title || ' ' || text || ' ' || rich AS whole FROM d),
+h AS (SELECT *, {_number("whole", "xx", "zu", "ck")} AS negative, {_number("short", "the ", "and", "der ")} AS shallow, {_number("rich", "the ", "and", "der ")} AS deep, NOT {_any("whole", "secret", "vor")} AS firm,
+ CASE WHEN {_any("whole", "which", "und ")} THEN 5 WHEN {_any("whole", "with")} THEN 3 ELSE 0 END AS p1, CASE WHEN {_any("whole || ' ' || coalesce(lang, '')", "have")} THEN 4 WHEN {_any("whole || ' ' || coalesce(lang, '')", "from", "fr$")} THEN 2 ELSE 0 END AS p2,
+ CASE WHEN source = 'src1' THEN 8 WHEN {_any("coalesce(source, '') || ' ' || text", "src3", "que ")} THEN 3 ELSE 0 END AS p3,
+ least(100, CASE source WHEN 'src1' THEN 98 WHEN 'src2' THEN 68 WHEN 'src3' THEN 40 WHEN 'src4' THEN 33 ELSE 15 END + CASE WHEN lang = 'fr' THEN 4 ELSE 0 END) AS client FROM w),
+c AS (SELECT *, greatest(0, least(100, CASE kind WHEN 'evaluation' THEN 86 WHEN 'advisory' THEN 68 WHEN 'policy' THEN 72 ELSE 30 END + least(18, shallow * 4) + least(12, deep * 3) - least(30, negative * 6))) AS confidence FROM h),
+s AS (SELECT *, round_even(0.8::DOUBLE * CASE kind WHEN 'evaluation' THEN 90 WHEN 'advisory' THEN 70 WHEN 'policy' THEN 60 ELSE 30 END + 0.2::DOUBLE * confidence, 0)::INT AS service, least(28, negative * 6) + CASE WHEN confidence < 45 THEN 4 ELSE 0 END AS penalty FROM c),
+r AS (SELECT *, CASE WHEN due = 'expired' THEN 0 ELSE 0.5::DOUBLE * model + 0.3::DOUBLE * portfolio + 0.2::DOUBLE * keyword END + CASE WHEN kind IS NULL THEN -4e0 ELSE 0e0 END - CASE WHEN lang = 'es' THEN 12 ELSE 0 END - CASE WHEN contains(lower(title), 'qu') THEN 18 ELSE 0 END
+ + CASE WHEN source IN ('src1', 'src2') THEN 10 ELSE 0 END + CASE WHEN confidence >= 70 THEN 5 ELSE 0 END + CASE WHEN service >= 70 THEN 5 ELSE 0 END - CASE WHEN penalty >= 15 THEN 15 ELSE 0 END - CASE WHEN firm THEN 0 ELSE 10 END
+ + (service + client + confidence - 150) * 0.06::DOUBLE + (CASE due WHEN 'closing_soon' THEN 82 WHEN 'needs_action' THEN 100 WHEN 'plan_ahead' THEN 52 WHEN 'expired' THEN 0 ELSE 35 END - 50) * 0.08::DOUBLE + least(12e0, p1 + p2 + p3 / 8e0 * 5) AS raw FROM s),
+e AS (SELECT *, CASE WHEN NOT consulting OR due = 'expired' THEN 0 ELSE least(CASE WHEN firm THEN 100 ELSE 10 END, round_even(round_even(greatest(0e0, least(100e0, raw / 1.2::DOUBLE)), 1), 0))::INT END AS engine FROM r),
+f AS (SELECT *, CASE WHEN engine = 0 THEN 0 ELSE least(CASE WHEN firm THEN 100 ELSE 15 END, round_even(0.45::DOUBLE * engine + 0.35::DOUBLE * coalesce(shadow, 50) + 0.2::DOUBLE * ((p1 + p2 + p3) / 17e0 * 100), 0))::INT END AS blended FROM e)
+SELECT doc_id, confidence::INT AS confidence, service AS service_fit, client::INT AS client_fit, penalty::INT AS penalty, firm AS firm_eligible, engine AS engine_score, blended AS priority_score, blended = 0 AND keyword = 0 AS low_confidence,
+ concat_ws('; ', CASE WHEN NOT consulting THEN 'Excluded: goods' WHEN engine = 0 AND keyword = 0 THEN 'No data' WHEN engine = 0 THEN 'Unscored' ELSE CASE WHEN engine >= 70 THEN 'Strong' WHEN engine >= 40 THEN 'Medium' ELSE 'Low' END || ' fit: ' || coalesce(kind, 'unknown') || ', client=' || client || ', service=' || service || ', confidence=' || confidence || ', penalty=' || penalty END,
+ CASE WHEN NOT firm THEN 'for one person' END, CASE WHEN p1 = 5 THEN 'service match' END, CASE WHEN p2 = 4 THEN 'sector match' END, CASE p3 WHEN 8 THEN 'client match' WHEN 3 THEN 'partner match' END) AS note FROM f""")
+def opportunity_scores(spark, sf_dir):
+    """OPP-01 to OPP-06, OPP-10 to OPP-12: scores of all documents as notices, with gates, blend and note."""
+    n = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").withColumns({
+        "title": F.split(F.coalesce("text", F.lit("")), "\n")[0], "rich_text": F.left(F.coalesce("text", F.lit("")), F.lit(200)), "organization": F.col("source"), "sector": F.col("lang"), "region": F.col("lang"),
+        "consulting_type": C.by_table(F.col("lang"), {"en": "evaluation", "de": "advisory", "fr": "policy"}),
+        "deadline_category": C.first_match([(n % 5 == 0, "closing_soon"), (n % 5 == 1, "needs_action"), (n % 5 == 2, "plan_ahead"), (n % 5 == 3, "unknown"), (n % 3 == 0, "expired")]),
+        "model": F.col("n_chars") % 101, "portfolio": n % 101, "keyword": n * 7 % 101, "shadow": F.when(n % 11 > 0, F.col("n_chars") * 3 % 101), "rerank": F.lit(0.0), "consulting": n % 13 > 0, "exclusion_reason": F.lit("goods"),
+    })
+    return opportunity.score(d, FIRM).select("doc_id", "confidence", "service_fit", "client_fit", "penalty", "firm_eligible", "engine_score", "priority_score", "low_confidence", "note")
+
+
+def _words(**groups: float) -> object:
+    return of("words", {w: {"terms": [w], "weight": n} for w, n in groups.items()})
+
+
+#: Eight layers, each with the bounds of what it may add.
+LAYERS = [
+    Layer("service", _words(the=9, which=5), 0, 12), Layer("negative", of("words", {"not": {"terms": ["not"], "weight": -12}, "no": {"terms": ["no"], "weight": -25}}), -30, 0),
+    Layer("sector", of("words", {"with": {"terms": ["with"], "weight": 6}, "from": {"terms": ["from"], "weight": 8}}), 0, 10, needs="service"), Layer("geography", _words(der=7, le=4), 0, 15), Layer("fit", of("words", {"and": {"terms": ["and"], "weight": 10}}), 0, 20),
+    Layer("mismatch", _words(was=-9), -25, 0), Layer("method", of("words", {"is": {"terms": ["is"], "weight": 4}, "are": {"terms": ["are"], "weight": 5}}), 0, 7), Layer("client", of("words", {"for": {"terms": ["for"], "weight": 6}}), 0, 10),
+]
+SAYS = {"service": "service ", "sector": "sector ", "geography": "geography ", "negative": "penalised for ", "fit": "fits ", "mismatch": "does not fit ", "method": "method ", "client": "client "}
+
+
+def _w(word: str) -> str:
+    return f"regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{{L}}\\p{{N}}_])({word})([^\\p{{L}}\\p{{N}}_]|$)') AS w_{word}"
+
+
+@query(f"""WITH h AS (SELECT doc_id, {", ".join(map(_w, "the which not no with from der le and was is are for secret password".split()))} FROM documents),
+s AS (SELECT *, CASE WHEN w_secret OR w_password THEN 0 ELSE greatest(0, least(100, round_even((least(12, 9 * w_the::INT + 5 * w_which::INT) + greatest(-30, -12 * w_not::INT - 25 * w_no::INT) + CASE WHEN w_the OR w_which THEN least(10, 8 * w_from::INT + 6 * w_with::INT) ELSE 0 END
+ + least(15, 7 * w_der::INT + 4 * w_le::INT) + 10 * w_and::INT - 9 * w_was::INT + least(7, 5 * w_are::INT + 4 * w_is::INT) + 6 * w_for::INT) * 100e0 / 64, 0)))::INT END AS score FROM h),
+p AS (SELECT *, list_filter([CASE WHEN w_the THEN 'service the' WHEN w_which THEN 'service which' END, CASE WHEN NOT (w_the OR w_which) THEN NULL WHEN w_from THEN 'sector from' WHEN w_with THEN 'sector with' END, CASE WHEN w_der THEN 'geography der' WHEN w_le THEN 'geography le' END,
+ CASE WHEN w_no THEN 'penalised for no' WHEN w_not THEN 'penalised for not' END, CASE WHEN w_and THEN 'fits and' END, CASE WHEN w_was THEN 'does not fit was' END, CASE WHEN w_are THEN 'method are' WHEN w_is THEN 'method is' END, CASE WHEN w_for THEN 'client for' END], lambda x: x IS NOT NULL)[1:5] AS said FROM s)
+SELECT doc_id, score, CASE WHEN w_secret THEN 'Not relevant: blocked by secret' WHEN w_password THEN 'Not relevant: blocked by password' ELSE CASE WHEN score >= 75 THEN 'High relevance' WHEN score >= 50 THEN 'Medium relevance' WHEN score >= 25 THEN 'Low relevance' ELSE 'Not relevant' END || ': ' || CASE WHEN len(said) > 0 THEN array_to_string(said, '; ') ELSE 'no keyword matched' END END AS reason FROM p""")
+def relevance_layers(spark, sf_dir):
+    """SCO-02, SUB-11: eight capped layers, one of which needs another, blocked words, and the sentence that says why."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return relevance(d, "text", LAYERS, SAYS, 64, ["secret", "password"]).select("doc_id", "score", "reason")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.functions import dates, text as T, vocab
-from noticeflow.operators import classify, dedup, documents, grounding, health, lifecycle, normalize, search, upsert, vectors
+from noticeflow.functions.vocab import Layer, of, relevance
+from noticeflow.operators import classify, dedup, documents, grounding, health, lifecycle, normalize, opportunity, search, upsert, vectors
 from noticeflow.plans import views
 from noticeflow.streaming import streams
 
@@ -312,3 +313,38 @@ def test_entry_has_every_query():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "content_hash_dupes" in e.queries()
+
+
+def test_opportunity_gates_and_missing_values(spark):
+    firm = opportunity.Profile(type_fit={"evaluation": 90}, importance={"A": 90}, consulting=("assess",), procurement=("supply",), single_person=(r"\bsole expert\b",), strong_service=("assess",), top_clients=("A",))
+    fields = "id int, title string, text string, rich_text string, consulting_type string, organization string, sector string, region string, deadline_category string, model double, portfolio double, keyword int, shadow double, rerank double, consulting boolean, exclusion_reason string"
+    good = ("Assess it", "assess", "assess", "evaluation", "A", "s", "r", "needs_action", 90.0, 80.0, 90, 80.0, 2.0, True, None)
+    rows = [(1, *good), (2, *good[:7], "expired", *good[8:]), (3, *good[:13], False, "goods"), (4, "Sole expert", *good[1:]), (5, *[None] * 15)]
+    got = {r["id"]: r for r in opportunity.score(spark.createDataFrame(rows, fields), firm).collect()}
+    assert got[1]["confidence"] == 93 and got[1]["cap_client"] == 8 and got[1]["priority_score"] > 70 and got[1]["note"].startswith("Strong")
+    assert [got[i]["priority_score"] for i in (2, 3, 5)] == [0, 0, 0] and got[3]["note"].startswith("Excluded: goods")
+    assert got[4]["engine_score"] == 10 and got[4]["priority_score"] == 15 and not got[4]["firm_eligible"]
+    assert got[5]["low_confidence"] and got[5]["confidence"] == 30 and got[5]["client_fit"] == 15
+
+
+def test_relevance_says_why(spark):
+    layers = [Layer("service", of("s", {"a": {"terms": ["study"], "weight": 5}, "b": {"terms": ["survey"], "weight": 9}}), 0, 10), Layer("sector", of("x", {"w": {"terms": ["water"], "weight": 8}}), 0, 8, needs="service")]
+    df = spark.createDataFrame([(1, "A study and survey of water"), (2, "water pipes"), (3, "survey of weapons"), (4, None), (5, "")], "id int, text string")
+    got = {r["id"]: (r["score"], r["reason"]) for r in relevance(df, "text", layers, {"service": "service ", "sector": "sector "}, 20, ["weapons"]).collect()}
+    assert got == {1: (90, "High relevance: service survey; sector water"), 2: (0, "Not relevant: no keyword matched"), 3: (0, "Not relevant: blocked by weapons"), 4: (0, "Not relevant: no keyword matched"), 5: (0, "Not relevant: no keyword matched")}
+
+
+@pytest.mark.parametrize("clients", [["a", "b", None], [1, 2, None]])
+def test_rate_limit_over_batches(spark, clients):
+    made = [(i, c, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=37 * i % 400)) for i in range(120) for c in clients]
+    made = [(n, c, t) for n, (_, c, t) in enumerate(made)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r["id"]: r["admitted"] for r in streams.rate_limit(spark.createDataFrame(made, ["id", "client", "ts"]), 60, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for c in clients:
+        own = sorted((t.timestamp(), n) for n, x, t in made if x == c)
+        want |= dict(zip([n for _, n in own], streams.admitted([t for t, _ in own], [], 60, 3)[0], strict=True))
+    assert got == want
