@@ -92,9 +92,9 @@ def tokens(c: Cols, stop_words: Sequence[str] = (), least: int = 1) -> Column:
 
 def content_hash(c: Cols, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """NRM-03: md5 of the sorted words of a title, blind to case, order, punctuation and stop words."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9 ]", ""), r"\s+")
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9 ]+", ""), " +")
     kept = F.filter(words, lambda w: (w != "") & ~w.isin(*stop_words))
-    return F.md5(F.array_join(F.array_sort(kept), " "))
+    return F.md5(F.array_join(F.sort_array(kept), " "))
 
 
 def key_hash(*columns: Cols) -> Column:

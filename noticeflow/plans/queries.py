@@ -227,8 +227,8 @@ HASH_SQL = f"""md5(array_to_string(list_sort(list_filter(regexp_split_to_array(r
 SELECT h.doc_id, content_hash, canonical_id FROM h JOIN f USING (content_hash) WHERE h.doc_id <> canonical_id""")
 def content_hash_dupes(spark, sf_dir):
     """NRM-03, DED-02"""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("seq"), T.content_hash("text").alias("content_hash"))
-    return dedup.hash_duplicates(d, id_col="doc_id").select("doc_id", "content_hash", "canonical_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("content_hash"))
+    return dedup.hash_duplicates(d, id_col="doc_id", seen="doc_id").select("doc_id", "content_hash", "canonical_id")
 
 
 NORM_SQL = "trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))"
@@ -305,7 +305,16 @@ def sector_argmax(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", best_group(lc, SECTORS, "General").alias("sector"), sum((T.count_terms(lc, g.terms) for g in SECTORS.groups), F.lit(0)).alias("n_hits"))
 
 
-@query()
+def _has_sql(column: str, terms: tuple[str, ...]) -> str:
+    return f"regexp_matches(lower(coalesce({column}, '')), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(terms)})([^\\p{{L}}\\p{{N}}_]|$)')"
+
+
+_GROUPS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_has_sql('text', g.terms)} THEN '{g.name}' END" for g in SERVICES.groups) + "], lambda x: x IS NOT NULL)"
+_CLASSES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_has_sql('text', g.terms)} THEN '{g.name}' END" for g in SECTORS.groups) + "], lambda x: x IS NOT NULL)"
+
+
+@query("WITH d AS (SELECT doc_id, text, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents), p AS (SELECT *, list_sort(list_filter([" + ", ".join(f"{{'o': -({_has_sql('title', g.terms)}::INT * 3 + {_has_sql('text', g.terms)}::INT), 'p': {i}, 'name': '{g.name}'}}" for i, g in enumerate(SECTORS.groups)) + f"""], lambda x: x.o < 0)) AS r FROM d)
+SELECT doc_id, '[' || array_to_string(list_transform(r, lambda x: '{{"name":"' || x.name || '","points":' || -x.o || '}}'), ',') || ']' AS ranked, array_to_string({_GROUPS_SQL}, ',') AS groups FROM p""")
 def title_body_classes(spark, sf_dir):
     """CLS-01, SCO-01: classes by points of title and body."""
     d = table(spark, sf_dir, "documents").withColumn("title", title())
@@ -518,7 +527,10 @@ def decision_accuracy(spark, sf_dir):
     return a.select(*[F.round(c, 6).alias(c) for c in ("coverage", "win_rate", "top_precision")])
 
 
-@query()
+@query(f"""WITH {STATS_SQL}, t AS (SELECT sum(total)::DOUBLE AS total, sum(decided)::DOUBLE AS decided, sum(won)::DOUBLE AS won, sum(lost)::DOUBLE AS lost FROM s),
+a AS (SELECT t.decided / t.total AS coverage, t.won / nullif(t.won + t.lost, 0) AS win_rate, s.won / nullif(s.won + s.lost, 0)::DOUBLE AS top_precision, s.won / nullif(t.won, 0) AS top_recall, s.total / t.total AS top_share, s.bids / nullif(s.decided, 0)::DOUBLE AS top_bid_rate FROM s, t WHERE tier = 'BID_NOW'),
+r AS (SELECT *, CASE WHEN top_bid_rate < 0.5 THEN 'raise score' WHEN top_precision < 0.2 THEN 'raise confidence' WHEN top_share < 0.05 THEN 'lower score' ELSE 'keep' END AS rule FROM a)
+SELECT *, 75e0 + CASE rule WHEN 'raise score' THEN 5 WHEN 'lower score' THEN -3 ELSE 0 END AS score, 0.70e0 + CASE rule WHEN 'raise confidence' THEN 0.05e0 ELSE 0e0 END AS confidence FROM r""")
 def threshold_suggestion(spark, sf_dir):
     """CAL-02, CAL-03"""
     return lifecycle.suggest_thresholds(lifecycle.accuracy(lifecycle.tier_stats(life(spark, sf_dir))))
@@ -580,7 +592,10 @@ def keyed_upsert(spark, sf_dir):
     return upsert.upsert(old, new, ["user_id", "event_type"], "v").select("user_id", "event_type", "event_id", "value")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, true AS admitted, [t] AS recent FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, n, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END FROM (SELECT e.*, list_filter(r.recent, lambda x: x > e.t - 3600) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id AS client, event_id AS id, admitted FROM r""")
 def rate_limit(spark, sf_dir):
     """STM-01: events of a user within an hour, three at most; rejected ones don't count."""
     return streams.rate_limit(table(spark, sf_dir, "events"), 3600, 3, "user_id", "ts", "event_id")
@@ -722,7 +737,8 @@ def imputed_country(spark, sf_dir):
     return normalize.impute(s, n, "s_nationkey", ["country"]).select("s_suppkey", "country")
 
 
-@query()
+@query(f"""WITH g AS (SELECT doc_id, {_CLASSES_SQL} AS good, {_GROUPS_SQL} AS bad FROM documents), n AS (SELECT *, len(good) - len(bad) AS net FROM g)
+SELECT doc_id, '{{"labels":[' || array_to_string(list_transform(list_concat(good, bad), lambda x: '"' || x || '"'), ',') || '],"tier":"' || CASE WHEN net >= 3 THEN 'strong' WHEN net >= 1 THEN 'moderate' WHEN len(good) > 0 THEN 'weak' ELSE 'none' END || '","change":' || net * 5 || '}}' AS signal FROM n""")
 def signal_tiers(spark, sf_dir):
     """CLS-27, CLS-28, DOC-14: tiers of documents by positive and negative words."""
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(classify.signal_tier(F.col("text"), SECTORS, SERVICES)).alias("signal"))
