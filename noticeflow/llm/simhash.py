@@ -1,7 +1,7 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Fingerprints within 4 bits agree in at least two of six bit ranges, so those that share a pair of ranges
-meet in a bucket. Within buckets, bit planes are stored vertically: a word holds one bit of 64
+meet in a bucket; very large buckets are split in the same way by their other bits. Within buckets, bit planes are stored vertically: a word holds one bit of 64
 fingerprints, and 64 distances grow at once in carry-save counters of three bits and an overflow; after
 every eight planes, words in which all distances exceed the radius are abandoned. Equal fingerprints
 count once, and a bucket gives each fingerprint one link to a smaller one of its group at most, not
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import Scratch, begin, byte_views, components, join_by_hot_key
+from noticeflow.llm.common import HOT_KEYS, Scratch, begin, byte_views, components, join_by_hot_key
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
@@ -30,6 +30,10 @@ RANGES = (11, 11, 11, 11, 10, 10)
 #: Words of 64 fingerprints that are compared at a time, and rows that a task holds before it compares.
 WORDS_AT_ONCE, ROWS_AT_ONCE = 1 << 16, 200_000
 
+#: A bucket is split by its other bits if one in COUNTED of its rows, which are dealt by hash, are over 1 / COUNTED of this many, or of
+#: 1 / HOT_KEYS of all rows where that is more. So there are 15 * HOT_KEYS such buckets at most.
+SPLIT_FROM, COUNTED = 50_000, 16
+
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, n: int = 1) -> list[int]:
     """n fingerprints of a text in UTF-8, as signed 64-bit integers; those after the first are of the shingles' hashes mixed anew."""
@@ -142,26 +146,51 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> t
     return tied, label[tied]
 
 
-def _masks() -> list[int]:
+def _pairs(bits: list[int], sizes: tuple[int, ...]) -> list[int]:
+    """Masks of any two of the ranges that sizes make of bits."""
     ranges, at = [], 0
-    for size in RANGES:
-        ranges.append(((1 << size) - 1) << at)
+    for size in sizes:
+        ranges.append(sum(1 << b for b in bits[at : at + size]))
         at += size
     return [a | b for a, b in combinations(ranges, 2)]
 
 
+def _masks() -> list[int]:
+    return _pairs(list(range(64)), RANGES)
+
+
+def _finer(mask: int) -> list[int]:
+    """Masks of a bucket's parts: its own bits and two of six ranges of the others, two of which fingerprints within four bits share again."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    n = len(rest)
+    return [mask | m for m in _pairs(rest, tuple(n * (i + 1) // 6 - n * i // 6 for i in range(6)))]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """i, a, b: links between close fingerprints of one i of distinct (columns i and fp, each once) that connect what is close."""
+    """i, a, b: links between close fingerprints of one i of distinct (columns i and fp, each once) that connect what is close.
+
+    Buckets with very many fingerprints are split into 15 by their other bits; that is as whole, so how they are counted matters for balance only.
+    """
     masks = _masks()
+    kinds = len(masks) * (1 + len(masks))  # buckets and their parts
     keys = F.array(*[F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for j, m in enumerate(masks)])
-    rows = distinct.select("i", "fp", F.explode(keys).alias("x")).select((F.col("i") * len(masks) + F.col("x.j")).cast("int").alias("t"), "x.k", "fp").repartition("t", "k").sortWithinPartitions("t", "k", "fp")
+    buckets = lambda df: df.select("i", "fp", F.explode(keys).alias("x")).select("i", "x.j", "x.k", "fp")
+    most = max(SPLIT_FROM, distinct.count() // HOT_KEYS)
+    counted = buckets(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(COUNTED)) == 0)).groupBy("i", "j", "k").count()
+    hot = counted.where(F.col("count") * COUNTED > most).select("i", "j", "k", F.lit(True).alias("hot"))
+    finer = F.array(*[F.array(*[F.lit(_signed(m)) for m in _finer(mask)]) for mask in masks])
+    parts = F.transform(F.get(finer, F.col("j")), lambda m, s: F.struct(((F.col("j") + 1) * len(masks) + s).alias("t"), F.col("fp").bitwiseAND(m).alias("k")))
+    whole = F.array(F.struct(F.col("j").alias("t"), F.col("k").alias("k")))
+    rows = buckets(distinct).join(F.broadcast(hot), ["i", "j", "k"], "left").select("i", "fp", F.explode(F.when(F.col("hot"), parts).otherwise(whole)).alias("x"))
+    rows = rows.select((F.col("i") * kinds + F.col("x.t")).cast("int").alias("t"), "x.k", "fp").repartition("t", "k").sortWithinPartitions("t", "k", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        open_rows = 0  # of a bucket that goes on, which wait for as many new rows again
 
         def compared(last: bool) -> Iterator[pa.RecordBatch]:
             t, k, fp = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -170,12 +199,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             held[:] = [(t[cut:], k[cut:], fp[cut:])]
             if cut:
                 a, b = bucket_links(np.cumsum(changes[:cut]), fp[:cut].view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array((t[a] // len(masks)).astype(np.int32)), pa.array(fp[a]), pa.array(fp[b])], names=["i", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array((t[a] // kinds).astype(np.int32)), pa.array(fp[a]), pa.array(fp[b])], names=["i", "a", "b"])
 
         for batch in batches:
             held.append(tuple(batch.column(c).to_numpy() for c in ("t", "k", "fp")))
-            if sum(len(x[0]) for x in held) >= ROWS_AT_ONCE:
+            if sum(len(x[0]) for x in held) >= max(ROWS_AT_ONCE, 2 * open_rows):
                 yield from compared(False)
+                open_rows = len(held[0][0])
         if sum(len(x[0]) for x in held):
             yield from compared(True)
 

@@ -394,6 +394,43 @@ def test_ranges_find_all_links(spark):
     assert len(roots) == len(fps) - 1 and len({r["root"] for r in roots}) == 1
 
 
+def test_split_buckets_find_all_links(spark, monkeypatch):
+    """Buckets that are split and read in several goes, with fingerprints that differ in four bits of one bucket's parts, link what brute force does."""
+    monkeypatch.setattr(simhash, "SPLIT_FROM", 2)
+    monkeypatch.setattr(simhash, "COUNTED", 1)
+    monkeypatch.setattr(simhash, "ROWS_AT_ONCE", 5)
+    rng = np.random.default_rng(5)
+    core = [int(x) for x in rng.integers(0, 1 << 63, 12)]
+    fps = {0, *core}
+    for x in core:
+        for n in (1, 2, 3, 4, 5, 6):
+            y = x
+            for b in rng.choice(64, n, replace=False):
+                y ^= 1 << int(b)
+            fps.add(y)
+    fps = sorted(fps)
+    made = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i in (0, 3) for f in fps], "i int, fp long")
+    found = [(r["i"], r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(made).collect()]
+
+    def roots(pairs):
+        root = {f: f for f in fps}
+
+        def of(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = of(a), of(b)
+            root[max(a, b)] = min(a, b)
+        return {f: of(f) for f in fps}
+
+    want = roots([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+    for i in (0, 3):
+        assert roots([(a, b) for x, a, b in found if x == i]) == want
+
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
     got = {r["node"]: r["root"] for r in components(Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
