@@ -58,8 +58,13 @@ def _graded(strong: Column, moderate: Column, points: tuple[int, int]) -> Column
     return first_match([(strong, points[0]), (moderate, points[1])], 0)
 
 
+def _settled(c: Column) -> Column:
+    """A sum of decimal points without the error of its floats, so that a tie is a tie in whatever order it was added up."""
+    return F.round(c.cast("double"), 6)
+
+
 def _whole(c: Column) -> Column:
-    return T.clamp(T.half_even(c.cast("double"))).cast("int")
+    return T.clamp(T.half_even(_settled(c))).cast("int")
 
 
 def client_fit(organisation: Column, region: Column, p: Profile) -> Column:
@@ -121,7 +126,7 @@ def priority(p: Profile, divisor: float = 1.2) -> Column:
     """OPP-06: 0.5 model, 0.3 portfolio and 0.2 keyword points (none where expired) with adjustments, over divisor, from 0 to 100, one decimal."""
     evidence = 0.5 * F.col("model") + 0.3 * F.col("portfolio") + 0.2 * T.clamp(F.col("keyword"))
     evidence = F.when(F.coalesce(F.col("deadline_category") == "expired", F.lit(False)), 0.0).otherwise(F.coalesce(evidence, F.lit(0.0)))
-    return F.rint(T.clamp((evidence + adjustments(p)) / divisor) * 10) / 10
+    return F.rint(_settled(T.clamp((evidence + adjustments(p)) / divisor) * 10)) / 10
 
 
 def score(df: DataFrame, p: Profile) -> DataFrame:

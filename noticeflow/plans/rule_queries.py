@@ -260,8 +260,8 @@ s AS (SELECT *, round_even(0.8::DOUBLE * CASE kind WHEN 'evaluation' THEN 90 WHE
 r AS (SELECT *, CASE WHEN due = 'expired' THEN 0 ELSE 0.5::DOUBLE * model + 0.3::DOUBLE * portfolio + 0.2::DOUBLE * keyword END + CASE WHEN kind IS NULL THEN -4e0 ELSE 0e0 END - CASE WHEN lang = 'es' THEN 12 ELSE 0 END - CASE WHEN contains(lower(title), 'qu') THEN 18 ELSE 0 END
  + CASE WHEN source IN ('src1', 'src2') THEN 10 ELSE 0 END + CASE WHEN confidence >= 70 THEN 5 ELSE 0 END + CASE WHEN service >= 70 THEN 5 ELSE 0 END - CASE WHEN penalty >= 15 THEN 15 ELSE 0 END - CASE WHEN firm THEN 0 ELSE 10 END
  + (service + client + confidence - 150) * 0.06::DOUBLE + (CASE due WHEN 'closing_soon' THEN 82 WHEN 'needs_action' THEN 100 WHEN 'plan_ahead' THEN 52 WHEN 'expired' THEN 0 ELSE 35 END - 50) * 0.08::DOUBLE + least(12e0, p1 + p2 + p3 / 8e0 * 5) AS raw FROM s),
-e AS (SELECT *, CASE WHEN NOT consulting OR due = 'expired' THEN 0 ELSE least(CASE WHEN firm THEN 100 ELSE 10 END, round_even(round_even(greatest(0e0, least(100e0, raw / 1.2::DOUBLE)), 1), 0))::INT END AS engine FROM r),
-f AS (SELECT *, CASE WHEN engine = 0 THEN 0 ELSE least(CASE WHEN firm THEN 100 ELSE 15 END, round_even(0.45::DOUBLE * engine + 0.35::DOUBLE * coalesce(shadow, 50) + 0.2::DOUBLE * ((p1 + p2 + p3) / 17e0 * 100), 0))::INT END AS blended FROM e)
+e AS (SELECT *, CASE WHEN NOT consulting OR due = 'expired' THEN 0 ELSE least(CASE WHEN firm THEN 100 ELSE 10 END, round_even(round_even(round(greatest(0e0, least(100e0, raw / 1.2::DOUBLE)) * 10, 6), 0) / 10, 0))::INT END AS engine FROM r),
+f AS (SELECT *, CASE WHEN engine = 0 THEN 0 ELSE least(CASE WHEN firm THEN 100 ELSE 15 END, round_even(round(0.45::DOUBLE * engine + 0.35::DOUBLE * coalesce(shadow, 50) + 0.2::DOUBLE * ((p1 + p2 + p3) / 17e0 * 100), 6), 0))::INT END AS blended FROM e)
 SELECT doc_id, confidence::INT AS confidence, service AS service_fit, client::INT AS client_fit, penalty::INT AS penalty, firm AS firm_eligible, engine AS engine_score, blended AS priority_score, blended = 0 AND keyword = 0 AS low_confidence,
  concat_ws('; ', CASE WHEN NOT consulting THEN 'Excluded: goods' WHEN engine = 0 AND keyword = 0 THEN 'No data' WHEN engine = 0 THEN 'Unscored' ELSE CASE WHEN engine >= 70 THEN 'Strong' WHEN engine >= 40 THEN 'Medium' ELSE 'Low' END || ' fit: ' || coalesce(kind, 'unknown') || ', client=' || client || ', service=' || service || ', confidence=' || confidence || ', penalty=' || penalty END,
  CASE WHEN NOT firm THEN 'for one person' END, CASE WHEN p1 = 5 THEN 'service match' END, CASE WHEN p2 = 4 THEN 'sector match' END, CASE p3 WHEN 8 THEN 'client match' WHEN 3 THEN 'partner match' END) AS note FROM f""")
