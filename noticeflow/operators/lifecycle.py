@@ -67,9 +67,13 @@ def apply_outcomes(stored: DataFrame, given: DataFrame, as_of: Column) -> tuple[
     return out.drop("_o", "_d"), g.where("error IS NOT NULL").select("tender_id", "error")
 
 
-def partial_update(stored: DataFrame, given: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """LIF-05, SUB-13, SUB-14, SUB-28, UPS-04: given values over stored ones, blank to null, absent (null) leaves the old; no inserts."""
-    g = given.groupBy(key).agg(*[F.max(c).alias(f"_g_{c}") for c in columns])
+def partial_update(stored: DataFrame, given: DataFrame, key: str, columns: Sequence[str], newest: str | None = None) -> DataFrame:
+    """LIF-05, SUB-13, SUB-14, SUB-28, UPS-04: given values over stored ones, blank to null, absent (null) leaves the old; no inserts.
+
+    Of several values given for a key the one with the greatest newest (a column of given) counts, without newest the greatest value.
+    """
+    given_value = lambda c: F.max(c) if newest is None else F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(newest, c)))
+    g = given.groupBy(key).agg(*[given_value(c).alias(f"_g_{c}") for c in columns])
     is_text = {f.name: f.dataType.simpleString() == "string" for f in stored.schema}
     take = lambda c: F.when(F.col(f"_g_{c}").isNull(), F.col(c)).otherwise(F.nullif(F.trim(f"_g_{c}"), F.lit("")) if is_text[c] else F.col(f"_g_{c}"))
     return stored.join(g, key, "left").withColumns({c: take(c) for c in columns}).drop(*[f"_g_{c}" for c in columns])

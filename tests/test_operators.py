@@ -348,3 +348,11 @@ def test_rate_limit_over_batches(spark, clients):
         own = sorted((t.timestamp(), n) for n, x, t in made if x == c)
         want |= dict(zip([n for _, n in own], streams.admitted([t for t, _ in own], [], 60, 3)[0], strict=True))
     assert got == want
+
+
+def test_partial_update_takes_the_newest(spark):
+    stored = spark.createDataFrame([(1, "old", 5), (2, "old", 5)], "id int, owner string, n int")
+    given = spark.createDataFrame([(1, "z", None, 1), (1, "a", 7, 2), (1, None, None, 3), (2, " ", None, 1), (3, "x", 1, 1)], "id int, owner string, n int, at int")
+    got = lambda **k: sorted(map(tuple, lifecycle.partial_update(stored, given, "id", ["owner", "n"], **k).collect()))
+    assert got(newest="at") == [(1, "a", 7), (2, None, 5)]
+    assert got() == [(1, "z", 7), (2, None, 5)]
