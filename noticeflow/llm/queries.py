@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality, simhash, sstable, suffix_dedup, token_counts
+from noticeflow.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality, simhash, sstable, suffix_dedup, token_counts, turn_repair
 from noticeflow.llm.common import Scratch, let_workers_import
 
 
@@ -106,8 +106,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.schema_of(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return turn_repair.repair_report(spark, rows.withColumnRenamed("conv", "conv_id"), turn_repair.damage(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_line_dedup, op3_token_shards, op4_quality_rules, op5_best_fit_packing, op6_exact_dedup, op7_chat_formatting, op8_simhash, op9_suffix_dedup, op10_byte_bpe)
+    for f in (op1_token_counts, op2_line_dedup, op3_token_shards, op4_quality_rules, op5_best_fit_packing, op6_exact_dedup, op7_chat_formatting, op8_simhash, op9_suffix_dedup, op10_byte_bpe, op13_turn_repair)
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL}
