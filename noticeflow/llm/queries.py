@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality, simhash, sstable, suffix_dedup, token_counts, turn_repair
+from noticeflow.llm import byte_bpe, chat_format, exact_dedup, lexical_search, line_dedup, packing, pii, quality, simhash, sstable, suffix_dedup, token_counts, turn_repair
 from noticeflow.llm.common import Scratch, let_workers_import
 
 
@@ -106,6 +106,31 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.top_documents(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT r, doc_id, len(w)::BIGINT AS n, w FROM t WHERE len(w) > 0),
+s AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nl FROM d),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+q AS (SELECT i, item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY i, item_id, term),
+g AS (SELECT i, item_id, d.r, d.doc_id,
+    sum(times * floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nl))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (r), s GROUP BY i, item_id, d.r, d.doc_id),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turn_repair.schema_of(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     return turn_repair.repair_report(spark, rows.withColumnRenamed("conv", "conv_id"), turn_repair.damage(rows))
@@ -113,6 +138,6 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_line_dedup, op3_token_shards, op4_quality_rules, op5_best_fit_packing, op6_exact_dedup, op7_chat_formatting, op8_simhash, op9_suffix_dedup, op10_byte_bpe, op13_turn_repair)
+    for f in (op1_token_counts, op2_line_dedup, op3_token_shards, op4_quality_rules, op5_best_fit_packing, op6_exact_dedup, op7_chat_formatting, op8_simhash, op9_suffix_dedup, op10_byte_bpe, op11_lexical_search, op12_pii, op13_turn_repair)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_formatting": OP7_SQL, "op11_lexical_search": OP11_SQL}
