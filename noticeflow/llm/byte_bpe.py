@@ -230,26 +230,49 @@ class _Known(dict):
 
 
 class _Joined:
-    """Values of words, of any length, in one array; it joins those of a list of words, cut into rows."""
+    """Ids of words, of any number, in one array; it joins those of a list of words, cut into rows."""
 
-    def __init__(self, kind: str):
-        self.flat, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
+    def __init__(self) -> None:
+        self.flat, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, flat])
 
-    def rows(self, words: np.ndarray, sizes: np.ndarray) -> pa.Array:
-        """For each row, which has sizes words, their values one after another."""
+    def rows(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and where each row, which has sizes words, begins and the last one ends."""
         first = self.ends[words]
         own = self.ends[words + 1] - first
         ends = np.concatenate([[0], np.cumsum(own)])
         at = np.repeat(first - ends[:-1], own)
         at += np.arange(len(at))
-        offsets = self.flat.itemsize * ends[np.concatenate([[0], np.cumsum(sizes)])]
-        if offsets[-1] >= 1 << 31:
-            raise ValueError("a block of documents has over 2^31 bytes of ids or text")
-        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.flat[at])])
+        return self.flat[at], ends[np.concatenate([[0], np.cumsum(sizes)])]
+
+
+def _binary(flat: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """flat as one binary value a row."""
+    offsets = flat.itemsize * cuts
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("a block of documents has over 2^31 bytes of ids or text")
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+
+
+class _Pieces:
+    """The bytes of all pieces, to spell ids with."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.sizes = np.array([*map(len, pieces)], np.int32)
+        self.first = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes).astype(np.int32)
+
+    def spelt(self, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        """The bytes of each row's ids, one after another."""
+        own = self.sizes[ids]
+        ends = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(own, out=ends[1:])
+        at = np.repeat(self.first[ids] - ends[:-1], own)
+        at += np.arange(len(at))
+        return _binary(self.flat[at], ends[cuts])
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -281,7 +304,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     pattern (of the kind that tokens.spaced_chunks takes) cuts texts into words, each encoded by itself; there are no special
     tokens. A word that is a piece has that piece's id. A word of over LONG_WORD bytes, for which a fold takes quadratic time,
     is merged with a heap. The id may be of any type. Other columns are ignored; no rows give no rows. with_decoded adds a
-    column decoded, the pieces' bytes of these ids, which are joined once for each word.
+    column decoded, the bytes of the pieces that a document's ids name.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -315,13 +338,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, spelt = _Joined("<u4"), _Joined("u1")
-        pieces = _piece_list(rank_file) if with_decoded else []
-        piece_bytes, piece_ends = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
+        ids = _Joined()
+        pieces = _Pieces(_piece_list(rank_file) if with_decoded else [])
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("reset")[i].as_py():
-                    ids, spelt = _Joined("<u4"), _Joined("u1")
+                    ids = _Joined()
                 words = batch.column("merged")[i].values
                 sizes = np.diff(words.offsets.to_numpy())
                 new = (words.flatten().to_numpy() & 0xFFFFF).astype("<u4")
@@ -331,13 +353,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                         each[at] = np.array(merge_long(word, read_ranks(rank_file), _pairs(rank_file)), "<u4")
                     new, sizes = np.concatenate(each), np.array([len(x) for x in each])
                 ids.add(new, sizes)
-                if with_decoded:
-                    first, own = piece_ends[new], piece_ends[new + 1] - piece_ends[new]
-                    ends = np.concatenate([[0], np.cumsum(own)])
-                    spelt.add(piece_bytes[np.repeat(first - ends[:-1], own) + np.arange(ends[-1])], np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])]))
                 numbers, n = np.frombuffer(batch.column("numbers")[i].as_py(), np.int32), batch.column("sizes")[i].values.to_numpy()
-                more = [spelt.rows(numbers, n)] if with_decoded else []
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, ids.rows(numbers, n), *more], names=["doc_id", "ids", *(["decoded"] if more else [])])
+                flat, cuts = ids.rows(numbers, n)
+                more = [pieces.spelt(flat, cuts)] if with_decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, _binary(flat, cuts), *more], names=["doc_id", "ids", *(["decoded"] if more else [])])
         pa.default_memory_pool().release_unused()
 
     sent = rows.mapInArrow(blocks, _BLOCK.format(id=id_type))

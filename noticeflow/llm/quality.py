@@ -161,11 +161,11 @@ def judge(text: str, model: Model | None) -> tuple:
 def rate(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts and verdict of each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability.
 
-    Null counts as a text without words, which fails. Without a model the counts alone decide. Other columns are ignored.
+    Null counts as a text without words, which fails. Without a model the counts alone decide. Ids may be of any type. Other columns are ignored.
     """
     given = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()]
+    types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +173,9 @@ def rate(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str
         for batch in batches:
             judged = [judge(t, given.value) for t in texts_of(batch, "text")]
             columns = zip(*judged, strict=True) if judged else [[]] * 8
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

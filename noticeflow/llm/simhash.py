@@ -128,13 +128,15 @@ def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Itera
             yield q[found], 64 * w[found] + at
 
 
-def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by bucket: pairs of rows, links that connect all that are close within a bucket."""
+def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by bucket: pairs of rows, links that connect all that are close within a bucket; direct adds each row's first close one."""
     n = len(fps)
+    first = np.arange(n)
     edge = np.flatnonzero(np.diff(bucket)) + 1
     end = np.repeat(np.append(edge, n), np.diff(np.concatenate([[0], edge, [n]])))
     label = np.arange(n)
     for i, j in close_pairs(fps, end, radius):
+        np.minimum.at(first, j, i)
         while (label[i] != label[j]).any():
             least = np.minimum(label[i], label[j])
             np.minimum.at(label, label[i], least)
@@ -143,7 +145,10 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> t
     while (label[label] != label).any():
         label = label[label]
     tied = np.flatnonzero(label != np.arange(n))
-    return tied, label[tied]
+    if not direct:
+        return tied, label[tied]
+    also = np.flatnonzero((first != np.arange(n)) & (first != label))
+    return np.concatenate([tied, also]), np.concatenate([label[tied], first[also]])
 
 
 def _pairs(bits: list[int], sizes: tuple[int, ...]) -> list[int]:
@@ -170,8 +175,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """i, a, b: links between close fingerprints of one i of distinct (columns i and fp, each once) that connect what is close.
+def links(distinct: DataFrame, radius: int = RADIUS, direct: bool = False) -> DataFrame:
+    """i, a, b: links between close fingerprints of one i of distinct (columns i and fp, each once) that connect what is close, to RADIUS bits all of it; direct as in bucket_links.
 
     Buckets with very many fingerprints are split into 15 by their other bits; that is as whole, so how they are counted matters for balance only.
     """
@@ -198,7 +203,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             cut = len(t) if last else int(np.flatnonzero(changes)[-1])  # the last bucket may go on
             held[:] = [(t[cut:], k[cut:], fp[cut:])]
             if cut:
-                a, b = bucket_links(np.cumsum(changes[:cut]), fp[:cut].view(np.uint64), radius)
+                a, b = bucket_links(np.cumsum(changes[:cut]), fp[:cut].view(np.uint64), radius, direct)
                 yield pa.RecordBatch.from_arrays([pa.array((t[a] // kinds).astype(np.int32)), pa.array(fp[a]), pa.array(fp[b])], names=["i", "a", "b"])
 
         for batch in batches:
@@ -212,21 +217,22 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.mapInArrow(run, "i int, a long, b long").distinct()
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, n: int = 1) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, n: int = 1, most_bits: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id (the smallest id reachable over fingerprints within radius bits).
 
     With n above 1 each text has n independent fingerprints and two texts are linked if any of them are close, so that fewer near
-    copies are missed. Texts without words have fingerprint 0 and link like any other. A null id takes part but is a component's id
+    copies are missed. With most_bits, links are candidates, and those stay whose n fingerprints together differ in so many bits or fewer: all 64 * n
+    bits tell similarities apart far better than one fingerprint does, so radius may then be up to 7. Texts without words have fingerprint 0 and link like any other. A null id takes part but is a component's id
     only where it has no other. Rows with one id each have their own fingerprint. No rows give no rows.
     """
-    if radius > 4:
+    if radius > (RADIUS if most_bits is None else 7) or (most_bits is not None and n == 1):
         raise ValueError("the ranges find all fingerprints within 4 bits only")
     scratch = Scratch(spark, "simhash")
     made = fingerprints(docs, id_col, text_col, shingle, n)
     own = scratch.cut(made.drop("fps") if n == 1 else made, "fingerprints")
     key = "fp" if n == 1 else "fps"
     distinct = scratch.cut(own.groupBy(key).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = components(scratch, links(distinct.select(F.lit(0).alias("i"), "fp"), radius).drop("i") if n == 1 else _links_of_any(scratch, distinct.select("fps"), radius))
+    roots = components(scratch, links(distinct.select(F.lit(0).alias("i"), "fp"), radius).drop("i") if n == 1 else _links_of_any(scratch, distinct.select("fps"), radius, most_bits))
     named = distinct.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = scratch.cut(named.join(ids, "root").select(key, "component_id", "n"), "components")
@@ -234,12 +240,19 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     return join_by_hot_key(own, by_fp, [key], "n", total).select("doc_id", "fp", "component_id")
 
 
-def _links_of_any(scratch: Scratch, distinct: DataFrame, radius: int) -> DataFrame:
-    """Links between lists of fingerprints (column fps, each once) of which any are close: those that share one, then close ones by their least lists."""
+def _links_of_any(scratch: Scratch, distinct: DataFrame, radius: int, most_bits: int | None = None) -> DataFrame:
+    """Links between lists of fingerprints (column fps, each once) of which any are close: those that share one, then close ones by their least lists.
+
+    With most_bits, only links between lists that differ in so many bits or fewer.
+    """
     of = distinct.select("fps", F.posexplode("fps").alias("i", "fp"))
     least = scratch.cut(of.groupBy("i", "fp").agg(F.min("fps").alias("least"), F.count("*").alias("n")), "least")
     shared = of.join(least.where("n > 1"), ["i", "fp"]).select(F.col("fps").alias("a"), F.col("least").alias("b"))
-    close = links(least.select("i", "fp"), radius)
+    close = links(least.select("i", "fp"), radius, most_bits is not None)
     for c in ("a", "b"):
         close = close.join(least.select("i", F.col("fp").alias(c), F.col("least").alias(f"l{c}")), ["i", c])
-    return shared.unionByName(close.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    both = shared.unionByName(close.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    if most_bits is None:
+        return both
+    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(bits <= most_bits)

@@ -7,7 +7,8 @@ A shard holds documents in ascending order of key. Layout, integers little-endia
 A block has up to BLOCK_BYTES of entries, zlib-packed; an entry is how many leading bytes of
 its key it shares with the key before (varint), how many follow (varint), the length of its value (varint),
 those key bytes, the value. A key is the identifier as 8 big-endian bytes with the sign bit
-flipped, so that byte order is number order; null sorts first, as an empty key. The index has for
+flipped, so that byte order is number order, or for text its UTF-8 bytes after one more byte;
+null sorts first, as an empty key. The index has for
 each block its last key, place, size, entries and ids; the Bloom filter has BLOOM_BITS bits a key.
 The footer has the places of both, the counts and a magic number. A lookup asks the filter, then
 binary-searches the index and reads one block.
@@ -27,22 +28,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import Scratch, texts_of
+from noticeflow.llm.common import Scratch, partitions_for, texts_of
 from noticeflow.llm.tokens import SPACED, codec, ids32
 
 MAGIC, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"NFSSTAB1", 1 << 18, 10, 7
+
+#: Bytes of text from which on there are more shards than shuffle partitions.
+SHARD_BYTES = 128 << 20
 _FOOTER = struct.Struct("<QQQQQQBxxxxxxx8s")  # index, its size, Bloom filter, its size, documents, ids, bytes of an id, magic
 _INDEX = struct.Struct("<HQIIQ")  # bytes of the last key, block, its size, entries, ids
 
 
-def key_of(number: int | None) -> bytes:
-    return b"" if number is None else struct.pack(">Q", number + (1 << 63))
+def key_of(doc_id: int | str | None) -> bytes:
+    if doc_id is None:
+        return b""
+    return b"=" + doc_id.encode() if isinstance(doc_id, str) else struct.pack(">Q", doc_id + (1 << 63))
 
 
 def number_of(key: bytes) -> int | None:
     return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
 
 
+def text_of(key: bytes) -> str | None:
+    return key[1:].decode() if key else None
+
+
+#: Types of ids that are stored as numbers; others are stored as text.
+NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -172,10 +186,13 @@ def write_token_shards(spark: SparkSession, docs: DataFrame, folder: str, vocabu
     Shards and the documents in them ascend by id, null ids first; rows with one id lie next to each other,
     by text. Null texts are empty. end_id ends each document. A shard is written under a name
     of its attempt and then renamed, so a task that runs twice leaves one file. No rows
-    leave no shards. Strings of special tokens are encoded as the library does, or as ordinary text. Other columns are ignored.
+    leave no shards. Whole numbers as ids are stored and ordered as such, ids of other types as text. There are as many shards as
+    asked for, or by default one for each SHARD_BYTES of text, so that a shard and its writer are bounded whatever the input. Strings of special
+    tokens are encoded as the library does, or as ordinary text. Other columns are ignored.
     """
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n = shards or partitions_for(spark, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0, SHARD_BYTES)
+    key = F.col(id_col).cast("long" if dict(docs.dtypes)[id_col] in NUMBERS else "string")
+    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     fields = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
@@ -204,18 +221,19 @@ def write_token_shards(spark: SparkSession, docs: DataFrame, folder: str, vocabu
     return rows.mapInArrow(run, "shard int, path string, n_docs long, n_ids long, n_bytes long")
 
 
-def read_token_shards(spark: SparkSession, shards: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
+def read_token_shards(spark: SparkSession, shards: DataFrame, folder: str, with_ids: bool = False, as_text: bool = False) -> DataFrame:
     """Each document of the shards (as write_token_shards returned them, written to a table): doc_id, start, n_tokens, ids_crc32 (and ids).
 
-    start: ids of all documents before it. Files are read block by block, one task for each shard.
+    start: ids of all documents before it. Files are read block by block, one task for each shard. as_text: ids are text and no numbers.
     """
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     listed = shards.withColumn("before", before).repartition(n, "shard")
-    fields = [pa.field("doc_id", pa.int64()), pa.field("start", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids_crc32", pa.int64())] + [pa.field("ids", pa.list_(pa.int32()))] * with_ids
+    fields = [pa.field("doc_id", pa.string() if as_text else pa.int64()), pa.field("start", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids_crc32", pa.int64())] + [pa.field("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
+        own = text_of if as_text else number_of
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 with store.open_input_file(path) as source:
@@ -225,12 +243,12 @@ def read_token_shards(spark: SparkSession, shards: DataFrame, folder: str, with_
                         out = []
                         for key, value in reader.block(i):
                             ids = np.frombuffer(value, kind)
-                            out.append((number_of(key), start, len(ids), zlib.crc32(ids32(ids)), *([ids.tolist()] if with_ids else [])))
+                            out.append((own(key), start, len(ids), zlib.crc32(ids32(ids)), *([ids.tolist()] if with_ids else [])))
                             start += len(ids)
                         columns = zip(*out, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return listed.mapInArrow(run, f"doc_id {'string' if as_text else 'long'}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, vocabulary: str, **how) -> DataFrame:
@@ -238,4 +256,4 @@ def token_shards(spark: SparkSession, docs: DataFrame, vocabulary: str, **how) -
     scratch = Scratch(spark, "tokens")
     folder = scratch.path("shards")
     shards = scratch.cut(write_token_shards(spark, docs, folder, vocabulary, **how), "listing")
-    return read_token_shards(spark, shards, folder)
+    return read_token_shards(spark, shards, folder, as_text=dict(docs.dtypes)[how.get("id_col", "doc_id")] not in NUMBERS)

@@ -154,6 +154,28 @@ def test_token_shards(spark, docs, none):
     assert sstable.token_shards(spark, none, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_ids_of_text(spark):
+    """Text ids in shards and under quality rules: order by UTF-8 bytes, null first."""
+    made = [("b", "one two"), ("a", None), (None, "x"), ("é", "three"), ("aa", "one two " * 20)]
+    docs = spark.createDataFrame(made, "doc_id string, text string")
+    t = library("byte_bpe_50k.json")
+    got = sorted(((r.doc_id, r.start, r.n_tokens) for r in sstable.token_shards(spark, docs, P.path("byte_bpe_50k.json")).collect()), key=lambda r: r[1])
+    start, want = 0, []
+    for i, text in sorted(made, key=lambda r: (r[0] is not None, (r[0] or "").encode())):
+        n = len(t.encode(text or "", add_special_tokens=False).ids) + 1
+        want.append((i, start, n))
+        start += n
+    assert got == want
+    assert {(r.doc_id, r.n_words) for r in quality.rate(spark, docs, None).collect()} == {(i, len((text or "").split())) for i, text in made}
+
+
+def test_shards_grow_in_number(spark, docs, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 2000)
+    scratch = Scratch(spark, "test")
+    listing = sstable.write_token_shards(spark, docs.where("doc_id < 100"), scratch.path("many"), P.path("byte_bpe_50k.json"))
+    assert listing.count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_sstable_blocks_and_repeats(tmp_path):
     import pyarrow as pa
 
@@ -373,6 +395,31 @@ def test_several_fingerprints_find_more():
     assert found[1][1] == 60 and found[2][1] >= 55 and found[4][1] > 2 * found[4][0] and found[60][1] == 0
 
 
+def near_copies(rng, words, changed):
+    """A text, and one with changed of its words replaced: a similarity of five-word shingles of (n - 5c) / (n + 5c) or so."""
+    a = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(words)]
+    b = list(a)
+    for i in range(changed):
+        b[words // changed * i] = f"changed{i}"
+    return " ".join(a), " ".join(b)
+
+
+def test_all_bits_find_near_copies_and_no_others(spark):
+    """At a similarity of 0.8 or more nearly all pairs are found; one fingerprint's four bits find few. Texts that share a third of their words never."""
+    import random
+
+    rng = random.Random(12)
+    pairs = {c: [near_copies(rng, 300, c) for _ in range(50)] for c in (3, 5, 6, 40)}  # similarities of 0.9, 0.85, 0.82 and 0.2
+    docs = [((c * 1000 + i) * 2 + j, x[j]) for c, some in pairs.items() for i, x in enumerate(some) for j in (0, 1)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    group = {r.doc_id: r.component_id for r in simhash.near_groups(spark, table, shingle=5, n=8, radius=7, most_bits=88).collect()}
+    found = {c: sum(group[(c * 1000 + i) * 2 + 1] == (c * 1000 + i) * 2 for i in range(50)) for c in pairs}
+    assert found[3] == 50 and found[5] >= 47 and found[6] >= 44 and found[40] == 0
+    assert all(k in (d, d - 1) for d, k in group.items())
+    with pytest.raises(ValueError):
+        simhash.near_groups(spark, table, radius=5)
+
+
 def test_close_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, np.uint64)
@@ -554,6 +601,13 @@ def test_byte_bpe(spark, docs, none):
     assert byte_bpe.encode(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_decoded_comes_from_the_ids(monkeypatch):
+    """Ids that are put together wrongly are spelt as they are."""
+    pieces = byte_bpe._Pieces([b"a", b"", b"bc", b"\xff"])
+    spelt = pieces.spelt(np.array([2, 0, 1, 3, 2], "<u4"), np.array([0, 2, 2, 5]))
+    assert spelt.to_pylist() == [b"bca", b"", b"\xffbc"]
+
+
 def test_words_of_odd_blanks():
     import random
 
