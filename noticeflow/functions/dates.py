@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,28 @@ FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy",
 
 #: German and French month names that English formats don't know.
 MONTHS = (("januar", "january"), ("februar", "february"), ("märz", "march"), ("mai", "may"), ("juni", "june"), ("juli", "july"), ("oktober", "october"), ("dezember", "december"))
+_MONTH = r"(?i)\b(" + "|".join(own for own, _ in MONTHS) + r")\b\.?"
+
+
+#: What a letter of a format stands for in a text.
+_SHAPES = (("yyyy", r"\d{4}"), ("MMMM", r"\p{L}+"), ("MMM", r"\p{L}+"), ("MM", r"\d{2}"), ("dd", r"\d{2}"), ("d", r"\d{1,2}"))
+
+
+def _shape(form: str) -> str:
+    """The pattern of texts that a format may read, so that others are not tried on it."""
+    found = {letters: shape for letters, shape in _SHAPES}
+    return "^" + re.sub(r"y+|M+|d+|[^yMd]+", lambda m: found.get(m.group()) or re.escape(m.group()), form) + "$"
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _english(t: Column) -> Column:
+    word = F.lower(F.regexp_extract(t, _MONTH, 1))
+    names = F.create_map(*[F.lit(x) for pair in MONTHS for x in pair])
+    return F.when(word == "", t).otherwise(F.regexp_replace(t, F.lit(_MONTH), F.coalesce(F.try_element_at(names, word), word)))
 
 
 def parse_date(c: Cols, formats: Sequence[str] = FORMATS) -> Column:
@@ -22,11 +45,10 @@ def parse_date(c: Cols, formats: Sequence[str] = FORMATS) -> Column:
     t = F.regexp_replace(t, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
     t = F.regexp_replace(t, r"(?i)[T\s,]+(?:um\s+)?\d{1,2}:\d{2}.*$", "")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    for own, english in MONTHS:
-        t = F.regexp_replace(t, rf"(?i)\b{own}\b\.?", english)
-    t = F.initcap(F.regexp_replace(t, r"^(\d{1,2})\. ", "$1 "))
+    t = _once(t, lambda x: F.initcap(F.regexp_replace(_english(x), r"^(\d{1,2})\. ", "$1 ")))
     within = F.regexp_extract(F.coalesce(col(c), F.lit("")), r"(\d{4}-\d{2}-\d{2})", 1)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats], F.try_to_timestamp(within, F.lit("yyyy-MM-dd"))).cast("date")
+    read = _once(t, lambda x: F.coalesce(*[F.when(x.rlike(_shape(f)), F.try_to_timestamp(x, F.lit(f))) for f in formats]))
+    return F.coalesce(read, F.try_to_timestamp(within, F.lit("yyyy-MM-dd"))).cast("date")
 
 
 def days_until(deadline: Cols, as_of: Column) -> Column:

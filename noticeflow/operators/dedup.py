@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from noticeflow.functions import dates, text as T
+from noticeflow.operators.joins import hot_key_join
 
 #: Title ratio, organisation ratio and days between deadlines from which two records are one.
 TITLE_RATIO, ORGANISATION_RATIO, DEADLINE_DAYS = 0.82, 0.65, 7
@@ -32,12 +33,10 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 def hash_duplicates(df: DataFrame, hash_col: str = "content_hash", id_col: str = "tender_id", seen: str = "seq") -> DataFrame:
     """DED-02: rows whose hash an earlier row with another id has, with that row's id as canonical_id.
 
-    The first of each hash is found by aggregation and joined, so a hot hash is no window. Rows are dealt by id first, without their text:
-    both sides read that one exchange, so hashes are computed once.
+    The first of each hash is found by an aggregation with map-side combining; a hash of very many rows joins where they lie.
     """
-    df = df.repartition(id_col)
-    first = df.groupBy(hash_col).agg(F.min_by(id_col, F.struct(seen, id_col)).alias("canonical_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return df.join(first, hash_col).where(F.coalesce(F.col(id_col) != F.col("canonical_id"), F.lit(False)))
+    first = df.groupBy(hash_col).agg(F.min_by(id_col, F.struct(seen, id_col)).alias("canonical_id"), F.count("*").alias("_n")).where("_n > 1")
+    return hot_key_join(df, first, [hash_col], "_n", df.count()).where(F.coalesce(F.col(id_col) != F.col("canonical_id"), F.lit(False)))
 
 
 def register_fingerprints(stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("content_hash", "source_portal")) -> DataFrame:

@@ -94,7 +94,7 @@ def parts(df: DataFrame, p: Profile) -> DataFrame:
         "cap_client": _graded(F.trim(word["organization"]).isin(*p.top_clients), some(client, p.partner_clients), CLIENT_POINTS),
         "client_fit": client_fit(F.col("organization"), F.col("region"), p),
     })
-    base = by_table(F.lower(F.trim(F.coalesce("consulting_type", F.lit("unknown")))), CONFIDENCE_BY_TYPE, 40)
+    base = by_table(F.lower(engagement()), CONFIDENCE_BY_TYPE, 40)
     out = out.withColumn("confidence", confidence_score(base, F.col("_shallow"), F.col("_deep"), F.col("_negative")))
     return out.withColumns({
         "service_fit": _whole(service_fit(by_table(F.col("consulting_type"), dict(p.type_fit), 30), F.col("confidence"))),
@@ -102,11 +102,16 @@ def parts(df: DataFrame, p: Profile) -> DataFrame:
     }).drop("_short", "_all", "_negative", "_shallow", "_deep")
 
 
+def engagement() -> Column:
+    """The type of engagement; unknown where it is null or blank."""
+    return F.coalesce(F.nullif(F.trim("consulting_type"), F.lit("")), F.lit("unknown"))
+
+
 def adjustments(p: Profile) -> Column:
     """OPP-06: points for and against, from the columns of parts; rerank adds what similar won notices give (OPP-13)."""
     c = {n: F.col(n) for n in ("confidence", "service_fit", "client_fit", "penalty")}
     flat = [
-        (F.coalesce(F.col("consulting_type"), F.lit("")).isin("unknown", ""), -4),
+        (engagement() == "unknown", -4),
         (F.col("sector").isin(*p.avoided_sectors), -12),
         (T.has_part("title", [w.lower() for w in p.avoided_words]), -18),
         (F.col("organization").isin(*p.preferred_organisations), 10),
@@ -149,8 +154,7 @@ def score(df: DataFrame, p: Profile) -> DataFrame:
 
 def note(engine: Column, no_keywords: Column) -> Column:
     """OPP-11: why a row has its score, and which capabilities match."""
-    kind = F.coalesce(F.col("consulting_type"), F.lit("unknown"))
-    why = F.when(engine > 0, F.concat(cut_offs(engine, [(70, "Strong"), (40, "Medium")], "Low"), F.lit(" fit: "), kind, F.lit(", client="), F.col("client_fit"), F.lit(", service="), F.col("service_fit"), F.lit(", confidence="), F.col("confidence"), F.lit(", penalty="), F.col("penalty")))
+    why = F.when(engine > 0, F.concat(cut_offs(engine, [(70, "Strong"), (40, "Medium")], "Low"), F.lit(" fit: "), engagement(), F.lit(", client="), F.col("client_fit"), F.lit(", service="), F.col("service_fit"), F.lit(", confidence="), F.col("confidence"), F.lit(", penalty="), F.col("penalty")))
     lead = first_match([(~F.coalesce(F.col("consulting"), F.lit(False)), F.concat(F.lit("Excluded: "), F.coalesce(F.col("exclusion_reason"), F.lit("no signal")))), ((engine == 0) & no_keywords, "No data"), (engine == 0, "Unscored")], why)
     tags = [(~F.col("firm_eligible"), "for one person"), (F.col("cap_service") == 5, "service match"), (F.col("cap_sector") == 4, "sector match"), (F.col("cap_client") == 8, "client match"), (F.col("cap_client") == 3, "partner match")]
     return F.concat_ws("; ", lead, *[F.when(holds, tag) for holds, tag in tags])

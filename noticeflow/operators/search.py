@@ -62,6 +62,12 @@ def candidates(limit: int, with_portal: bool) -> int:
     return min(200, 10 * limit) if with_portal else min(60, 3 * limit)
 
 
+def best_of_each(df: DataFrame, query: str, order: Sequence[Column], limit: int) -> DataFrame:
+    """RET-06: the first rows of each query in an order, with their rank; no more of a query than that leave a task."""
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*order)))
+    return ranked.where(F.col("rank") <= limit)
+
+
 def relaxed(df: DataFrame, steps: Sequence[Column], key: str, limit: int, order: Sequence[Column]) -> DataFrame:
     """RET-09: rows of the first of steps (predicates, from strict to loose) that any row meets, with that step's number.
 

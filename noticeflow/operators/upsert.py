@@ -12,22 +12,29 @@ from noticeflow.functions import text as T
 from noticeflow.operators.classify import first_match
 
 
+def _whole(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A whole row as something that has an order."""
+    kinds = dict(df.dtypes)
+    row = F.struct(*columns)
+    return F.to_json(row) if any("map<" in kinds[c] for c in columns) else row
+
+
 def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """UPS-01, SNK-01, SNK-02, SUB-12, VEC-03: the newest row per key; a new row wins a tie. Keys are not null.
+    """UPS-01, SNK-01, SNK-02, SUB-12, VEC-03: the newest row per key; a new row wins a tie, of several such the greatest. Keys are not null.
 
     One aggregation over both, with map-side combining; no row waits for its key's others.
     """
     columns = stored.columns
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.select(*columns).withColumn("_new", F.lit(1)))
     rest = [c for c in columns if c not in keys]
-    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "_new")).alias("_x"))
+    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "_new", _whole(both, rest))).alias("_x"))
     return best.select(*keys, "_x.*").select(*columns)
 
 
 def insert_ignore(stored: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """UPS-02, SNK-03, JOI-09, SUB-07: rows to append: new keys, the first of each by order."""
+    """UPS-02, SNK-03, JOI-09, SUB-07: rows to append: new keys, the first of each by order, then by the whole row."""
     rest = [c for c in new.columns if c not in keys]
-    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_x")).select(*keys, "_x.*").select(*new.columns)
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(order, _whole(new, rest))).alias("_x")).select(*keys, "_x.*").select(*new.columns)
     return first.join(stored.select(*keys), list(keys), "left_anti")
 
 

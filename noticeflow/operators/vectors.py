@@ -1,18 +1,16 @@
 """VEC: similarity of vectors and texts.
 
-Nearest neighbours are exact: numpy scores Arrow batches of the corpus against blocks of queries and
-keeps the best k a batch, and a window over these few rows keeps the best k. The corpus isn't shuffled.
+Nearest neighbours are exact where blocks of queries meet blocks of corpus in numpy, or found in the inverted lists
+of an index of centres, whose recall is measured; either way a window over the best k a task keeps the best k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,8 +19,8 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import text as T
 
-#: Queries that are scored in one pass, so that they fit a worker, and similarities that a worker holds at once.
-MOST_QUERIES, CELLS_AT_ONCE = 10_000, 2_000_000
+#: Queries and vectors of a block, and similarities that a worker holds at once.
+MOST_QUERIES, BLOCK_ROWS, CELLS_AT_ONCE = 10_000, 50_000, 2_000_000
 
 
 def cosine(a: Column, b: Column, epsilon: float = 1e-12) -> Column:
@@ -31,60 +29,59 @@ def cosine(a: Column, b: Column, epsilon: float = 1e-12) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + epsilon)
 
 
-def _blocks(queries: DataFrame, id_col: str) -> Iterator[pa.Table]:
-    """All rows of queries by ranges of ids, MOST_QUERIES at a time; rows of one id stay together."""
-    rest = queries
-    while True:
-        some = rest.orderBy(id_col).limit(MOST_QUERIES + 1).toArrow()
-        if some.num_rows <= MOST_QUERIES:
-            yield some
-            return
-        ids = some.column(id_col)
-        until = ids[MOST_QUERIES].as_py()
-        if ids[0].as_py() == until:  # more rows of one id than a block holds
-            yield queries.where(F.col(id_col) == until).toArrow()
-            rest = queries.where(F.col(id_col) > until)
-        else:
-            yield some.filter(pc.or_kleene(pc.is_null(ids), pc.less(ids, until)))
-            rest = queries.where(F.col(id_col) >= until)
-
-
-def _scored(corpus: DataFrame, asked: pa.Table, k: int, id_col: str, vector: str, digits: int) -> DataFrame:
-    """query_id, id, similarity: the best k of each batch of corpus for each query of a block."""
-    ids = asked.column(id_col).to_numpy()
-    matrix = np.array(asked.column(vector).to_pylist(), np.float64).reshape(len(ids), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own = batch.column(id_col).to_numpy()
-            v = np.array(batch.column(vector).to_pylist(), np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            n = min(k, len(own))
-            each = max(1, CELLS_AT_ONCE // len(own))
-            for at in range(0, len(ids), each):
-                mine = ids[at : at + each]
-                s = np.round(matrix[at : at + each] @ v.T, digits)
-                s[mine[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :n]
-                q = np.repeat(np.arange(len(mine)), n)
-                best = order.ravel()
-                ok = np.isfinite(s[q, best])
-                yield pa.RecordBatch.from_arrays([pa.array(mine[q][ok]), pa.array(own[best][ok]), pa.array(s[q, best][ok])], names=["query_id", "id", "similarity"])
-
-    return corpus.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(run, "query_id long, id long, similarity double")
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length 1; those of length 0 stay."""
+    m = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def best_of(mine: np.ndarray, asked: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries and of their k best vectors, and similarities, some queries at a time; a vector is not its own neighbour."""
+    n = min(k, len(own))
+    each = max(1, CELLS_AT_ONCE // max(1, len(own)))
+    for at in range(0, len(mine) if n else 0, each):
+        ids = mine[at : at + each]
+        s = np.round(asked[at : at + each] @ vectors.T, digits)
+        s[ids[:, None] == own[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :n] if n > len(own) // 8 else _few(s, own, n)
+        q = np.repeat(np.arange(len(ids)), n)
+        best = order.ravel()
+        ok = np.isfinite(s[q, best])
+        yield q[ok] + at, best[ok], s[q, best][ok]
+
+
+def _few(s: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best of each row, ties by the smaller id, without a sort of all."""
+    least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+    out = np.empty((len(s), n), np.int64)
+    for i, row in enumerate(s):
+        at = np.flatnonzero(row >= least[i])
+        out[i] = at[np.lexsort((own[at], -row[at]))[:n]]
+    return out
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """VEC-02, WIN-03: the k most similar vectors of each query: query_id, id, similarity, rank. Ties go to the smaller id.
 
-    A vector is not its own neighbour. Vectors of length 0 have similarity 0; null vectors have no part. Queries are
-    scored a block at a time, each in a pass over corpus.
+    A vector is not its own neighbour. Vectors of length 0 have similarity 0; null vectors have no part. Exact: blocks of queries meet
+    blocks of corpus, each pair of blocks in one task, and of its scores only k a query leave it; nothing passes through the driver. Blocks are
+    bounded in rows, and there are as many as it takes. nearest_by_lists is for sizes at which all pairs are too many.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(id_col, vector)
-    rows = reduce(DataFrame.unionByName, [_scored(corpus, x, k, id_col, vector, digits) for x in _blocks(asked, id_col)])
+    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // BLOCK_ROWS))
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    place = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kind = corpus.schema[id_col].dataType.simpleString()
+    own = corpus.where(F.col(vector).isNotNull()).select(id_col, vector, place(parts).alias("_part"), every(blocks).alias("_block"))
+    asked = queries.where(F.col(vector).isNotNull()).select(id_col, vector, every(parts).alias("_part"), place(blocks).alias("_block"))
+
+    def score(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        ids, mine = rows.column(id_col).to_numpy(), asks.column(id_col).to_numpy()
+        found = list(best_of(mine, _unit(asks.column(vector)), ids, _unit(rows.column(vector)), k, digits)) if len(ids) and len(mine) else []
+        q, best, s = (np.concatenate([np.empty(0, t), *(x[i] for x in found)]) for i, t in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table([pa.array(mine[q]), pa.array(ids[best]), pa.array(s)], ["query_id", "id", "similarity"])
+
+    rows = own.groupBy("_part", "_block").cogroup(asked.groupBy("_part", "_block")).applyInArrow(score, f"query_id {kind}, id {kind}, similarity double")
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
     return ranked.where(F.col("rank") <= k)
 

@@ -250,10 +250,11 @@ def merge_groups(spark, sf_dir):
     return m.where("n_members > 1").join(n, "leader").select("canonical_id", "lang", "n_chars", F.array_join("sources", ",").alias("sources"), "n_members")
 
 
-@query("""SELECT doc_id, lower(substr(line, 1, 60)) AS key FROM (SELECT doc_id, source, split_part(text, chr(10), 1) AS line, row_number() OVER (PARTITION BY lower(substr(split_part(text, chr(10), 1), 1, 60)) ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
+@query("""WITH d AS (SELECT doc_id, lower(split_part(coalesce(text, ''), chr(10), 1)) AS key FROM documents)
+SELECT doc_id, key FROM d QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1""")
 def first_per_title(spark, sf_dir):
-    """DED-01, DED-18, DED-22, WIN-01: the first row per title prefix."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring(title(), 1, 60)).alias("key"))
+    """DED-01, DED-18, DED-22, WIN-01: the first row per whole title."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(title()).alias("key"))
     return dedup.first_per_key(d, ["key"], [F.col("doc_id")])
 
 
@@ -392,24 +393,28 @@ def normalised_records(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, round(similarity, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, similarity, rank::INT AS rank FROM r WHERE rank <= 5""")
 def knn_cosine(spark, sf_dir):
     """VEC-01, VEC-02: exact nearest neighbours; the queries are the vectors whose id 20 divides."""
     e = table(spark, sf_dir, "embeddings")
-    return vectors.nearest(e, e.where("vec_id % 20 = 0"), 5).withColumn("similarity", F.round("similarity", 4))
+    return vectors.nearest(e, e.where("vec_id % 20 = 0"), 5)
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(qe, embedding::DOUBLE[]), 6) AS sim FROM embeddings JOIN q ON vec_id <> query_id),
-d AS (SELECT doc_id, n_chars % 101 AS priority, doc_id % 101 AS fit, len(list_filter(['the', 'and', 'der'], lambda w: regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) / 3.0 AS lexical FROM documents)
-SELECT query_id, vec_id, round_even(least(1.0, 0.40 * sim + 0.25 * priority / 100 + 0.20 * fit / 100 + 0.15 * lexical), 2) + 0.0 AS score FROM s JOIN d ON doc_id = vec_id WHERE sim >= -0.2 AND NOT priority < 10""")
+d AS (SELECT doc_id, n_chars % 101 AS priority, doc_id % 101 AS fit, len(list_filter(['the', 'and', 'der'], lambda w: regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) / 3.0 AS lexical FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS near FROM s QUALIFY near <= 60),
+r AS (SELECT query_id, vec_id, round_even(least(1.0, 0.40 * sim + 0.25 * priority / 100 + 0.20 * fit / 100 + 0.15 * lexical), 2) + 0.0 AS score FROM c JOIN d ON doc_id = vec_id WHERE sim >= -0.2 AND NOT priority < 10)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM r QUALIFY rank <= 20""")
 def hybrid_rank(spark, sf_dir):
-    """RET-04, RET-06, RET-07: vector, rule and lexical evidence in one score, for each vector whose id 20 divides."""
-    e = table(spark, sf_dir, "embeddings")
+    """RET-04, RET-06 to RET-08: the nearest vectors of each one whose id 20 divides, ranked by vector, rule and lexical evidence. Texts are read for candidates only, once each."""
+    e, limit = table(spark, sf_dir, "embeddings"), 20
+    near = vectors.nearest(e, e.where("vec_id % 20 = 0"), search.candidates(limit, False)).select("query_id", F.col("id").alias("vec_id"), "similarity")
     lexical = search.lexical_score(F.array(*map(F.lit, ("the", "and", "der"))), T.tokens("text"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 101).alias("priority"), (F.col("doc_id") % 101).alias("fit"), lexical.alias("lexical"))
-    j = vectors.nearest(e, e.where("vec_id % 20 = 0"), 1_000_000_000).join(d, F.col("id") == F.col("doc_id"))
-    kept = j.where(~((F.col("similarity") < -0.2) | (F.col("priority") < 10)))
-    return kept.select("query_id", F.col("id").alias("vec_id"), search.composite(F.col("similarity"), F.col("priority"), F.col("fit"), F.col("lexical"), digits=2).alias("score"))
+    found = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "vec_id").join(near.select("vec_id").distinct(), "vec_id", "left_semi")
+    d = found.select("vec_id", (F.col("n_chars") % 101).alias("priority"), (F.col("vec_id") % 101).alias("fit"), lexical.alias("lexical"))
+    kept = near.join(d, "vec_id").where(~((F.col("similarity") < -0.2) | (F.col("priority") < 10)))
+    scored = kept.select("query_id", "vec_id", search.composite(F.col("similarity"), F.col("priority"), F.col("fit"), F.col("lexical"), digits=2).alias("score"))
+    return search.best_of_each(scored, "query_id", [F.desc("score"), F.col("vec_id")], limit)
 
 
 @query("""WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part) SELECT p_partkey FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'co'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0""")

@@ -249,7 +249,7 @@ def _number(text: str, *patterns: str) -> str:
 
 
 @query(f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS title, left(coalesce(text, ''), 200) AS rich, n_chars % 101 AS model, doc_id % 101 AS portfolio, doc_id * 7 % 101 AS keyword, CASE WHEN doc_id % 11 > 0 THEN n_chars * 3 % 101 END AS shadow,
- CASE lang WHEN 'en' THEN 'evaluation' WHEN 'de' THEN 'advisory' WHEN 'fr' THEN 'policy' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'closing_soon' WHEN 1 THEN 'needs_action' WHEN 2 THEN 'plan_ahead' WHEN 3 THEN 'unknown' ELSE CASE WHEN doc_id % 3 = 0 THEN 'expired' END END AS due, doc_id % 13 > 0 AS consulting FROM documents),
+ CASE WHEN doc_id % 17 = 0 THEN NULL WHEN lang = 'en' THEN 'evaluation' WHEN lang = 'de' THEN 'advisory' WHEN lang = 'fr' THEN 'policy' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'closing_soon' WHEN 1 THEN 'needs_action' WHEN 2 THEN 'plan_ahead' WHEN 3 THEN 'unknown' ELSE CASE WHEN doc_id % 3 = 0 THEN 'expired' END END AS due, doc_id % 13 > 0 AS consulting FROM documents),
 w AS (SELECT *, title || ' ' || text AS short, title || ' ' || text || ' ' || rich AS whole FROM d),
 h AS (SELECT *, {_number("whole", "xx", "zu", "ck")} AS negative, {_number("short", "the ", "and", "der ")} AS shallow, {_number("rich", "the ", "and", "der ")} AS deep, NOT {_any("whole", "secret", "vor")} AS firm,
  CASE WHEN {_any("whole", "which", "und ")} THEN 5 WHEN {_any("whole", "with")} THEN 3 ELSE 0 END AS p1, CASE WHEN {_any("whole || ' ' || coalesce(lang, '')", "have")} THEN 4 WHEN {_any("whole || ' ' || coalesce(lang, '')", "from", "fr$")} THEN 2 ELSE 0 END AS p2,
@@ -270,7 +270,7 @@ def opportunity_scores(spark, sf_dir):
     n = F.col("doc_id")
     d = table(spark, sf_dir, "documents").withColumns({
         "title": F.split(F.coalesce("text", F.lit("")), "\n")[0], "rich_text": F.left(F.coalesce("text", F.lit("")), F.lit(200)), "organization": F.col("source"), "sector": F.col("lang"), "region": F.col("lang"),
-        "consulting_type": C.by_table(F.col("lang"), {"en": "evaluation", "de": "advisory", "fr": "policy"}),
+        "consulting_type": F.when(n % 17 == 0, " ").otherwise(C.by_table(F.col("lang"), {"en": "evaluation", "de": "advisory", "fr": "policy"})),
         "deadline_category": C.first_match([(n % 5 == 0, "closing_soon"), (n % 5 == 1, "needs_action"), (n % 5 == 2, "plan_ahead"), (n % 5 == 3, "unknown"), (n % 3 == 0, "expired")]),
         "model": F.col("n_chars") % 101, "portfolio": n % 101, "keyword": n * 7 % 101, "shadow": F.when(n % 11 > 0, F.col("n_chars") * 3 % 101), "rerank": F.lit(0.0), "consulting": n % 13 > 0, "exclusion_reason": F.lit("goods"),
     })

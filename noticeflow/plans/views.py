@@ -29,8 +29,8 @@ def keyset_page(df: DataFrame, score: str, key: str, size: int, after: tuple[flo
 
 
 def next_cursor(page: DataFrame, score: str, key: str, size: int) -> tuple | None:
-    """The cursor of a full page, else none. page has size rows at most."""
-    rows = page.select(F.coalesce(F.col(score), F.lit(0)), key).collect()
+    """The cursor of a full page, else none. A page of over size rows has none either; no more than these are fetched."""
+    rows = page.select(F.coalesce(F.col(score), F.lit(0)), key).limit(size + 1).collect()
     return tuple(min(rows, key=lambda r: (r[0], [-r[1]] if isinstance(r[1], int) else r[1]))) if len(rows) == size else None
 
 

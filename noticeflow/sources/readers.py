@@ -88,8 +88,9 @@ def with_detail(listing: DataFrame, detail: DataFrame, on: str = "url") -> DataF
 
 
 def enabled(df: DataFrame, toggles: DataFrame) -> DataFrame:
-    """SRC-33: rows of sources that are not switched off; those without a switch are on."""
-    return df.join(toggles.select("source", "enabled"), "source", "left").where(F.coalesce("enabled", F.lit(True))).drop("enabled")
+    """SRC-33: rows of sources that are not switched off; those without a switch are on. Of several switches of one source any that is off counts."""
+    switches = toggles.groupBy("source").agg(F.bool_and("enabled").alias("enabled"))
+    return df.join(switches, "source", "left").where(F.coalesce("enabled", F.lit(True))).drop("enabled")
 
 
 def sample(df: DataFrame, n: int) -> DataFrame:
