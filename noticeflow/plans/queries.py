@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import text as T
 from noticeflow.functions.vocab import Layer, best_group, layered_score, matching_groups, of, title_and_body
-from noticeflow.operators import classify, dedup, documents, grounding, health, learning, lifecycle, normalize, search, upsert, vectors
+from noticeflow.operators import classify, dedup, documents, grounding, health, learning, lifecycle, normalize, search, upsert, vector_lists, vectors
 from noticeflow.plans import views
 from noticeflow.streaming import streams
 
@@ -400,6 +400,22 @@ def knn_cosine(spark, sf_dir):
     return vectors.nearest(e, e.where("vec_id % 20 = 0"), 5)
 
 
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, similarity, rank::INT AS rank FROM r WHERE rank <= 10""")
+def knn_by_lists(spark, sf_dir):
+    """VEC-02, OPP-13: nearest neighbours from inverted lists, made exact by the lists' radii."""
+    e = table(spark, sf_dir, "embeddings")
+    return vector_lists.nearest(vector_lists.build(e), e.where("vec_id % 20 = 0"), 10)
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, similarity, rank::INT AS rank FROM r WHERE rank <= 5 AND similarity >= 0.3""")
+def semantic_duplicates(spark, sf_dir):
+    """DED-04: neighbours from a similarity on, from those lists alone that can have such."""
+    e = table(spark, sf_dir, "embeddings")
+    return vector_lists.semantic_duplicates(e, e.where("vec_id % 20 = 0"), 0.3)
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(qe, embedding::DOUBLE[]), 6) AS sim FROM embeddings JOIN q ON vec_id <> query_id),
 d AS (SELECT doc_id, n_chars % 101 AS priority, doc_id % 101 AS fit, len(list_filter(['the', 'and', 'der'], lambda w: regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) / 3.0 AS lexical FROM documents),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS near FROM s QUALIFY near <= 60),
