@@ -8,7 +8,7 @@ import re
 import duckdb
 import pytest
 
-from noticeflow.plans import queries, rule_queries  # noqa: F401  which adds its own to queries
+from noticeflow.plans import queries, rule_queries, source_queries  # noqa: F401  which add their own to queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
