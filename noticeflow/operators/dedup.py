@@ -1,14 +1,17 @@
 """DED: duplicates of records within a batch, against history, and across sources; merging of groups.
 
-Candidates meet by an equi-join on a blocking key; cheap predicates come before the ratio. Grouping is greedy
-leaders in input order (column seq), within blocks, as a grouped pandas function; blocks never share
-groups, so that is exact.
+Candidates meet by an equi-join on a blocking key, in large blocks also on their rarest characters; cheap predicates come before the ratio.
+Grouping is greedy leaders in input order (column seq), within blocks, which never share groups; blocks of any size are cut into bounded
+tasks and parallel rounds that give what one pass in order gives.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import Counter
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,7 @@ from pyspark.sql.types import DoubleType
 
 from noticeflow.functions import dates, text as T
 from noticeflow.operators.joins import hot_key_join
+from noticeflow.tables import cut, workers_import
 
 #: Title ratio, organisation ratio and days between deadlines from which two records are one.
 TITLE_RATIO, ORGANISATION_RATIO, DEADLINE_DAYS = 0.82, 0.65, 7
@@ -73,11 +77,15 @@ def prepared(df: DataFrame, noise: Sequence[str] = ()) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, method: str = "ratio", least: float = TITLE_RATIO) -> DataFrame:
     """DED-11, JOI-23: pairs of two prepared frames (columns l_*, r_*) in one block that are the same record, with title_similarity.
 
-    Same: titles alike; organisations alike, or one is missing and the source families are equal; deadlines close.
+    Rows meet where they share one of the rarest characters of their titles, which all pairs do that are alike enough. Same: titles alike; organisations alike, or one is missing and the source families are equal; deadlines close.
     """
-    a = left.select([F.col(c).alias(f"l_{c}") for c in left.columns])
-    b = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
-    pairs = a.join(b, F.col("l_block") == F.col("r_block")).where(dates.deadlines_close("l_deadline", "r_deadline", DEADLINE_DAYS) & (ratio_bound(F.col("l_norm_title"), F.col("r_norm_title")) >= least))
+    prefix = rare_prefix(left, least)
+    a = left.select([F.col(c).alias(f"l_{c}") for c in left.columns]).where("l_block IS NOT NULL").withColumn("_l", prefix("l_norm_title"))
+    b = right.select([F.col(c).alias(f"r_{c}") for c in right.columns]).where("r_block IS NOT NULL").withColumn("_r", prefix("r_norm_title"))
+    left_marks, right_marks = a.withColumn("_ml", F.explode("_l")), b.withColumn("_mr", F.explode("_r"))
+    met = left_marks.join(right_marks, (F.col("l_block") == F.col("r_block")) & (F.col("_ml") == F.col("_mr")))
+    met = met.where(F.get(F.array_intersect("_l", "_r"), F.lit(0)) == F.col("_ml")).drop("_l", "_r", "_ml", "_mr")  # once a pair, at the first mark that they share
+    pairs = met.where(dates.deadlines_close("l_deadline", "r_deadline", DEADLINE_DAYS) & (ratio_bound(F.col("l_norm_title"), F.col("r_norm_title")) >= least))
     compare = ratio if method == "ratio" else levenshtein_similarity
     pairs = pairs.withColumn("title_similarity", compare(F.col("l_norm_title"), F.col("r_norm_title"))).where(F.col("title_similarity") >= least)
     missing = (F.col("l_norm_org") == "") | (F.col("r_norm_org") == "")
@@ -86,50 +94,206 @@ def similar_pairs(left: DataFrame, right: DataFrame, method: str = "ratio", leas
     return pairs.where((missing & family) | (~missing & organisations))
 
 
-def _same(a: dict, b: dict) -> bool:
-    if SequenceMatcher(None, a["norm_title"], b["norm_title"]).ratio() < TITLE_RATIO:
-        return False
-    if a["deadline"] is not None and b["deadline"] is not None and abs((a["deadline"] - b["deadline"]).days) > DEADLINE_DAYS:
-        return False
-    if not a["norm_org"] or not b["norm_org"]:
-        return a["family"] == b["family"]
-    return SequenceMatcher(None, a["norm_org"], b["norm_org"]).ratio() >= ORGANISATION_RATIO
+class _Titles:
+    """The test of one later record against earlier ones: is it the same record?"""
+
+    def __init__(self, later: dict):
+        self.later = later
+        self.title = SequenceMatcher(None, "", later["norm_title"])
+        self.organisation = SequenceMatcher(None, "", later["norm_org"])
+
+    def same(self, earlier: dict) -> bool:
+        r, t = self.later, self.title
+        a, b = len(earlier["norm_title"]), len(r["norm_title"])
+        if 2 * min(a, b) < TITLE_RATIO * (a + b):
+            return False
+        if earlier["deadline"] is not None and r["deadline"] is not None and abs((earlier["deadline"] - r["deadline"]).days) > DEADLINE_DAYS:
+            return False
+        if not earlier["norm_org"] or not r["norm_org"]:
+            if earlier["family"] != r["family"]:
+                return False
+        else:
+            self.organisation.set_seq1(earlier["norm_org"])
+            if self.organisation.ratio() < ORGANISATION_RATIO:
+                return False
+        t.set_seq1(earlier["norm_title"])
+        return t.quick_ratio() >= TITLE_RATIO and t.ratio() >= TITLE_RATIO
+
+
+def _records(block: pd.DataFrame) -> list[dict]:
+    rows = block.sort_values(["seq", "leader"]).to_dict("records")
+    for r in rows:
+        r["deadline"] = None if pd.isna(r["deadline"]) else r["deadline"]
+    return rows
+
+
+def _greedy(block: pd.DataFrame) -> pd.DataFrame:
+    """Each record with the first leader before it that is the same record, or as a leader."""
+    leaders: list[dict] = []
+    out = []
+    for r in _records(block):
+        test = _Titles(r)
+        found = next((x for x in leaders if test.same(x)), None)
+        if found is None:
+            leaders.append(r)
+            found = r
+        out.append((*[r[k] for k in _KEYS], r["seq"], r["leader"], found["leader"]))
+    return pd.DataFrame(out, columns=[*_KEYS, "seq", "leader", "led_by"])
+
+
+def _first_leader(leaders: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+    """Each of rest with the first of leaders that is the same record, or null."""
+    known = _records(leaders)
+    out = []
+    for r in _records(rest):
+        test = _Titles(r)
+        found = next((x["leader"] for x in known if (x["seq"], x["leader"]) < (r["seq"], r["leader"]) and test.same(x)), None)
+        out.append((*[r[k] for k in _KEYS], r["seq"], r["leader"], found))
+    return pd.DataFrame(out, columns=[*_KEYS, "seq", "leader", "led_by"])
+
+
+_KEYS = ["block", "norm_title", "norm_org", "family", "deadline"]
+
+#: Distinct records of a block that one task groups at a time, rows of the rest of a block that it compares with these, and how often
+#: the first records of a large block are taken out so before pairs are looked for.
+AT_ONCE, REST_ROWS, FIRST_ROUNDS = 500, 5_000, 3
+
+#: Titles that say how common a character is; that bears on speed only.
+SAMPLED = 5_000
+
+
+def rare_prefix(titles: DataFrame, least: float = TITLE_RATIO) -> Callable[[Column], Column]:
+    """An expression for the rarest characters of a title, of which two titles of a ratio of least or more always share one.
+
+    A character counts with its number in the title (the third e). Titles a and b have 2M = ratio * (|a| + |b|) or fewer characters in common, and |b| is at least
+    least / (2 - least) of |a|, so they share that part of |a| at least: of all but that many of a's rarest characters, one.
+    """
+    seen: Counter[str] = Counter()
+    for r in titles.orderBy(F.xxhash64("norm_title")).limit(SAMPLED).select("norm_title").collect():  # SAMPLED rows at most
+        seen.update(_numbered(r["norm_title"]))
+    common = dict(seen)
+    share = least / (2 - least)
+
+    @F.pandas_udf("array<string>")
+    def prefix(t: pd.Series) -> pd.Series:
+        def of(title: str) -> list[str]:
+            marks = sorted(_numbered(title), key=lambda m: (common.get(m, 0), m))
+            return marks[: len(marks) - math.ceil(share * len(marks) - 1e-9) + 1]
+
+        return t.map(of)
+
+    return prefix
+
+
+def _numbered(title: str) -> list[str]:
+    n: Counter[str] = Counter()
+    out = []
+    for c in title:
+        n[c] += 1
+        out.append(f"{c}{n[c]}")
+    return out
+
+
+def near_pairs(records: DataFrame) -> DataFrame:
+    """a, b: the places (seq, leader) of distinct records of one block that are the same record, a before b.
+
+    Records meet only where they share one of their rarest characters and their lengths allow the ratio, once each.
+    """
+    prefix = rare_prefix(records)
+    rows = records.select("block", F.struct("seq", "leader").alias("at"), "norm_title", "norm_org", "family", "deadline", F.length("norm_title").alias("n"), prefix("norm_title").alias("rare"))
+    left = rows.select("block", F.explode("rare").alias("mark"), *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "block"])
+    right = rows.select("block", F.explode("rare").alias("mark"), *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "block"])
+    met = left.join(right, ["block", "mark"]).where((F.col("a_at") < F.col("b_at")) & (2.0 * F.least("a_n", "b_n") >= TITLE_RATIO * (F.col("a_n") + F.col("b_n"))))
+    met = met.where(F.get(F.array_intersect("a_rare", "b_rare"), F.lit(0)) == F.col("mark"))  # at the first mark that they share
+    met = met.where(dates.deadlines_close("a_deadline", "b_deadline", DEADLINE_DAYS))
+    missing = (F.col("a_norm_org") == "") | (F.col("b_norm_org") == "")
+    met = met.where(~missing | (F.col("a_family") == F.col("b_family")))
+    near = met.where(ratio("a_norm_title", "b_norm_title") >= TITLE_RATIO)
+    return near.where(missing | (ratio("a_norm_org", "b_norm_org") >= ORGANISATION_RATIO)).select(F.col("a_at").alias("a"), F.col("b_at").alias("b"))
+
+
+def first_leaders(pairs: DataFrame) -> DataFrame:
+    """b, led_by: the followers of a greedy pass over pairs (a before b) and their first leaders, by parallel rounds.
+
+    A record follows as soon as one of those before it leads, and leads as soon as all of these follow; that is what the pass in order
+    does, whatever the order of deciding. Each round is written, so lineage stays short.
+    """
+    pairs = cut(pairs, "near-pairs")
+    later, earlier = pairs.select(F.col("b").alias("r")).distinct(), pairs.select(F.col("a").alias("r")).distinct()
+    state = earlier.join(later, "r", "left_anti").select("r", F.lit(True).alias("leads"))  # nothing before them
+    state, waiting = cut(state, "leads"), cut(later, "waiting")
+    while waiting.take(1):
+        known = pairs.join(state.select(F.col("r").alias("a"), "leads"), "a", "left")
+        told = known.groupBy("b").agg(F.count_if("leads").alias("leaders"), F.count_if(F.col("leads").isNull()).alias("unknown"))
+        told = told.join(waiting.select(F.col("r").alias("b")), "b", "left_semi").where("leaders > 0 OR unknown = 0")
+        decided = cut(told.select(F.col("b").alias("r"), (F.col("leaders") == 0).alias("leads")), "decided")
+        state = cut(state.unionByName(decided), "leads")
+        waiting = cut(waiting.join(decided, "r", "left_anti"), "waiting")
+    led = pairs.join(state.where("leads").select(F.col("r").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("first"))
+    return led.join(state.where("NOT leads").select(F.col("r").alias("b")), "b", "left_semi").select("b", F.col("first.leader").alias("led_by"))
 
 
 def group_batch(df: DataFrame, noise: Sequence[str] = (), generic: Sequence[str] = ()) -> DataFrame:
     """DED-12: df (id, seq, title, organization, source_site, deadline) with leader: the id of the group's first record.
 
     Greedy: a record joins the first leader before it, in seq order, that is the same record. Records with one normalised
-    title, organisation, family and deadline collapse before the pass, so a block's work grows with
-    its distinct records. Generic and short titles lead only themselves.
+    title, organisation, family and deadline collapse before the pass, so work grows with distinct records. A block of up to AT_ONCE of these is one pass in one
+    task. Of a larger one the first AT_ONCE are grouped, and the others compared with their leaders, some thousands a task, a few times over; what
+    is left meets in near_pairs and is decided in first_leaders. The result is that of one pass in order. Generic and short titles lead only themselves.
     """
+    workers_import(df.sparkSession)
     p = prepared(df, noise).withColumn("family", F.regexp_extract(F.coalesce("source_site", F.lit("")), "^[a-z]+", 0))
     alone = F.col("block").isNull() | F.col("norm_title").isin(*generic)
-    keys = ["block", "norm_title", "norm_org", "family", "deadline"]
-    distinct = p.where(~alone).groupBy(*keys).agg(F.min("seq").alias("seq"), F.min_by("id", "seq").alias("leader"))
     # Missing deadlines are close to any, so records collapse only where all of these agree.
-    id_type = df.schema["id"].dataType.simpleString()
-
-    def greedy(block: pd.DataFrame) -> pd.DataFrame:
-        rows = block.sort_values("seq").to_dict("records")
-        for r in rows:
-            r["deadline"] = None if pd.isna(r["deadline"]) else r["deadline"]
-        leaders: list[dict] = []
-        out = []
-        for r in rows:
-            found = next((x for x in leaders if _same(x, r)), None)
-            if found is None:
-                leaders.append(r)
-                found = r
-            out.append((*[r[k] for k in keys], found["leader"]))
-        return pd.DataFrame(out, columns=[*keys, "leader"])
-
-    led = distinct.groupBy("block").applyInPandas(greedy, f"block string, norm_title string, norm_org string, family string, deadline date, leader {id_type}")
-    on = [p[k].eqNullSafe(led[k]) for k in keys]
-    joined = p.where(~alone).join(led, on, "left").select(*[p[c] for c in df.columns], led["leader"])
+    distinct = p.where(~alone).groupBy(*_KEYS).agg(F.min("seq").alias("seq"), F.min_by("id", F.struct("seq", "id")).alias("leader"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    row = f"block string, norm_title string, norm_org string, family string, deadline date, seq {kinds['seq']}, leader {kinds['id']}, led_by {kinds['id']}"
+    sized = lambda rows: rows.groupBy("block").agg(F.count("*").alias("_n"))
+    columns = [*_KEYS, "seq", "leader"]
+    rest = cut(distinct, "records")
+    done = []
+    for turn in range(FIRST_ROUNDS + 1):
+        n = cut(sized(rest), "sizes")
+        small = hot_key_join(rest, n.where(F.col("_n") <= AT_ONCE).withColumn("_k", F.col("_n")), ["block"], "_k", rest.count())
+        done.append(small.select(*columns).groupBy("block").applyInPandas(_greedy, row))
+        large = n.where(F.col("_n") > AT_ONCE)
+        rest = hot_key_join(rest, large.withColumn("_k", F.col("_n")), ["block"], "_k", rest.count())
+        if turn == FIRST_ROUNDS or not large.take(1):
+            break
+        first = rest.withColumn("_at", F.row_number().over(W.partitionBy("block").orderBy("seq", "leader"))).where(F.col("_at") <= AT_ONCE)
+        grouped = cut(first.select(*columns).groupBy("block").applyInPandas(_greedy, row), "first")
+        done.append(grouped)
+        parts = F.ceil(F.col("_n") / REST_ROWS).cast("int")
+        leaders = grouped.where(F.col("leader") == F.col("led_by")).join(large, "block").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).select(*columns, "_part")
+        last = grouped.groupBy("block").agg(F.max(F.struct("seq", "leader")).alias("_last"))
+        others = hot_key_join(rest, last.join(large.select("block", F.col("_n").alias("_k")), "block"), ["block"], "_k", rest.count()).where(F.struct("seq", "leader") > F.col("_last"))
+        others = others.withColumn("_part", F.pmod(F.xxhash64("norm_title", "norm_org", "deadline"), parts).cast("int")).select(*columns, "_part")
+        met = cut(leaders.groupBy("block", "_part").cogroup(others.groupBy("block", "_part")).applyInPandas(_first_leader, row), "met")
+        done.append(met.where("led_by IS NOT NULL"))
+        rest = met.where("led_by IS NULL").select(*columns)
+    left = cut(rest.select(*columns), "left")
+    if left.take(1):
+        led = first_leaders(near_pairs(left))
+        done.append(left.withColumn("b", F.struct("seq", "leader")).join(led, "b", "left").select(*columns, F.coalesce("led_by", "leader").alias("led_by")))
+    led = reduce(DataFrame.unionByName, done).select(*_KEYS, F.col("led_by"))
+    on = [p[k].eqNullSafe(led[k]) for k in _KEYS]
+    joined = p.where(~alone).join(led, on, "left").select(*[p[c] for c in df.columns], led["led_by"].alias("leader"))
     return joined.unionByName(p.where(alone).select(*df.columns, F.col("id").alias("leader")))
 
 
+def within_one_edit(names: DataFrame, name: str, block: str) -> DataFrame:
+    """JOI-23: x, y: pairs of distinct names of one block, x before y, at a Levenshtein distance of 1.
+
+    Such names are equal once a character is left out of one or of both, so they meet on what is left and not on their block.
+    """
+    n = F.col(name)
+    less = F.transform(F.sequence(F.lit(1), F.length(n)), lambda i: F.concat(F.left(n, i - 1), F.substr(n, i + 1)))
+    forms = F.array_distinct(F.array_append(F.when(F.length(n) > 0, less).otherwise(F.array().cast("array<string>")), n))
+    each = names.select(block, name).distinct().select(block, n.alias("x"), F.explode(forms).alias("form"))
+    met = each.join(each.withColumnRenamed("x", "y"), [block, "form"]).where("x < y").select("x", "y").distinct()
+    return met.where(F.levenshtein("x", "y", 1) == 1)
+
+
 def match_history(new: DataFrame, history: DataFrame, recency: str = "date_first_seen", method: str = "ratio") -> DataFrame:
     """DED-13: for each new record (id, ...) its newest match in history: id, match_id, richer (whether the new description is longer)."""
     pairs = similar_pairs(prepared(new), prepared(history), method)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from noticeflow.functions import text as T
 from noticeflow.functions.vocab import Layer, best_group, layered_score, matching_groups, of, title_and_body
 from noticeflow.operators import classify, dedup, documents, grounding, health, learning, lifecycle, normalize, search, upsert, vector_lists, vectors
+from noticeflow.operators.joins import hot_key_join
 from noticeflow.plans import views
 from noticeflow.streaming import streams
 
@@ -266,16 +267,18 @@ def first_per_whole_title(spark, sf_dir):
     return dedup.first_per_key(d, ["source", "key"], [F.col("doc_id")])
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS block FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INT AS distance FROM p a JOIN p b ON a.block = b.block AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 1""")
+@query("""WITH n AS (SELECT p_name, split_part(p_name, ' ', 1) AS block, count(*) AS c, min(p_partkey) AS class_id FROM part GROUP BY 1, 2),
+l AS (SELECT a.p_name, sum(b.c)::BIGINT AS n_links FROM n a JOIN n b ON a.block = b.block AND levenshtein(a.p_name, b.p_name) = 1 GROUP BY 1)
+SELECT p_partkey, class_id, c AS class_size, coalesce(n_links, 0) AS n_links FROM part JOIN n USING (p_name) LEFT JOIN l USING (p_name)""")
 def fuzzy_levenshtein(spark, sf_dir):
-    """DED-08, JOI-23: a blocked similarity join with a built-in distance. Equal names count once and are expanded after, so no block compares copies."""
+    """DED-08, JOI-23: a blocked similarity join with a built-in distance: each part with its class (equal names) and the number of parts one edit away. Names meet, not parts."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.split("p_name", " ")[0].alias("block"))
-    names = p.select("p_name", "block").distinct()
-    x, y = names.toDF("x", "block"), names.toDF("y", "block")
-    near = x.join(y, "block").where("abs(length(x) - length(y)) <= 1").withColumn("distance", F.levenshtein("x", "y", 1)).where("distance BETWEEN 0 AND 1").select("x", "y", "distance")
-    ids = p.select("p_partkey", "p_name")
-    return near.join(ids.toDF("a", "x"), "x").join(ids.toDF("b", "y"), "y").where("a < b").select("a", "b", "distance")
+    names = p.groupBy("p_name", "block").agg(F.count("*").alias("class_size"), F.min("p_partkey").alias("class_id"))
+    near = dedup.within_one_edit(names, "p_name", "block")
+    sizes = names.select(F.col("p_name").alias("y"), "class_size")
+    links = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).join(sizes, "y").groupBy(F.col("x").alias("p_name")).agg(F.sum("class_size").alias("n_links"))
+    known = names.join(links, "p_name", "left").select("p_name", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return hot_key_join(p, known.withColumn("_n", F.col("class_size")), ["p_name"], "_n", p.count()).select("p_partkey", "class_id", "class_size", "n_links")
 
 
 @query()
