@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import text as T
 from noticeflow.functions.vocab import Layer, best_group, layered_score, matching_groups, of, title_and_body
-from noticeflow.operators import classify, dedup, documents, grounding, health, learning, lifecycle, normalize, search, upsert, vector_lists, vectors
+from noticeflow.operators import classify, dedup, documents, grounding, health, learning, lifecycle, normalize, search, text_index, upsert, vector_lists, vectors
 from noticeflow.operators.joins import hot_key_join
 from noticeflow.plans import views
 from noticeflow.streaming import streams
@@ -438,8 +438,33 @@ def hybrid_rank(spark, sf_dir):
 
 @query("""WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part) SELECT p_partkey FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'co'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0""")
 def token_search(spark, sf_dir):
-    """RET-11: every token of the query as a prefix."""
-    return table(spark, sf_dir, "part").where(search.prefix_match("co wi", F.col("p_name"))).select("p_partkey")
+    """RET-11: every token of the query as a prefix, from the postings of an index alone."""
+    return text_index.prefix_search(text_index.segment(table(spark, sf_dir, "part"), "p_partkey", F.col("p_name")), "co wi").select(F.col("id").alias("p_partkey"))
+
+
+_TOKENS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+'))"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, {_TOKENS.format('text')} AS t FROM benchmark), d AS (SELECT doc_id AS id, unnest({_TOKENS.format('text')}) AS term FROM documents),
+s AS (SELECT query_id, id, count(*)::DOUBLE / any_value(n) AS score FROM (SELECT query_id, len(t) AS n, unnest(t) AS term FROM q) JOIN d USING (term) GROUP BY query_id, id)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10""")
+def ranked_search(spark, sf_dir):
+    """RET-04: documents by the share of a query's tokens that they have, for all benchmark items, from postings."""
+    index = text_index.segment(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return text_index.ranked(index, table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, regexp_extract_all(lower(CASE WHEN p_partkey % 10 = 0 THEN p_type ELSE p_name END), '[a-z0-9]+') AS w FROM part),
+q AS (SELECT DISTINCT p_partkey % 50 AS query_id, list_distinct(regexp_extract_all(lower(left(split_part(p_name, ' ', 1), 2) || ' ' || left(split_part(p_name, ' ', 2), 3)), '[a-z0-9]+')) AS a FROM part WHERE p_partkey < 50)
+SELECT query_id, id FROM q, t WHERE len(list_filter(a, lambda x: len(list_filter(w, lambda y: starts_with(y, x))) > 0)) = len(a)""")
+def indexed_updates(spark, sf_dir):
+    """RET-11, RET-12: an index that a second segment has updated (one part in ten has another text), merged, and searched for a table of queries."""
+    p = table(spark, sf_dir, "part")
+    old = text_index.segment(p, "p_partkey", F.col("p_name"))
+    index = text_index.merged(text_index.with_segment(old, text_index.segment(p.where("p_partkey % 10 = 0"), "p_partkey", F.col("p_type"), 1)))
+    words = F.split("p_name", " ")
+    asked = p.where("p_partkey < 50").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", F.left(words[0], F.lit(2)), F.left(words[1], F.lit(3))).alias("q"))
+    return text_index.prefix_searches(index, asked, "query_id", F.col("q"))
 
 
 @query("""WITH s AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderpriority = 'none' AND o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'P' AND o_totalprice > 1e9 THEN 1 WHEN o_orderstatus = 'P' THEN 2 WHEN TRUE THEN 3 END AS step FROM orders)
