@@ -6,10 +6,12 @@ Missing words (n/a, none, ...) differ by caller, so they are always an argument.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import string
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say that a value is missing, lower case.
@@ -24,11 +26,57 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 #: Titles shorter than this are too short to compare.
 MIN_TITLE = 15
 
+#: What makes up a word for word_pattern: letters, digits, the underscore, and marks on letters.
+WORD = r"(?:_|[\p{L}\p{Nd}]\p{Mn}*)+"
+
 Cols = Column | str
 
 
-def col(c: Cols) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+@dataclass(frozen=True)
+class Hits:
+    """A text with those words of a vocabulary that it has, found in one pass. Functions that look for terms take it in place of a text.
+
+    text and words are columns; known are the words of all terms that may be asked for.
+    """
+
+    text: Column
+    words: Column
+    known: frozenset[str]
+
+
+def col(c: Cols | Hits) -> Column:
+    return c.text if isinstance(c, Hits) else F.col(c) if isinstance(c, str) else c
+
+
+def words_of(term: str) -> list[str]:
+    """The words of a term, as WORD parts them."""
+    return re.findall(r"\w+", ascii_lower(term))
+
+
+def ascii_lower(text: str) -> str:
+    return text.translate({c: c + 32 for c in range(65, 91)})
+
+
+def with_hits(df: DataFrame, text: Cols, terms: Iterable[str], name: str = "_words") -> tuple[DataFrame, Hits]:
+    """df with a column of the words of terms that text has, and what to look for terms in: each text is cut into words once, however many terms there are."""
+    known = sorted({w for t in terms for w in words_of(t)})
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    own = F.regexp_extract_all(F.translate(F.coalesce(col(text), F.lit("")), upper, lower), F.lit(f"({WORD})"), F.lit(1))
+    found = F.array_intersect(own, F.array(*map(F.lit, known)).cast("array<string>"))
+    return df.withColumn(name, found), Hits(col(text), F.col(name), frozenset(known))
+
+
+def _in_hits(h: Hits, terms: Sequence[str]) -> list[Column]:
+    """For each term whether the text has it; terms of several words are looked for in the text where it has all of their words."""
+    out = []
+    for t in terms:
+        words = words_of(t)
+        if missing := set(words) - h.known:
+            raise ValueError(f"{t!r} needs words that were not looked for: {sorted(missing)}")
+        there = F.array_contains(h.words, words[0]) if len(words) == 1 else F.size(F.array_intersect(h.words, F.array(*map(F.lit, words)))) == len(set(words))
+        whole = len(words) == 1 and words[0] == ascii_lower(t)
+        out.append(there if whole else F.when(there, F.coalesce(h.text, F.lit("")).rlike(word_pattern([t]))).otherwise(False))
+    return out
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
@@ -129,26 +177,30 @@ def word_pattern(terms: Sequence[str]) -> str:
     return r"(?i)\b(?:" + "|".join(r"\s+".join(map(re.escape, t.split())) for t in terms) + r")\b"
 
 
-def has_word(c: Cols, terms: Sequence[str]) -> Column:
+def has_word(c: Cols | Hits, terms: Sequence[str]) -> Column:
     """FLT-01, FLT-02: whether text has one of terms as words, in any case."""
+    if isinstance(c, Hits):
+        return any_of(_in_hits(c, terms))
     return F.coalesce(col(c), F.lit("")).rlike(word_pattern(terms)) if terms else F.lit(False)
 
 
-def has_part(c: Cols, terms: Sequence[str]) -> Column:
+def has_part(c: Cols | Hits, terms: Sequence[str]) -> Column:
     """FLT-03, FLT-04: whether lower-case text contains one of terms."""
     return any_of([F.lower(F.coalesce(col(c), F.lit(""))).contains(t) for t in terms])
 
 
-def has(c: Cols, terms: Sequence[str], mode: str = "word") -> Column:
+def has(c: Cols | Hits, terms: Sequence[str], mode: str = "word") -> Column:
     return has_word(c, terms) if mode == "word" else has_part(c, terms)
 
 
-def count_terms(c: Cols, terms: Sequence[str], mode: str = "word") -> Column:
+def count_terms(c: Cols | Hits, terms: Sequence[str], mode: str = "word") -> Column:
     """SUB-02: how many of terms occur, not how often."""
+    if isinstance(c, Hits) and mode == "word":
+        return hits(_in_hits(c, terms))
     return hits([has(c, [t], mode) for t in terms])
 
 
-def matched_terms(c: Cols, terms: Sequence[str], mode: str = "word") -> Column:
+def matched_terms(c: Cols | Hits, terms: Sequence[str], mode: str = "word") -> Column:
     """Those of terms that occur, in their order."""
     return F.filter(F.array(*[F.when(has(c, [t], mode), t) for t in terms]), lambda x: x.isNotNull()) if terms else F.array().cast("array<string>")
 

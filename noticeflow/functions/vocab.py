@@ -1,7 +1,7 @@
 """Weighted vocabularies as data: rows of family, group, term, weight, match mode and priority.
 
 Callers bring their own; default() is a small neutral one. Rows become column expressions, so scoring stays in
-one projection; a group's terms of one weight are one alternation.
+projections. Every function takes a text, or the words that with_hits found in it in one pass for all vocabularies together.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import Cols, clamp, count_terms, half_even, has, hits
+from noticeflow.functions.text import Cols, Hits, clamp, count_terms, half_even, has, hits, with_hits
 
 
 @dataclass(frozen=True)
@@ -73,43 +73,48 @@ def default() -> dict[str, Vocabulary]:
     }
 
 
-def matching_groups(text: Cols, v: Vocabulary) -> Column:
+def word_terms(*vocabularies: Vocabulary) -> list[str]:
+    """All terms that are looked for as words."""
+    return [t for v in vocabularies for g in v.groups if g.mode == "word" for t in g.terms]
+
+
+def matching_groups(text: Cols | Hits, v: Vocabulary) -> Column:
     """SCO-01, NRM-36: names of the groups that occur, in order."""
     if not v.groups:
         return F.array().cast("array<string>")
     return F.filter(F.array(*[F.when(has(text, g.terms, g.mode), g.name) for g in v.groups]), lambda x: x.isNotNull())
 
 
-def group_hits(text: Cols, v: Vocabulary) -> Column:
+def group_hits(text: Cols | Hits, v: Vocabulary) -> Column:
     """An array of struct(name, hits, priority): how many terms of each group occur."""
     return F.array(*[F.struct(F.lit(g.name).alias("name"), count_terms(text, g.terms, g.mode).alias("hits"), F.lit(g.priority).alias("priority")) for g in v.groups])
 
 
-def best_group(text: Cols, v: Vocabulary, default: str | None = None, least: int = 1) -> Column:
+def best_group(text: Cols | Hits, v: Vocabulary, default: str | None = None, least: int = 1) -> Column:
     """CLS-02, CLS-03: the group with most hits; the earlier one of equals; default under least hits."""
     best = F.array_max(F.array(*[F.struct(count_terms(text, g.terms, g.mode).alias("hits"), F.lit(-g.priority).alias("order"), F.lit(g.name).alias("name")) for g in v.groups]))
     return F.when(best["hits"] >= least, best["name"]).otherwise(F.lit(default))
 
 
-def first_group(text: Cols, v: Vocabulary, default: str | None = None) -> Column:
+def first_group(text: Cols | Hits, v: Vocabulary, default: str | None = None) -> Column:
     """CLS-08: the first group that occurs."""
     return F.coalesce(*[F.when(has(text, g.terms, g.mode), g.name) for g in v.groups], F.lit(default))
 
 
-def longest_term(text: Cols, v: Vocabulary, default: str | None = None) -> Column:
+def longest_term(text: Cols | Hits, v: Vocabulary, default: str | None = None) -> Column:
     """CLS-04: the group of the longest term that occurs."""
     terms = sorted(((t, g) for g in v.groups for t in g.terms), key=lambda x: (-len(x[0]), x[1].priority))
     return F.coalesce(*[F.when(has(text, [t], g.mode), g.name) for t, g in terms], F.lit(default))
 
 
-def title_and_body(title: Cols, body: Cols, v: Vocabulary, title_points: int = 3, body_points: int = 1) -> Column:
+def title_and_body(title: Cols | Hits, body: Cols | Hits, v: Vocabulary, title_points: int = 3, body_points: int = 1) -> Column:
     """CLS-01: an array of struct(name, points), best first, of groups with points; a hit in the title outweighs one in the body."""
     each = [F.struct((-(has(title, g.terms, g.mode).cast("int") * title_points + has(body, g.terms, g.mode).cast("int") * body_points)).alias("order"), F.lit(g.priority).alias("priority"), F.lit(g.name).alias("name")) for g in v.groups]
     ranked = F.filter(F.array_sort(F.array(*each)), lambda g: g["order"] < 0)
     return F.transform(ranked, lambda g: F.struct(g["name"].alias("name"), (-g["order"]).alias("points")))
 
 
-def weighted_sum(text: Cols, v: Vocabulary, low: float | None = None, high: float | None = None, per_group: bool = False) -> Column:
+def weighted_sum(text: Cols | Hits, v: Vocabulary, low: float | None = None, high: float | None = None, per_group: bool = False) -> Column:
     """SCO-02 layers, CLS-16: sum of weights of terms (or of groups) that occur, between low and high."""
     total = F.lit(0.0)
     for g in v.groups:
@@ -131,7 +136,7 @@ class Layer:
     needs: str | None = None
 
 
-def layered_score(text: Cols, layers: Sequence[Layer], divisor: float, blocked: Column | None = None) -> Column:
+def layered_score(text: Cols | Hits, layers: Sequence[Layer], divisor: float, blocked: Column | None = None) -> Column:
     """SCO-02: capped layers, summed, as a share of divisor in whole percent, half to even, from 0 to 100; 0 where blocked."""
     points: dict[str, Column] = {}
     for layer in layers:
@@ -142,7 +147,7 @@ def layered_score(text: Cols, layers: Sequence[Layer], divisor: float, blocked:
     return score if blocked is None else F.when(blocked, 0).otherwise(score)
 
 
-def strongest_term(text: Cols, v: Vocabulary) -> Column:
+def strongest_term(text: Cols | Hits, v: Vocabulary) -> Column:
     """The heaviest term that occurs, for good or bad; of equals the earlier one."""
     ranked = sorted(((g, t) for g in v.groups for t in g.terms), key=lambda x: -abs(x[0].weight))
     return F.coalesce(*[F.when(has(text, [t], g.mode), t) for g, t in ranked], F.lit(None).cast("string"))
@@ -155,8 +160,9 @@ def relevance(df: DataFrame, text: str, layers: Sequence[Layer], says: Mapping[s
     makes the score 0 and is the reason.
     """
     of_layer = {layer.name: layer for layer in layers}
-    found = {name: strongest_term(text, of_layer[name].vocabulary) for name in says}
-    out = df.withColumns({"score": layered_score(text, layers, divisor, has(text, blocked)), **{f"_t_{name}": c for name, c in found.items()}, "_block": strongest_term(text, of("", {"": list(blocked)}))})
+    df, h = with_hits(df, text, [*blocked, *word_terms(*(layer.vocabulary for layer in layers))])
+    found = {name: strongest_term(h, of_layer[name].vocabulary) for name in says}
+    out = df.withColumns({"score": layered_score(h, layers, divisor, has(h, blocked)), **{f"_t_{name}": c for name, c in found.items()}, "_block": strongest_term(h, of("", {"": list(blocked)}))}).drop("_words")
     silent = lambda name: F.lit(False) if of_layer[name].needs is None else F.col(f"_t_{of_layer[name].needs}").isNull()
     said = [F.when(F.col(f"_t_{name}").isNotNull() & ~silent(name), F.concat(F.lit(words), F.col(f"_t_{name}"))) for name, words in says.items()]
     some = F.slice(F.filter(F.array(*said), lambda x: x.isNotNull()), 1, most)
@@ -166,7 +172,7 @@ def relevance(df: DataFrame, text: str, layers: Sequence[Layer], says: Mapping[s
     return out.withColumn("reason", reason).drop("_block", *[f"_t_{name}" for name in says])
 
 
-def keyword_share(text: Cols, v: Vocabulary, high_value: Sequence[str] = (), bonus: int = 10) -> Column:
+def keyword_share(text: Cols | Hits, v: Vocabulary, high_value: Sequence[str] = (), bonus: int = 10) -> Column:
     """SCO-03: matched groups in percent of all, and a bonus for each of high value."""
     found = matching_groups(text, v)
     more = hits([F.array_contains(found, name) for name in high_value]) * bonus

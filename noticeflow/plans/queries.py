@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.functions import text as T
-from noticeflow.functions.vocab import Layer, best_group, layered_score, matching_groups, of, title_and_body
+from noticeflow.functions.vocab import Layer, best_group, layered_score, matching_groups, of, title_and_body, word_terms
 from noticeflow.operators import classify, dedup, documents, grounding, health, learning, lifecycle, normalize, search, text_index, upsert, vector_lists, vectors
 from noticeflow.operators.joins import hot_key_join
 from noticeflow.plans import views
@@ -294,8 +294,9 @@ SERVICE_SQL = "least(6, " + " + ".join(f"{int(g.weight)} * regexp_matches(lower(
 @query(f"""SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{{L}}\\p{{N}}_])(secret|password)([^\\p{{L}}\\p{{N}}_]|$)') THEN 0 ELSE round_even({SERVICE_SQL} * 100.0 / 6, 0)::INT END AS score FROM documents""")
 def vocabulary_score(spark, sf_dir):
     """SCO-02, FLT-01, FLT-02: a capped layer of weighted words; blocked words make it 0."""
-    layers = [Layer("service", SERVICES, 0, 6)]
-    return table(spark, sf_dir, "documents").select("doc_id", layered_score(F.lower(F.coalesce("text", F.lit(""))), layers, 6, T.has_word("text", ["secret", "password"])).alias("score"))
+    layers, blocked = [Layer("service", SERVICES, 0, 6)], ["secret", "password"]
+    d, h = T.with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", [*blocked, *word_terms(SERVICES)])
+    return d.select("doc_id", layered_score(h, layers, 6, T.has_word(h, blocked)).alias("score"))
 
 
 def _hits_sql(terms: tuple[str, ...]) -> str:
@@ -305,8 +306,8 @@ def _hits_sql(terms: tuple[str, ...]) -> str:
 @query("WITH h AS (SELECT doc_id, " + ", ".join(f"{_hits_sql(g.terms)} AS h{i}" for i, g in enumerate(SECTORS.groups)) + " FROM documents) SELECT doc_id, CASE WHEN greatest(h0, h1, h2, h3) = 0 THEN 'General' " + " ".join(f"WHEN h{i} = greatest(h0, h1, h2, h3) THEN '{g.name}'" for i, g in enumerate(SECTORS.groups)) + " END AS sector, h0 + h1 + h2 + h3 AS n_hits FROM h")
 def sector_argmax(spark, sf_dir):
     """CLS-01, CLS-02: the class with most hits, the earlier one of equals."""
-    lc = F.lower(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", best_group(lc, SECTORS, "General").alias("sector"), sum((T.count_terms(lc, g.terms) for g in SECTORS.groups), F.lit(0)).alias("n_hits"))
+    d, h = T.with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", word_terms(SECTORS))
+    return d.select("doc_id", best_group(h, SECTORS, "General").alias("sector"), sum((T.count_terms(h, g.terms) for g in SECTORS.groups), F.lit(0)).alias("n_hits"))
 
 
 def _has_sql(column: str, terms: tuple[str, ...]) -> str:
@@ -321,8 +322,9 @@ _CLASSES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_has_sql('text', g.terms
 SELECT doc_id, '[' || array_to_string(list_transform(r, lambda x: '{{"name":"' || x.name || '","points":' || -x.o || '}}'), ',') || ']' AS ranked, array_to_string({_GROUPS_SQL}, ',') AS groups FROM p""")
 def title_body_classes(spark, sf_dir):
     """CLS-01, SCO-01: classes by points of title and body."""
-    d = table(spark, sf_dir, "documents").withColumn("title", title())
-    return d.select("doc_id", F.to_json(title_and_body("title", "text", SECTORS)).alias("ranked"), F.array_join(matching_groups("text", SERVICES), ",").alias("groups"))
+    d, head = T.with_hits(table(spark, sf_dir, "documents").select("doc_id", "text", title().alias("title")), "title", word_terms(SECTORS), "_head")
+    d, body = T.with_hits(d, "text", word_terms(SECTORS, SERVICES))
+    return d.select("doc_id", F.to_json(title_and_body(head, body, SECTORS)).alias("ranked"), F.array_join(matching_groups(body, SERVICES), ",").alias("groups"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) < 10 THEN 'too short'
