@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.functions import dates, text as T
-from noticeflow.functions.vocab import Layer, Vocabulary, best_group, first_group, layered_score, longest_term, matching_groups
+from noticeflow.functions.vocab import Layer, Vocabulary, best_group, first_group, keyword_share, layered_score, longest_term, matching_groups, word_terms
 
 Branches = Sequence[tuple[Column, object]]
 
@@ -37,11 +37,22 @@ def cut_offs(score: Column, steps: Sequence[tuple[float, str]], below: str) -> C
 # --- gates -------------------------------------------------------------------------------------------------
 
 
-def consulting_gate(text: Column, override: Sequence[str], anchors: Sequence[str], soft: Sequence[str], kind: Column) -> Column:
-    """FLT-05: struct(ok, reason): an override, an anchor, two soft signals, or one where the type is unknown."""
-    n = T.count_terms(text, soft)
-    reason = first_match([(T.has(text, override), "override"), (T.has(text, anchors), "anchor"), (n >= 2, "two soft signals"), ((n == 1) & kind.isNull(), "soft signal, unknown type")], "no signal")
-    return F.struct((reason != "no signal").alias("ok"), reason.alias("reason"))
+def consulting_gate(title: Column, text: Column, override: Sequence[str], anchors: Sequence[str], soft: Sequence[str], kind: Column) -> Column:
+    """FLT-05: struct(ok, reason): a row goes for an anchor in its title, for two soft signals there, or for one where the type is unknown.
+
+    One of the override words anywhere in the text keeps it. All are parts of lower-case text; reason is null where the row stays.
+    """
+    head = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    anchor = F.coalesce(*[F.when(head.contains(a), a.strip()) for a in anchors], F.lit(None).cast("string"))
+    some = F.filter(F.array(*[F.when(head.contains(w), w.strip()) for w in soft]).cast("array<string>"), lambda x: x.isNotNull())
+    unknown = F.coalesce(F.nullif(F.trim(kind), F.lit("")), F.lit("unknown")) == "unknown"
+    reason = first_match([
+        (T.has_part(text, override), F.lit(None).cast("string")),
+        (anchor.isNotNull(), F.concat(F.lit("goods anchor in title: "), anchor)),
+        (F.size(some) >= 2, F.concat(F.lit("several signals in title: "), F.array_join(F.slice(some, 1, 3), ", "))),
+        ((F.size(some) == 1) & unknown, F.concat(F.lit("signal in title and unknown type: "), F.get(some, F.lit(0)))),
+    ])
+    return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
 
 
 def generic_only(text: Column, stop_words: Sequence[str], least: int = 4) -> Column:
@@ -290,12 +301,27 @@ def blended_fit(semantic: Column, keyword: Column, weight: float = 0.70) -> Colu
     return T.clamp(T.half_even(weight * T.clamp(semantic * 115) + (1 - weight) * keyword)).cast("int")
 
 
-def red_flags(text: Column, value: Column, deadline: Column, as_of: Column, goods: Sequence[str], ineligible: Sequence[str], most: float = 5e6) -> Column:
+def red_flags(text: Column | T.Hits, value: Column, deadline: Column, as_of: Column, goods: Sequence[str], ineligible: Sequence[str], most: float = 5e6) -> Column:
     """SCO-06: names of what speaks against a record."""
     flags = [(T.has(text, goods), "goods only"), (value > most, "too large"), (dates.is_expired(deadline, as_of), "EXPIRED"), (T.has(text, ineligible), "ineligible")]
     return F.filter(F.array(*[F.when(c, n) for c, n in flags]), lambda x: x.isNotNull())
 
 
+def process_batch(df: DataFrame, keywords: Vocabulary, goods: Sequence[str], ineligible: Sequence[str], as_of: Column, high_value: Sequence[str] = (), rich: Sequence[str] = (), most: float = 5e6) -> DataFrame:
+    """SCO-03 to SCO-06 together: one row for each row of df with a title, with fit_score, red_flags, top_reasons and tender_id; best fit first, then by id.
+
+    df: title, url, source, description, deadline (date), value, similarity (0 to 1, null counts as 0), tender_id. Texts of the columns in rich, where they come to
+    more than 100 characters, take the description's place. A row without an id gets one from its URL.
+    """
+    deep = F.concat_ws("\n\n", *[F.nullif(F.trim(c), F.lit("")) for c in rich]) if rich else F.lit("")
+    body = F.when(F.length(deep) > 100, deep).otherwise(F.coalesce("description", F.lit("")))
+    out = df.where(F.trim("title") != "").withColumn("_text", F.concat_ws(" ", F.trim("title"), body))
+    out, h = T.with_hits(out, "_text", [*word_terms(keywords), *goods, *ineligible])
+    fit = blended_fit(F.coalesce("similarity", F.lit(0.0)), keyword_share(h, keywords, high_value))
+    made = {"tender_id": F.coalesce(T.clean_or_null("tender_id"), F.left(F.md5(F.coalesce("url", F.lit(""))), F.lit(16))), "fit_score": fit, "red_flags": red_flags(h, F.col("value"), F.col("deadline"), as_of, goods, ineligible, most), "top_reasons": F.slice(matching_groups(h, keywords), 1, 5)}
+    return out.withColumns(made).drop("_text", "_words").orderBy(F.desc("fit_score"), "tender_id")
+
+
 def confidence_score(base: Column, shallow: Column, deep: Column, negative: Column) -> Column:
     """OPP-01: a type's base; 4 a shallow hit up to 18, 3 a deep one up to 12, less 6 a negative one up to 30."""
     return T.clamp(T.half_even(base + F.least(F.lit(18), shallow * 4) + F.least(F.lit(12), deep * 3) - F.least(F.lit(30), negative * 6))).cast("int")
@@ -322,20 +348,20 @@ def priority(model: Column, portfolio: Column, keyword: Column, adjustments: Col
     return F.when(F.coalesce(expired, F.lit(False)), 0).otherwise(T.clamp(T.half_even((0.5 * model + 0.3 * portfolio + 0.2 * keyword + adjustments) / divisor))).cast("int")
 
 
-def competition(tier: Column, text: Column, high: Sequence[str]) -> Column:
+def competition(tier: Column, text: Column | T.Hits, high: Sequence[str]) -> Column:
     """OPP-07"""
     return first_match([(tier == "top", "high"), (tier == "known", "medium"), (T.has(text, high), "medium")], "low")
 
 
-def opportunity_size(text: Column, large: Sequence[str], small: Sequence[str]) -> Column:
+def opportunity_size(text: Column | T.Hits, large: Sequence[str], small: Sequence[str]) -> Column:
     """OPP-08"""
     a, b = T.count_terms(text, large), T.count_terms(text, small)
     return first_match([(a > b, "large"), (b > a, "small")], "medium")
 
 
-def complexity(text: Column, requirements: Sequence[str], scope: Sequence[str]) -> Column:
+def complexity(text: Column | T.Hits, requirements: Sequence[str], scope: Sequence[str]) -> Column:
     """OPP-09: length / 100 to 40, 3 a requirement word to 30, 5 a scope word to 30."""
-    return (F.least(F.lit(40), F.floor(F.length(text) / 100)) + F.least(F.lit(30), T.count_terms(text, requirements) * 3) + F.least(F.lit(30), T.count_terms(text, scope) * 5)).cast("int")
+    return (F.least(F.lit(40), F.floor(F.length(T.col(text)) / 100)) + F.least(F.lit(30), T.count_terms(text, requirements) * 3) + F.least(F.lit(30), T.count_terms(text, scope) * 5)).cast("int")
 
 
 def rerank_boost(similarities: Column, most: float = 6.0) -> Column:

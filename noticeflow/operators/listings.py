@@ -60,8 +60,15 @@ def lifecycle_list(ledger: DataFrame, owners: DataFrame, key: str, stage: str |
 
 
 def index_source(records: DataFrame, classes: DataFrame, key: str) -> DataFrame:
-    """LKP-12, LKP-13, SRT-15, RPR-05: all records with their class, for an index or a score; order and pages are the reader's, no loop is left."""
-    return records.join(classes, key)
+    """LKP-12, LKP-13: all records, with their class where they have one, for an index or a score; order and pages are the reader's, no loop is left."""
+    return records.join(classes, key, "left")
+
+
+def rescored(records: DataFrame, stored: DataFrame, key: str, score: str = "score") -> DataFrame:
+    """SRT-15, RPR-05: records with a score of their own, beside what is stored of them: old_score and state (new, changed, same). One plan, whatever the number of rows."""
+    old = stored.groupBy(key).agg(F.max(score).alias("old_score"))
+    state = F.when(F.col("old_score").isNull(), "new").when(F.col("old_score") != F.col(score), "changed").otherwise("same")
+    return records.join(old, key, "left").withColumn("state", state)
 
 
 def earliest_date(*texts: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.functions import text as T
-from noticeflow.operators.classify import by_table, confidence_score, cut_offs, first_match, procurement_penalty, service_fit
+from noticeflow.operators.classify import by_table, competition, complexity, confidence_score, consulting_gate, cut_offs, first_match, opportunity_size, procurement_penalty, service_fit
 
 # Confidence by type of engagement (others 40), urgency by deadline (others 35), points of capability matches.
 CONFIDENCE_BY_TYPE = {"evaluation": 86, "research": 80, "technical assistance": 78, "capacity building": 76, "policy": 72, "advisory": 68, "feasibility study": 64, "implementation support": 52, "unknown": 30}
@@ -152,6 +152,41 @@ def score(df: DataFrame, p: Profile) -> DataFrame:
     return out.withColumns({"low_confidence": (F.col("priority_score") == 0) & nothing, "note": note(F.col("engine_score"), nothing)})
 
 
+@dataclass(frozen=True)
+class Market:
+    """What score_rows needs besides a Profile: the words of the gate, of competition, size and complexity, and the tiers of clients."""
+
+    override: Sequence[str] = ()
+    anchors: Sequence[str] = ()
+    soft: Sequence[str] = ()
+    tiers: Mapping[str, str] = field(default_factory=dict)
+    contested: Sequence[str] = ()
+    large: Sequence[str] = ()
+    small: Sequence[str] = ()
+    requirements: Sequence[str] = ()
+    scope: Sequence[str] = ()
+
+
+def score_rows(df: DataFrame, p: Profile, m: Market, key: str = "tender_id") -> DataFrame:
+    """OPP-10 whole: key and all that a scored row has, from texts alone: the gate decides here what is no consulting.
+
+    df: as score takes it but for consulting and exclusion_reason, and shadow_note (LRN-11; null or blank where there is none).
+    """
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    gated = df.withColumn("_gate", consulting_gate(F.col("title"), text, m.override, m.anchors, m.soft, F.col("consulting_type")))
+    out = score(gated.withColumns({"consulting": F.col("_gate.ok"), "exclusion_reason": F.col("_gate.reason")}), p)
+    out, h = T.with_hits(out, text, [*m.contested, *m.large, *m.small, *m.requirements, *m.scope])
+    said = F.nullif(F.trim("shadow_note"), F.lit(""))
+    with_shadow = F.ltrim(F.concat(F.rtrim("note", F.lit(". ")), F.lit(". "), said, F.lit(".")), F.lit(". "))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    return out.select(
+        key, "priority_score", number("model").alias("ml_relevance_score"), number("portfolio").alias("portfolio_similarity_score"), number("keyword").alias("keyword_score"),
+        competition(by_table(F.col("organization"), dict(m.tiers)), h, m.contested).alias("competition_level"), opportunity_size(h, m.large, m.small).alias("opportunity_size"), complexity(h, m.requirements, m.scope).alias("complexity_score"),
+        F.col("consulting").cast("int").alias("is_consulting_relevant"), F.col("firm_eligible").alias("is_firm_eligible"), F.col("low_confidence").cast("int").alias("is_low_confidence"), F.coalesce(with_shadow, "note").alias("scoring_note"),
+        F.col("client_fit").alias("client_fit_score"), F.col("service_fit").alias("service_fit_score"), F.col("confidence").cast("int").alias("consulting_confidence_score"), F.col("penalty").alias("procurement_penalty_score"), number("rerank").alias("semantic_rerank_score"),
+    )
+
+
 def note(engine: Column, no_keywords: Column) -> Column:
     """OPP-11: why a row has its score, and which capabilities match."""
     why = F.when(engine > 0, F.concat(cut_offs(engine, [(70, "Strong"), (40, "Medium")], "Low"), F.lit(" fit: "), engagement(), F.lit(", client="), F.col("client_fit"), F.lit(", service="), F.col("service_fit"), F.lit(", confidence="), F.col("confidence"), F.lit(", penalty="), F.col("penalty")))

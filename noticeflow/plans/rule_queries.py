@@ -12,7 +12,7 @@ from noticeflow.functions import text as T
 from noticeflow.functions.vocab import Layer, best_group, first_group, keyword_share, longest_term, matching_groups, of, relevance
 from noticeflow.operators import classify as C
 from noticeflow.operators import grounding, listings, opportunity
-from noticeflow.plans.queries import AS_OF, as_of, query, table
+from noticeflow.plans.queries import AS_OF, ORACLE_SQL, as_of, query, table
 
 #: Of parts' names.
 COLOURS = of("colour", {"warm": {"terms": ["red", "hot"], "weight": 8}, "cool": {"terms": ["blue", "cold"], "weight": 5}})
@@ -105,7 +105,7 @@ _ANY = lambda *x: "(" + " OR ".join(_HAS.format(y) for y in x) + ")"  # noqa: E7
 _N = lambda *x: "(" + " + ".join(f"{_HAS.format(y)}::INT" for y in x) + ")"
 
 
-@query(f"""WITH p AS (SELECT *, string_split(lower(p_name), ' ') AS w FROM part)
+@query(f"""WITH p AS (SELECT *, string_split(lower(p_name), ' ') AS w, list_filter([CASE WHEN contains(lower(p_name), 'hot') THEN 'hot' END, CASE WHEN contains(lower(p_name), 'red') THEN 'red' END, CASE WHEN contains(lower(p_name), 'ring') THEN 'ring' END], lambda x: x IS NOT NULL) AS soft FROM part)
 SELECT p_partkey, CASE WHEN {_ANY('hot', 'red')} THEN 'warm' WHEN {_ANY('blue', 'cold')} THEN 'cool' END AS first_colour,
  CASE WHEN greatest({_N('gear', 'rod', 'ring')}, {_N('bolt', 'plate')}) = 0 THEN 'none' WHEN {_N('gear', 'rod', 'ring')} >= {_N('bolt', 'plate')} THEN 'turning' ELSE 'fixing' END AS best_ware,
  CASE WHEN {_HAS.format('plate')} THEN 'fixing' WHEN {_ANY('gear', 'ring')} THEN 'turning' WHEN {_HAS.format('bolt')} THEN 'fixing' WHEN {_HAS.format('rod')} THEN 'turning' END AS longest,
@@ -116,7 +116,7 @@ SELECT p_partkey, CASE WHEN {_ANY('hot', 'red')} THEN 'warm' WHEN {_ANY('blue',
  CASE WHEN {_ANY('gear', 'ring')} THEN 'consulting' WHEN {_HAS.format('widget')} THEN 'goods' ELSE 'unknown' END AS notice,
  CASE p_type WHEN 'PROMO' THEN 'high' WHEN 'SMALL' THEN 'medium' ELSE CASE WHEN {_HAS.format('hot')} THEN 'medium' ELSE 'low' END END AS competition,
  CASE WHEN {_N('large', 'plate')} > {_N('small', 'ring')} THEN 'large' WHEN {_N('large', 'plate')} < {_N('small', 'ring')} THEN 'small' ELSE 'medium' END AS size,
- CASE WHEN {_HAS.format('gizmo')} THEN 'override' WHEN {_HAS.format('bolt')} THEN 'anchor' WHEN {_N('hot', 'red', 'ring')} >= 2 THEN 'two soft signals' WHEN {_N('hot', 'red', 'ring')} = 1 AND p_size < 10 THEN 'soft signal, unknown type' ELSE 'no signal' END AS gate,
+ CASE WHEN contains(p_name, 'gizmo') THEN NULL WHEN contains(p_name, 'bolt') THEN 'goods anchor in title: bolt' WHEN len(soft) >= 2 THEN 'several signals in title: ' || array_to_string(soft, ', ') WHEN len(soft) = 1 AND p_size < 10 THEN 'signal in title and unknown type: ' || soft[1] END AS gate,
  least(1.0::DOUBLE, CASE p_type WHEN 'PROMO' THEN 0.9::DOUBLE ELSE CASE WHEN {_HAS.format('gear')} THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END END + least(0.2::DOUBLE, {_N('red', 'blue')} * 0.05::DOUBLE)) AS ratio,
  p_brand LIKE '%#1%' OR p_type = 'LARGE' AS geographic, p_type NOT LIKE '%ECONOMY%' AS notified, lower(p_brand) LIKE 'brand#2%' OR lower(p_type) = 'promo' AS noise, p_name LIKE '%ol%' AS part_word,
  p_name || ' ' || lower(p_type) AS blob, {_N('hot', 'cold', 'old')} AS n_hits, len(w) <= 2 AND {_ANY('widget', 'gizmo')} AS generic,
@@ -134,7 +134,7 @@ def title_rules(spark, sf_dir):
         "p_partkey", first_group(n, COLOURS).alias("first_colour"), best_group(n, WARES, "none").alias("best_ware"), longest_term(n, WARES).alias("longest"), F.array_join(matching_groups(n, WARES), ",").alias("groups"),
         keyword_share(n, WARES, ["turning"]).alias("share"), fit["score"].alias("firm"), F.array_join(fit["reasons"], ",").alias("reasons"), C.notice_type(n, ["gear", "ring"], ["widget"]).alias("notice"),
         C.competition(C.by_table(F.col("p_type"), {"PROMO": "top", "SMALL": "known"}), n, ["hot"]).alias("competition"), C.opportunity_size(n, ["large", "plate"], ["small", "ring"]).alias("size"),
-        C.consulting_gate(n, ["gizmo"], ["bolt"], ["hot", "red", "ring"], kind)["reason"].alias("gate"), C.consulting_ratio(F.col("p_type"), n, {"promo": 0.9}, {"gear": 0.7}, ["red", "blue"]).alias("ratio"),
+        C.consulting_gate(n, n, ["gizmo"], ["bolt"], ["hot", "red", "ring"], kind)["reason"].alias("gate"), C.consulting_ratio(F.col("p_type"), n, {"promo": 0.9}, {"gear": 0.7}, ["red", "blue"]).alias("ratio"),
         (C.geographic(F.lower("p_brand"), F.col("p_type"), n, ["brand#1", *(f"brand#1{i}" for i in range(10))], ["large"], ["zzz"])).alias("geographic"), C.skip_process(F.col("p_type"), ["economy"]).alias("notified"), C.noise_source(F.col("p_brand"), ["brand#2"], ["x"]).alias("_noise"),
         C.noise_source(F.col("p_type"), ["q"], ["promo"]).alias("_noise2"), T.has_part("p_name", ["ol"]).alias("part_word"), T.search_blob("p_name", "p_type").alias("blob"), T.count_terms(n, ["hot", "cold", "old"]).alias("n_hits"), T.is_generic_title("p_name", ["none"], ["widget", "gizmo"]).alias("generic"),
         C.amount(raw).alias("amount"), C.contract_size(raw, n, ["large"], ["small"]).alias("contract"), C.complexity(n, ["hot", "gear"], ["large"]).alias("complexity"), C.signal_strength(n, [("gear", 9), ("red", 5)], ["zzz", "yyy"], cap=12)["score"].cast("int").alias("strength"),
@@ -182,9 +182,9 @@ def alert_enrichment(spark, sf_dir):
     return listings.enriched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), ["lang", "source"], "doc_id")
 
 
-@query("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
+@query("SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def index_source(spark, sf_dir):
-    """LKP-12, LKP-13, SRT-15, RPR-05"""
+    """LKP-12, LKP-13"""
     return listings.index_source(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
 
 
@@ -248,6 +248,17 @@ def _number(text: str, *patterns: str) -> str:
     return "(" + " + ".join(f"regexp_matches({text}, '{x}', 'i')::INT" for x in patterns) + ")"
 
 
+def _notices(spark, sf_dir):
+    """Documents as notices with all that scores read."""
+    n = F.col("doc_id")
+    return table(spark, sf_dir, "documents").withColumns({
+        "title": F.split(F.coalesce("text", F.lit("")), "\n")[0], "rich_text": F.left(F.coalesce("text", F.lit("")), F.lit(200)), "organization": F.col("source"), "sector": F.col("lang"), "region": F.col("lang"),
+        "consulting_type": F.when(n % 17 == 0, " ").otherwise(C.by_table(F.col("lang"), {"en": "evaluation", "de": "advisory", "fr": "policy"})),
+        "deadline_category": C.first_match([(n % 5 == 0, "closing_soon"), (n % 5 == 1, "needs_action"), (n % 5 == 2, "plan_ahead"), (n % 5 == 3, "unknown"), (n % 3 == 0, "expired")]),
+        "model": F.col("n_chars") % 101, "portfolio": n % 101, "keyword": n * 7 % 101, "shadow": F.when(n % 11 > 0, F.col("n_chars") * 3 % 101), "rerank": F.lit(0.0), "consulting": n % 13 > 0, "exclusion_reason": F.lit("goods"),
+    })
+
+
 @query(f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS title, left(coalesce(text, ''), 200) AS rich, n_chars % 101 AS model, doc_id % 101 AS portfolio, doc_id * 7 % 101 AS keyword, CASE WHEN doc_id % 11 > 0 THEN n_chars * 3 % 101 END AS shadow,
  CASE WHEN doc_id % 17 = 0 THEN NULL WHEN lang = 'en' THEN 'evaluation' WHEN lang = 'de' THEN 'advisory' WHEN lang = 'fr' THEN 'policy' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'closing_soon' WHEN 1 THEN 'needs_action' WHEN 2 THEN 'plan_ahead' WHEN 3 THEN 'unknown' ELSE CASE WHEN doc_id % 3 = 0 THEN 'expired' END END AS due, doc_id % 13 > 0 AS consulting FROM documents),
 w AS (SELECT *, title || ' ' || text AS short, title || ' ' || text || ' ' || rich AS whole FROM d),
@@ -267,13 +278,7 @@ SELECT doc_id, confidence::INT AS confidence, service AS service_fit, client::IN
  CASE WHEN NOT firm THEN 'for one person' END, CASE WHEN p1 = 5 THEN 'service match' END, CASE WHEN p2 = 4 THEN 'sector match' END, CASE p3 WHEN 8 THEN 'client match' WHEN 3 THEN 'partner match' END) AS note FROM f""")
 def opportunity_scores(spark, sf_dir):
     """OPP-01 to OPP-06, OPP-10 to OPP-12: scores of all documents as notices, with gates, blend and note."""
-    n = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").withColumns({
-        "title": F.split(F.coalesce("text", F.lit("")), "\n")[0], "rich_text": F.left(F.coalesce("text", F.lit("")), F.lit(200)), "organization": F.col("source"), "sector": F.col("lang"), "region": F.col("lang"),
-        "consulting_type": F.when(n % 17 == 0, " ").otherwise(C.by_table(F.col("lang"), {"en": "evaluation", "de": "advisory", "fr": "policy"})),
-        "deadline_category": C.first_match([(n % 5 == 0, "closing_soon"), (n % 5 == 1, "needs_action"), (n % 5 == 2, "plan_ahead"), (n % 5 == 3, "unknown"), (n % 3 == 0, "expired")]),
-        "model": F.col("n_chars") % 101, "portfolio": n % 101, "keyword": n * 7 % 101, "shadow": F.when(n % 11 > 0, F.col("n_chars") * 3 % 101), "rerank": F.lit(0.0), "consulting": n % 13 > 0, "exclusion_reason": F.lit("goods"),
-    })
+    d = _notices(spark, sf_dir)
     return opportunity.score(d, FIRM).select("doc_id", "confidence", "service_fit", "client_fit", "penalty", "firm_eligible", "engine_score", "priority_score", "low_confidence", "note")
 
 
@@ -304,3 +309,54 @@ def relevance_layers(spark, sf_dir):
     """SCO-02, SUB-11: eight capped layers, one of which needs another, blocked words, and the sentence that says why."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return relevance(d, "text", LAYERS, SAYS, 64, ["secret", "password"]).select("doc_id", "score", "reason")
+
+
+@query(f"""WITH r AS ({ORACLE_SQL["relevance_layers"]}), o AS (SELECT doc_id, max(quality * 25) AS old_score FROM labels GROUP BY 1)
+SELECT doc_id, score, reason, old_score, CASE WHEN old_score IS NULL THEN 'new' WHEN old_score <> score THEN 'changed' ELSE 'same' END AS state FROM r LEFT JOIN o USING (doc_id)""")
+def rescored(spark, sf_dir):
+    """SRT-15, RPR-05: all documents scored again, beside the scores that are stored of some."""
+    d = relevance(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", LAYERS, SAYS, 64, ["secret", "password"]).select("doc_id", "score", "reason")
+    return listings.rescored(d, table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 25).alias("score")), "doc_id")
+
+
+MARKET = opportunity.Market(override=["qui "], anchors=["der "], soft=["le ", "de ", "en "], tiers={"src1": "top", "src2": "known"}, contested=["avec"], large=["pour", "der"], small=["mit"], requirements=["and", "und"], scope=["is", "la"])
+
+
+def _word(*words: str) -> str:
+    return "(" + " + ".join(f"regexp_matches(lower(short), '(^|[^\\p{{L}}\\p{{N}}_])({w})([^\\p{{L}}\\p{{N}}_]|$)')::INT" for w in words) + ")"
+
+
+_SOFT = "list_filter([CASE WHEN contains(lower(title), 'le ') THEN 'le' END, CASE WHEN contains(lower(title), 'de ') THEN 'de' END, CASE WHEN contains(lower(title), 'en ') THEN 'en' END], lambda x: x IS NOT NULL)"
+_WHY = f"CASE WHEN contains(lower(title || ' ' || coalesce(text, '')), 'qui ') THEN NULL WHEN contains(trim(lower(title)), 'der ') THEN 'goods anchor in title: der' WHEN len(soft) >= 2 THEN 'several signals in title: ' || array_to_string(soft, ', ') WHEN len(soft) = 1 AND kind IS NULL THEN 'signal in title and unknown type: ' || soft[1] END"
+_ROWS = ORACLE_SQL["opportunity_scores"]
+_ROWS = _ROWS[: _ROWS.rindex("SELECT doc_id, confidence")].replace("doc_id % 13 > 0 AS consulting FROM", f"{_SOFT.replace('lower(title)', 'trim(lower(title))')} AS soft, {_WHY} AS why, why IS NULL AS consulting FROM")
+_NOTE = ORACLE_SQL["opportunity_scores"][ORACLE_SQL["opportunity_scores"].rindex(" concat_ws('; '") :].replace("'Excluded: goods'", "'Excluded: ' || why").rsplit(" AS note", 1)[0]
+
+
+@query(f"""{_ROWS}, z AS (SELECT *, {_NOTE} AS note, CASE WHEN doc_id % 4 > 0 THEN 'model is unsure' END AS said FROM f)
+SELECT doc_id, blended AS priority_score, model::DOUBLE AS ml_relevance_score, portfolio::DOUBLE AS portfolio_similarity_score, keyword::DOUBLE AS keyword_score,
+ CASE source WHEN 'src1' THEN 'high' WHEN 'src2' THEN 'medium' ELSE CASE WHEN {_word("avec")} > 0 THEN 'medium' ELSE 'low' END END AS competition_level,
+ CASE WHEN {_word("pour", "der")} > {_word("mit")} THEN 'large' WHEN {_word("mit")} > {_word("pour", "der")} THEN 'small' ELSE 'medium' END AS opportunity_size,
+ (least(40, floor(length(short) / 100)) + least(30, 3 * {_word("and", "und")}) + least(30, 5 * {_word("is", "la")}))::INT AS complexity_score,
+ consulting::INT AS is_consulting_relevant, firm AS is_firm_eligible, (blended = 0 AND keyword = 0)::INT AS is_low_confidence, CASE WHEN said IS NULL THEN note ELSE rtrim(note, '. ') || '. ' || said || '.' END AS scoring_note,
+ client::INT AS client_fit_score, service AS service_fit_score, confidence::INT AS consulting_confidence_score, penalty::INT AS procurement_penalty_score, 0e0 AS semantic_rerank_score FROM z""")
+def opportunity_rows(spark, sf_dir):
+    """OPP-01 to OPP-12, FLT-05, LRN-11: whole scored rows of all documents as notices; the gate reads their texts."""
+    d = _notices(spark, sf_dir).withColumn("shadow_note", F.when(F.col("doc_id") % 4 > 0, "model is unsure"))
+    return opportunity.score_rows(d, FIRM, MARKET, "doc_id")
+
+
+BATCH = of("batch", {"which": ["which"], "with": ["with", "avec", "mit"], "have": ["have"], "verbs": ["is", "are", "was"]})
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, split_part(coalesce(text, ''), chr(10), 1) AS title, text, DATE '1998-08-01' + (doc_id % 60)::INT AS deadline, n_chars * 1000.0 AS value, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 100) / 100e0 END AS sim FROM documents),
+w AS (SELECT *, title || ' ' || coalesce(text, '') AS short FROM d WHERE trim(title) <> ''),
+h AS (SELECT *, list_filter([CASE WHEN {_word("which")} > 0 THEN 'which' END, CASE WHEN {_word("with", "avec", "mit")} > 0 THEN 'with' END, CASE WHEN {_word("have")} > 0 THEN 'have' END, CASE WHEN {_word("is", "are", "was")} > 0 THEN 'verbs' END], lambda x: x IS NOT NULL) AS r FROM w)
+SELECT doc_id, 'D' || doc_id AS tender_id, greatest(0, least(100, round_even(0.7::DOUBLE * greatest(0, least(100, coalesce(sim, 0) * 115)) + 0.3::DOUBLE * greatest(0, least(100, len(r) * 100.0::DOUBLE / 4 + CASE WHEN list_contains(r, 'have') THEN 10 ELSE 0 END)), 0)))::INT AS fit_score,
+ array_to_string(list_filter([CASE WHEN {_word("the")} > 0 THEN 'goods only' END, CASE WHEN value > 3e6 THEN 'too large' END, CASE WHEN deadline < DATE '{AS_OF}' THEN 'EXPIRED' END, CASE WHEN {_word("und")} > 0 THEN 'ineligible' END], lambda x: x IS NOT NULL), ',') AS red_flags, array_to_string(r, ',') AS top_reasons FROM h""")
+def batch_scores(spark, sf_dir):
+    """SCO-03 to SCO-06: a batch scored as one: fit, red flags and reasons."""
+    n = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("title"), F.col("text").alias("description"), F.lit("u").alias("url"), F.concat(F.lit("D"), n.cast("string")).alias("tender_id"), F.date_add(F.to_date(F.lit("1998-08-01")), (n % 60).cast("int")).alias("deadline"), (F.col("n_chars") * 1000.0).alias("value"), F.when(n % 3 > 0, (n % 100) / 100).alias("similarity"))
+    out = C.process_batch(d, BATCH, ["the"], ["und"], as_of(), ["have"], most=3e6)
+    return out.select("doc_id", "tender_id", "fit_score", F.array_join("red_flags", ",").alias("red_flags"), F.array_join("top_reasons", ",").alias("top_reasons"))
