@@ -7,17 +7,16 @@ of an index of centres, whose recall is measured; either way a window over the b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticeflow.functions import text as T
+from noticeflow.tables import cut, workers_import
 
 #: Queries and vectors of a block, and similarities that a worker holds at once.
 MOST_QUERIES, BLOCK_ROWS, CELLS_AT_ONCE = 10_000, 50_000, 2_000_000
@@ -103,7 +102,7 @@ def store_state(n_vectors: Column, n_rows: Column, least: float = 0.9) -> Column
 
 
 def tfidf(df: DataFrame, text: str, features: int = 20_000, model=None):
-    """VEC-07: df with an array column tfidf (1- and 2-grams, unit length), and the fitted models."""
+    """VEC-07: df with tfidf, the terms (1- and 2-grams) and weights of a text that are not 0, of unit length; and the fitted models."""
     words = df.withColumn("_w", T.tokens(text, least=2))
     words = StopWordsRemover(inputCol="_w", outputCol="_s").transform(words)
     words = NGram(n=2, inputCol="_s", outputCol="_b").transform(words).withColumn("_t", F.concat("_s", "_b"))
@@ -111,31 +110,61 @@ def tfidf(df: DataFrame, text: str, features: int = 20_000, model=None):
         counts = CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=features, minDF=1.0).fit(words)
         model = (counts, IDF(inputCol="_c", outputCol="_i").fit(counts.transform(words)))
     out = Normalizer(inputCol="_i", outputCol="_n").transform(model[1].transform(model[0].transform(words)))
-    return out.withColumn("tfidf", vector_to_array("_n")).drop("_w", "_s", "_b", "_t", "_c", "_i", "_n"), model
+    sparse = F.unwrap_udt("_n")
+    dense = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(sparse["values"]) - 1))  # a vector of many terms may come dense
+    terms = F.when(sparse["type"] == 0, sparse["indices"]).otherwise(dense)
+    return out.withColumn("tfidf", F.struct(terms.alias("terms"), sparse["values"].alias("weights"))).drop("_w", "_s", "_b", "_t", "_c", "_i", "_n"), model
+
+
+class _Postings:
+    """Texts by their terms: for a text, one accumulator for each of these, touched only where terms are shared."""
+
+    def __init__(self, texts: list[dict]):
+        self.n = len(texts)
+        sizes = [len(t["terms"]) for t in texts]
+        terms = np.concatenate([np.empty(0, np.int64), *(np.array(t["terms"], np.int64) for t in texts)])
+        weights = np.concatenate([np.empty(0), *(np.array(t["weights"], np.float64) for t in texts)])
+        order = np.argsort(terms, kind="stable")
+        self.texts, self.weights, terms = np.repeat(np.arange(self.n), sizes)[order], weights[order], terms[order]
+        known, first = np.unique(terms, return_index=True)
+        self.at = dict(zip(known.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(terms)])))
+
+    def best(self, text: dict, k: int) -> list[float]:
+        """The k greatest products with a text, zeros included."""
+        sums = np.zeros(self.n)
+        for term, weight in zip(text["terms"], text["weights"]):
+            if found := self.at.get(term):
+                sums[self.texts[found[0] : found[1]]] += weight * self.weights[found[0] : found[1]]
+        return np.sort(sums)[-k:].tolist()
 
 
 def portfolio_similarity(df: DataFrame, portfolio: DataFrame, id_col: str, text: str, best: int = 5) -> DataFrame:
-    """VEC-07: mean of the best cosines with all of a portfolio of past work, which is scored MOST_QUERIES texts at a time: id, score."""
+    """VEC-07: mean of the best cosines with all of a portfolio of past work: id, score; 0 where the portfolio has no term.
+
+    Texts are their terms and weights that are not 0, nothing else is held or sent. Blocks of rows meet blocks of the portfolio, the best of each
+    pair of blocks are merged, so neither side is bounded and nothing passes through the driver.
+    """
+    workers_import(df.sparkSession)
+    said = F.array_except(T.tokens(text, least=2), F.array(*map(F.lit, StopWordsRemover.loadDefaultStopWords("english"))))
+    if not portfolio.where(F.size(said) > 0).take(1):  # nothing to fit on
+        return df.select(id_col, F.lit(0.0).alias("score"))
     past, model = tfidf(portfolio, text)
-    rows, _ = tfidf(df.select(id_col, text), text, model=model)
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def scored(rows: DataFrame, known: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v = np.array(batch.column("tfidf").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                s = np.sort(v @ known.T, axis=1)[:, -best:] if batch.num_rows else np.zeros((0, 0))
-                held = [sorted([*x, *y])[-best:] for x, y in zip(batch.column("_best").to_pylist(), s.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("tfidf"), pa.array(held, pa.list_(pa.float64()))], names=[id_col, "tfidf", "_best"])
-
-        return rows.mapInArrow(run, f"{id_col} {kind}, tfidf array<double>, _best array<double>")
-
-    rows = rows.select(id_col, "tfidf", F.array().cast("array<double>").alias("_best"))
-    texts = past.select("tfidf").toLocalIterator()
-    while some := [r[0] for r in islice(texts, MOST_QUERIES)]:
-        rows = scored(rows, np.array(some, np.float64))
-    total = F.aggregate("_best", F.lit(0.0), lambda x, y: x + y)
-    return rows.select(id_col, T.safe_ratio(total, F.size("_best"), 0.0).alias("score"))
+    rows = cut(tfidf(df.select(id_col, text), text, model=model)[0].select(id_col, "tfidf", F.monotonically_increasing_id().alias("_row")), "tfidf")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK_ROWS))
+    blocks = max(1, -(-portfolio.count() // MOST_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = rows.select("_row", "tfidf", F.pmod("_row", F.lit(parts)).cast("int").alias("_part"), every(blocks).alias("_block"))
+    theirs = past.select("tfidf", F.pmod(F.xxhash64("tfidf"), F.lit(blocks)).cast("int").alias("_block"), every(parts).alias("_part"))
+
+    def score(own: pa.Table, other: pa.Table) -> pa.Table:
+        known = _Postings(other.column("tfidf").to_pylist())
+        found = [known.best(t, best) for t in own.column("tfidf").to_pylist()]
+        return pa.table([own.column("_row"), pa.array(found, pa.list_(pa.float64()))], ["_row", "found"])
+
+    met = mine.groupBy("_part", "_block").cogroup(theirs.groupBy("_part", "_block")).applyInArrow(score, "_row long, found array<double>")
+    top = met.groupBy("_row").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, best).alias("top"))
+    mean = T.safe_ratio(F.aggregate("top", F.lit(0.0), lambda x, y: x + y), F.size("top"), 0.0)
+    return rows.select(id_col, "_row").join(top.select("_row", mean.alias("score")), "_row").select(id_col, "score")
 
 
 def jaccard(a: Column, b: Column) -> Column:

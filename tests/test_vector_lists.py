@@ -64,3 +64,37 @@ def test_no_vectors(spark):
     some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], none.schema)
     assert answers(vector_lists.nearest(vector_lists.build(some), none, 3)) == []
     assert [r[2] for r in answers(vector_lists.nearest(vector_lists.build(some), some, 3))] == [2, 1]
+
+
+def test_portfolio_is_what_all_pairs_give(spark, monkeypatch):
+    """TF-IDF over one- and two-grams and cosines, worked out plainly."""
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(8)
+    words = "water supply review school health roads bridge audit energy solar north study plan of the and".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12)))
+    past, new = [text() for _ in range(23)], [(i % 30, text()) for i in range(60)] + [(99, "entirely unknown"), (100, None)]
+    stop = {"of", "the", "and"}
+
+    def terms(t):
+        found = [w for w in dict.fromkeys(re.findall("[a-z0-9]{2,}", (t or "").lower())) if w not in stop]
+        return Counter(found + [f"{a} {b}" for a, b in zip(found, found[1:])])
+
+    df = Counter(t for p in past for t in terms(p))
+
+    def vector(t):
+        v = {k: n * math.log((len(past) + 1) / (df[k] + 1)) for k, n in terms(t).items() if k in df}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / size for k, x in v.items()} if size else {}
+
+    known = [vector(p) for p in past]
+    want = sorted((i, round(sum(sorted((sum(x * p.get(k, 0) for k, x in vector(t).items()) for p in known), reverse=True)[:5]) / 5, 9)) for i, t in new)
+    a, b = spark.createDataFrame(new, "id long, t string").repartition(3), spark.createDataFrame([(p,) for p in past], "t string")
+    got = lambda: sorted((r.id, round(r.score, 9)) for r in vectors.portfolio_similarity(a, b, "id", "t").collect())
+    assert got() == want
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 4)
+    assert got() == want
+    for nothing in (b.where("false"), spark.createDataFrame([("the of",), (None,)], "t string")):
+        assert {r.score for r in vectors.portfolio_similarity(a, nothing, "id", "t").collect()} == {0.0}
