@@ -35,7 +35,10 @@ _BLANK = regex.compile(r"\s")
 RANK_BITS, NONE = 19, (1 << 19) - 1
 
 #: A block ends at so many characters or new words, whichever comes first, and a task's list of words starts anew after so many.
-BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 400_000
+BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 600_000
+
+#: Partitions of documents that one task may take together.
+TOGETHER = 3
 
 #: Bytes of a word that is folded; places in a word take 24 bits.
 LONG_WORD = 1_024
@@ -359,7 +362,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, _binary(flat, cuts), *more], names=["doc_id", "ids", *(["decoded"] if more else [])])
         pa.default_memory_pool().release_unused()
 
-    sent = rows.mapInArrow(blocks, _BLOCK.format(id=id_type))
+    # a task folds each of its words once, so small partitions are taken together, as long as every core keeps two tasks
+    n = rows.rdd.getNumPartitions()
+    shared = rows.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, n // TOGETHER)) if n > 1 else rows
+    sent = shared.mapInArrow(blocks, _BLOCK.format(id=id_type))
     folded = sent.select("reset", "doc_ids", "sizes", "numbers", "long_at", "long_words", fold_merges(F.col("words"), rank_file).alias("merged"))
     return folded.mapInArrow(documents, f"doc_id {id_type}, ids binary" + ", decoded binary" * with_decoded)
 
