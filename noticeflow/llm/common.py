@@ -81,11 +81,6 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions_for(spark: SparkSession, n_bytes: int, each: int) -> int:
-    """Partitions of about each bytes, at least as many as the session shuffles into."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // each))
-
-
 def join_by_hot_key(left: DataFrame, right: DataFrame, on: list[str], n_col: str, total: int, how: str = "inner") -> DataFrame:
     """left with right's columns, where right has one row a key and n_col says how many rows of left have that key.
 

@@ -4,7 +4,7 @@ A shard holds documents in ascending order of key. Layout, integers little-endia
 
     data blocks | index | Bloom filter | footer
 
-A block has up to BLOCK_BYTES of entries, zlib-packed; an entry is how many leading bytes of
+A block has up to BLOCK_BYTES of entries, packed with zstd; an entry is how many leading bytes of
 its key it shares with the key before (varint), how many follow (varint), the length of its value (varint),
 those key bytes, the value. A key is the identifier as 8 big-endian bytes with the sign bit
 flipped, so that byte order is number order, or for text its UTF-8 bytes after one more byte;
@@ -24,17 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import Scratch, partitions_for, texts_of
+from noticeflow.llm.common import Scratch, texts_of
 from noticeflow.llm.tokens import SPACED, codec, ids32
 
-MAGIC, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"NFSSTAB1", 1 << 18, 10, 7
-
-#: Bytes of text from which on there are more shards than shuffle partitions.
-SHARD_BYTES = 128 << 20
+MAGIC, BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = b"NFSSTAB2", 1 << 18, 10, 7
+_pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _FOOTER = struct.Struct("<QQQQQQBxxxxxxx8s")  # index, its size, Bloom filter, its size, documents, ids, bytes of an id, magic
 _INDEX = struct.Struct("<HQIIQ")  # bytes of the last key, block, its size, entries, ids
 
@@ -104,7 +103,7 @@ class Writer:
 
     def _flush(self) -> None:
         if self.entries:
-            packed = zlib.compress(b"".join(self.block), 1)
+            packed = _pack.compress(b"".join(self.block))
             self.sink.write(packed)
             self.index.append(_INDEX.pack(len(self.last), self.at, len(packed), self.entries, self.ids) + self.last)
             self.at, self.n_docs, self.n_ids = self.at + len(packed), self.n_docs + self.entries, self.n_ids + self.ids
@@ -147,7 +146,7 @@ class Reader:
     def block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
         """Keys and values of a block."""
         _, place, size, entries, _ = self.blocks[i]
-        data, at, key = zlib.decompress(self._at(place, size)), 0, b""
+        data, at, key = _unpack.decompress(self._at(place, size)), 0, b""
         for _ in range(entries):
             shared, at = _read_varint(data, at)
             more, at = _read_varint(data, at)
@@ -187,10 +186,10 @@ def write_token_shards(spark: SparkSession, docs: DataFrame, folder: str, vocabu
     by text. Null texts are empty. end_id ends each document. A shard is written under a name
     of its attempt and then renamed, so a task that runs twice leaves one file. No rows
     leave no shards. Whole numbers as ids are stored and ordered as such, ids of other types as text. There are as many shards as
-    asked for, or by default one for each SHARD_BYTES of text, so that a shard and its writer are bounded whatever the input. Strings of special
-    tokens are encoded as the library does, or as ordinary text. Other columns are ignored.
+    asked for, or by default as many as shuffle partitions, or as docs has partitions where these are more: a table's partitions are of bounded
+    size, so a shard and its writer are as well, whatever the input. Strings of special tokens are encoded as the library does, or as ordinary text. Other columns are ignored.
     """
-    n = shards or partitions_for(spark, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0, SHARD_BYTES)
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     key = F.col(id_col).cast("long" if dict(docs.dtypes)[id_col] in NUMBERS else "string")
     rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -8,6 +8,7 @@ the library gives for the whole text.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -21,7 +22,7 @@ KEEP = 600_000
 #: The kinds of vocabulary: chunks that carry their blank before them, or words without blanks.
 SPACED, WORDS = "spaced", "words"
 
-_BLANK_AHEAD = regex.compile(r" (?=\s|$)")
+_BLANK_AHEAD = re.compile(r" (?=\s|$)")  # of all that _BLANK matches, and a little more; it is faster
 _BLANK = regex.compile(r"\s")
 
 

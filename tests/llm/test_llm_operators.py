@@ -169,10 +169,9 @@ def test_ids_of_text(spark):
     assert {(r.doc_id, r.n_words) for r in quality.rate(spark, docs, None).collect()} == {(i, len((text or "").split())) for i, text in made}
 
 
-def test_shards_grow_in_number(spark, docs, monkeypatch):
-    monkeypatch.setattr(sstable, "SHARD_BYTES", 2000)
+def test_shards_grow_in_number(spark, docs):
     scratch = Scratch(spark, "test")
-    listing = sstable.write_token_shards(spark, docs.where("doc_id < 100"), scratch.path("many"), P.path("byte_bpe_50k.json"))
+    listing = sstable.write_token_shards(spark, docs.where("doc_id < 100").repartition(9), scratch.path("many"), P.path("byte_bpe_50k.json"))
     assert listing.count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
