@@ -220,6 +220,38 @@ def evidence_state(page_chars: Column, n_links: Column, n_extracted: Column, has
     return first_match([((n_extracted > 0) & has_scope, "full_scope"), ((page_chars >= least) | (n_extracted > 0), "partial_scope"), (n_links > 0, "document_pending")], "title_only")
 
 
+# Characters from which a text counts, and the states.
+SCOPE_CHARS, SUMMARY_CHARS, PAGE_CHARS, CRITERIA_CHARS, FILE_CHARS = 100, 50, 180, 80, 200
+PACKAGE_STATES = ("SIGNAL_ONLY", "PAGE_ONLY", "PARTIAL_PACKAGE", "FULL_PACKAGE")
+
+
+def evidence_package(df: DataFrame, url_pattern: str, hint_pattern: str, name: str = "evidence") -> DataFrame:
+    """CLS-18 over texts and links: df with a struct(state, n_urls): what there is of a record beyond its title.
+
+    df: deep_scope, deep_description, deep_pdf_text, summary, eval_criteria, cross_sources, description (texts) and links, an array of struct(url, label, file_type, extracted,
+    char_count). Rich: a text that is long enough, or a file that was read. Signals: a link, a URL of url_pattern in the texts, or a word of
+    hint_pattern in texts or links. Both with a file's text, or with a scope and more: the full package.
+    """
+    texts = ("deep_scope", "deep_description", "deep_pdf_text", "summary", "eval_criteria", "cross_sources", "description")
+    clean = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in texts}
+    links = F.coalesce(F.col("links"), F.from_json(F.lit("[]"), df.schema["links"].dataType))
+    said = F.array_join(F.transform(links, lambda x: F.concat_ws(" ", x["url"], x["label"], x["file_type"])), "\n")
+    out = df.withColumns({"_blob": F.concat_ws(" ", *clean.values()), "_said": said, "_links": links})
+    found = lambda c, p: F.regexp_extract_all(F.col(c), F.lit(f"({p})"), F.lit(1))
+    given = F.filter(F.transform("_links", lambda x: F.trim(F.coalesce(x["url"], F.lit("")))), lambda u: u != "")
+    out = out.withColumn("_urls", F.array_distinct(F.concat(given, found("_blob", url_pattern)))).withColumn("_hints", F.size(found("_blob", hint_pattern)) + F.size(found("_said", hint_pattern)))
+    long = lambda c, n: F.length(clean[c]) >= n
+    chars = F.aggregate("_links", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["char_count"].cast("long"), F.lit(0)))
+    scope, summary = long("deep_scope", SCOPE_CHARS), long("summary", SUMMARY_CHARS)
+    page = long("deep_description", PAGE_CHARS) | long("description", PAGE_CHARS) | long("eval_criteria", CRITERIA_CHARS)
+    file = long("deep_pdf_text", FILE_CHARS) | (chars >= FILE_CHARS) | F.exists("_links", lambda x: F.coalesce(x["extracted"], F.lit(False)))
+    signals = (F.size("_urls") > 0) | (F.col("_hints") > 0)
+    rich = scope | summary | page | file
+    nothing, only_page, partial, full = PACKAGE_STATES
+    state = first_match([(~rich & ~signals, nothing), (~signals, only_page), (file | (scope & (summary | page)), full)], partial)
+    return out.withColumn(name, F.struct(state.alias("state"), F.when(signals, F.size("_urls")).otherwise(0).alias("n_urls"))).drop("_blob", "_said", "_links", "_urls", "_hints")
+
+
 def evidence_features(links: Column, text: Column, hints: Sequence[str]) -> Column:
     """CLS-19, SUB-25: links, distinct URLs, extracted ones, their characters and hint hits."""
     empty = F.array().cast("array<struct<url:string,label:string,file_type:string,extracted:boolean,char_count:int>>")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from noticeflow.functions import text as T
+from noticeflow.operators import pdf
 
 INLINE_DROPPED = ("script", "style", "noscript", "svg", "iframe", "template")
 BLOCK_DROPPED = (*INLINE_DROPPED, "header", "footer", "nav")
@@ -171,7 +172,7 @@ def _xml_text(raw: bytes) -> str:
 
 
 def file_text(raw: bytes | None, kind: str | None = None, depth: int = 0) -> str:
-    """DOC-03, DOC-04: text of a file by its first bytes: Office files and archives of files, HTML, plain text; empty for PDFs and others.
+    """DOC-03, DOC-04: text of a file by its first bytes: Office files and archives of files, PDFs, HTML, plain text; empty for others.
 
     Archives are read two levels deep.
     """
@@ -187,8 +188,8 @@ def file_text(raw: bytes | None, kind: str | None = None, depth: int = 0) -> str
         if office:
             return " ".join(filter(None, (_xml_text(z.read(n)) for n in office)))
         return "\n".join(filter(None, (file_text(z.read(n), None, depth + 1) for n in names if not n.endswith("/")))) if depth < 2 else ""
-    if raw[:5] == b"%PDF-":
-        return ""
+    if b"%PDF-" in raw[:1024]:
+        return pdf.read(raw)[0]
     text = raw.decode("utf-8", "replace")
     if re.search(r"<\s*(?:html|body|div|p)\b", text[:2000], re.I):
         return page_text(text, BLOCK_DROPPED, "\n")

@@ -360,3 +360,20 @@ def batch_scores(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("title"), F.col("text").alias("description"), F.lit("u").alias("url"), F.concat(F.lit("D"), n.cast("string")).alias("tender_id"), F.date_add(F.to_date(F.lit("1998-08-01")), (n % 60).cast("int")).alias("deadline"), (F.col("n_chars") * 1000.0).alias("value"), F.when(n % 3 > 0, (n % 100) / 100).alias("similarity"))
     out = C.process_batch(d, BATCH, ["the"], ["und"], as_of(), ["have"], most=3e6)
     return out.select("doc_id", "tender_id", "fit_score", F.array_join("red_flags", ",").alias("red_flags"), F.array_join("top_reasons", ",").alias("top_reasons"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, trim(left(t, (doc_id % 200)::INT)) AS scope, trim(left(t, (doc_id % 90)::INT)) AS summary, CASE WHEN doc_id % 3 = 0 THEN trim(left(t, 300)) ELSE '' END AS description, CASE WHEN doc_id % 7 = 0 THEN trim(left(t, 250)) ELSE '' END AS pdf, CASE WHEN doc_id % 13 = 0 THEN 'see http://files/' || doc_id || '.pdf and http://files/a.docx' ELSE '' END AS xs,
+ doc_id % 5 = 0 AS linked, doc_id % 55 = 0 AS read, CASE WHEN doc_id % 10 = 0 THEN 150 ELSE 20 END AS chars FROM d),
+b AS (SELECT *, scope || '  ' || pdf || ' ' || summary || '  ' || xs || ' ' || description AS blob FROM c),
+u AS (SELECT *, CASE WHEN linked THEN 1 ELSE 0 END + CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 0 END AS n_urls, len(regexp_extract_all(blob, 'which|donde')) AS hints, length(scope) >= 100 AS s, length(summary) >= 50 AS m, length(description) >= 180 AS p, length(pdf) >= 200 OR (linked AND (chars + 60 >= 200 OR read)) AS f FROM b)
+SELECT doc_id, CASE WHEN NOT (s OR m OR p OR f) AND n_urls = 0 AND hints = 0 THEN 'SIGNAL_ONLY' WHEN n_urls = 0 AND hints = 0 THEN 'PAGE_ONLY' WHEN f OR (s AND (m OR p)) THEN 'FULL_PACKAGE' ELSE 'PARTIAL_PACKAGE' END AS state, n_urls::INT AS n_urls FROM u""")
+def evidence_packages(spark, sf_dir):
+    """CLS-18, CLS-19: the evidence machine over texts and document links."""
+    n, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    some = lambda most: F.left(t, most.cast("int"))
+    url = F.concat(F.lit("http://x/"), n.cast("string"))
+    link = lambda chars: F.struct(url.alias("url"), F.lit("").alias("label"), F.lit("pdf").alias("file_type"), (n % 55 == 0).alias("extracted"), chars.cast("int").alias("char_count"))
+    links = F.when(n % 5 == 0, F.array(link(F.when(n % 10 == 0, 150).otherwise(20)), link(F.lit(60))))
+    d = table(spark, sf_dir, "documents").select("doc_id", some(n % 200).alias("deep_scope"), F.lit(None).cast("string").alias("deep_description"), F.when(n % 7 == 0, F.left(t, F.lit(250))).alias("deep_pdf_text"), some(n % 90).alias("summary"), F.lit("").alias("eval_criteria"), F.when(n % 13 == 0, F.concat(F.lit("see http://files/"), n.cast("string"), F.lit(".pdf and http://files/a.docx"))).alias("cross_sources"), F.when(n % 3 == 0, F.left(t, F.lit(300))).alias("description"), links.alias("links"))
+    return C.evidence_package(d, r"https?://\S+\.(?:pdf|docx?)", "which|donde").select("doc_id", "evidence.state", "evidence.n_urls")

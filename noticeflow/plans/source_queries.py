@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticeflow.operators import enrichment
 from noticeflow.plans.queries import AS_OF, as_of, query, table
-from noticeflow.sources import paged, signals
+from noticeflow.sources import paged, signals, workbook
 from noticeflow.tables import shared_dir
 
 
@@ -112,3 +113,49 @@ def paged_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _recorded(table(spark, sf_dir, "orders").withColumn("item", item).select(request.alias("request"), F.col("o_orderkey").alias("id"), "item"), 1000, '{"data":[{items}],"n":{total}}', paged.TENDERS)
     out = paged.rows(found, paged.TENDERS, category=paged.value(F.col("record"), "category"))
     return out.select("tender_id", "title", F.col("value").cast("long").alias("value"), F.concat_ws(" / ", "department", "location").alias("organization"), "category", paged.day_of("published").alias("published"), paged.day_of("closing").alias("closing"))
+
+
+RULES = [enrichment.Rule("title", "detail", [r"<title>([^<]*)"], 0.9, 30), enrichment.Rule("title", "detail", [r"<h1>([^<]*)"], 0.8), enrichment.Rule("language", "detail", [r'<html lang="([a-z]+)"'], 0.7), enrichment.Rule("notice", "listing", [r"<footer>([^<]*)"], 0.6, 5)]
+
+_CLEAN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_KNOWN = "CASE WHEN lower({0}) NOT IN ('', 'n/a', 'na', 'none', 'null', 'nan', '-', '--', 'tbd', 'unknown') THEN {0} END"
+
+
+def _found_sql(pattern: str, least: int = 1) -> str:
+    value = _KNOWN.format(_CLEAN.format(f"regexp_extract(coalesce(html, ''), '{pattern}', 1)"))
+    return f"CASE WHEN length({value}) >= {least} THEN {value} END"
+
+
+@query(f"""WITH p AS (SELECT page_id, coalesce({_found_sql("<title>([^<]*)", 30)}, {_found_sql("<h1>([^<]*)")}) AS title, {_found_sql('<html lang="([a-z]+)"')} AS language, {_found_sql("<footer>([^<]*)", 5)} AS notice FROM pages),
+h AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS host FROM pages),
+r AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'own title' WHEN 1 THEN 'n/a' END AS own, CASE WHEN page_id % 5 = 0 THEN 'xx' END AS lang FROM pages)
+SELECT page_id, CASE WHEN own = 'own title' THEN own ELSE title END AS title, CASE WHEN own = 'own title' THEN 'record' WHEN title IS NOT NULL THEN 'detail' END AS title_from,
+ coalesce(language, lang) AS language, CASE WHEN language IS NOT NULL THEN 'detail' WHEN lang IS NOT NULL THEN 'record' END AS language_from, notice, host AS agency,
+ ((own IS NULL OR own = 'n/a') AND title IS NOT NULL)::INT + (language IS NOT NULL)::INT + (notice IS NOT NULL)::INT + 1 AS n_filled FROM p JOIN h USING (page_id) JOIN r USING (page_id)""")
+def enriched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-12, DOC-13, SRC-31, RPR-04: records filled from their stored pages, with the origin of each value; two sources fused apart and then together."""
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    records = p.select("page_id", F.when(k % 4 == 0, "own title").when(k % 4 == 1, "n/a").alias("title"), F.when(k % 5 == 0, "xx").alias("language"))
+    pages = enrichment.fuse(enrichment.candidates(p, RULES, "page_id", "html"))
+    hosts = enrichment.candidates(p.select("page_id", F.lower("url").alias("url")), [enrichment.Rule("agency", "derived", ["://([^/?#:]+)"], 0.4)], "page_id", "url")
+    out = enrichment.applied(records, enrichment.fuse(pages, hosts), "page_id", ["title", "language", "notice", "agency"], {"language": 0.5})
+    at = lambda f: F.try_element_at("origins", F.lit(f)).alias(f"{f}_from")
+    return out.select("page_id", "title", at("title"), "language", at("language"), "notice", "agency", "n_filled")
+
+
+@query("""SELECT 'Orders' AS sheet, 1 + row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS row, o_orderkey::VARCHAR || '|' || o_orderstatus || '|' || strftime(o_orderdate, '%Y-%m-%d') AS cells FROM orders
+UNION ALL SELECT 'New', 1 + row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey), o_orderkey::VARCHAR || '|' || o_orderstatus || '|' || strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'
+UNION ALL SELECT 'Summary', 1 + row_number() OVER (ORDER BY count(*) DESC, o_orderstatus), o_orderstatus || '|' || count(*) || '|' FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT s, 1, h FROM (VALUES ('Orders', 'o_orderkey|o_orderstatus|day'), ('New', 'o_orderkey|o_orderstatus|day'), ('Summary', 'o_orderstatus|n|note')) t(s, h)""")
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-04, SRC-29: a workbook of three sheets (all, new, summary) written by tasks, and read again row for row."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    ranked = [F.desc("o_totalprice"), F.col("o_orderkey")]
+    shown = ["o_orderkey", "o_orderstatus", "day"]
+    counts = o.groupBy("o_orderstatus").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_orderstatus").withColumn("note", F.lit(None).cast("string"))
+    path = f"{shared_dir(spark)}/noticeflow/book-{uuid.uuid4().hex}.xlsx"
+    workbook.write(path, [("Orders", rows.orderBy(*ranked).select(*shown), []), ("New", rows.where("day >= '1998-01-01'").orderBy(*ranked).select(*shown), []), ("Summary", counts, [])])
+    back = workbook.read(spark, path)
+    return back.select("sheet", F.col("row").cast("long").alias("row"), F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))
