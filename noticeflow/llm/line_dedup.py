@@ -49,7 +49,8 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MI
     gone = hit.where(~F.struct("_id", "_mark", "_at").eqNullSafe(F.col("first"))).groupBy(F.col("_id").alias("_i"), F.col("_mark").alias("_m")).agg(F.collect_set("_at").alias("_gone"))
     out = docs.drop("n_lines", "n_removed")
     whole = out.withColumn("_mark", mark).join(gone, out[id_col].eqNullSafe(gone["_i"]) & (F.col("_mark") == gone["_m"]), "left")
-    parts = F.split(text_col, "\n", -1)
+    whole = whole.withColumn("_parts", F.split(text_col, "\n", -1))  # once a text; within a lambda it would be once a line
+    parts = F.col("_parts")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")  # by a hash set, so in time linear in the lines
     kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     return whole.select(*[kept.alias(c) if c == text_col else F.col(c) for c in out.columns], F.coalesce(F.greatest(F.size(parts), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.greatest(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))

@@ -122,6 +122,18 @@ def library(name, special_as_text=False):
     return t
 
 
+def test_line_dedup_of_a_long_text(spark):
+    """A text of very many lines is cut into these once, not once a line."""
+    lines = ["boiler" if i % 3 == 0 else f"line {i}" for i in range(40_000)]
+    made = [(0, "\n".join(lines), "s0")] + [(i, "boiler\nx", f"s{i}") for i in range(1, 12)]
+    out = line_dedup.remove_boilerplate(spark, spark.createDataFrame(made, "doc_id long, text string, source string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    got = out.where("doc_id = 0").first()
+    assert got.text == "\n".join(x for i, x in enumerate(lines) if x != "boiler" or i == 0) and got.n_removed == 13_333
+
+
+
 @pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", tokens.SPACED), ("word_bpe_49k.json", tokens.WORDS)])
 def test_codec_is_the_library(name, kind, special_as_text):
