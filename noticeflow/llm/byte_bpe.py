@@ -35,10 +35,10 @@ _BLANK = regex.compile(r"\s")
 RANK_BITS, NONE = 19, (1 << 19) - 1
 
 #: A block ends at so many characters or new words, whichever comes first, and a task's list of words starts anew after so many.
-BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 400_000
+BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 600_000
 
 #: Partitions of documents that one task may take together.
-TOGETHER = 3
+TOGETHER = 2
 
 #: Bytes of a word that is folded; places in a word take 24 bits.
 LONG_WORD = 1_024
