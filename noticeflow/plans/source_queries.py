@@ -157,5 +157,5 @@ def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = o.groupBy("o_orderstatus").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_orderstatus").withColumn("note", F.lit(None).cast("string"))
     path = f"{shared_dir(spark)}/noticeflow/book-{uuid.uuid4().hex}.xlsx"
     workbook.write(path, [("Orders", rows.orderBy(*ranked).select(*shown), []), ("New", rows.where("day >= '1998-01-01'").orderBy(*ranked).select(*shown), []), ("Summary", counts, [])])
-    back = workbook.read(spark, path)
+    back = workbook.read(spark, path, whole=True)
     return back.select("sheet", F.col("row").cast("long").alias("row"), F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "|").alias("cells"))

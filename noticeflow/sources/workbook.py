@@ -2,7 +2,8 @@
 
 Writing: each task streams its rows as XML to a part below the target's folder; the commit strings the parts together, in the order of partitions,
 into one archive, a piece at a time, and gives it its name in the end. A task or job that fails leaves no workbook and no part. A sheet that
-is full goes on in another. Reading: a task for each sheet, row by row.
+is full goes on in another, which a property of the workbook tells. Reading: a task for each sheet, row by row, each sheet by itself or with those that
+go on with it as one.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ _LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 _PIECE = 1 << 20
 
+#: The property of a sheet that goes on with another: its name after the colon; its value is that other's name and the rows before it, parted by a newline.
+_CUSTOM = "http://schemas.openxmlformats.org/officeDocument/2006/custom-properties"
+_TYPES = "http://schemas.openxmlformats.org/officeDocument/2006/docPropsVTypes"
+_GOES_ON, _PROPERTIES = "continues:", "docProps/custom.xml"
+
 
 def cell_xml(text: str | None, number: float | None) -> str:
     if number is not None and number == number and abs(number) != float("inf"):
@@ -89,6 +95,7 @@ class _Writer(DataSourceWriter):
         parts = sorted((m for m in messages if m), key=lambda m: m.partition)
         found = {s for m in parts for s in m.files}
         names: list[str] = []
+        goes_on: dict[str, str] = {}
         made = f"{root}/archive"
         store.create_dir(root, recursive=True)
         with store.open_output_stream(made) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
@@ -97,7 +104,10 @@ class _Writer(DataSourceWriter):
                 line, n = next(lines, None), 0
                 while line is not None or n == 0:
                     n += 1
-                    names.append(sheet if n == 1 else f"{sheet[:26]} ({n})")
+                    ending = "" if n == 1 else f" ({n})"
+                    names.append(f"{sheet[: 31 - len(ending)]}{ending}")
+                    if n > 1:
+                        goes_on[names[-1]] = f"{sheet[:31]}\n{(n - 1) * self.most}"
                     with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as out:
                         out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'.encode())
                         for _ in range(self.most):
@@ -108,12 +118,15 @@ class _Writer(DataSourceWriter):
                         out.write(b"</sheetData></worksheet>")
             numbered = list(enumerate(names, 1))
             head = '<?xml version="1.0" encoding="UTF-8"?>'
-            z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{_MAIN}" xmlns:r="{_LINKS}"><sheets>' + "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="rId{i}"/>' for i, n in numbered) + "</sheets></workbook>")
+            z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{_MAIN}" xmlns:r="{_LINKS}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in numbered) + "</sheets></workbook>")
             package = "http://schemas.openxmlformats.org/package/2006"
             z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{_LINKS}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in numbered) + "</Relationships>")
-            z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{_LINKS}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+            z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{_LINKS}/officeDocument" Target="xl/workbook.xml"/>' + (f'<Relationship Id="rId2" Type="{_LINKS}/custom-properties" Target="{_PROPERTIES}"/>' if goes_on else "") + "</Relationships>")
+            if goes_on:
+                told = "".join(f'<property fmtid="{{D5CDD505-2E9C-101B-9397-08002B2CF9AE}}" pid="{i}" name={quoteattr(_GOES_ON + n)}><vt:lpwstr>{escape(v)}</vt:lpwstr></property>' for i, (n, v) in enumerate(goes_on.items(), 2))
+                z.writestr(_PROPERTIES, f'{head}<Properties xmlns="{_CUSTOM}" xmlns:vt="{_TYPES}">{told}</Properties>')
             kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-            z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i, _ in numbered) + "</Types>")
+            z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + (f'<Override PartName="/{_PROPERTIES}" ContentType="application/vnd.openxmlformats-officedocument.custom-properties+xml"/>' if goes_on else "") + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i, _ in numbered) + "</Types>")
         store.create_dir(target.rsplit("/", 1)[0], recursive=True)
         store.move(made, target)
         store.delete_dir(root)
@@ -129,11 +142,13 @@ class _Sheet(InputPartition):
     file: str
     name: str
     member: str
+    before: int = 0  # rows of the sheets that this one goes on with
 
 
 @dataclass
 class _Reader(DataSourceReader):
     path: str
+    whole: bool
 
     def _files(self, store: pafs.FileSystem, root: str) -> list[str]:
         if store.get_file_info(root).type != pafs.FileType.Directory:
@@ -146,11 +161,20 @@ class _Reader(DataSourceReader):
         for name in self._files(store, root):
             with store.open_input_file(name) as f, zipfile.ZipFile(f) as z:
                 links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+                goes_on = self._goes_on(z) if self.whole else {}
                 for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_MAIN}}}sheet"):
                     target = links[s.get(f"{{{_LINKS}}}id")]
-                    out.append(_Sheet(name, s.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+                    first, before = goes_on.get(s.get("name"), (s.get("name"), 0))
+                    out.append(_Sheet(name, first, target.lstrip("/") if target.startswith("/") else f"xl/{target}", before))
         return out or [_Sheet("", "", "")]
 
+    def _goes_on(self, z: zipfile.ZipFile) -> dict[str, tuple[str, int]]:
+        """For each sheet that goes on with another that one's name and the rows before."""
+        if _PROPERTIES not in z.namelist():
+            return {}
+        told = {p.get("name", ""): "".join(p.itertext()) for p in ElementTree.fromstring(z.read(_PROPERTIES)).iter(f"{{{_CUSTOM}}}property")}
+        return {n.removeprefix(_GOES_ON): (v.split("\n")[0], int(v.split("\n")[1])) for n, v in told.items() if n.startswith(_GOES_ON)}
+
     def read(self, sheet: _Sheet) -> Iterator[tuple]:
         if not sheet.file:
             return
@@ -162,7 +186,12 @@ class _Reader(DataSourceReader):
                 shared = ["".join(t.text or "" for t in si.iter(tag("t"))) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(tag("si"))]
             number = 0
             with z.open(sheet.member) as xml:
-                for _, row in ElementTree.iterparse(xml):
+                above: list[ElementTree.Element] = []  # elements that are open: a row that was read leaves its sheet
+                for event, row in ElementTree.iterparse(xml, ("start", "end")):
+                    if event == "start":
+                        above.append(row)
+                        continue
+                    above.pop()
                     if row.tag != tag("row"):
                         continue
                     number = int(row.get("r", number + 1))
@@ -171,9 +200,10 @@ class _Reader(DataSourceReader):
                         at = _column(c.get("r")) if c.get("r") else len(cells)
                         cells += [None] * (at - len(cells))
                         cells.append(_value(c, shared, tag))
-                    row.clear()
+                    if above:
+                        above[-1].remove(row)
                     if any(x is not None and x.strip() for x in cells):
-                        yield sheet.file, sheet.name, number, cells
+                        yield sheet.file, sheet.name, sheet.before + number, cells
 
 
 def _column(reference: str) -> int:
@@ -193,7 +223,7 @@ def _value(c: ElementTree.Element, shared: list[str], tag) -> str | None:
 
 
 class Workbook(DataSource):
-    """Options: path; to write also sheets (names in their order, parted by newlines) and rows (of a sheet at most)."""
+    """Options: path; to read also whole (true: sheets that go on with another count as that one); to write also sheets (names in their order, parted by newlines) and rows (of a sheet at most)."""
 
     @classmethod
     def name(cls) -> str:
@@ -203,7 +233,7 @@ class Workbook(DataSource):
         return "file string, sheet string, row int, cells array<string>"
 
     def reader(self, schema: object) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("whole", "false") == "true")
 
     def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
         target = self.options["path"]
@@ -237,11 +267,11 @@ def write(path: str, sheets: Sequence[tuple[str, DataFrame, Sequence[Column]]],
     out.write.format("workbook").option("sheets", "\n".join(s[0] for s in sheets)).option("rows", str(most)).mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-29: file, sheet, row, cells of a workbook, or of all in a folder; blank rows are left out."""
+def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """SRC-29: file, sheet, row, cells of a workbook, or of all in a folder; blank rows are left out. whole: a sheet that was written as several is one again."""
     workers_import(spark)
     spark.dataSource.register(Workbook)
-    return spark.read.format("workbook").load(path)
+    return spark.read.format("workbook").option("whole", str(whole).lower()).load(path)
 
 
 def records(sheet: DataFrame, source: str) -> DataFrame:

@@ -41,6 +41,17 @@ def test_many_rows_keep_their_order_and_go_on_in_another_sheet(spark, tmp_path):
     assert [c[0] for s in sorted(got) for _, c in got[s]] == ["id", *[str(i) for i in range(999, -1, -1)]]
 
 
+def test_sheets_that_go_on_are_read_as_one(spark, tmp_path):
+    df, name = spark.range(1000).repartition(7), "Numbers of a name of 31 letters"
+    workbook.write(f"file://{tmp_path}/b.xlsx", [(name, df, [F.desc("id")]), ("Numbers (2)", df.limit(3), [F.desc("id")])], most=90)
+    got = workbook.read(spark, f"file://{tmp_path}/b.xlsx", whole=True)
+    rows = [(r.row, r.cells[0]) for r in got.where(F.col("sheet") == name).orderBy("row").collect()]
+    assert rows == [(1, "id"), *[(i + 2, str(999 - i)) for i in range(1000)]]
+    assert got.where("sheet = 'Numbers (2)'").count() == 4 and got.select("sheet").distinct().count() == 2
+    assert workbook.records(got.where(F.col("sheet") == name), "book").count() == 1000
+    assert workbook.read(spark, f"file://{tmp_path}/b.xlsx").select("sheet").distinct().count() == 13
+
+
 def test_a_failed_task_leaves_no_file(spark, tmp_path):
     df = spark.range(100).repartition(4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string")).alias("x"), "id")
     with pytest.raises(Exception, match="broken"):
