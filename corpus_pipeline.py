@@ -16,8 +16,8 @@ from noticeflow.llm.common import Scratch, let_workers_import
 #: Bytes of a passage that may not repeat: what fifty words take at least.
 PASSAGE_BYTES = 256
 
-#: Words of a shingle, and fingerprints of a text. Texts of which one fingerprint differs in CANDIDATE_BITS or fewer are candidates; they are near-duplicates
-#: if all fingerprints together differ in MOST_BITS of their 512 or fewer, which texts at a similarity of 0.8 do in nearly all cases (77 are expected).
+#: Words of a shingle, and fingerprints of a text. Texts are near-duplicates if one of their fingerprints differs in CANDIDATE_BITS or fewer and all
+#: together in MOST_BITS of their 512 or fewer, which texts at a similarity of 0.8 do in nearly all cases (77 are expected). No such pair is left out.
 SHINGLE_WORDS, FINGERPRINTS, CANDIDATE_BITS, MOST_BITS = 5, 8, 7, 88
 
 
@@ -42,8 +42,8 @@ def line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest id, without an id only where no other has one.
 
-    Texts are near-duplicates if one of their eight fingerprints of five-word shingles is close and all eight together are: of pairs at a similarity of 0.8
-    or more in the test tables, 98 of 100 come into one group, directly or over others. Texts without words are one group. Rows are told apart by id and text, so texts of one id (or none) that lie in different groups all stay.
+    Texts are near-duplicates if one of their eight fingerprints of five-word shingles is close and all eight together are; all such pairs come into one group,
+    directly or over others. Texts without words are one group. Rows are told apart by id and text, so texts of one id (or none) that lie in different groups all stay.
     """
     let_workers_import(spark)
     text = F.coalesce("text", F.lit(""))

@@ -6,6 +6,9 @@ fingerprints, and 64 distances grow at once in carry-save counters of three bits
 every eight planes, words in which all distances exceed the radius are abandoned. Equal fingerprints
 count once, and a bucket gives each fingerprint one link to a smaller one of its group at most, not
 all its pairs. Components of the links are groups.
+
+Texts of several fingerprints meet with all of them: of eight ranges of a fingerprint two within 7 bits agree in one, so every pair that
+is close in any fingerprint meets in a bucket, is compared there over all bits, and is linked there or over others of the same bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import HOT_KEYS, Scratch, begin, byte_views, components, join_by_hot_key
+from noticeflow.llm.common import HOT_KEYS, Scratch, begin, byte_views, components, give_back, join_by_hot_key
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
@@ -35,6 +38,11 @@ WORDS_AT_ONCE, ROWS_AT_ONCE = 1 << 16, 200_000
 SPLIT_FROM, COUNTED = 50_000, 16
 
 
+#: Most bits of a candidate fingerprint and its eight ranges; any two fingerprints within that many bits agree in one of them. A bucket of over
+#: PARTED_FROM rows is compared in eight parts, by ranges of its other bits, one of which such fingerprints share again. Pairs that are verified at a time.
+WIDE_RADIUS, WIDE_RANGES, PARTED_FROM, PAIRS_AT_ONCE = 7, 8, 4096, 1 << 17
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE, n: int = 1) -> list[int]:
     """n fingerprints of a text in UTF-8, as signed 64-bit integers; those after the first are of the shingles' hashes mixed anew."""
     words = text.lower().split()  # of bytes: A-Z and ASCII blanks
@@ -72,6 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             found = [fingerprint(x, shingle, n) for x in byte_views(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fp", "fps"])
+        give_back()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, fps array<long>")
 
@@ -88,7 +97,7 @@ def _exceeds(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.nd
     return above
 
 
-def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS, at_once: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs i < j with j < end[i] whose fingerprints (unsigned 64 bits) differ in radius bits (7 at most) or fewer."""
     n = len(fps)
     bits = np.zeros((64 * -(-n // 64), 64), np.uint8)
@@ -99,8 +108,9 @@ def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Itera
     words = np.where(end > lane + 1, last - first + 1, 0)
     before = np.concatenate([[0], np.cumsum(words)])
     all_ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for begin in range(0, int(before[-1]), WORDS_AT_ONCE):
-        block = np.arange(begin, min(begin + WORDS_AT_ONCE, int(before[-1])))
+    at_once = at_once or WORDS_AT_ONCE
+    for begin in range(0, int(before[-1]), at_once):
+        block = np.arange(begin, min(begin + at_once, int(before[-1])))
         q = np.searchsorted(before, block, "right") - 1
         w = first[q] + block - before[q]
         low = np.clip(q + 1 - 64 * w, 0, 64)
@@ -128,15 +138,16 @@ def close_pairs(fps: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Itera
             yield q[found], 64 * w[found] + at
 
 
-def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by bucket: pairs of rows, links that connect all that are close within a bucket; direct adds each row's first close one."""
-    n = len(fps)
-    first = np.arange(n)
+def _ends(bucket: np.ndarray) -> np.ndarray:
+    """Where the bucket of each row ends."""
     edge = np.flatnonzero(np.diff(bucket)) + 1
-    end = np.repeat(np.append(edge, n), np.diff(np.concatenate([[0], edge, [n]])))
+    return np.repeat(np.append(edge, len(bucket)), np.diff(np.concatenate([[0], edge, [len(bucket)]])))
+
+
+def _least_labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that pairs connect to a smaller one, and the smallest that each is connected with."""
     label = np.arange(n)
-    for i, j in close_pairs(fps, end, radius):
-        np.minimum.at(first, j, i)
+    for i, j in pairs:
         while (label[i] != label[j]).any():
             least = np.minimum(label[i], label[j])
             np.minimum.at(label, label[i], least)
@@ -145,10 +156,39 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS, dire
     while (label[label] != label).any():
         label = label[label]
     tied = np.flatnonzero(label != np.arange(n))
-    if not direct:
-        return tied, label[tied]
-    also = np.flatnonzero((first != np.arange(n)) & (first != label))
-    return np.concatenate([tied, also]), np.concatenate([label[tied], first[also]])
+    return tied, label[tied]
+
+
+def bucket_links(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by bucket: pairs of rows, links that connect all that are close within a bucket."""
+    return _least_labels(len(fps), close_pairs(fps, _ends(bucket), radius))
+
+
+def _verified(fps: np.ndarray, every: np.ndarray, end: np.ndarray, radius: int, most_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those close pairs that differ in most_bits of all their fingerprints (rows of every) or fewer."""
+    for i, j in close_pairs(fps, end, radius, PAIRS_AT_ONCE >> 4):
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            a, b = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+            near = np.bitwise_count(every[a] ^ every[b]).sum(axis=1, dtype=np.int64) <= most_bits
+            yield a[near], b[near]
+
+
+def verified_links(t: np.ndarray, bucket: np.ndarray, every: np.ndarray, radius: int, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by bucket, of kind t: links that connect all rows of a bucket whose fingerprint of the bucket's kind is within radius and all of which, the rows of every, are within most_bits."""
+    kind, byte = np.divmod(t, WIDE_RANGES)
+    fps = every[np.arange(len(t)), kind]
+    end = _ends(bucket)
+    large = end - np.searchsorted(bucket, bucket) > PARTED_FROM
+    few, many = np.flatnonzero(~large), np.flatnonzero(large)
+    found = [tuple(few[x] for x in _least_labels(len(few), _verified(fps[few], every[few], _ends(bucket[few]), radius, most_bits)))] if len(few) else []
+    for part in range(WIDE_RANGES if len(many) else 0):
+        own = fps[many] & _WIDE_PARTS[byte[many], part]
+        order = np.lexsort((own, bucket[many]))  # a stable sort, so the smallest row of a group stays first
+        rows, own = many[order], own[order]
+        of = np.cumsum(np.concatenate([[True], (np.diff(bucket[rows]) != 0) | (own[1:] != own[:-1])]))
+        found.append(tuple(rows[x] for x in _least_labels(len(rows), _verified(fps[rows], every[rows], _ends(of), radius, most_bits))))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a, b
 
 
 def _pairs(bits: list[int], sizes: tuple[int, ...]) -> list[int]:
@@ -171,12 +211,16 @@ def _finer(mask: int) -> list[int]:
     return [mask | m for m in _pairs(rest, tuple(n * (i + 1) // 6 - n * i // 6 for i in range(6)))]
 
 
+#: For each range of eight bits, counted from the lowest, eight ranges of the other 56 bits as masks.
+_WIDE_PARTS = np.array([[sum(1 << b for b in [b for b in range(64) if b >> 3 != r][7 * p : 7 * p + 7]) for p in range(WIDE_RANGES)] for r in range(WIDE_RANGES)], np.uint64)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, direct: bool = False) -> DataFrame:
-    """i, a, b: links between close fingerprints of one i of distinct (columns i and fp, each once) that connect what is close, to RADIUS bits all of it; direct as in bucket_links.
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """i, a, b: links between close fingerprints of one i of distinct (columns i and fp, each once) that connect what is close.
 
     Buckets with very many fingerprints are split into 15 by their other bits; that is as whole, so how they are counted matters for balance only.
     """
@@ -203,7 +247,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, direct: bool = False) -> Da
             cut = len(t) if last else int(np.flatnonzero(changes)[-1])  # the last bucket may go on
             held[:] = [(t[cut:], k[cut:], fp[cut:])]
             if cut:
-                a, b = bucket_links(np.cumsum(changes[:cut]), fp[:cut].view(np.uint64), radius, direct)
+                a, b = bucket_links(np.cumsum(changes[:cut]), fp[:cut].view(np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array((t[a] // kinds).astype(np.int32)), pa.array(fp[a]), pa.array(fp[b])], names=["i", "a", "b"])
 
         for batch in batches:
@@ -221,18 +265,18 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """One row per row of docs: doc_id, fp, component_id (the smallest id reachable over fingerprints within radius bits).
 
     With n above 1 each text has n independent fingerprints and two texts are linked if any of them are close, so that fewer near
-    copies are missed. With most_bits, links are candidates, and those stay whose n fingerprints together differ in so many bits or fewer: all 64 * n
-    bits tell similarities apart far better than one fingerprint does, so radius may then be up to 7. Texts without words have fingerprint 0 and link like any other. A null id takes part but is a component's id
+    copies are missed. With most_bits, two texts are linked if any are close and all n fingerprints together differ in so many bits or fewer: all 64 * n
+    bits tell similarities apart far better than one fingerprint does, so radius may then be up to 7. No such pair is left out, of texts in one bucket either. Texts without words have fingerprint 0 and link like any other. A null id takes part but is a component's id
     only where it has no other. Rows with one id each have their own fingerprint. No rows give no rows.
     """
-    if radius > (RADIUS if most_bits is None else 7) or (most_bits is not None and n == 1):
+    if radius > (RADIUS if most_bits is None else WIDE_RADIUS) or (most_bits is not None and n == 1):
         raise ValueError("the ranges find all fingerprints within 4 bits only")
     scratch = Scratch(spark, "simhash")
     made = fingerprints(docs, id_col, text_col, shingle, n)
     own = scratch.cut(made.drop("fps") if n == 1 else made, "fingerprints")
     key = "fp" if n == 1 else "fps"
     distinct = scratch.cut(own.groupBy(key).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = components(scratch, links(distinct.select(F.lit(0).alias("i"), "fp"), radius).drop("i") if n == 1 else _links_of_any(scratch, distinct.select("fps"), radius, most_bits))
+    roots = components(scratch, links(distinct.select(F.lit(0).alias("i"), "fp"), radius).drop("i") if n == 1 else _links_of_any(scratch, distinct.select("fps"), radius) if most_bits is None else _links_of_all(distinct.select("fps"), n, radius, most_bits))
     named = distinct.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = scratch.cut(named.join(ids, "root").select(key, "component_id", "n"), "components")
@@ -240,19 +284,49 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     return join_by_hot_key(own, by_fp, [key], "n", total).select("doc_id", "fp", "component_id")
 
 
-def _links_of_any(scratch: Scratch, distinct: DataFrame, radius: int, most_bits: int | None = None) -> DataFrame:
-    """Links between lists of fingerprints (column fps, each once) of which any are close: those that share one, then close ones by their least lists.
-
-    With most_bits, only links between lists that differ in so many bits or fewer.
-    """
+def _links_of_any(scratch: Scratch, distinct: DataFrame, radius: int) -> DataFrame:
+    """Links between lists of fingerprints (column fps, each once) of which any are close: those that share one, then close ones by their least lists."""
     of = distinct.select("fps", F.posexplode("fps").alias("i", "fp"))
     least = scratch.cut(of.groupBy("i", "fp").agg(F.min("fps").alias("least"), F.count("*").alias("n")), "least")
     shared = of.join(least.where("n > 1"), ["i", "fp"]).select(F.col("fps").alias("a"), F.col("least").alias("b"))
-    close = links(least.select("i", "fp"), radius, most_bits is not None)
+    close = links(least.select("i", "fp"), radius)
     for c in ("a", "b"):
         close = close.join(least.select("i", F.col("fp").alias(c), F.col("least").alias(f"l{c}")), ["i", c])
-    both = shared.unionByName(close.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    if most_bits is None:
-        return both
-    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(bits <= most_bits)
+    return shared.unionByName(close.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+
+
+def _links_of_all(distinct: DataFrame, n: int, radius: int, most_bits: int) -> DataFrame:
+    """Links that connect lists of n fingerprints (column fps, each once) of which any are within radius and all within most_bits, none left out.
+
+    A list goes to a bucket for each range of each fingerprint, with all its bits, so that a pair is verified where it meets. Rows of a bucket
+    are held until it ends: 1/256 of all, or so.
+    """
+    each = [f"f{i}" for i in range(n)]
+    keys = F.array(*[F.struct(F.lit(i * WIDE_RANGES + r).alias("t"), F.shiftrightunsigned(F.col(f"f{i}"), 8 * r).bitwiseAND(F.lit(255)).cast("int").alias("k")) for i in range(n) for r in range(WIDE_RANGES)])
+    wide = distinct.select(*[F.col("fps")[i].alias(c) for i, c in enumerate(each)])
+    rows = wide.select(*each, F.explode(keys).alias("x")).select("x.t", "x.k", *each).repartition("t", "k").sortWithinPartitions("t", "k", *each)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        open_rows = 0  # of a bucket that goes on, which wait for as many new rows again
+
+        def compared(last: bool) -> pa.RecordBatch:
+            t, k, every = (np.concatenate(x) for x in zip(*held, strict=True))
+            changes = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
+            cut = len(t) if last else int(np.flatnonzero(changes)[-1])  # the last bucket may go on
+            held[:] = [(t[cut:].copy(), k[cut:].copy(), every[cut:].copy())]
+            a, b = verified_links(t[:cut], np.cumsum(changes[:cut]), every[:cut], radius, most_bits)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(x) + 1, n, np.int32)), pa.array(every[x].view(np.int64).ravel())) for x in (a, b)]
+            return pa.RecordBatch.from_arrays(lists, names=["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column("t").to_numpy(), batch.column("k").to_numpy(), np.stack([batch.column(c).to_numpy() for c in each], axis=1).view(np.uint64)))
+            if sum(len(x[0]) for x in held) >= max(ROWS_AT_ONCE, 2 * open_rows):
+                yield compared(False)
+                open_rows = len(held[0][0])
+        if sum(len(x[0]) for x in held):
+            yield compared(True)
+        held.clear()
+        give_back()
+
+    return rows.mapInArrow(run, "a array<long>, b array<long>").distinct()

@@ -431,6 +431,63 @@ def test_all_bits_find_near_copies_and_no_others(spark):
         simhash.near_groups(spark, table, radius=5)
 
 
+def far_lists(rng, groups, each):
+    """Lists of eight fingerprints in groups: the first of a group and others that differ from it in 88 bits, in seven of one fingerprint and more of all others."""
+    out = []
+    for _ in range(groups):
+        base = rng.integers(0, 1 << 63, 8, np.uint64)
+        out.append(base)
+        for _ in range(each):
+            most = [12, 12, 12, 12, 11, 11, 11]
+            most.insert(int(rng.integers(0, 8)), 7)
+            out.append(np.array([b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, k, replace=False))) for b, k in zip(base, most, strict=True)], np.uint64))
+    return np.array(out)
+
+
+def roots_of(n, pairs):
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return [top(x) for x in range(n)]
+
+
+def brute_pairs(every, radius, most_bits, same=lambda i, j: True):
+    apart = np.bitwise_count(every[:, None, :] ^ every[None, :, :])
+    i, j = np.nonzero((apart.min(axis=2) <= radius) & (apart.sum(axis=2, dtype=np.int64) <= most_bits))
+    return [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b and same(a, b)]
+
+
+def test_no_pair_within_seven_bits_is_left_out(spark):
+    every = far_lists(np.random.default_rng(5), 60, 5)
+    want = roots_of(len(every), brute_pairs(every, 7, 88))
+    assert sum(r != i for i, r in enumerate(want)) == 300  # each of the others with its group
+    signed = every.view(np.int64).tolist()
+    table = spark.createDataFrame([(x,) for x in signed], "fps array<long>").repartition(3)
+    at = {tuple(x): i for i, x in enumerate(signed)}
+    assert roots_of(len(every), [(at[tuple(r.a)], at[tuple(r.b)]) for r in simhash._links_of_all(table, 8, 7, 88).collect()]) == want
+
+
+@pytest.mark.parametrize("least", [1, 4096])
+def test_parts_of_a_bucket_lose_no_pair(monkeypatch, least):
+    monkeypatch.setattr(simhash, "PARTED_FROM", least)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 32)
+    rng = np.random.default_rng(6)
+    every, t, byte = far_lists(rng, 30, 6), 3, 5  # all in one fingerprint's buckets of its sixth range
+    every[:, t] &= ~np.uint64(0xFF << 8 * byte)
+    every[:, t] |= np.uint64(1) * (np.arange(len(every), dtype=np.uint64) // np.uint64(70)) << np.uint64(8 * byte)
+    bucket = np.arange(len(every)) // 70
+    want = roots_of(len(every), [(i, j) for i, j in brute_pairs(every, 64, 88, lambda i, j: bucket[i] == bucket[j]) if int(np.bitwise_count(every[i, t] ^ every[j, t])) <= 7])
+    a, b = simhash.verified_links(np.full(len(every), t * 8 + byte), bucket, every, 7, 88)
+    assert roots_of(len(every), zip(a.tolist(), b.tolist(), strict=True)) == want and len(set(want)) < len(every)
+
+
 def test_close_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, np.uint64)
