@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeflow.llm.common import give_back
 from noticeflow.llm.tokens import spaced_chunks
 
 _BLANK = regex.compile(r"\s")
@@ -35,7 +36,7 @@ _BLANK = regex.compile(r"\s")
 RANK_BITS, NONE = 19, (1 << 19) - 1
 
 #: A block ends at so many characters or new words, whichever comes first, and a task's list of words starts anew after so many.
-BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 600_000
+BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 500_000
 
 #: Partitions of documents that one task may take together.
 TOGETHER = 2
@@ -336,9 +337,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                     parts, size, first, reset = [], 0, at + 1, False
                     if numbers.count > MOST_WORDS:
                         numbers.forget()
+                        give_back()
                         reset = True
         numbers.forget()
-        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+        give_back()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Joined()
@@ -360,7 +362,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                 flat, cuts = ids.rows(numbers, n)
                 more = [pieces.spelt(flat, cuts)] if with_decoded else []
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, _binary(flat, cuts), *more], names=["doc_id", "ids", *(["decoded"] if more else [])])
-        pa.default_memory_pool().release_unused()
+        del ids, pieces
+        give_back()
 
     # a task folds each of its words once, so small partitions are taken together, as long as every core keeps two tasks
     n = rows.rdd.getNumPartitions()

@@ -18,11 +18,12 @@ from dataclasses import dataclass, field
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from noticeflow.functions.text import MISSING, clean_or_null
-from noticeflow.tables import workers_import
+from noticeflow.tables import cut, workers_import
 
 SCHEMA = "request string, page int, body string"
 
@@ -233,11 +234,18 @@ def read(spark: SparkSession, path: str, contract: Contract, **options: str) ->
 
 
 def record(items: DataFrame, path: str, request: str, order: Sequence[str], item: str, size: int, body: str) -> None:
-    """Writes a recording: column item (JSON text) of items, size of them a page, by request in an order. body: a page with {items} and {total}."""
-    from pyspark.sql import Window as W
+    """Writes a recording: column item (JSON text) of items, size of them a page, by request in an order. body: a page with {items} and {total}.
 
-    place = F.row_number().over(W.partitionBy(request).orderBy(*order)) - 1
-    placed = items.select(F.col(request).alias("request"), F.col(item).alias("item"), place.alias("at"), F.count("*").over(W.partitionBy(request)).alias("n"))
+    A request may have any number of items: they are sorted by ranges, and an item's place is its place in its task after all of the tasks before.
+    """
+    named = items.select(F.coalesce(F.col(request).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("request"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(item).alias("item"))
+    by = ["request", *[f"_o{i}" for i in range(len(order))]]
+    sorted_ = cut(named.repartitionByRange(*by).sortWithinPartitions(*by).select("request", "item", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_n")), "sorted-items")
+    runs = sorted_.groupBy("request", "_p").agg(F.min("_n").alias("_first"), F.count("*").alias("_c"))  # a row for each request of each task
+    whole = W.partitionBy("request")
+    ahead = F.coalesce(F.sum("_c").over(whole.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = sorted_.join(F.broadcast(runs.select("request", "_p", (ahead - F.col("_first")).alias("_ahead"), F.sum("_c").over(whole).alias("n"))), ["request", "_p"])
+    placed = placed.select("request", "item", (F.col("_n") + F.col("_ahead")).alias("at"), "n")
     pages = placed.groupBy("request", F.floor(F.col("at") / size).alias("page")).agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("t"), F.max("n").alias("n"))
     head, middle, tail = re.split(r"\{items\}|\{total\}", body) if "{total}" in body else (*body.split("{items}"), None)
     text = F.concat(F.lit(head), F.array_join(F.transform("t", lambda x: x["item"]), ","), F.lit(middle), *([F.col("n").cast("string"), F.lit(tail)] if tail is not None else []))

@@ -34,6 +34,28 @@ def test_contract(spark, tmp_path):
     assert paged.recorded(spark, at(tmp_path), SHAPES, most="1").count() == 2
 
 
+def test_a_request_is_written_by_many_tasks(spark, tmp_path):
+    """No task has all items of a request, as a window over it would: pages follow each other over the tasks' borders."""
+    items = spark.range(2000).repartition(5).select(F.when(F.col("id") % 10 > 0, "a").when(F.col("id") % 20 > 0, "b").alias("r"), (-F.col("id")).alias("o"), F.concat(F.lit('{"id":'), F.col("id"), F.lit("}")).alias("item"))
+    paged.record(items, at(tmp_path), "r", ["o"], "item", 30, '{"r":[{items}],"n":{total}}')
+    for folder, want in (("a", [i for i in range(1999, -1, -1) if i % 10]), ("b", list(range(1990, -1, -20))), ("__HIVE_DEFAULT_PARTITION__", list(range(1980, -1, -20)))):
+        root, got = tmp_path / f"request={folder}", []
+        for n in range(-(-len(want) // 30)):
+            (file,) = [f for f in (root / f"page={n}").iterdir() if f.name.startswith("part-")]
+            body = json.loads(file.read_text())
+            assert body["n"] == len(want)
+            got.append([x["id"] for x in body["r"]])
+        assert [i for page in got for i in page] == want and all(len(page) == 30 for page in got[:-1])
+    plans = []
+    spark_read = paged.cut
+    try:
+        paged.cut = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or spark_read(df, name)
+        paged.record(items, at(tmp_path / "again"), "r", ["o"], "item", 30, '{"r":[{items}]}')
+    finally:
+        paged.cut = spark_read
+    assert plans and "rangepartitioning" in plans[0] and "Window" not in plans[0]
+
+
 def test_values_and_links(spark):
     records = [{"l": ["http://a", {"url": " http://b "}, {"x": 1}, "c", "http://a"], "one": {"href": "http://d"}, "t": "http://e", "list": [], "n": 3.5, "m": ["x", "y", "z"]}, {}]
     df = spark.createDataFrame([("q", 0, json.dumps({"r": records}))], "request string, page int, body string")
