@@ -45,11 +45,12 @@ def similarity_floor(specific: Column) -> Column:
     return F.when(specific, 0.25).otherwise(0.15)
 
 
-def composite(similarity: Column, priority: Column, fit: Column, lexical: Column, boosts: Sequence[tuple[Column, float]] = (), digits: int = 3) -> Column:
-    """RET-06: weighted parts (priority and fit in percent) with boosts and penalties, 1 at most."""
+def composite(similarity: Column, priority: Column, fit: Column, lexical: Column, boosts: Sequence[tuple[Column, float]] = (), digits: int | None = 3) -> Column:
+    """RET-06: weighted parts (priority and fit in percent) with boosts and penalties, 1 at most; not rounded where digits is None."""
     base = WEIGHTS["similarity"] * similarity + WEIGHTS["priority"] * priority / 100 + WEIGHTS["fit"] * fit / 100 + WEIGHTS["lexical"] * lexical
     total = sum((F.coalesce(c.cast("int"), F.lit(0)) * F.lit(v) for c, v in boosts), base)
-    return F.bround(F.least(F.lit(1.0), total), digits)
+    most = F.least(F.lit(1.0), total)
+    return most if digits is None else F.bround(most, digits)
 
 
 def hard_drop(high_asked: Column, priority: Column, seen: Column, cutoff: Column, portal_ok: Column, similarity: Column, floor: Column) -> Column:

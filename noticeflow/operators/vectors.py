@@ -6,7 +6,7 @@ of an index of centres, whose recall is measured; either way a window over the b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,9 @@ from noticeflow.tables import cut, workers_import
 #: Queries and vectors of a block, and similarities that a worker holds at once.
 MOST_QUERIES, BLOCK_ROWS, CELLS_AT_ONCE = 10_000, 50_000, 2_000_000
 
+#: Queries of a block where all pairs are a result.
+PAIR_QUERIES = 500
+
 
 def cosine(a: Column, b: Column, epsilon: float = 1e-12) -> Column:
     """VEC-01"""
@@ -85,6 +88,32 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     return ranked.where(F.col("rank") <= k)
 
 
+def similarities(corpus: DataFrame, queries: DataFrame, more: Sequence[str] = (), id_col: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """VEC-01: query_id, id, similarity and columns more of corpus, for all pairs of a query and another vector; null vectors have no part.
+
+    The result grows as the product of both sides, a task does not: a pair of blocks has about CELLS_AT_ONCE pairs at most and is one group.
+    """
+    asks = max(1, -(-queries.count() // PAIR_QUERIES))
+    parts = max(1, -(-corpus.count() // (CELLS_AT_ONCE // PAIR_QUERIES)))
+    place = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = corpus.where(F.col(vector).isNotNull()).select(id_col, vector, *more, place(parts).alias("_part"), every(asks).alias("_block"))
+    asked = queries.where(F.col(vector).isNotNull()).select(id_col, vector, every(parts).alias("_part"), place(asks).alias("_block"))
+    kind = {f.name: f.dataType.simpleString() for f in corpus.schema}
+
+    def score(rows: pa.Table, mine: pa.Table) -> pa.Table:
+        ids, own_ids = rows.column(id_col).to_numpy(), mine.column(id_col).to_numpy()
+        if not len(ids) or not len(own_ids):
+            return pa.table([pa.array([], mine.schema.field(id_col).type), pa.array([], rows.schema.field(id_col).type), pa.array([], pa.float64()), *(pa.array([], rows.schema.field(c).type) for c in more)], ["query_id", "id", "similarity", *more])
+        s = np.round(_unit(mine.column(vector)) @ _unit(rows.column(vector)).T, digits)
+        q, r = np.nonzero(own_ids[:, None] != ids[None, :])
+        take = pa.array(r)
+        return pa.table([pa.array(own_ids[q]), pa.array(ids[r]), pa.array(s[q, r]), *(rows.column(c).combine_chunks().take(take) for c in more)], ["query_id", "id", "similarity", *more])
+
+    carried = "".join(f", `{c}` {kind[c]}" for c in more)
+    return own.groupBy("_part", "_block").cogroup(asked.groupBy("_part", "_block")).applyInArrow(score, f"query_id {kind[id_col]}, id {kind[id_col]}, similarity double{carried}")
+
+
 def semantic_duplicates(corpus: DataFrame, queries: DataFrame, least: float = 0.95, k: int = 5, **how) -> DataFrame:
     """DED-04: those of the k nearest that are at least so similar. Filter corpus by time before."""
     return nearest(corpus, queries, k, **how).where(F.col("similarity") >= least)

@@ -268,17 +268,17 @@ def first_per_whole_title(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT p_name, split_part(p_name, ' ', 1) AS block, count(*) AS c, min(p_partkey) AS class_id FROM part GROUP BY 1, 2),
-l AS (SELECT a.p_name, sum(b.c)::BIGINT AS n_links FROM n a JOIN n b ON a.block = b.block AND levenshtein(a.p_name, b.p_name) = 1 GROUP BY 1)
-SELECT p_partkey, class_id, c AS class_size, coalesce(n_links, 0) AS n_links FROM part JOIN n USING (p_name) LEFT JOIN l USING (p_name)""")
+l AS (SELECT a.p_name, sum(b.c)::BIGINT AS n_links, string_agg(b.class_id::VARCHAR, ',' ORDER BY b.class_id) AS linked FROM n a JOIN n b ON a.block = b.block AND levenshtein(a.p_name, b.p_name) = 1 GROUP BY 1)
+SELECT p_partkey, class_id, c AS class_size, coalesce(n_links, 0) AS n_links, coalesce(linked, '') AS linked FROM part JOIN n USING (p_name) LEFT JOIN l USING (p_name)""")
 def fuzzy_levenshtein(spark, sf_dir):
-    """DED-08, JOI-23: a blocked similarity join with a built-in distance: each part with its class (equal names) and the number of parts one edit away. Names meet, not parts."""
+    """DED-08, JOI-23: a blocked similarity join with a built-in distance: each part with its class (equal names) and the number and the classes of parts one edit away, which together are all pairs of parts within one edit. Names meet, not parts."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.split("p_name", " ")[0].alias("block"))
     names = p.groupBy("p_name", "block").agg(F.count("*").alias("class_size"), F.min("p_partkey").alias("class_id"))
     near = dedup.within_one_edit(names, "p_name", "block")
-    sizes = names.select(F.col("p_name").alias("y"), "class_size")
-    links = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).join(sizes, "y").groupBy(F.col("x").alias("p_name")).agg(F.sum("class_size").alias("n_links"))
-    known = names.join(links, "p_name", "left").select("p_name", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return hot_key_join(p, known.withColumn("_n", F.col("class_size")), ["p_name"], "_n", p.count()).select("p_partkey", "class_id", "class_size", "n_links")
+    sizes = names.select(F.col("p_name").alias("y"), "class_size", "class_id")
+    links = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).join(sizes, "y").groupBy(F.col("x").alias("p_name")).agg(F.sum("class_size").alias("n_links"), F.array_join(F.array_sort(F.collect_list("class_id")).cast("array<string>"), ",").alias("linked"))  # a name has as many neighbours as its letters allow
+    known = names.join(links, "p_name", "left").select("p_name", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("linked", F.lit("")).alias("linked"))
+    return hot_key_join(p, known.withColumn("_n", F.col("class_size")), ["p_name"], "_n", p.count()).select("p_partkey", "class_id", "class_size", "n_links", "linked")
 
 
 @query()
@@ -422,20 +422,17 @@ def semantic_duplicates(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(qe, embedding::DOUBLE[]), 6) AS sim FROM embeddings JOIN q ON vec_id <> query_id),
-d AS (SELECT doc_id, n_chars % 101 AS priority, doc_id % 101 AS fit, len(list_filter(['the', 'and', 'der'], lambda w: regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) / 3.0 AS lexical FROM documents),
-c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS near FROM s QUALIFY near <= 60),
-r AS (SELECT query_id, vec_id, round_even(least(1.0, 0.40 * sim + 0.25 * priority / 100 + 0.20 * fit / 100 + 0.15 * lexical), 2) + 0.0 AS score FROM c JOIN d ON doc_id = vec_id WHERE sim >= -0.2 AND NOT priority < 10)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM r QUALIFY rank <= 20""")
+d AS (SELECT doc_id, n_chars % 101 AS priority, doc_id % 101 AS fit, len(list_filter(['the', 'and', 'der'], lambda w: regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) / 3.0 AS lexical FROM documents)
+SELECT query_id, vec_id, round_even(least(1.0, 0.40 * sim + 0.25 * priority / 100 + 0.20 * fit / 100 + 0.15 * lexical), 2) + 0.0 AS score FROM s JOIN d ON doc_id = vec_id WHERE sim >= -0.2 AND NOT priority < 10""")
 def hybrid_rank(spark, sf_dir):
-    """RET-04, RET-06 to RET-08: the nearest vectors of each one whose id 20 divides, ranked by vector, rule and lexical evidence. Texts are read for candidates only, once each."""
-    e, limit = table(spark, sf_dir, "embeddings"), 20
-    near = vectors.nearest(e, e.where("vec_id % 20 = 0"), search.candidates(limit, False)).select("query_id", F.col("id").alias("vec_id"), "similarity")
+    """RET-04, RET-06, RET-07: vector, rule and lexical evidence in one score, of every vector for each one whose id 20 divides. Evidence of a document is worked out once and goes with its vector."""
+    e = table(spark, sf_dir, "embeddings")
     lexical = search.lexical_score(F.array(*map(F.lit, ("the", "and", "der"))), T.tokens("text"))
-    found = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "vec_id").join(near.select("vec_id").distinct(), "vec_id", "left_semi")
-    d = found.select("vec_id", (F.col("n_chars") % 101).alias("priority"), (F.col("vec_id") % 101).alias("fit"), lexical.alias("lexical"))
-    kept = near.join(d, "vec_id").where(~((F.col("similarity") < -0.2) | (F.col("priority") < 10)))
-    scored = kept.select("query_id", "vec_id", search.composite(F.col("similarity"), F.col("priority"), F.col("fit"), F.col("lexical"), digits=2).alias("score"))
-    return search.best_of_each(scored, "query_id", [F.desc("score"), F.col("vec_id")], limit)
+    found = table(spark, sf_dir, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    d = found.select(F.col("doc_id").alias("vec_id"), (F.col("n_chars") % 101).alias("priority"), (F.col("doc_id") % 101).alias("fit"), lexical.alias("lexical")).where(~(F.col("priority") < 10))
+    near = vectors.similarities(e.join(d, "vec_id"), table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0"), ["priority", "fit", "lexical"])
+    total = search.composite(F.col("similarity"), F.col("priority"), F.col("fit"), F.col("lexical"), digits=None)
+    return near.where("similarity >= -0.2").select("query_id", F.col("id").alias("vec_id"), (F.rint(total * 100) / 100).alias("score"))  # hundredths as a double, as SQL rounds
 
 
 @query("""WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part) SELECT p_partkey FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'co'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0""")

@@ -68,3 +68,16 @@ def test_wide_queries_leave_no_row_out(spark, con):
     assert got["partial_update"].count() == n("SELECT count(*) FROM customer")
     assert sum(r["n"] for r in got["answer_ratings"].collect()) == n("SELECT count(*) FROM conversations WHERE role = 'user'")
     assert got["hybrid_rank"].select("query_id").distinct().count() == n("SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0")
+
+
+def test_hybrid_rank_scores_every_pair_and_names_are_linked(spark):
+    """No candidates by nearness alone; and the classes that a part is linked to, not their number only."""
+    got = queries.QUERIES["hybrid_rank"](spark, SF)
+    e, d = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("embeddings", "documents"))
+    least = e.join(d.where("NOT n_chars % 101 < 10"), e["vec_id"] == d["doc_id"]).count()
+    per = {r.query_id: r["count"] for r in got.groupBy("query_id").count().collect()}
+    assert max(per.values()) > min(60, least // 2) and all(n <= least for n in per.values())
+    parts = queries.QUERIES["fuzzy_levenshtein"](spark, SF)
+    sizes = {r.class_id: r.class_size for r in parts.collect()}
+    for r in parts.where("n_links > 0").limit(50).collect():
+        assert sum(sizes[int(x)] for x in r.linked.split(",")) == r.n_links
