@@ -125,20 +125,31 @@ def ranked(index: Index, queries: DataFrame, id_col: str, text: Column, k: int =
     id_kind = live.schema["id"].dataType.simpleString()
 
     def score(rows: pa.Table, live_rows: pa.Table) -> pa.Table:
-        known = {x["number"]: x["id"] for part in live_rows.column("live").to_pylist() for x in part}
-        found: dict[object, dict[int, int]] = {}
+        rows, live_rows = rows.combine_chunks(), live_rows.combine_chunks()
+        if not len(rows) or not len(live_rows):
+            return pa.table([pa.array([], rows.schema.field("asked").type.value_type.field("query_id").type), pa.array([], live_rows.schema.field("live").type.value_type.field("id").type), pa.array([], pa.float64())], ["query_id", "id", "score"])
+        there = pa.concat_arrays([x.values for x in live_rows.column("live")])
+        number, ids = there.field("number").to_numpy(), there.field("id")
+        base, width = int(number.min()), int(number.max() - number.min()) + 1
+        firsts, lists = rows.column("first").to_numpy() - base, [x.values.to_numpy() for x in rows.column("offsets")]
+        asked_by: dict[object, list[int]] = {}  # the postings of each query; one query is counted at a time
         n_of: dict[object, int] = {}
-        for first, offsets, asks in zip(rows.column("first").to_pylist(), rows.column("offsets").to_pylist(), rows.column("asked").to_pylist()):
-            at = (first + np.array(offsets, np.int64)).tolist()
-            for a in asks:
-                hits = found.setdefault(a["query_id"], {})
+        for i, asks in enumerate(rows.column("asked")):
+            for a in asks.as_py():
+                asked_by.setdefault(a["query_id"], []).append(i)
                 n_of[a["query_id"]] = a["n_tokens"]
-                for x in at:
-                    hits[x] = hits.get(x, 0) + 1
         out = []
-        for q, hits in found.items():
-            best = sorted(((-n, known[x]) for x, n in hits.items() if x in known))[:k]
-            out += [(q, i, -n / n_of[q]) for n, i in best]
+        for q, own in asked_by.items():
+            hits = np.zeros(width, np.int32)
+            for i in own:
+                at = firsts[i] + lists[i]
+                hits[at[(at >= 0) & (at < width)]] += 1  # numbers of one posting differ
+            n = hits[number - base]
+            found = np.flatnonzero(n)
+            if len(found) > k:
+                found = found[n[found] >= np.partition(n[found], len(found) - k)[len(found) - k]]
+            best = sorted(zip((-n[found]).tolist(), ids.take(pa.array(found)).to_pylist(), strict=True))[:k]
+            out += [(q, i, -m / n_of[q]) for m, i in best]
         columns = list(zip(*out)) or [[], [], []]
         kinds = [rows.schema.field("asked").type.value_type.field("query_id").type, live_rows.schema.field("live").type.value_type.field("id").type, pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "id", "score"])

@@ -78,3 +78,11 @@ def test_nothing_indexed(spark):
     index = text_index.segment(frame(spark, {"a": "x"}).where("false"), "id", F.col("t"))
     assert text_index.prefix_search(index, "x").count() == 0
     assert text_index.ranked(index, spark.createDataFrame(QUERIES, "q int, text string"), "q", F.col("text")).count() == 0
+
+
+def test_ranked_counts_one_query_at_a_time(spark):
+    """A task's Python holds counts of one query, not of all: 60 queries over 20,000 documents that all have their words."""
+    docs = spark.range(20_000).repartition(1).select("id", F.lit("roads water").alias("t"))
+    index = text_index.segment(docs, "id", F.col("t"))
+    got = text_index.ranked(index, spark.createDataFrame([(q, "water roads x") for q in range(60)], "q int, text string"), "q", F.col("text"), 3).collect()
+    assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in got} == {(q, i, 0.666667, i + 1) for q in range(60) for i in range(3)}
