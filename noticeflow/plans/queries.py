@@ -17,6 +17,7 @@ from noticeflow.operators import classify, dedup, documents, grounding, health,
 from noticeflow.operators.joins import hot_key_join
 from noticeflow.plans import views
 from noticeflow.streaming import streams
+from noticeflow.tables import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,7 +229,7 @@ HASH_SQL = f"""md5(array_to_string(list_sort(list_filter(regexp_split_to_array(r
 SELECT h.doc_id, content_hash, canonical_id FROM h JOIN f USING (content_hash) WHERE h.doc_id <> canonical_id""")
 def content_hash_dupes(spark, sf_dir):
     """NRM-03, DED-02"""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("content_hash"))
+    d = cut(table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("content_hash")), "hashes")  # a text is hashed once, not once a use
     return dedup.hash_duplicates(d, id_col="doc_id", seen="doc_id").select("doc_id", "content_hash", "canonical_id")
 
 

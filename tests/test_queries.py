@@ -81,3 +81,9 @@ def test_hybrid_rank_scores_every_pair_and_names_are_linked(spark):
     sizes = {r.class_id: r.class_size for r in parts.collect()}
     for r in parts.where("n_links > 0").limit(50).collect():
         assert sum(sizes[int(x)] for x in r.linked.split(",")) == r.n_links
+
+
+def test_content_hashes_are_worked_out_once(spark):
+    """What finds duplicates reads hashes that were written, and no text."""
+    plan = queries.QUERIES["content_hash_dupes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "content_hash" in plan and "documents.parquet" not in plan
