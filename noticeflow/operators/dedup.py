@@ -1,6 +1,6 @@
 """DED: duplicates of records within a batch, against history, and across sources; merging of groups.
 
-Candidates meet by an equi-join on a blocking key, in large blocks also on their rarest characters; cheap predicates come before the ratio.
+Candidates meet by an equi-join on a blocking key, or part by part where a block is large; cheap predicates come before the ratio.
 Grouping is greedy leaders in input order (column seq), within blocks, which never share groups; blocks of any size are cut into bounded
 tasks and parallel rounds that give what one pass in order gives.
 """
@@ -12,7 +12,10 @@ from collections import Counter
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 from functools import reduce
+from heapq import heappop, heappush
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -104,9 +107,6 @@ class _Titles:
 
     def same(self, earlier: dict) -> bool:
         r, t = self.later, self.title
-        a, b = len(earlier["norm_title"]), len(r["norm_title"])
-        if 2 * min(a, b) < TITLE_RATIO * (a + b):
-            return False
         if earlier["deadline"] is not None and r["deadline"] is not None and abs((earlier["deadline"] - r["deadline"]).days) > DEADLINE_DAYS:
             return False
         if not earlier["norm_org"] or not r["norm_org"]:
@@ -117,47 +117,155 @@ class _Titles:
             if self.organisation.ratio() < ORGANISATION_RATIO:
                 return False
         t.set_seq1(earlier["norm_title"])
-        return t.quick_ratio() >= TITLE_RATIO and t.ratio() >= TITLE_RATIO
-
-
-def _records(block: pd.DataFrame) -> list[dict]:
-    rows = block.sort_values(["seq", "leader"]).to_dict("records")
-    for r in rows:
+        return _reaches(t, TITLE_RATIO)
+
+
+def _reaches(m: SequenceMatcher, least: float) -> bool:
+    """m.ratio() >= least, with as many of the matching blocks as it takes to say so: a stretch can give no more than the shorter of its sides."""
+    n, k = len(m.a), len(m.b)
+    if not n + k:
+        return least <= 1.0
+    longest = _longest_match(m)
+    found, left, waiting = 0, min(n, k), [(-min(n, k), 0, n, 0, k)]
+    while waiting:
+        if 2.0 * (found + left) / (n + k) < least:
+            return False
+        if 2.0 * found / (n + k) >= least:
+            return True
+        most, a_low, a_high, b_low, b_high = heappop(waiting)
+        left += most
+        i, j, size = longest(a_low, a_high, b_low, b_high)
+        if not size:
+            continue
+        found += size
+        for side in ((a_low, i, b_low, j), (i + size, a_high, j + size, b_high)):
+            if most := min(side[1] - side[0], side[3] - side[2]):
+                left += most
+                heappush(waiting, (-most, *side))
+    return 2.0 * found / (n + k) >= least
+
+
+#: Characters of two texts together from which places of equal characters are looked for once and not once a stretch, if there are no more than so many.
+LONG_TEXTS, MOST_PLACES = 1_000, 4_000_000
+
+
+def _longest_match(m: SequenceMatcher) -> Callable[[int, int, int, int], tuple[int, int, int]]:
+    """m.find_longest_match; for long texts over arrays of the places where m sees equal characters, in the order in which m looks at them."""
+    a, b = m.a, m.b
+    if len(a) + len(b) < LONG_TEXTS:
+        return m.find_longest_match
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = [(np.flatnonzero(codes == ord(c)), np.array(js)) for c, js in m.b2j.items()]  # common characters are not among these
+    if sum(len(x) * len(y) for x, y in own) > MOST_PLACES:
+        return m.find_longest_match
+    i_of, j_of = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.repeat(x, len(y)) for x, y in own], [np.tile(y, len(x)) for x, y in own]))
+    order = np.lexsort((i_of, j_of - i_of))  # by diagonal: a run grows by one a place
+    i_of, j_of, n = i_of[order], j_of[order], np.arange(len(order))
+    new = np.append(True, (np.diff(i_of) != 1) | (np.diff(j_of) != 1))[: len(order)]
+    run = n - np.maximum.accumulate(np.where(new, n, 0)) + 1
+    order = np.lexsort((j_of, i_of))
+    i_of, j_of, run = i_of[order], j_of[order], run[order]
+
+    def longest(a_low: int, a_high: int, b_low: int, b_high: int) -> tuple[int, int, int]:
+        low, high = np.searchsorted(i_of, (a_low, a_high))
+        i, j, size = a_low, b_low, 0
+        if low < high:
+            within = np.minimum(np.minimum(run[low:high], i_of[low:high] - a_low + 1), j_of[low:high] - b_low + 1)
+            within[j_of[low:high] >= b_high] = 0
+            best = int(within.argmax())
+            if within[best] > 0:
+                size = int(within[best])
+                i, j = int(i_of[low + best]) - size + 1, int(j_of[low + best]) - size + 1
+        while i > a_low and j > b_low and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < a_high and j + size < b_high and a[i + size] == b[j + size]:
+            size += 1
+        return i, j, size
+
+    return longest
+
+
+class _Counts:
+    """Lengths of titles and numbers of their characters, in 128 classes: what two titles have in common is at most what their classes have."""
+
+    def __init__(self, titles: Sequence[str]):
+        self.length = np.array([len(t) for t in titles], np.int64)
+        self.of = np.zeros((len(titles), 128), np.int32)
+        for i, t in enumerate(titles):
+            self.of[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 127, minlength=128)
+
+    def may_reach(self, i: int, others: _Counts, among: np.ndarray) -> np.ndarray:
+        """Those of others (places, in order) of which title i may be alike enough."""
+        among = among[_at_most(np.minimum(self.length[i], others.length[among]), self.length[i] + others.length[among]) >= TITLE_RATIO]
+        shared = np.minimum(self.of[i], others.of[among]).sum(1)
+        return among[_at_most(shared, self.length[i] + others.length[among]) >= TITLE_RATIO]
+
+
+def _at_most(shared: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The ratio of texts with so many characters together of which so many match; two empty ones are alike."""
+    return np.where(both == 0, 1.0, 2.0 * shared / np.maximum(1, both))
+
+
+def _records(rows: pd.DataFrame) -> list[dict]:
+    """Records by block, in order."""
+    out = sorted(rows.to_dict("records"), key=lambda r: (r["block"], r["seq"], r["leader"]))
+    for r in out:
         r["deadline"] = None if pd.isna(r["deadline"]) else r["deadline"]
-    return rows
+    return out
 
 
-def _greedy(block: pd.DataFrame) -> pd.DataFrame:
-    """Each record with the first leader before it that is the same record, or as a leader."""
-    leaders: list[dict] = []
+def _greedy(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Each record of some blocks with the first leader of its block before it that is the same record, or as a leader."""
     out = []
-    for r in _records(block):
-        test = _Titles(r)
-        found = next((x for x in leaders if test.same(x)), None)
-        if found is None:
-            leaders.append(r)
-            found = r
-        out.append((*[r[k] for k in _KEYS], r["seq"], r["leader"], found["leader"]))
+    for _, of_block in groupby(_records(blocks), key=lambda r: r["block"]):
+        rows = list(of_block)
+        counts, leaders, n = _Counts([r["norm_title"] for r in rows]), np.zeros(len(rows), np.int64), 0
+        for i, r in enumerate(rows):
+            test, near = None, counts.may_reach(i, counts, leaders[:n])
+            if len(near):
+                test = _Titles(r)
+            found = next((rows[x] for x in near if test.same(rows[x])), None)
+            if found is None:
+                leaders[n], n, found = i, n + 1, r
+            out.append((*[r[k] for k in _KEYS], r["seq"], r["leader"], found["leader"]))
     return pd.DataFrame(out, columns=[*_KEYS, "seq", "leader", "led_by"])
 
 
 def _first_leader(leaders: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
     """Each of rest with the first of leaders that is the same record, or null."""
-    known = _records(leaders)
+    known, rows = _records(leaders), _records(rest)
+    of_known, counts, every = _Counts([x["norm_title"] for x in known]), _Counts([r["norm_title"] for r in rows]), np.arange(len(known))
     out = []
-    for r in _records(rest):
-        test = _Titles(r)
-        found = next((x["leader"] for x in known if (x["seq"], x["leader"]) < (r["seq"], r["leader"]) and test.same(x)), None)
+    for i, r in enumerate(rows):
+        near = [known[x] for x in counts.may_reach(i, of_known, every)]
+        test = _Titles(r) if near else None
+        found = next((x["leader"] for x in near if (x["seq"], x["leader"]) < (r["seq"], r["leader"]) and test.same(x)), None)
         out.append((*[r[k] for k in _KEYS], r["seq"], r["leader"], found))
     return pd.DataFrame(out, columns=[*_KEYS, "seq", "leader", "led_by"])
 
 
+def _same_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one record: rows of two parts of a block (x and y) with each other, or those of one part among themselves."""
+    records = _records(rows)
+    counts, part = _Counts([r["norm_title"] for r in records]), np.array([r["_part"] for r in records])
+    own = bool(len(records)) and records[0]["_x"] == records[0]["_y"]
+    out = []
+    for i, r in enumerate(records):
+        near = counts.may_reach(i, counts, np.arange(i) if own else np.flatnonzero(part[:i] != part[i]))
+        test = _Titles(r) if len(near) else None
+        out += [(x["seq"], x["leader"], r["seq"], r["leader"]) for x in map(records.__getitem__, near) if test.same(x)]
+    return pd.DataFrame(out, columns=["a_seq", "a_leader", "b_seq", "b_leader"])
+
+
 _KEYS = ["block", "norm_title", "norm_org", "family", "deadline"]
 
 #: Distinct records of a block that one task groups at a time, rows of the rest of a block that it compares with these, and how often
 #: the first records of a large block are taken out so before pairs are looked for.
 AT_ONCE, REST_ROWS, FIRST_ROUNDS = 500, 5_000, 3
 
+#: Records of small blocks that one call groups, and records of each of the two parts of a block that meet in one task.
+BLOCKS_ROWS, PART_ROWS = 2_000, 1_000
+
 #: Titles that say how common a character is; that bears on speed only.
 SAMPLED = 5_000
 
@@ -197,19 +305,17 @@ def _numbered(title: str) -> list[str]:
 def near_pairs(records: DataFrame) -> DataFrame:
     """a, b: the places (seq, leader) of distinct records of one block that are the same record, a before b.
 
-    Records meet only where they share one of their rarest characters and their lengths allow the ratio, once each.
+    A block's records are dealt to parts, and each two parts meet in one task, so that all pairs are looked at and no task holds more than two parts.
     """
-    prefix = rare_prefix(records)
-    rows = records.select("block", F.struct("seq", "leader").alias("at"), "norm_title", "norm_org", "family", "deadline", F.length("norm_title").alias("n"), prefix("norm_title").alias("rare"))
-    left = rows.select("block", F.explode("rare").alias("mark"), *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "block"])
-    right = rows.select("block", F.explode("rare").alias("mark"), *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "block"])
-    met = left.join(right, ["block", "mark"]).where((F.col("a_at") < F.col("b_at")) & (2.0 * F.least("a_n", "b_n") >= TITLE_RATIO * (F.col("a_n") + F.col("b_n"))))
-    met = met.where(F.get(F.array_intersect("a_rare", "b_rare"), F.lit(0)) == F.col("mark"))  # at the first mark that they share
-    met = met.where(dates.deadlines_close("a_deadline", "b_deadline", DEADLINE_DAYS))
-    missing = (F.col("a_norm_org") == "") | (F.col("b_norm_org") == "")
-    met = met.where(~missing | (F.col("a_family") == F.col("b_family")))
-    near = met.where(ratio("a_norm_title", "b_norm_title") >= TITLE_RATIO)
-    return near.where(missing | (ratio("a_norm_org", "b_norm_org") >= ORGANISATION_RATIO)).select(F.col("a_at").alias("a"), F.col("b_at").alias("b"))
+    kinds = {f.name: f.dataType.simpleString() for f in records.schema}
+    row = f"a_seq {kinds['seq']}, a_leader {kinds['leader']}, b_seq {kinds['seq']}, b_leader {kinds['leader']}"
+    sizes = records.groupBy("block").agg(F.count("*").alias("_n")).withColumn("_k", F.col("_n"))
+    parts = F.ceil(F.col("_n") / PART_ROWS).cast("int")
+    dealt = hot_key_join(records, sizes, ["block"], "_k", records.count()).withColumn("_part", F.pmod(F.xxhash64("norm_title", "norm_org", "family", "deadline"), parts).cast("int"))
+    other = dealt.withColumn("_q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = other.select(*_KEYS, "seq", "leader", "_part", F.least("_part", "_q").alias("_x"), F.greatest("_part", "_q").alias("_y"))
+    near = met.groupBy("block", "_x", "_y").applyInPandas(_same_pairs, row)
+    return near.select(F.struct(F.col("a_seq").alias("seq"), F.col("a_leader").alias("leader")).alias("a"), F.struct(F.col("b_seq").alias("seq"), F.col("b_leader").alias("leader")).alias("b"))
 
 
 def first_leaders(pairs: DataFrame) -> DataFrame:
@@ -237,8 +343,8 @@ def group_batch(df: DataFrame, noise: Sequence[str] = (), generic: Sequence[str]
     """DED-12: df (id, seq, title, organization, source_site, deadline) with leader: the id of the group's first record.
 
     Greedy: a record joins the first leader before it, in seq order, that is the same record. Records with one normalised
-    title, organisation, family and deadline collapse before the pass, so work grows with distinct records. A block of up to AT_ONCE of these is one pass in one
-    task. Of a larger one the first AT_ONCE are grouped, and the others compared with their leaders, some thousands a task, a few times over; what
+    title, organisation, family and deadline collapse before the pass, so work grows with distinct records. A block of one record needs no pass; one of up to AT_ONCE is one pass in one
+    task, which takes many small blocks. Of a larger one the first AT_ONCE are grouped, and the others compared with their leaders, some thousands a task, a few times over; what
     is left meets in near_pairs and is decided in first_leaders. The result is that of one pass in order. Generic and short titles lead only themselves.
     """
     workers_import(df.sparkSession)
@@ -255,7 +361,9 @@ def group_batch(df: DataFrame, noise: Sequence[str] = (), generic: Sequence[str]
     for turn in range(FIRST_ROUNDS + 1):
         n = cut(sized(rest), "sizes")
         small = hot_key_join(rest, n.where(F.col("_n") <= AT_ONCE).withColumn("_k", F.col("_n")), ["block"], "_k", rest.count())
-        done.append(small.select(*columns).groupBy("block").applyInPandas(_greedy, row))
+        done.append(small.where("_n = 1").select(*columns, F.col("leader").alias("led_by")))
+        together = small.where("_n > 1").select(*columns, F.pmod(F.xxhash64("block"), F.lit(1 + n.where(F.col("_n").between(2, AT_ONCE)).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] // BLOCKS_ROWS)).alias("_some"))
+        done.append(together.groupBy("_some").applyInPandas(_greedy, row))
         large = n.where(F.col("_n") > AT_ONCE)
         rest = hot_key_join(rest, large.withColumn("_k", F.col("_n")), ["block"], "_k", rest.count())
         if turn == FIRST_ROUNDS or not large.take(1):

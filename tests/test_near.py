@@ -145,3 +145,43 @@ def test_fuzzy_ratio_is_the_pass_in_order(spark):
 
 def test_no_records(spark):
     assert dedup.group_batch(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_blocks_share_a_call():
+    """Records of several blocks in one call follow only leaders of their own block."""
+    import pandas as pd
+
+    rows = [("b", "supply of pumps north", 2), ("a", "supply of pumps north", 1), ("b", "supply of pumps norths", 3), ("a", "something else entirely", 4), ("a", "supply of pump north", 5)]
+    frame = pd.DataFrame([(b, t, "", "x", None, i, i) for b, t, i in rows], columns=["block", "norm_title", "norm_org", "family", "deadline", "seq", "leader"])
+    got = dedup._greedy(frame)
+    assert dict(zip(got.leader, got.led_by)) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 1}
+
+
+@pytest.mark.parametrize("long_texts, most", [(0, 4_000_000), (0, 10), (10_000, 0)])
+def test_decisions_are_the_ratio(monkeypatch, long_texts, most):
+    """With stretches looked for by arrays or not, a decision that stops early is the one of the whole ratio."""
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(dedup, "LONG_TEXTS", long_texts)
+    monkeypatch.setattr(dedup, "MOST_PLACES", most)
+    rng, seen = random.Random(8), set()
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz   eeeé😀"])
+        a = [rng.choice(letters) for _ in range(rng.randrange(rng.choice([1, 60, 400])))]
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.choice([0, 1, 5])] = [rng.choice(letters + "zq") for _ in range(rng.choice([0, 1, 4]))]
+        m = SequenceMatcher(None, "".join(a), "".join(b))
+        want = m.ratio() >= 0.82
+        assert dedup._reaches(m, 0.82) == want
+        counts = dedup._Counts([m.a, m.b])
+        assert not want or list(counts.may_reach(0, counts, dedup.np.array([1]))) == [1]
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_parts_of_a_block_meet(spark, monkeypatch):
+    """Each two parts of a block are compared, and each pair is given once."""
+    monkeypatch.setattr(dedup, "PART_ROWS", 7)
+    test_pairs_miss_none(spark)
