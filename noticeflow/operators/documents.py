@@ -1,6 +1,6 @@
 """DOC: text, links and fields of pages and attached files.
 
-HTML and file formats need a parser: Arrow-batched pandas functions over the standard library. The rest are
+HTML and file formats need a parser: Python functions over the standard library. The rest are
 expressions.
 """
 
@@ -58,16 +58,17 @@ def page_text(html: str | None, dropped: Sequence[str], separator: str) -> str:
     return separator.join(x for x in (" ".join(p.split()) for p in parser.parts) if x)
 
 
-@F.pandas_udf(StringType())
-def html_text(html: pd.Series) -> pd.Series:
+# Pages go to Python a hundred at a time (Arrow batches hold ten thousand rows, of any size), so that memory does not grow with the table.
+@F.udf(StringType(), useArrow=False)
+def html_text(html: str | None) -> str:
     """DOC-01: one line of text without scripts, styles and frames; null as empty."""
-    return html.map(lambda x: page_text(x, INLINE_DROPPED, " "), na_action=None)
+    return page_text(html, INLINE_DROPPED, " ")
 
 
-@F.pandas_udf(StringType())
-def html_blocks(html: pd.Series) -> pd.Series:
+@F.udf(StringType(), useArrow=False)
+def html_blocks(html: str | None) -> str:
     """DOC-02: text by lines, without headers, footers and menus either."""
-    return html.map(lambda x: page_text(x, BLOCK_DROPPED, "\n"), na_action=None)
+    return page_text(html, BLOCK_DROPPED, "\n")
 
 
 class _Links(HTMLParser):
@@ -116,9 +117,9 @@ def page_links(html: str | None, base: str | None, words: Sequence[str], cap: in
 def link_finder(words: Sequence[str] = ("download", "attachment", "document"), cap: int = 15):
     """DOC-05: a function of HTML and base URL to links to files, or with one of words in URL or label; each once, cap at most."""
 
-    @F.pandas_udf(ArrayType(LINK))
-    def find(html: pd.Series, base: pd.Series) -> pd.Series:
-        return pd.Series([page_links(h, b, words, cap) for h, b in zip(html, base, strict=True)])
+    @F.udf(ArrayType(LINK), useArrow=False)
+    def find(html: str | None, base: str | None) -> list[dict]:
+        return page_links(html, base, words, cap)
 
     return find
 

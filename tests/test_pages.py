@@ -50,3 +50,10 @@ def test_links_of_pages(spark):
         if seen:
             want[i] = list(seen.values())[:15]
     assert {k: sorted(v, key=repr) for k, v in got.items()} == {k: sorted(v, key=repr) for k, v in want.items()} and want
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    """A batch of Arrow holds ten thousand pages of any size; the queries over pages do not wait for so many."""
+    for name in ("html_text", "evidence_state", "page_links"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan
