@@ -31,6 +31,10 @@ RUN_BITS = 16
 LONGEST = 12
 
 
+#: Document numbers of found postings that one task counts, about.
+TASK_NUMBERS = 500_000
+
+
 @dataclass
 class Index:
     """docs: segment, number, id. postings: segment, run, term, n, first, offsets."""
@@ -87,6 +91,17 @@ def starting_with(tokens: Sequence[str]) -> Column:
     return T.any_of([(F.col("term") >= t) & (F.col("term") < t[:-1] + chr(ord(t[-1]) + 1)) for t in tokens])
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Found postings by keys, in so many tasks that each has some TASK_NUMBERS numbers: rows are small until their numbers are spelt out, so their bytes don't tell."""
+    return rows.repartition(1 + (rows.agg(F.sum("n")).first()[0] or 0) // TASK_NUMBERS, *keys)
+
+
+def _with_ids(index: Index, found: DataFrame) -> DataFrame:
+    """found, by number, with the ids of live documents."""
+    tasks = 1 + index.docs.count() // TASK_NUMBERS
+    return found.repartition(tasks, "number").join(index.live().repartition(tasks, "number"), "number")
+
+
 def prefix_search(index: Index, query: str) -> DataFrame:
     """RET-11: ids of live documents in which each token of the query starts a term; none for a query without a token."""
     asked = sorted(set(re.findall(r"[a-z0-9]+", query.lower())))
@@ -94,9 +109,9 @@ def prefix_search(index: Index, query: str) -> DataFrame:
         return index.live().select("id").limit(0)
     rows = index.postings.where(starting_with(asked))
     met = F.filter(F.array(*[F.when(F.col("term").startswith(t), i) for i, t in enumerate(asked)]), lambda x: x.isNotNull())
-    each = rows.select("first", "offsets", F.explode(met).alias("token")).select("token", F.explode(numbers()).alias("number"))
-    found = each.groupBy("number").agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(asked))
-    return found.join(index.live(), "number").select("id")
+    each = _dealt(rows.select("run", "n", "first", "offsets", F.explode(met).alias("token")), "run").select("run", "token", F.explode(numbers()).alias("number"))
+    found = each.groupBy("run", "number").agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(asked))
+    return _with_ids(index, found).select("id")
 
 
 def prefix_searches(index: Index, queries: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -106,9 +121,10 @@ def prefix_searches(index: Index, queries: DataFrame, id_col: str, text: Column)
     terms = index.postings.select("term").distinct()
     heads = terms.withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(LONGEST))), lambda i: F.left("term", i))))
     met = asked.join(heads, "head").where(F.startswith("term", "token")).select("query_id", "n_tokens", "token", "term")
-    each = index.postings.join(met, "term").select("query_id", "n_tokens", "token", F.explode(numbers()).alias("number"))
-    found = each.groupBy("query_id", "number").agg(F.count_distinct("token").alias("n"), F.first("n_tokens").alias("n_tokens")).where("n = n_tokens")
-    return found.join(index.live(), "number").select("query_id", "id")
+    rows = index.postings.join(met, "term").select("query_id", "n_tokens", "token", "run", "n", "first", "offsets")
+    each = _dealt(rows, "query_id", "run").select("query_id", "n_tokens", "token", "run", F.explode(numbers()).alias("number"))
+    found = each.groupBy("query_id", "run", "number").agg(F.count_distinct("token").alias("n"), F.first("n_tokens").alias("n_tokens")).where("n = n_tokens")
+    return _with_ids(index, found).select("query_id", "id")
 
 
 def ranked(index: Index, queries: DataFrame, id_col: str, text: Column, k: int = 10) -> DataFrame:

@@ -86,3 +86,14 @@ def test_ranked_counts_one_query_at_a_time(spark):
     index = text_index.segment(docs, "id", F.col("t"))
     got = text_index.ranked(index, spark.createDataFrame([(q, "water roads x") for q in range(60)], "q int, text string"), "q", F.col("text"), 3).collect()
     assert {(r.query_id, r.id, round(r.score, 6), r["rank"]) for r in got} == {(q, i, 0.666667, i + 1) for q in range(60) for i in range(3)}
+
+
+def test_found_postings_are_dealt_by_their_numbers(spark, texts, monkeypatch):
+    """Few rows of postings with many numbers are not one task, and a task sees all tokens of its documents."""
+    monkeypatch.setattr(text_index, "TASK_NUMBERS", 20)
+    monkeypatch.setattr(text_index, "RUN_BITS", 4)
+    index = text_index.segment(frame(spark, texts), "id", F.col("t"))
+    assert text_index._dealt(index.postings, "run").rdd.getNumPartitions() > 10
+    assert {r.id for r in text_index.prefix_search(index, "road wat").collect()} == plain_prefix(texts, "road wat")
+    asked = spark.createDataFrame(QUERIES, "q int, text string")
+    assert {(r.query_id, r.id) for r in text_index.prefix_searches(index, asked, "q", F.col("text")).collect()} == {(q, i) for q, t in QUERIES for i in plain_prefix(texts, t)}
