@@ -1,10 +1,11 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-One stage without a shuffle, in three steps a row at a time. Python cuts texts into words and sends a block of
+Words that are common are folded once and for all tasks (common_words); they are a bounded table that tasks know from the start. All else is
+one stage without a shuffle, in three steps a row at a time. Python cuts texts into words and sends a block of
 documents as word numbers, with the bytes of those words that are new in its task; Spark
 folds the merges over these words, against a literal map of ranks; Python puts the documents' ids together from
 the numbers, and their pieces' bytes from the ids. Both Python steps of a task see the same blocks in the same order, so
-both know the words sent before; after MOST_WORDS the task starts a new list. Blocks are small, for
+both know the words sent before; after MOST_WORDS beyond the common ones the task starts a new list. Blocks are small, for
 memory: a block's words are a row, eight bytes for each of their bytes.
 
 The rank map is a literal table of pairs of ids and the ranks of their pieces' joined bytes, in which a pair has two places
@@ -36,10 +37,11 @@ _BLANK = regex.compile(r"\s")
 RANK_BITS, NONE = 19, (1 << 19) - 1
 
 #: A block ends at so many characters or new words, whichever comes first, and a task's list of words starts anew after so many.
-BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 500_000
+BLOCK_CHARS, BLOCK_WORDS, MOST_WORDS = 1_000_000, 8_192, 300_000
 
-#: Partitions of documents that one task may take together.
-TOGETHER = 2
+#: Words that are folded for all tasks at once, at most, and bytes of one of them, at most. They are counted on an eighth of all texts, or on about so many bytes,
+#: whichever is less; inputs of fewer bytes do without. This bears on time only: what is not among them is folded by its task.
+COMMON_WORDS, COMMON_BYTES, COUNTED_SHARE, COUNTED_BYTES, COMMON_FROM = 300_000, 64, 8, 50_000_000, 20_000_000
 
 #: Bytes of a word that is folded; places in a word take 24 bits.
 LONG_WORD = 1_024
@@ -93,13 +95,20 @@ def _prime(above: int) -> int:
 
 
 @cache
-def _tables(path: str) -> tuple[str, int, int]:
-    """The rank map as JSON, and its sizes."""
+def _tables(path: str) -> tuple[tuple[str, int], tuple[str, int]]:
+    """The two parts of the rank map, as JSON, and their sizes: key k, shifted by RANK_BITS, lies at that number modulo the size. No entry is a number that no key has."""
     ranks = read_ranks(path)
     if max(ranks.values()) >= NONE:
         raise ValueError(f"ranks have to be below {NONE}")
     table, first, second = rank_table(_pairs(path))
-    return json.dumps(table, separators=(",", ":")), first, second
+    out = []
+    for part, size in ((table[:first], first), (table[first:], second)):
+        shifted = [1 << 62] * size
+        for at, entry in enumerate(part):
+            if entry >= 0:
+                shifted[(at << RANK_BITS) % size] = entry
+        out.append((json.dumps(shifted, separators=(",", ":")), size))
+    return out[0], out[1]
 
 
 @cache
@@ -140,52 +149,67 @@ def fold_merges(words: Column, path: str) -> Column:
     merge), then its place in the word (24 bits), then its id. So the least number is the leftmost pair
     of least rank, and that rank is the merged piece's id.
     """
-    made, first, second = _tables(path)
-    literal = F.from_json(F.lit(made), "array<bigint>")  # folded into a literal array when the query is planned
-    low, id_bits, none = F.lit((1 << 44) - 1), F.lit((1 << 20) - 1).cast("long"), NONE << 44
-    rank_bits = F.lit(NONE).cast("long")
-
-    def of(table: Column) -> Column:
-        def rank(pair: Column) -> Column:
-            def found(k: Column) -> Column:
-                here, there = F.get(table, (k % first).cast("int")), F.get(table, (k % second).cast("int") + first)
-                own = F.when(F.shiftright(here, RANK_BITS) == k, here.bitwiseAND(rank_bits)).when(F.shiftright(there, RANK_BITS) == k, there.bitwiseAND(rank_bits)).otherwise(rank_bits)
-                return F.shiftleft(own, 44)
-
-            return _bind(pair, found)
-
-        def merge_at(s: Column, m: Column, p: Column, own: Column) -> Column:
-            merged = rank(F.shiftleft(own, 20) + F.get(s, p + 1).bitwiseAND(id_bits)) + m.bitwiseAND(F.lit((1 << 44) - (1 << 20))) + own
-            left = lambda x: rank(F.shiftleft(x.bitwiseAND(id_bits), 20) + own) + x.bitwiseAND(low)
-            new = F.when(p > 1, F.array(left(F.get(s, p - 2)), merged)).otherwise(F.array(merged))
-            return F.concat(F.slice(s, 1, F.greatest(p - 2, F.lit(0))), new, F.slice(s, p + 2, F.size(s)))
+    (one, first), (two, second) = _tables(path)
+    low, id_bits, place_bits, none = F.lit((1 << 44) - 1), F.lit((1 << 20) - 1).cast("long"), F.lit((1 << 44) - (1 << 20)), NONE << 44
+    no_rank = F.lit(NONE).cast("long")
+
+    def literal(made: str) -> Column:
+        return F.from_json(F.lit(made), "array<bigint>")  # folded into a literal array when the query is planned
+
+    def of(here: Column, there: Column) -> Column:
+        def probe(table: Column, size: int, key: Column, otherwise: Column) -> Column:
+            return _bind(F.get(table, (key % size).cast("int")).bitwiseXOR(key), lambda x: F.when(x < no_rank, x).otherwise(otherwise))
+
+        def rank(a: Column, b: Column) -> Column:
+            key = F.shiftleft(a, 20 + RANK_BITS) + F.shiftleft(b, RANK_BITS)
+            return _bind(key, lambda k: F.shiftleft(probe(here, first, k, probe(there, second, k, no_rank)), 44))
+
+        def merge_at(s: Column, m: Column, p: Column) -> Column:
+            own = F.shiftright(m, 44)
+            merged = rank(own, F.get(s, p + 1).bitwiseAND(id_bits)) + m.bitwiseAND(place_bits) + own
+            alone = F.array_insert(F.array_remove(F.array_remove(s, F.get(s, p)), m), p, merged)  # all numbers in s differ, by their places
+            left = lambda x: F.array_insert(F.array_remove(alone, x), p - 1, rank(x.bitwiseAND(id_bits), own) + x.bitwiseAND(low))
+            return F.when(p > 1, _bind(F.get(s, p - 2), left)).otherwise(alone)
 
         def merge(s: Column, _: Column) -> Column:
-            place = lambda m: _bind(F.struct(F.array_position(s, m).cast("int").alias("p"), F.shiftright(m, 44).alias("own")), lambda x: merge_at(s, m, x["p"], x["own"]))
+            place = lambda m: _bind(F.array_position(s, m).cast("int"), lambda p: merge_at(s, m, p))
             return _bind(F.array_min(s), lambda m: F.when(m >= none, s).otherwise(place(m)))
 
         return F.transform(words, lambda w: F.aggregate(F.slice(w, 2, F.size(w)), w, merge))
 
-    return _bind(literal, of)
+    return _bind(literal(one), lambda here: _bind(literal(two), lambda there: of(here, there)))
 
 
 _BLOCK = "reset boolean, doc_ids array<{id}>, sizes array<int>, numbers binary, words array<array<bigint>>, long_at array<int>, long_words array<binary>"
 
 
 class _Numbers:
-    """The words of a text as 32-bit numbers, which new words get one after another; new has those since it was cleared.
+    """The words of a text as 32-bit numbers, which new words get one after another; new has those since it was cleared. The words of common have the first numbers from the start.
 
     after has what stands between two blanks, with the blank before it, so that most of a text takes one look for each part; None is what
     the cut at blanks may not part. plain has all else.
     """
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, common: pa.Array | None = None):
         self.cut, self.count, self.new = regex.compile(pattern).findall, 0, []
         self.after, self.plain = _Known(self._after), _Known(self._plain)
+        self.common = common
+        self.start()
+
+    def start(self) -> None:
+        """A new list, which has the common words only."""
+        self.forget()
+        for word in [] if self.common is None else self.common.to_pylist():
+            table, key = self._place(word)
+            table[key] = self.count.to_bytes(4, "little")
+            self.count += 1
 
-    def _number(self, word: str) -> bytes:
+    def _place(self, word: str) -> tuple[_Known, str]:
         spaced = word[0] == " " and len(word) > 1 and not _BLANK.match(word[1])
-        table, key = (self.after, word[1:]) if spaced else (self.plain, word)
+        return (self.after, word[1:]) if spaced else (self.plain, word)
+
+    def _number(self, word: str) -> bytes:
+        table, key = self._place(word)
         if (found := table.get(key)) is None or len(found) != 4:
             found = table[key] = self.count.to_bytes(4, "little")
             self.count += 1
@@ -236,8 +260,8 @@ class _Known(dict):
 class _Joined:
     """Ids of words, of any number, in one array; it joins those of a list of words, cut into rows."""
 
-    def __init__(self) -> None:
-        self.flat, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.ends = flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
     def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
@@ -302,6 +326,54 @@ def merge_long(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int]
     return [x for x in ids if x >= 0]
 
 
+def common_words(rows: DataFrame, rank_file: str, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The most common words of rows (text) that are no pieces, their ids one after another, and the numbers of these; each is folded once.
+
+    Counted as COUNTED_SHARE and COUNTED_BYTES say, and at most COMMON_WORDS of those found twice, so that the table's size does not depend on the input.
+    """
+    none = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int32)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size < COMMON_FROM:
+        return none
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    counted = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(COUNTED_SHARE, size // COUNTED_BYTES))) == 0).select("text").coalesce(tasks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, ranks, times = _Numbers(pattern), read_ranks(rank_file), np.zeros(0, np.int64)
+
+        def found() -> pa.RecordBatch:
+            kept = [i for i, w in enumerate(numbers.new) if len(w) <= COMMON_BYTES and w not in ranks]
+            return pa.RecordBatch.from_arrays([pa.array([numbers.new[i].decode() for i in kept], pa.string()), pa.array(times[kept])], names=["word", "n"])
+
+        for batch in batches:
+            seen = np.frombuffer(b"".join([numbers.of(x) for x in batch.column("text").to_pylist() if x]), np.int32)
+            more = np.bincount(seen, minlength=numbers.count)
+            more[: len(times)] += times
+            times = more
+            if numbers.count > MOST_WORDS:
+                yield found()
+                numbers.start()
+                numbers.new.clear()
+                times = times[:0]
+        yield found()
+        numbers.forget()
+        give_back()
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_WORDS):
+                words = batch.column("word").slice(at, BLOCK_WORDS)
+                yield pa.RecordBatch.from_arrays([_one(words), _one(first_states([x.encode() for x in words.to_pylist()], rank_file))], names=["word", "state"])
+
+    counts = counted.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    best = counts.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").repartition(tasks)
+    folded = best.mapInArrow(states, "word array<string>, state array<array<bigint>>").select("word", fold_merges(F.col("state"), rank_file).alias("merged")).toArrow()
+    words, merged = (folded.column(x).combine_chunks().flatten() for x in ("word", "merged"))
+    if not len(words):
+        return none
+    return words, (merged.flatten().to_numpy() & 0xFFFFF).astype("<u4"), merged.value_lengths().to_numpy()
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit integers), one row per row of docs; null text as empty, which has no ids.
 
@@ -313,9 +385,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     names = ["reset", "doc_ids", "sizes", "numbers", "words", "long_at", "long_words"]
+    common = docs.sparkSession.sparkContext.broadcast(common_words(rows, rank_file, pattern))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, reset = _Numbers(pattern), True
+        numbers, reset = _Numbers(pattern, common.value[0]), True
         for batch in batches:
             parts, size, first = [], 0, 0
             texts = batch.column("text")
@@ -335,20 +408,20 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                     columns = [pa.array([reset]), *(_one(x) for x in lists), pa.array([b"".join(parts)], pa.binary()), _one(words), _one(pa.array(long_at, pa.int32())), _one(pa.array(long_words, pa.binary()))]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                     parts, size, first, reset = [], 0, at + 1, False
-                    if numbers.count > MOST_WORDS:
-                        numbers.forget()
+                    if numbers.count > len(common.value[0]) + MOST_WORDS:
+                        numbers.start()
                         give_back()
                         reset = True
         numbers.forget()
         give_back()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Joined()
+        ids = _Joined(*common.value[1:])
         pieces = _Pieces(_piece_list(rank_file) if with_decoded else [])
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("reset")[i].as_py():
-                    ids = _Joined()
+                    ids = _Joined(*common.value[1:])
                 words = batch.column("merged")[i].values
                 sizes = np.diff(words.offsets.to_numpy())
                 new = (words.flatten().to_numpy() & 0xFFFFF).astype("<u4")
@@ -365,10 +438,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         del ids, pieces
         give_back()
 
-    # a task folds each of its words once, so small partitions are taken together, as long as every core keeps two tasks
-    n = rows.rdd.getNumPartitions()
-    shared = rows.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, n // TOGETHER)) if n > 1 else rows
-    sent = shared.mapInArrow(blocks, _BLOCK.format(id=id_type))
+    sent = rows.mapInArrow(blocks, _BLOCK.format(id=id_type))
     folded = sent.select("reset", "doc_ids", "sizes", "numbers", "long_at", "long_words", fold_merges(F.col("words"), rank_file).alias("merged"))
     return folded.mapInArrow(documents, f"doc_id {id_type}, ids binary" + ", decoded binary" * with_decoded)
 

@@ -703,6 +703,32 @@ def test_rank_table():
             assert k << byte_bpe.RANK_BITS | rank in (table[k % first], table[first + k % second])
 
 
+def test_byte_bpe_folds_common_words_once(spark, monkeypatch):
+    """Common words are in no task's list of words; with them, and where lists start anew, ids are the library's."""
+    import random
+
+    rng = random.Random(10)
+    monkeypatch.setattr(byte_bpe, "COMMON_FROM", 0)
+    monkeypatch.setattr(byte_bpe, "COUNTED_SHARE", 2)
+    monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(byte_bpe, "MOST_WORDS", 20)
+    own = ["".join(rng.choice("aeinortsé") for _ in range(rng.randint(2, 12))) for _ in range(120)]
+    texts = ["", None, " \u00a0 ", "zq" * 700] + [" ".join(rng.choice(own) + rng.choice(["", "", ",", ".\n", "'s", "  12"]) for _ in range(30)) for _ in range(80)]
+    given = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    t = bpe_library()
+    words, flat, sizes = byte_bpe.common_words(given, RANKS, P.PATTERN)
+    cut = regex.compile(P.PATTERN).findall
+    assert len(words) > 100 and len(set(words.to_pylist())) == len(words) and set(words.to_pylist()) <= {w for x in texts for w in cut(x or "")}
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [t.encode_ordinary(w) for w in words.to_pylist()]
+    numbers = byte_bpe._Numbers(P.PATTERN, words)
+    for _ in range(2):  # a new list has them too
+        numbers.of(" ".join(words.to_pylist()))
+        assert not {w.decode() for w in numbers.new} & set(words.to_pylist())
+        numbers.start()
+    got = {r["doc_id"]: (np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"]).decode()) for r in byte_bpe.encode(given, RANKS, P.PATTERN, with_decoded=True).collect()}
+    assert got == {i: (t.encode_ordinary(x or ""), x or "") for i, x in enumerate(texts)}
+
+
 @pytest.mark.parametrize("words", [3, 100])
 def test_byte_bpe_blocks_and_long_words(spark, monkeypatch, words):
     import random
