@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,8 +22,9 @@ from noticeflow.tables import cut, workers_import
 #: Queries and vectors of a block, and similarities that a worker holds at once.
 MOST_QUERIES, BLOCK_ROWS, CELLS_AT_ONCE = 10_000, 50_000, 2_000_000
 
-#: Queries of a block where all pairs are a result.
-PAIR_QUERIES = 500
+#: Queries and vectors of a block where all pairs are a result, and pairs that a worker gives back at once. A pair costs 1/PAIR_QUERIES + 1/PAIR_ROWS
+#: shuffled rows; few vectors a block keep their ids short in a file of pairs.
+PAIR_QUERIES, PAIR_ROWS, PAIRS_AT_ONCE = 20_000, 4_096, 250_000
 
 
 def cosine(a: Column, b: Column, epsilon: float = 1e-12) -> Column:
@@ -88,30 +90,44 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     return ranked.where(F.col("rank") <= k)
 
 
-def similarities(corpus: DataFrame, queries: DataFrame, more: Sequence[str] = (), id_col: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """VEC-01: query_id, id, similarity and columns more of corpus, for all pairs of a query and another vector; null vectors have no part.
+def similarities(corpus: DataFrame, queries: DataFrame, more: Sequence[str] = (), id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, least: float | None = None) -> DataFrame:
+    """VEC-01: query_id, id, similarity and columns more of corpus, for all pairs of a query and another vector, or those at least so similar; null vectors have no part.
 
-    The result grows as the product of both sides, a task does not: a pair of blocks has about CELLS_AT_ONCE pairs at most and is one group.
+    The result grows as the product of both sides. A pair of blocks is one task, which holds the vectors of both and gives its pairs back some at a
+    time; blocks are large, so that what is shuffled is a small part of the result.
     """
+    workers_import(corpus.sparkSession)
     asks = max(1, -(-queries.count() // PAIR_QUERIES))
-    parts = max(1, -(-corpus.count() // (CELLS_AT_ONCE // PAIR_QUERIES)))
+    parts = max(corpus.sparkSession.sparkContext.defaultParallelism, -(-corpus.count() // PAIR_ROWS))
     place = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = corpus.where(F.col(vector).isNotNull()).select(id_col, vector, *more, place(parts).alias("_part"), every(asks).alias("_block"))
-    asked = queries.where(F.col(vector).isNotNull()).select(id_col, vector, every(parts).alias("_part"), place(asks).alias("_block"))
     kind = {f.name: f.dataType.simpleString() for f in corpus.schema}
-
-    def score(rows: pa.Table, mine: pa.Table) -> pa.Table:
+    own = corpus.where(F.col(vector).isNotNull()).select(id_col, vector, *more, place(parts).alias("_part"), every(asks).alias("_block"), F.lit(True).alias("_own"))
+    asked = queries.where(F.col(vector).isNotNull()).select(id_col, vector, *(F.lit(None).cast(kind[c]).alias(c) for c in more), every(parts).alias("_part"), place(asks).alias("_block"), F.lit(False).alias("_own"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := list(batches)):
+            return
+        both = pa.Table.from_batches(held)
+        rows, mine = (both.filter(x).combine_chunks() for x in (both.column("_own"), pc.invert(both.column("_own"))))
+        if not len(rows) or not len(mine):
+            return
         ids, own_ids = rows.column(id_col).to_numpy(), mine.column(id_col).to_numpy()
-        if not len(ids) or not len(own_ids):
-            return pa.table([pa.array([], mine.schema.field(id_col).type), pa.array([], rows.schema.field(id_col).type), pa.array([], pa.float64()), *(pa.array([], rows.schema.field(c).type) for c in more)], ["query_id", "id", "similarity", *more])
-        s = np.round(_unit(mine.column(vector)) @ _unit(rows.column(vector)).T, digits)
-        q, r = np.nonzero(own_ids[:, None] != ids[None, :])
-        take = pa.array(r)
-        return pa.table([pa.array(own_ids[q]), pa.array(ids[r]), pa.array(s[q, r]), *(rows.column(c).combine_chunks().take(take) for c in more)], ["query_id", "id", "similarity", *more])
+        vectors, asks = _unit(rows.column(vector)), _unit(mine.column(vector))
+        each = max(1, PAIRS_AT_ONCE // len(ids))
+        for at in range(0, len(own_ids), each):
+            s = np.round(asks[at : at + each] @ vectors.T, digits)
+            ok = own_ids[at : at + each, None] != ids[None, :]
+            if least is not None:
+                ok &= ~(s < least)
+            q, r = np.nonzero(ok)
+            take = pa.array(r)
+            pairs = [mine.column(id_col).take(pa.array(q + at)), rows.column(id_col).take(take), pa.array(s[q, r]), *(rows.column(c).take(take) for c in more)]
+            yield from pa.table(pairs, ["query_id", "id", "similarity", *more]).to_batches()
 
     carried = "".join(f", `{c}` {kind[c]}" for c in more)
-    return own.groupBy("_part", "_block").cogroup(asked.groupBy("_part", "_block")).applyInArrow(score, f"query_id {kind[id_col]}, id {kind[id_col]}, similarity double{carried}")
+    met = own.unionByName(asked).repartitionById(parts * asks, F.col("_part") * asks + F.col("_block")).drop("_part", "_block")
+    return met.mapInArrow(score, f"query_id {kind[id_col]}, id {kind[id_col]}, similarity double{carried}")
 
 
 def semantic_duplicates(corpus: DataFrame, queries: DataFrame, least: float = 0.95, k: int = 5, **how) -> DataFrame:

@@ -426,14 +426,13 @@ def semantic_duplicates(spark, sf_dir):
 d AS (SELECT doc_id, n_chars % 101 AS priority, doc_id % 101 AS fit, len(list_filter(['the', 'and', 'der'], lambda w: regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) / 3.0 AS lexical FROM documents)
 SELECT query_id, vec_id, round_even(least(1.0, 0.40 * sim + 0.25 * priority / 100 + 0.20 * fit / 100 + 0.15 * lexical), 2) + 0.0 AS score FROM s JOIN d ON doc_id = vec_id WHERE sim >= -0.2 AND NOT priority < 10""")
 def hybrid_rank(spark, sf_dir):
-    """RET-04, RET-06, RET-07: vector, rule and lexical evidence in one score, of every vector for each one whose id 20 divides. Evidence of a document is worked out once and goes with its vector."""
+    """RET-04, RET-06, RET-07: vector, rule and lexical evidence in one score, of every vector for each one whose id 20 divides. Evidence of a document is worked out once, where its text lies, and goes with its vector."""
     e = table(spark, sf_dir, "embeddings")
     lexical = search.lexical_score(F.array(*map(F.lit, ("the", "and", "der"))), T.tokens("text"))
-    found = table(spark, sf_dir, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    d = found.select(F.col("doc_id").alias("vec_id"), (F.col("n_chars") % 101).alias("priority"), (F.col("doc_id") % 101).alias("fit"), lexical.alias("lexical")).where(~(F.col("priority") < 10))
-    near = vectors.similarities(e.join(d, "vec_id"), table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0"), ["priority", "fit", "lexical"])
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), (F.col("n_chars") % 101).alias("priority"), (F.col("doc_id") % 101).alias("fit"), lexical.alias("lexical")).where(~(F.col("priority") < 10))
+    near = vectors.similarities(e.join(d, "vec_id"), e.where("vec_id % 20 = 0"), ["priority", "fit", "lexical"], least=-0.2)
     total = search.composite(F.col("similarity"), F.col("priority"), F.col("fit"), F.col("lexical"), digits=None)
-    return near.where("similarity >= -0.2").select("query_id", F.col("id").alias("vec_id"), (F.rint(total * 100) / 100).alias("score"))  # hundredths as a double, as SQL rounds
+    return near.select("query_id", F.col("id").alias("vec_id"), (F.rint(total * 100) / 100 + F.lit(0.0)).alias("score"))  # hundredths as a double, none of them -0, as SQL rounds
 
 
 @query("""WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part) SELECT p_partkey FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'co'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0""")

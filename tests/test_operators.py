@@ -216,6 +216,24 @@ def test_nearest_in_blocks(spark, monkeypatch, most):
     assert sorted(map(tuple, vectors.nearest(e, asked, 4).select(columns).collect())) == want
 
 
+def test_similarities_of_all_pairs_in_blocks(spark, monkeypatch):
+    """However blocks are cut, each pair comes once; with least, those at least so similar, also where one has no number."""
+    monkeypatch.setattr(vectors, "PAIR_ROWS", 3)
+    monkeypatch.setattr(vectors, "PAIR_QUERIES", 4)
+    rows = [(i, [float(i % 7), float(i % 5) - 2, 1.0], f"n{i}") for i in range(30)] + [(30, None, "none"), (31, [float("nan"), 1.0, 1.0], "nan")]
+    e = spark.createDataFrame(rows, "vec_id int, embedding array<float>, name string")
+    asked = e.where("vec_id % 3 = 0 OR vec_id > 28").drop("name")
+    cosine = F.round(vectors.cosine(F.col("a"), F.col("b")), 6)
+    pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")).join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("b"), "name"), F.col("query_id") != F.col("id"))
+    want = pairs.where("a IS NOT NULL AND b IS NOT NULL").select("query_id", "id", cosine.alias("similarity"), "name").cache()
+    for least, kept in ((None, want), (0.3, want.where("similarity >= 0.3"))):
+        got = vectors.similarities(e, asked, ["name"], least=least)
+        assert got.schema["query_id"].dataType.simpleString() == "int"
+        show = lambda df: sorted((r.query_id, r.id, f"{round(r.similarity, 5) + 0.0:.5f}", r.name) for r in df.collect())
+        assert show(got) == show(kept)
+    assert vectors.similarities(e.where("false"), asked, ["name"]).collect() == [] == vectors.similarities(e, asked.where("false")).collect()
+
+
 def test_portfolio_in_blocks(spark, monkeypatch):
     past = spark.createDataFrame([(f"bridge road {w} work",) for w in ("north", "south", "east", "west", "old")] + [("school health",)], "t string")
     new = spark.createDataFrame([(1, "bridge north work"), (2, "school health"), (3, "nothing"), (3, "old road")], "id long, t string")

@@ -87,3 +87,20 @@ def test_content_hashes_are_worked_out_once(spark):
     """What finds duplicates reads hashes that were written, and no text."""
     plan = queries.QUERIES["content_hash_dupes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "content_hash" in plan and "documents.parquet" not in plan
+
+
+def test_hybrid_rank_moves_no_text_and_has_no_minus_zero(spark):
+    """Texts stay where they lie: a join gets their evidence only. A score of zero has no sign, as in SQL."""
+    got = queries.QUERIES["hybrid_rank"](spark, SF)
+
+    def joined(plan):
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Join":
+            for c in children:
+                yield {c.output().apply(i).name() for i in range(c.output().size())}
+        for c in children:
+            yield from joined(c)
+
+    sides = list(joined(got._jdf.queryExecution().optimizedPlan()))
+    assert any("lexical" in x for x in sides) and not any("text" in x for x in sides)
+    assert got.where("score = 0").count() and not got.where("CAST(score AS STRING) = '-0.0'").count()
