@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -118,6 +119,36 @@ def test_find(spark):
     assert all(not r[-1] for r in found if r[0] in clean)
 
 
+def test_terms_of_the_whole_document_are_held_against_an_entity(spark):
+    """Also those far from it, before and after; and one that is near it in some documents goes where it is far, too."""
+    far = " ".join(f"w{i % 7}" for i in range(60))
+    docs = [(i, f"Quillfeather began. {far} mail qf@mail.example.com {far} Marrowgate {i}") for i in range(4)]
+    docs += [(4, f"Marrowgate, qf@mail.example.com. {far} Quillfeather"), (5, f"{far} Quillfeld and Marrowbone")]
+    docs += [(10 + i, f"{far} of {i}") for i in range(30)]
+    found = sorted((tuple(r) for r in pii.find(spark, table(spark, docs)).collect()), key=repr)
+    assert found == plain_find(docs, near=10**9)
+    texts = {r.doc_id: r.text for r in pii.sanitise(spark, table(spark, docs)).collect()}
+    assert all("Quillfeather" not in texts[i] and "Marrowgate" not in texts[i] and texts[i].count("w3") == docs[i][1].count("w3") for i in range(5))
+    assert texts[5] == docs[5][1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_that_are_not_made_would_not_disclose(spark, seed):
+    """Entities and terms of any frequency, several entities a document, against counts of all pairs."""
+    rng = random.Random(seed)
+    words = [f"{a}{b}{c}" for a in ("al", "ber", "corv", "dun42") for b in ("", "ing", "enth", "7") for c in ("", "a", "ory")]
+    people = [f"p{i}@mail.example.com" for i in range(5)]
+    docs = []
+    for i in range(80):
+        who = [p for k, p in enumerate(people) if rng.random() < (0.04, 0.08, 0.15, 0.4, 0.9)[k]]
+        told = [words[(7 * people.index(p) + j) % len(words)] for p in who for j in range(5) if rng.random() < 0.9]
+        text = told + [words[min(rng.randrange(48), rng.randrange(48))] for _ in range(rng.randrange(4))] + who
+        rng.shuffle(text)
+        docs.append((i, " ".join(text)))
+    found = sorted((tuple(r) for r in pii.find(spark, table(spark, docs)).collect()), key=repr)
+    assert found == plain_find(docs, near=10**9) and "term:" in "".join(r[-1] for r in found)
+
+
 def test_sanitised_text(spark):
     docs = corpus()
     texts = {r.doc_id: r.text for r in pii.sanitise(spark, table(spark, docs)).collect() if r.doc_id is not None and r.doc_id >= 200}
